@@ -1,0 +1,43 @@
+"""Places in the folder that driver and executors share.
+
+Tables that cut lineage are written below ``spark.checkpoint.dir``; only where the
+session leaves that unset (as in tests) is a folder of our own made. Everything
+written here is deleted by Hadoop's file system when the driver ends.
+"""
+
+from __future__ import annotations
+
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The session's checkpoint folder; set to a temporary one only where it is unset."""
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not found:
+        found = tempfile.mkdtemp(prefix="lectern-")
+        spark.sparkContext.setCheckpointDir(found)
+    return found
+
+
+def new_path(spark: SparkSession, name: str) -> str:
+    """A fresh path below the shared folder, deleted when the driver ends."""
+    path = f"{shared_folder(spark).rstrip('/')}/lectern-{name}-{uuid.uuid4().hex}"
+    hadoop_path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(hadoop_path)
+    return path
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """The rows of `df`, written once as Parquet and read back: later jobs read only the columns they need."""
+    path = new_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """`df` with its lineage cut by checkpoint(), for tables of a few narrow columns."""
+    shared_folder(df.sparkSession)
+    return df.checkpoint(eager=True)
