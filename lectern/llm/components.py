@@ -1,0 +1,33 @@
+"""Connected components of a graph given as a table of links, by alternating stars."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from lectern.llm.scratch import cut
+
+
+def stars(links: DataFrame) -> DataFrame:
+    """(node, root) for every node of `links` (columns a, b) that isn't the smallest of its component; root is.
+
+    Each round hangs a node's larger neighbours, then its smaller ones, on the smallest
+    node in sight; components of n nodes need about log n rounds. A node's minimum is
+    aggregated before the shuffle, and the joins are ones whose large partitions adaptive
+    execution splits, so a node may have any number of links.
+    """
+    now = cut(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct())
+    seen = None
+    while True:
+        both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+        large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        large = cut(large)
+        least = large.groupBy("a").agg(F.min("b").alias("m"))
+        down = large.join(least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        small = down.unionByName(least.select("a", F.col("m").alias("b"))).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct()
+        now = cut(small)
+        state = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+        if state == seen:
+            return now.select(F.col("a").alias("node"), F.col("b").alias("root"))
+        seen = state

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm import bpe
+from lectern.llm import bpe, mixing, radix_dedup, simhash
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -29,3 +29,19 @@ def token_digests(docs: DataFrame) -> DataFrame:
 def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document encoded and decoded again: token counts and digests."""
     return token_digests(table(spark, sf_dir, "documents"))
+
+
+def op5_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents mixed to their sources' targets."""
+    return mixing.mix(table(spark, sf_dir, "documents"))
+
+
+def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Exact duplicates among all documents."""
+    return radix_dedup.exact_groups(table(spark, sf_dir, "documents"))
+
+
+def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SimHash fingerprints of all documents and the components of their links."""
+    found = simhash.near_components(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

@@ -2,7 +2,15 @@
 
 from __future__ import annotations
 
-from lectern.llm import queries_text
+from lectern.llm import mixing, queries_text, radix_dedup
 
-QUERIES = {"op1_bpe": queries_text.op1_bpe}
-ORACLES: dict[str, str] = {}
+QUERIES = {
+    "op1_bpe": queries_text.op1_bpe,
+    "op5_mix": queries_text.op5_mix,
+    "op8_exact_dedup": queries_text.op8_exact_dedup,
+    "op10_simhash": queries_text.op10_simhash,
+}
+ORACLES = {
+    "op5_mix": mixing.ORACLE_MIX,
+    "op8_exact_dedup": radix_dedup.ORACLE_GROUPS,
+}
