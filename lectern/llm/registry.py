@@ -7,7 +7,9 @@ from lectern.llm import mixing, queries_text, radix_dedup
 QUERIES = {
     "op1_bpe": queries_text.op1_bpe,
     "op5_mix": queries_text.op5_mix,
+    "op6_toxicity": queries_text.op6_toxicity,
     "op8_exact_dedup": queries_text.op8_exact_dedup,
+    "op9_language_id": queries_text.op9_language_id,
     "op10_simhash": queries_text.op10_simhash,
 }
 ORACLES = {
