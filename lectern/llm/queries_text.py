@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm import bpe, langid, mixing, radix_dedup, simhash, toxicity
+from lectern.llm import bpe, langid, licences, mixing, radix_dedup, sharding, simhash, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -60,3 +60,13 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     found = langid.identify(docs.select("doc_id", "text"), langid.learn(docs), keep=["doc_id"])
     return found.select("doc_id", langid.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+
+
+def op2_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents, and their lines, that are the text of a known licence."""
+    return licences.scan(table(spark, sf_dir, "documents"), licences.known_licences(spark))
+
+
+def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents put into 40 shards of nearly equal sizes."""
+    return sharding.shards_of(table(spark, sf_dir, "documents"))

@@ -2,17 +2,20 @@
 
 from __future__ import annotations
 
-from lectern.llm import mixing, queries_text, radix_dedup
+from lectern.llm import licences, mixing, queries_text, radix_dedup
 
 QUERIES = {
     "op1_bpe": queries_text.op1_bpe,
+    "op2_licence_scan": queries_text.op2_licence_scan,
     "op5_mix": queries_text.op5_mix,
     "op6_toxicity": queries_text.op6_toxicity,
+    "op7_sharding": queries_text.op7_sharding,
     "op8_exact_dedup": queries_text.op8_exact_dedup,
     "op9_language_id": queries_text.op9_language_id,
     "op10_simhash": queries_text.op10_simhash,
 }
 ORACLES = {
+    "op2_licence_scan": licences.oracle_scan(),
     "op5_mix": mixing.ORACLE_MIX,
     "op8_exact_dedup": radix_dedup.ORACLE_GROUPS,
 }
