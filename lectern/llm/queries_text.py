@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm import bpe, langid, licences, mixing, radix_dedup, sharding, simhash, toxicity
+from lectern.llm import bpe, gif, langid, licences, mixing, radix_dedup, sharding, simhash, toxicity, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -70,3 +70,13 @@ def op2_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents put into 40 shards of nearly equal sizes."""
     return sharding.shards_of(table(spark, sf_dir, "documents"))
+
+
+def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages written to WARC archives and read back."""
+    return warc.read_back(table(spark, sf_dir, "pages"))
+
+
+def op4_gif(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents stored as GIFs and read back."""
+    return gif.media_digests(table(spark, sf_dir, "documents"))

@@ -7,6 +7,8 @@ from lectern.llm import licences, mixing, queries_text, radix_dedup
 QUERIES = {
     "op1_bpe": queries_text.op1_bpe,
     "op2_licence_scan": queries_text.op2_licence_scan,
+    "op3_warc": queries_text.op3_warc,
+    "op4_gif": queries_text.op4_gif,
     "op5_mix": queries_text.op5_mix,
     "op6_toxicity": queries_text.op6_toxicity,
     "op7_sharding": queries_text.op7_sharding,
