@@ -38,7 +38,7 @@ def op5_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Exact duplicates among all documents."""
-    return radix_dedup.exact_groups(table(spark, sf_dir, "documents"))
+    return radix_dedup.exact_groups(table(spark, sf_dir, "documents")).drop("row")
 
 
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

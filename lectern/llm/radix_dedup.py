@@ -42,7 +42,7 @@ def digits(raw: Column) -> dict[str, Column]:
 
 
 def exact_groups(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row for each row of `df`: doc_id, keep_id, group_size, kept and text_sha256 (of the normalised text).
+    """One row for each row of `df`: doc_id, keep_id, group_size, kept, text_sha256 (of the normalised text) and row, its place in `df`.
 
     The digits are written once to the shared folder as Parquet columns, and each round
     reads its own column only; rows of later rounds are joined to theirs by row number.
@@ -74,9 +74,21 @@ def exact_groups(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> D
         F.col("n").alias("group_size"),
         (F.col("row") == F.col("first.row")).alias("kept"),
         F.lower(F.hex("sha")).alias("text_sha256"),
+        "row",
     )
 
 
+def without_copies(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of `df`, a stored table, that stay when of equal texts one does."""
+    return without_rows(df, exact_groups(df, doc_id, text).where("not kept"))
+
+
+def without_rows(df: DataFrame, dropped: DataFrame) -> DataFrame:
+    """The rows of `df`, a stored table, whose place isn't in column row of `dropped`."""
+    placed = df.withColumn("__row", F.monotonically_increasing_id())
+    return placed.join(dropped.select(F.col("row").alias("__row")), "__row", "left_anti").drop("__row")
+
+
 ORACLE_GROUPS = r"""
 SELECT doc_id, min(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
        row_number() OVER (PARTITION BY t ORDER BY doc_id) = 1 AS kept, sha256(t) AS text_sha256

@@ -27,6 +27,7 @@ from pyspark.sql import types as T
 
 from lectern.llm.arrow_io import append_columns
 from lectern.llm.components import stars
+from lectern.llm.radix_dedup import without_rows
 from lectern.llm.scratch import written
 
 SHINGLE = 3
@@ -131,11 +132,17 @@ def links(fps: DataFrame) -> DataFrame:
 
 
 def near_components(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row for each row of `df`: doc_id, fp and component_id, the smallest id reachable over links."""
-    rows = written(fingerprints(df.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text")), keep=["doc_id"]), "fingerprints")
-    fps = rows.groupBy("fp").agg(F.min("doc_id").alias("least"))
+    """One row for each row of `df`: doc_id, fp, component_id (the smallest id reachable over links), kept (the one row of each component that has it) and row, its place in `df`."""
+    plain = df.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text"), F.monotonically_increasing_id().alias("row"))
+    rows = written(fingerprints(plain, keep=["doc_id", "row"]), "fingerprints")
+    fps = rows.groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("least"))
     hung = stars(links(fps.select("fp"))).withColumnRenamed("node", "fp")
     rooted = fps.join(hung, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = rooted.join(least, "root").select("fp", "component_id")
-    return rows.join(named, "fp").select("doc_id", "fp", "component_id")
+    least = rooted.groupBy("root").agg(F.min("least").alias("first"))
+    named = rooted.join(least, "root").select("fp", "first")
+    return rows.join(named, "fp").select("doc_id", "fp", F.col("first.doc_id").alias("component_id"), (F.col("row") == F.col("first.row")).alias("kept"), "row")
+
+
+def without_near_copies(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of `df`, a stored table, that stay when one of each component does."""
+    return without_rows(df, near_components(df, doc_id, text).where("not kept"))
