@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -26,6 +27,10 @@ def holds_prefix(body: Column, term: str) -> Column:
     return F.exists(tokens(body), lambda t: t.startswith(term.lower()))
 
 
+def starts_with(term: str) -> Callable[[Column], Column]:
+    return lambda x: x.startswith(term.lower())
+
+
 def prefix_and_match(pages: DataFrame, terms: list[str], body: str = "body") -> DataFrame:
     """Pages in which, for every term, some token starts with it; no terms match nothing."""
     if not terms:
@@ -46,7 +51,7 @@ def bm25(pages: DataFrame, terms: list[str], mode: str = "prefix", body: str = "
     if mode == "prefix":
         ts = tokens(F.col(body))
         base = pages.withColumn("__ts", ts)
-        tf = [F.size(F.filter("__ts", lambda x, t=t: x.startswith(t.lower()))).cast("long") for t in terms]
+        tf = [F.size(F.filter("__ts", starts_with(t))).cast("long") for t in terms]
         length = F.size("__ts")
     else:
         base = pages.withColumn("__ts", squeezed(F.col(body)))
@@ -120,22 +125,23 @@ def proximity(norm: Column, terms: list[str]) -> Column:
     """
     if len(terms) < 2:
         return F.lit(1.0)
-    parts = [F.split(norm, F.lit("\\Q" + t.lower() + "\\E"), 62) for t in terms]
-    starts = []
-    for t, p in zip(terms, parts):
-        ends = F.aggregate(
-            F.slice(p, 1, F.greatest(F.lit(0), F.least(F.size(p) - 1, F.lit(60)))),
-            F.array().cast("array<int>"),
-            lambda acc, x, n=len(t): F.concat(acc, F.array(F.coalesce(F.try_element_at(acc, F.lit(-1)) + n, F.lit(0)) + F.length(x))),
-        )
-        starts.append(ends)
+    def starts(term: str) -> Column:
+        pieces = F.split(norm, "\\Q" + term.lower() + "\\E", 62)
+        size = len(term)
+        some = F.slice(pieces, 1, F.greatest(F.lit(0), F.least(F.size(pieces) - 1, F.lit(60))))
+        return F.aggregate(some, F.array().cast("array<int>"), lambda at, x: F.concat(at, F.array(F.coalesce(F.try_element_at(at, F.lit(-1)) + size, F.lit(0)) + F.length(x))))
+
+    places = [(len(t), starts(t)) for t in terms]
+
+    def end_behind(s: Column, size: int, at: Column) -> Column:
+        return F.array_min(F.transform(F.filter(at, lambda x: x >= s), lambda x: x + size))
 
     def span(s: Column) -> Column:
-        reach = [F.array_min(F.transform(F.filter(at, lambda x: x >= s), lambda x, n=len(t): x + n)) for t, at in zip(terms, starts)]
+        reach = [end_behind(s, size, at) for size, at in places]
         whole = reduce(lambda a, b: a & b, (r.isNotNull() for r in reach))
         return F.when(whole, F.greatest(*reach) - s)
 
-    best = F.array_min(F.transform(F.flatten(F.array(*starts)), span))
+    best = F.array_min(F.transform(F.flatten(F.array(*(at for _, at in places))), span))
     return F.coalesce(F.greatest(F.lit(0.0), 1 - (best - sum(map(len, terms))) / F.lit(140.0)), F.lit(0.0))
 
 
@@ -154,19 +160,31 @@ def kind_label(document_id: Column, title: Column, page_no: Column) -> tuple[Col
     return kind, label
 
 
+#: Phrases up to which `attested` looks for all of them in each document at once.
+FEW = 1000
+
+
 def attested(phrases: DataFrame, corpus: DataFrame, n: int = 5, head: int = 8) -> DataFrame:
     """For each phrase (phrase_id, phrase): in how many documents it occurs, and the first n of them.
 
-    Phrases meet a document by its distinct substrings of `head` characters only where a phrase starts with one, so the
-    test is not made for every pair.
+    A few phrases are looked for in one pass over the documents. More of them meet a document by its distinct
+    substrings of `head` characters, so that the test is made only where a phrase starts like one of these.
     """
-    p = phrases.withColumn("head", F.substring("phrase", 1, head))
-    grams = corpus.select("doc_id", "text", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length("text") - head + 1, F.lit(1))), lambda i: F.substr(F.col("text"), i, F.lit(head))))).alias("head"))
-    hits = grams.join(p, "head").where(F.expr("contains(text, phrase)")).select("phrase_id", "doc_id").distinct()
+    few = phrases.select("phrase_id", "phrase").limit(FEW + 1).collect()
+    if len(few) <= FEW:
+        each = F.array(*(F.struct(F.lit(r.phrase_id).alias("phrase_id"), F.lit(r.phrase).alias("phrase")) for r in few))
+        hits = corpus.select("doc_id", F.explode(F.filter(each, lambda p: F.contains(F.col("text"), p.phrase))).alias("p")).select("p.phrase_id", "doc_id") if few else corpus.select(F.lit(None).cast(phrases.schema["phrase_id"].dataType).alias("phrase_id"), "doc_id").limit(0)
+    else:
+        p = phrases.withColumn("head", F.substring("phrase", 1, head))
+        starts = F.sequence(F.lit(1), F.greatest(F.length("text") - head + 1, F.lit(1)))
+        grams = corpus.select("doc_id", "text", F.explode(F.array_distinct(F.transform(starts, lambda i: F.substr(F.col("text"), i, F.lit(head))))).alias("head"))
+        hits = grams.join(p, "head").where(F.expr("contains(text, phrase)")).select("phrase_id", "doc_id").distinct()
     order = Window.partitionBy("phrase_id").orderBy("doc_id")
-    ranked = hits.withColumn("n", F.row_number().over(order))
-    found = ranked.groupBy("phrase_id").agg(F.count("*").alias("documents"), F.array_join(F.array_sort(F.collect_list(F.when(F.col("n") <= n, F.col("doc_id")))), ",").alias("sample"))
-    return phrases.select("phrase_id").join(found, "phrase_id", "left").select("phrase_id", F.coalesce("documents", F.lit(0)).cast("long").alias("documents"), F.coalesce("sample", F.lit("")).alias("sample"))
+    first = hits.withColumn("n", F.row_number().over(order)).where(F.col("n") <= n)
+    sample = first.groupBy("phrase_id").agg(F.array_join(F.array_sort(F.collect_list("doc_id")), ",").alias("sample"))
+    count = hits.groupBy("phrase_id").agg(F.count("*").alias("documents"))
+    out = phrases.select("phrase_id").join(count, "phrase_id", "left").join(sample, "phrase_id", "left")
+    return out.select("phrase_id", F.coalesce("documents", F.lit(0)).cast("long").alias("documents"), F.coalesce("sample", F.lit("")).alias("sample"))
 
 
 def phrase_occurrences(df: DataFrame, phrases: list[str], text: str = "text") -> DataFrame:
