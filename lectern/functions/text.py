@@ -50,7 +50,7 @@ def num_text(points: Column) -> Column:
 def circled(ords: Column) -> Column:
     """Answer positions in order, as circled digits from 1 to 5 and plain numbers beyond."""
     marks = F.array(*map(F.lit, "①②③④⑤"))
-    return F.array_join(F.transform(F.array_sort(ords), lambda n: F.when(n.between(1, 5), F.try_element_at(marks, n)).otherwise(n.cast("string"))), " ")
+    return F.array_join(F.transform(F.array_sort(ords), lambda n: F.when(n.between(1, 5), F.try_element_at(marks, n.cast("int"))).otherwise(n.cast("string"))), " ")
 
 
 def strip_number(text: Column) -> Column:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from lectern.functions.text import blank
-from lectern.operators.bank import ORIGINS, effective_points
+from lectern.operators.bank import ORIGINS, duplicate_usage, effective_points
 
 # Enumerations and words of the rules.
 QTYPES = ("정답형", "합답형", "서술형")
@@ -204,7 +204,5 @@ def block_contract(blocks: DataFrame, required: list[str]) -> DataFrame:
 
 def set_duplicates(items: DataFrame, uses: DataFrame, first: int = 4) -> DataFrame:
     """The first groups of questions of a set that share a proposition."""
-    from lectern.operators.bank import duplicate_usage
-
     w = Window.partitionBy("set_id").orderBy("proposition_id")
     return duplicate_usage(items, uses).withColumn("k", F.row_number().over(w)).where(F.col("k") <= first).drop("k")

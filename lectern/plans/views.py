@@ -39,7 +39,7 @@ SELECT s.set_id, s.question_id, s.ord, s.item_id, s.points, 100.0E0 AS target, q
   q.status, q.origin, q.behavior, q.answer
 FROM {set_item} s JOIN {question} q ON s.question_id = q.id""",
     "standard": """
-SELECT p_brand AS code, CAST(min(p_partkey) AS BIGINT) AS seq, min(p_name) AS text, CAST(substr(p_brand, 7) AS INT) % 5 AS unit_no,
+SELECT p_brand AS code, CAST(min(p_partkey) AS BIGINT) AS seq, min(p_name) AS text, TRY_CAST(substr(p_brand, 7) AS INT) % 5 AS unit_no,
   CASE WHEN max(p_size) >= 50 THEN 'long' ELSE '' END AS explain
 FROM {part} GROUP BY p_brand""",
     "unit": "SELECT r_regionkey AS unit_no, r_name AS name, r_regionkey % 2 AS subject_id FROM {region}",
