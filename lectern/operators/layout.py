@@ -167,31 +167,35 @@ def baselines(words: DataFrame, page: list[str], tol: float = 2.5) -> DataFrame:
     return rows.groupBy(*page, "row").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("x", "word_id", "text"))), lambda w: w.text), " ").alias("line"))
 
 
-def box_clusters(boxes: DataFrame, page: list[str], gap: float = 12.0) -> DataFrame:
-    """Boxes merged until no two unions, grown by the gap, meet: the union and how many boxes it has. Pages are handled in parallel."""
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in boxes.select(*page).schema) + ", x0 double, y0 double, x1 double, y1 double, members long"
-
-    def merge(pdf):
-        import pandas as pd
-
-        live = [[*r, 1] for r in pdf[list(SIDES)].itertuples(index=False, name=None)]
-        i = 0
-        while i < len(live):
-            a = live[i]
-            for j in range(len(live)):
-                b = live[j]
-                if i != j and a[0] - gap <= b[2] and b[0] <= a[2] + gap and a[1] - gap <= b[3] and b[1] <= a[3] + gap:
-                    live[i] = [min(a[0], b[0]), min(a[1], b[1]), max(a[2], b[2]), max(a[3], b[3]), a[4] + b[4]]
-                    del live[j]
-                    i = -1  # a larger box may meet earlier ones
-                    break
-            i += 1
-        out = pd.DataFrame(sorted(live), columns=[*SIDES, "members"])
-        for k, c in enumerate(page):
-            out.insert(k, c, pdf[c].iloc[0])
-        return out
-
-    return boxes.select(*page, *SIDES).groupBy(*page).applyInPandas(merge, schema)
+def merged_boxes(boxes: list[tuple[float, float, float, float]], gap: float) -> list[list[float]]:
+    """Merge boxes, in order, until no two unions grown by the gap meet; each with its number of boxes."""
+    live = [[*b, 1] for b in sorted(boxes)]
+    i = 0
+    while i < len(live):
+        a = live[i]
+        for j, b in enumerate(live):
+            if i != j and a[0] - gap <= b[2] and b[0] <= a[2] + gap and a[1] - gap <= b[3] and b[1] <= a[3] + gap:
+                live[i] = [min(a[0], b[0]), min(a[1], b[1]), max(a[2], b[2]), max(a[3], b[3]), a[4] + b[4]]
+                del live[j]
+                i = -1  # a larger box may meet earlier ones
+                break
+        i += 1
+    return sorted(live)
+
+
+def box_clusters(boxes: DataFrame, page: str, gap: float = 12.0) -> DataFrame:
+    """Boxes merged to a fix-point, page by page: the union and how many boxes it has. Batches of pages are handled in parallel."""
+    pages = boxes.groupBy(page).agg(F.collect_list(F.struct(*SIDES)).alias("boxes"))
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            out = [(k, m) for k, own in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) for m in merged_boxes([tuple(b[s] for s in SIDES) for b in own], gap)]
+            columns = [pa.array([k for k, _ in out], batch.column(0).type), *(pa.array([m[i] for _, m in out], pa.float64() if i < 4 else pa.int64()) for i in range(5))]
+            yield pa.RecordBatch.from_arrays(columns, names=[page, *SIDES, "members"])
+
+    return pages.mapInArrow(run, f"{page} {boxes.schema[page].dataType.simpleString()}, x0 double, y0 double, x1 double, y1 double, members long")
 
 
 def highlight_hits(chars: DataFrame, terms: list[str]) -> DataFrame:

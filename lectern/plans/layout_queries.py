@@ -109,7 +109,7 @@ def baselines(v: Views) -> DataFrame:
 
 @query()
 def box_clusters(v: Views) -> DataFrame:
-    return layout.box_clusters(v("box"), ["page"])
+    return layout.box_clusters(v("box"), "page")
 
 
 def marks(v: Views) -> DataFrame:
