@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm.scratch import new_path
+from lectern.llm.scratch import new_path, written
 
 DATE = "2000-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -61,6 +61,7 @@ def captures(pages: DataFrame, page_id: str, url: str, payload: str) -> DataFram
     rows = rows.withColumn("key", F.unhex(F.sha2("payload", 256)))
     order = F.struct(F.col("page_id").isNull().alias("none"), "page_id", "row")
     shared = rows.groupBy("key").agg(F.count("*").alias("n"), F.min(order).alias("o")).where("n > 1").select("key", F.col("o.row").alias("first"))
+    shared = written(shared, "shared-payloads")  # cut off from its aggregate, so that the join can split large partitions
     return rows.join(shared, "key", "left").withColumn("first", F.coalesce("first", "row")).withColumn("digest", base32_sha1(F.col("payload")))
 
 
@@ -197,7 +198,8 @@ def read_back(pages: DataFrame) -> DataFrame:
         "capture_id", page_id.alias("page_id"), "record_type", "target_uri", F.col("response.refers_to").alias("refers"),
         F.col("response.payload_bytes").alias("bytes"), F.col("response.payload_digest").alias("payload_digest"),
     )
-    origin = found.where("record_type = 'response'").select(F.col("capture_id").alias("refers"), F.col("page_id").alias("refers_to"), F.col("bytes").alias("of_response"))
-    return found.join(origin, "refers", "left").select(
-        "page_id", F.coalesce("bytes", "of_response").alias("payload_bytes"), "payload_digest", "record_type", "refers_to",
-    )
+    responses = found.where("record_type = 'response'")
+    origin = responses.select(F.col("capture_id").alias("refers"), F.col("page_id").alias("refers_to"), F.col("bytes").alias("of_response"))
+    revisits = found.where("record_type <> 'response'").drop("bytes").join(origin, "refers", "left").withColumnRenamed("of_response", "bytes")
+    out = ["page_id", F.col("bytes").alias("payload_bytes"), "payload_digest", "record_type", "refers_to"]
+    return responses.withColumn("refers_to", F.lit(None).cast("long")).select(*out).unionByName(revisits.select(*out))
