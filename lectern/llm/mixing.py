@@ -59,8 +59,8 @@ def rank(doc_id: Column, size: Column, share: Column, mean_weight: Column) -> Co
     """Random odds over inclusion odds; 0 where inclusion is certain, null where it is impossible."""
     digest = F.md5(F.concat_ws("|", F.lit(SEED), F.coalesce(doc_id.cast("string"), F.lit("")), size.cast("string")))
     u = (F.conv(F.substring(digest, 1, 13), 16, 10).cast("long") + F.lit(0.5)) / F.lit(float(16**13))
-    p = share * F.sqrt(size.cast("double")) / mean_weight
-    return F.when(p >= 1, F.lit(0.0)).when(p > 0, (u / (1 - u)) / (p / (1 - p)))
+    p = F.try_divide(share * F.sqrt(size.cast("double")), mean_weight)
+    return F.when(p >= 1, F.lit(0.0)).when(p > 0, (u / (1 - u)) / F.try_divide(p, 1 - p))
 
 
 def by_source(rows: DataFrame, other: DataFrame, how: str = "inner") -> DataFrame:
@@ -101,11 +101,11 @@ def place_rows(rows: DataFrame, found: DataFrame, k: int) -> DataFrame:
 def plan_of(rows: DataFrame) -> DataFrame:
     """By source: size, target, whole copies, the rest in words, and what the ranks need."""
     size = F.col("size")
-    sizes = rows.groupBy("source").agg(F.sum(size).alias("source_size"), (F.sum(size * F.sqrt(size.cast("double"))) / F.sum(size)).alias("mean_weight"))
-    copies = F.col("target") / F.col("source_size")
+    sizes = rows.groupBy("source").agg(F.sum(size).alias("source_size"), F.try_divide(F.sum(size * F.sqrt(size.cast("double"))), F.sum(size)).alias("mean_weight"))
+    copies = F.try_divide("target", "source_size")  # null for a source without words
     plan = targets(sizes).withColumn("whole", F.coalesce(F.floor(copies), F.lit(0)).cast("long"))
     plan = plan.withColumn("rest", F.col("target") - F.col("whole") * F.col("source_size"))
-    return plan.withColumn("share", F.coalesce(F.col("rest") / F.col("source_size"), F.lit(0.0)))
+    return plan.withColumn("share", F.coalesce(F.try_divide("rest", "source_size"), F.lit(0.0)))
 
 
 def decided(df: DataFrame) -> DataFrame:
@@ -113,7 +113,7 @@ def decided(df: DataFrame) -> DataFrame:
     rows = written(df.select(F.col("__id").alias("doc_id"), F.col("__source").alias("source"), F.col("__size").alias("size")), "sizes")
     plan = written(plan_of(rows), "plan")
     law = by_source(plan, cuts(rows, plan), "left").withColumnRenamed("source", "of")
-    law = law.select(*(F.col(c).alias(f"__{c}") for c in law.columns))
+    law = written(law.select(*(F.col(c).alias(f"__{c}") for c in law.columns)), "law")
     out = df.join(law, F.col("__source").eqNullSafe(F.col("__of")))
     r = rank(F.col("__id"), F.col("__size"), F.col("__share"), F.col("__mean_weight"))
     before = F.coalesce(F.col("__id") < F.col("__cut_id"), F.col("__id").isNull() & F.col("__cut_id").isNotNull())
@@ -144,7 +144,7 @@ ORACLE_MIX = r"""
 WITH d AS (
   SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size FROM documents
 ), s AS (
-  SELECT source, sum(size)::BIGINT AS source_size, sum(size * sqrt(size::DOUBLE)) / sum(size) AS mean_weight,
+  SELECT source, sum(size)::BIGINT AS source_size, sum(size * sqrt(size::DOUBLE)) / nullif(sum(size), 0) AS mean_weight,
          row_number() OVER (ORDER BY source NULLS LAST) - 1 AS n
   FROM d GROUP BY source
 ), w AS (
@@ -159,11 +159,11 @@ WITH d AS (
     least(cap::DOUBLE, coalesce(max(CASE WHEN cap / weight > unit THEN unit END) OVER () * weight, cap::DOUBLE)) AS target
   FROM k
 ), p AS (
-  SELECT *, floor(target / source_size)::BIGINT AS whole, target - floor(target / source_size)::BIGINT * source_size AS rest FROM t
+  SELECT *, coalesce(floor(target / nullif(source_size, 0)), 0)::BIGINT AS whole, target - coalesce(floor(target / nullif(source_size, 0)), 0)::BIGINT * source_size AS rest FROM t
 ), r AS (
   SELECT d.*, p.source_size, p.target, p.whole, p.rest,
     (('0x' || substr(md5('mix-1|' || coalesce(doc_id::VARCHAR, '') || '|' || size::VARCHAR), 1, 13))::BIGINT + 0.5::DOUBLE) / 4503599627370496::DOUBLE AS u,
-    rest / source_size * sqrt(size::DOUBLE) / mean_weight AS pr
+    rest / nullif(source_size, 0) * sqrt(size::DOUBLE) / mean_weight AS pr
   FROM d JOIN p ON d.source IS NOT DISTINCT FROM p.source
 ), q AS (
   SELECT *, CASE WHEN pr >= 1 THEN 0.0::DOUBLE WHEN pr > 0 THEN (u / (1 - u)) / (pr / (1 - pr)) END AS rk FROM r
