@@ -71,7 +71,7 @@ def compact(text: Column) -> Column:
 def split_choices(text: Column) -> Column:
     """The choices behind the marks ① to ⑤, blanks dropped."""
     parts = F.slice(F.split(text, "[①②③④⑤]"), 2, 2**31 - 2)
-    return F.filter(F.transform(parts, F.trim), lambda x: x != "")
+    return F.filter(F.transform(parts, lambda x: F.trim(x)), lambda x: x != "")
 
 
 def formula_spans(text: Column) -> Column:

@@ -76,7 +76,7 @@ def choice_ending(choice: Column) -> Column:
 
 def intro_frame(passage: Column) -> Column:
     """The frame of the first line that isn't blank, or null."""
-    lines = F.filter(F.transform(F.split(F.coalesce(passage, F.lit("")), "\n"), F.trim), lambda x: x != "")
+    lines = F.filter(F.transform(F.split(F.coalesce(passage, F.lit("")), "\n"), lambda x: F.trim(x)), lambda x: x != "")
     first = F.try_element_at(lines, F.lit(1))
     return first_match([(n, first.rlike(p)) for n, p in INTRO_FRAMES], None)
 

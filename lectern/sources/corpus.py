@@ -20,7 +20,7 @@ def corpus_inventory(spark: SparkSession, path: str) -> DataFrame:
 
 def paragraph_pages(docs: DataFrame, key: list[str], text: str, sep: str = "\n\n", least: int = 10) -> DataFrame:
     """Blocks between blank lines of at least `least` characters, numbered from 1 after the filter."""
-    blocks = F.filter(F.transform(F.split(F.col(text), sep), F.trim), lambda b: F.length(b) >= least)
+    blocks = F.filter(F.transform(F.split(F.col(text), sep), lambda b: F.trim(b)), lambda b: F.length(b) >= least)
     return docs.select(*key, F.posexplode(blocks).alias("at", "body")).select(*key, (F.col("at") + 1).alias("page_no"), "body")
 
 
@@ -30,7 +30,7 @@ def keep_meaningful_pages(pages: DataFrame, least: int = 10) -> DataFrame:
 
 def line_chunks(docs: DataFrame, key: list[str], text: str, size: int = 700) -> DataFrame:
     """Lines packed greedily into chunks of about `size` characters; a line is never split, blank lines go."""
-    lines = F.filter(F.transform(F.split(F.col(text), "\n"), F.rtrim), lambda x: F.trim(x) != "")
+    lines = F.filter(F.transform(F.split(F.col(text), "\n"), lambda x: F.rtrim(x)), lambda x: F.trim(x) != "")
     start = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("buf"))
 
     def step(acc: Column, line: Column) -> Column:
