@@ -224,3 +224,38 @@ def test_job_states(spark):
 def test_lint(spark):
     d = spark.createDataFrame([(" ",), ("a ` b",), (f"x{chr(0xE001)}",), ("fine",), (";3!;",)], "t string")
     assert [r[0] for r in d.select(quality.text_lint(F.col("t"))).collect()] == ["empty text", "backtick", "private or control character", None, "fraction code"]
+
+
+def test_choice_texts_need_every_mark_once(spark):
+    from lectern.operators import items as it
+
+    marks = [(1, i, m, 10.0 + 100 * i, 5.0 + (i > 2) * 20) for i, m in enumerate("①②③④⑤")]
+    words = [(1, 10 + i, f"w{i}", 20.0 + 100 * i, 6.0 + (i > 2) * 20) for i in range(5)]
+    schema = "page long, word_id long, text string, x0 double, y0 double"
+    d = spark.createDataFrame(marks + words + [(1, 20, "ㄱ", 25.0, 6.0), (1, 21, ",", 26.0, 6.0), (1, 22, "ㄴ", 27.0, 6.0)], schema)
+    got = dict(it.choice_texts(d, ["page"]).select("no", "choice").collect())
+    assert got == {1: "w0 ㄱ, ㄴ", 2: "w1", 3: "w2", 4: "w3", 5: "w4"}
+    assert it.choice_texts(spark.createDataFrame(marks[:4] + words, schema), ["page"]).count() == 0
+
+
+def test_captions_are_all_or_nothing(spark):
+    from lectern.operators import items as it
+
+    p = spark.createDataFrame([(1, 1, 0.0, 0.0, 50.0, 50.0), (1, 2, 100.0, 0.0, 150.0, 50.0), (2, 1, 0.0, 0.0, 50.0, 50.0), (2, 2, 100.0, 0.0, 150.0, 50.0)], "item_id long, panel_id long, x0 double, y0 double, x1 double, y1 double")
+    lab = spark.createDataFrame([(1, 7, 25.0, 60.0), (1, 8, 125.0, -5.0), (2, 7, 25.0, 60.0)], "item_id long, label_id long, lx double, ly double")
+    assert rows(it.caption_for_panel(p, lab)) == [(1, 1, 7), (1, 2, 8)]
+
+
+def test_generated_marks_need_a_peer(spark):
+    from lectern.operators import items as it
+
+    d = spark.createDataFrame([(1, 1, 1, 0, "1.", 50.0, 100.0), (1, 2, 2, 0, "2", 55.0, 100.0), (1, 2, 2, 1, ".", 60.0, 100.0), (1, 1, 3, 0, "3.", 400.0, 100.0), (1, 1, 4, 0, "4.", 52.0, 5.0)], "doc_id long, page_no int, block int, word_no int, text string, x0 double, y0 double")
+    assert rows(it.generated_marks(d).select("number")) == [(1,), (2,)]
+
+
+def test_text_goes_on_over_pages(spark):
+    from lectern.operators import items as it
+
+    lines = spark.createDataFrame([(1, 1, 0, 1.0, "before"), (1, 1, 0, 20.0, "a"), (1, 2, 0, 5.0, "b"), (1, 2, 0, 50.0, "c")], "doc_id long, page_no int, col int, y double, text string")
+    marks = spark.createDataFrame([(1, 1, 0, 10.0, 1), (1, 2, 0, 40.0, 2)], "doc_id long, page_no int, col int, y double, number int")
+    assert rows(it.continuation_text(lines, marks)) == [(1, 1, "a\nb"), (1, 2, "c")]
