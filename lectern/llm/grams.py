@@ -11,7 +11,9 @@ import numpy as np
 WORD = re.compile(r"[^\W\d_]+")
 BLANK = ord(" ")
 #: Words whose features a Python worker keeps at hand; results don't depend on it.
-CACHED = 300_000
+CACHED = 120_000
+#: New words whose n-grams are looked at together.
+TOGETHER = 4096
 
 
 def words_of(text: str | None) -> list[str]:
@@ -67,8 +69,8 @@ class TextSums:
             self.index, self.rows = {}, None
         new = sorted(set(flat).difference(self.index))
         if new or self.rows is None:
-            got = self.features(new)
-            self.rows = got if self.rows is None else np.concatenate([self.rows, got])
+            got = [self.features(new[i : i + TOGETHER]) for i in range(0, len(new), TOGETHER)] or [self.features([])]
+            self.rows = np.concatenate(got if self.rows is None else [self.rows, *got])
             self.index.update(zip(new, range(len(self.index), len(self.index) + len(new))))
         at = np.fromiter(map(self.index.__getitem__, flat), np.int64, len(flat))
         sums = np.zeros((len(lists), self.rows.shape[1]), self.rows.dtype if self.rows.dtype.kind == "f" else np.int64)
