@@ -29,6 +29,7 @@ from pyspark.sql.window import Window
 
 from lectern.llm.arrow_io import append_columns
 from lectern.llm.grams import TextSums, gram_hashes, has_letter, words_of
+from lectern.llm.scratch import written
 
 ORDERS = (2, 3, 4, 5)
 #: Documents of each language to learn from.
@@ -82,13 +83,14 @@ def sample(df: DataFrame, doc_id: str, text: str, lang: str, size: int) -> DataF
     own = df.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text"), F.col(f"`{lang}`").alias("lang")).where(F.col("lang").isNotNull() & F.col("text").isNotNull())
     own = own.where(~held_out(F.col("doc_id"))).withColumn("draw", F.pmod(F.xxhash64(F.lit("langid"), "doc_id"), F.lit(1 << 30)))
     rates = own.groupBy("lang").agg((F.lit(1.2 * size) / F.count("*")).alias("rate")).withColumnRenamed("lang", "of")
+    rates = written(rates, "rates")  # one row a language, whose size then decides that texts needn't be shuffled
     near = own.join(rates, F.col("lang") == F.col("of")).where(F.col("draw") < F.col("rate") * F.lit(1 << 30))
     order = Window.partitionBy("lang").orderBy("draw", "doc_id")
     return near.withColumn("n", F.row_number().over(order)).where(F.col("n") <= size).select("lang", "text")
 
 
 def learn(df: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", size: int = SAMPLE, grams: int = GRAMS) -> Filters:
-    """The filters of the `grams` most frequent n-grams of each language in the sample."""
+    """The filters of at most `grams` n-grams of each language, the most frequent in the sample; of those that tie for the last places none is in."""
 
     def count(batches):
         for batch in batches:
@@ -108,9 +110,14 @@ def learn(df: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str =
             for one, keys, n in out:
                 yield pa.RecordBatch.from_arrays([pa.array([one] * len(keys), pa.string()), pa.array(keys), pa.array(n)], names=["lang", "gram", "n"])
 
-    counted = sample(df, doc_id, text, lang, size).mapInArrow(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-    order = Window.partitionBy("lang").orderBy(F.desc("n"), "gram")
-    top = counted.withColumn("k", F.row_number().over(order)).where(F.col("k") <= grams)
+    grouped = sample(df, doc_id, text, lang, size).mapInArrow(count, "lang string, gram long, n long").groupBy("lang", "gram")
+    counted = written(grouped.agg(F.sum("n").alias("n")), "gram-counts")
+    # The least count that at most `grams` n-grams of a language reach: found from how many have each count.
+    upto = F.sum("k").over(Window.partitionBy("lang").orderBy(F.desc("n")))
+    sizes = counted.groupBy("lang", "n").agg(F.count("*").alias("k")).withColumn("upto", upto)
+    # The largest count is in however many reach it, as in a sample so small that all are equal.
+    least = written(sizes.where((F.col("upto") <= grams) | (F.col("upto") == F.col("k"))).groupBy("lang").agg(F.min("n").alias("least")), "least-counts")
+    top = counted.join(least, "lang").where(F.col("n") >= F.col("least"))
     return build([(r.lang, r.gram) for r in top.select("lang", "gram").collect()])
 
 
