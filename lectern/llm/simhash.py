@@ -34,7 +34,7 @@ SHINGLE = 3
 SEED = 42
 RADIUS = 2
 #: Fingerprints in a block: a comparison of two needs 8 * BLOCK**2 bytes at a time.
-BLOCK = 1024
+BLOCK = 512
 #: Hashes whose bits are counted at a time.
 SLICE = 1 << 15
 
@@ -76,15 +76,11 @@ def tile_steps() -> list[tuple[int, bool]]:
 def joined(a: np.ndarray, b: np.ndarray, same: bool) -> tuple[np.ndarray, np.ndarray]:
     """Links within the radius between two blocks, reduced to one star for each group of linked fingerprints."""
     near = np.bitwise_count(a[:, None] ^ b[None, :]) <= RADIUS
-    if same:
-        near = np.triu(near, 1)
-    i, j = np.nonzero(near)
-    if not len(i):
-        return a[:0], a[:0]
-    nodes, at = np.unique(np.concatenate([a[i], b[j]]), return_inverse=True)
-    i, j = at[: len(i)], at[len(i) :]
-    label = np.arange(len(nodes))
-    while True:
+    i, j = (x.astype(np.int32) for x in np.nonzero(np.triu(near, 1) if same else near))
+    nodes = a if same else np.concatenate([a, b])
+    j += 0 if same else len(a)
+    label = np.arange(len(nodes), dtype=np.int32)
+    while len(i):
         least = np.minimum(label[i], label[j])
         new = label.copy()
         np.minimum.at(new, label[i], least)
@@ -138,7 +134,8 @@ def near_components(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -
     fps = rows.groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("least"))
     hung = stars(links(fps.select("fp"))).withColumnRenamed("node", "fp")
     rooted = fps.join(hung, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    least = rooted.groupBy("root").agg(F.min("least").alias("first"))
+    rooted = written(rooted, "rooted")
+    least = written(rooted.groupBy("root").agg(F.min("least").alias("first")), "components")
     named = rooted.join(least, "root").select("fp", "first")
     return rows.join(named, "fp").select("doc_id", "fp", F.col("first.doc_id").alias("component_id"), (F.col("row") == F.col("first.row")).alias("kept"), "row")
 
