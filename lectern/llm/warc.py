@@ -198,6 +198,7 @@ def read_back(pages: DataFrame) -> DataFrame:
         "capture_id", page_id.alias("page_id"), "record_type", "target_uri", F.col("response.refers_to").alias("refers"),
         F.col("response.payload_bytes").alias("bytes"), F.col("response.payload_digest").alias("payload_digest"),
     )
+    found = written(found, "captures")  # narrow; the archives are then read once
     responses = found.where("record_type = 'response'")
     origin = responses.select(F.col("capture_id").alias("refers"), F.col("page_id").alias("refers_to"), F.col("bytes").alias("of_response"))
     revisits = found.where("record_type <> 'response'").drop("bytes").join(origin, "refers", "left").withColumnRenamed("of_response", "bytes")
