@@ -21,6 +21,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lectern.llm.scratch import written
+
 # Equivalent spellings, each pattern with what it becomes (applied in this order to lower-case text).
 SPELLINGS = (
     ("licence", "license"),
@@ -133,6 +135,7 @@ def scan(df: DataFrame, known: DataFrame, doc_id: str = "doc_id", text: str = "t
     lines = df.where(body != "").select(F.sha2(body, 256).alias("text_key"), F.explode(F.split(body, "[\\r\\n]+")).alias("line"))
     lines = lines.select("text_key", canonical(F.col("line")).alias("line")).where("line <> ''").select("text_key", F.sha2("line", 256).alias("digest"))
     found = lines.join(by_digest.withColumnRenamed("licence", "of_line"), "digest").groupBy("text_key").agg(F.array_join(F.sort_array(F.collect_set("of_line")), ",").alias("line_licences"))
+    found = written(found, "licence-lines")  # its size then decides how it is joined, and the join can split large partitions
     return rows.join(found, "text_key", "left").select("doc_id", "canonical_sha256", "licence", F.coalesce("line_licences", F.lit("")).alias("line_licences"))
 
 
