@@ -44,15 +44,14 @@ def digits(raw: Column) -> dict[str, Column]:
 def exact_groups(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row for each row of `df`: doc_id, keep_id, group_size, kept, text_sha256 (of the normalised text) and row, its place in `df`.
 
-    The digits are written once to the shared folder as Parquet columns, and each round
-    reads its own column only; rows of later rounds are joined to theirs by row number.
+    `df` should be a stored table: rows are told apart by their place in it, which is the same in each scan. The first
+    digits of all rows are written to the shared folder, and the further ones, as Parquet columns, of the rows that the
+    first round doesn't settle; each round reads its own column only, which meets its rows by row number.
     """
-    plain = df.select(F.col(f"`{doc_id}`").alias("doc_id"), normalised(F.col(f"`{text}`")).alias("t"))
-    raw = F.col("t").cast("binary")
-    base = written(
-        plain.select("doc_id", F.monotonically_increasing_id().alias("row"), F.unhex(F.sha2("t", 256)).alias("sha"), *(c.alias(n) for n, c in digits(raw).items())),
-        "digits",
-    )
+    text_col = normalised(F.col(f"`{text}`"))
+    plain = df.select(F.col(f"`{doc_id}`").alias("doc_id"), text_col.alias("t"), F.monotonically_increasing_id().alias("row"))
+    placed = plain.select("doc_id", "row", F.unhex(F.sha2("t", 256)).alias("sha"), *(c.alias(n) for n, c in digits(F.col("t").cast("binary")).items()))
+    base = written(placed.select("row", "doc_id", "sha", "d0"), "first-digits")
     live = base.select("row", "doc_id", "sha", F.lit(-1).cast("long").alias("grp"), F.col("d0").alias("digit"))
     settled = []
     for k in range(len(WIDTHS) + 1):
@@ -60,14 +59,23 @@ def exact_groups(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> D
             F.count("*").alias("n"),
             F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("first"),
         )
+        # Groups of several rows only, cut off from their aggregate: the join's two sides are then plain shuffles, whose
+        # large partitions can be split.
+        shared = cut(sizes.where("n > 1")).withColumnsRenamed({"grp": "s_grp", "digit": "s_digit"})
         ended = F.length("digit") < WIDTHS[k] if k < len(WIDTHS) else F.lit(True)
-        labelled = cut(live.join(sizes, ["grp", "digit"]).select("row", "doc_id", "sha", "n", "first", ((F.col("n") == 1) | ended).alias("done")))
+        alone = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")
+        met = live.join(shared, (F.col("grp") == F.col("s_grp")) & (F.col("digit") == F.col("s_digit")), "left")
+        labelled = cut(met.select("row", "doc_id", "sha", F.coalesce("n", F.lit(1)).alias("n"), F.coalesce("first", alone).alias("first"), (F.col("n").isNull() | ended).alias("done")))
         settled.append(labelled.where("done"))
         rest = labelled.where(~F.col("done"))
         if k == len(WIDTHS) or rest.isEmpty():
             break
-        digit = base.select("row", F.col(f"d{k + 1}").alias("digit")).where(F.length("digit") > 0)
-        live = rest.select("row", "doc_id", "sha", F.col("first.row").alias("grp")).join(digit, "row", "left").withColumn("digit", F.coalesce("digit", F.lit(b"")))
+        rest = rest.select("row", "doc_id", "sha", F.col("first.row").alias("grp"))
+        if k == 0:
+            pool = written(rest.select("row", "sha").join(placed.drop("doc_id", "d0"), ["row", "sha"]), "live-digits")
+            if pool.count() != rest.count():
+                raise ValueError("rows have changed their places: give a stored table")
+        live = rest.join(pool.select("row", F.col(f"d{k + 1}").alias("digit")), "row")
     return reduce(DataFrame.unionByName, settled).select(
         "doc_id",
         F.col("first.doc_id").alias("keep_id"),
