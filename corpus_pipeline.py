@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm import langid, mixing, radix_dedup, simhash
+from lectern.llm import langid, mixing, radix_dedup, resemblance
 from lectern.llm.queries_text import table, token_digests
 from lectern.llm.scratch import new_path
 
@@ -27,8 +27,8 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep one document of each component of linked fingerprints."""
-    return simhash.without_near_copies(docs)
+    """Keep one document of each component of texts whose five-word shingles have a Jaccard similarity of 0.8 or more."""
+    return resemblance.without_near_copies(docs)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -49,7 +49,7 @@ STAGES = [
     ("bpe", bpe),
 ]
 
-#: Bloom filters and fingerprint links aren't expressible in SQL; tests compare with brute force.
+#: Bloom filters and links of near copies aren't expressible in SQL; tests compare with brute force.
 ORACLE_SQL = None
 
 

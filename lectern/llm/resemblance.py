@@ -1,0 +1,153 @@
+"""Near-duplicates by the exact Jaccard similarity of word shingles, found by prefixes.
+
+A text is the set of its shingles of SHINGLE words. Under any order of all shingles, two
+sets with a similarity of NEAR or more share one of the first n - ceil(NEAR * n) + 1
+shingles of each (n: size of a set); so texts that share none needn't be compared, and
+nothing is lost. Shingles that are frequent in a sample of texts come last in the order:
+the sample decides how much is compared, never what is found.
+
+Texts that share a shingle of their prefixes meet in two steps. First all of them meet
+the one whose prefix is shared most, so a large group of copies of one text is linked
+without meeting pair by pair. Then all pairs that aren't in one component yet are
+compared. Both compare whole sets.
+
+Defined results: null or wordless texts have one shingle, the empty one; fewer than
+SHINGLE words make one shingle; rows with a null id take part; of a component the row
+with the smallest id stays, rows without an id only where no other is there; an empty
+table gives an empty result.
+"""
+
+from __future__ import annotations
+
+from itertools import accumulate
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from lectern.llm.components import stars
+from lectern.llm.radix_dedup import without_rows
+from lectern.llm.scratch import written
+
+SHINGLE = 5
+SEED = 42
+#: Texts with a similarity of 4 / 5 or more are near copies.
+NEAR = (4, 5)
+#: Sampled texts, how many of them hold a frequent shingle, and frequent shingles that are told to all tasks.
+SAMPLE, OFTEN, FREQUENT = 8000, 3, 100_000
+#: Texts whose sets are handed back at a time.
+ROWS = 256
+
+
+def shingles(text: str | None) -> np.ndarray:
+    """The distinct hashes of a text's shingles, sorted."""
+    words = (text or "").encode().lower().split()  # bytes: A-Z only, and ASCII white space only
+    line = b" ".join(words)
+    starts = [0, *accumulate(len(w) + 1 for w in words)]
+    digest = xxhash.xxh64_intdigest
+    if len(words) <= SHINGLE:
+        return np.array([digest(line, SEED)], np.uint64)
+    return np.unique(np.array([digest(line[a : b - 1], SEED) for a, b in zip(starts, starts[SHINGLE:])], np.uint64))
+
+
+def prefix(hashes: np.ndarray, frequent: np.ndarray) -> np.ndarray:
+    """The shingles of which a near copy shares one: the first in the order of (frequent, hash). Both arrays are sorted."""
+    n = len(hashes)
+    size = n - -(-NEAR[0] * n // NEAR[1]) + 1
+    if len(frequent):
+        common = frequent[np.minimum(np.searchsorted(frequent, hashes), len(frequent) - 1)] == hashes
+        hashes = np.concatenate([hashes[~common], hashes[common]])
+    return hashes[:size]
+
+
+def flat(df: DataFrame, chosen) -> DataFrame:
+    """(row, n, shingle): those that `chosen` takes of each set, and the size of the whole set."""
+
+    def run(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, ROWS):
+                part = batch.slice(at, ROWS)
+                sets = [shingles(t) for t in part.column(1).to_pylist()]
+                taken = [chosen(s) for s in sets]
+                sizes = [len(t) for t in taken]
+                yield pa.RecordBatch.from_arrays([
+                    pa.array(np.repeat(part.column(0).to_numpy(), sizes), pa.int64()),
+                    pa.array(np.repeat(np.array([len(s) for s in sets], np.int32), sizes), pa.int32()),
+                    pa.array(np.concatenate(taken).view(np.int64), pa.int64()),
+                ], names=["row", "n", "shingle"])
+
+    return df.select("row", "text").mapInArrow(run, "row long, n int, shingle long")
+
+
+def whole_sets(df: DataFrame) -> DataFrame:
+    """(row, shingles): the whole set of each text."""
+
+    def run(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, ROWS):
+                part = batch.slice(at, ROWS)
+                sets = [shingles(t).view(np.int64) for t in part.column(1).to_pylist()]
+                ends = np.cumsum([0] + [len(s) for s in sets]).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(ends, np.concatenate(sets))], names=["row", "shingles"])
+
+    return df.select("row", "text").mapInArrow(run, "row long, shingles array<long>")
+
+
+def frequent_shingles(placed: DataFrame) -> np.ndarray:
+    """Shingles that several texts of a sample hold, at most FREQUENT of them."""
+    share = max(1, placed.count() // SAMPLE)
+    found = flat(placed.where(F.pmod(F.xxhash64("row"), F.lit(share)) == 0), lambda s: s).groupBy("shingle").agg(F.count("*").alias("c")).where(F.col("c") >= OFTEN)
+    top = found.orderBy(F.desc("c"), "shingle").limit(FREQUENT).collect()
+    return np.sort(np.array([r.shingle for r in top], np.int64).view(np.uint64))
+
+
+def near_enough(pairs: DataFrame, placed: DataFrame) -> DataFrame:
+    """Those of `pairs` (a, b: rows) whose sets have a similarity of NEAR or more."""
+    rows = pairs.select(F.col("a").alias("row")).unionByName(pairs.select(F.col("b").alias("row"))).distinct()
+    sets = written(whole_sets(placed.join(rows, "row", "left_semi")), "sets")
+    both = pairs.join(sets.select(F.col("row").alias("a"), F.col("shingles").alias("of_a")), "a").join(sets.select(F.col("row").alias("b"), F.col("shingles").alias("of_b")), "b")
+    shared = both.select("a", "b", F.size(F.array_intersect("of_a", "of_b")).alias("i"), (F.size("of_a") + F.size("of_b")).alias("sum"))
+    return written(shared.where(F.col("i") * (NEAR[0] + NEAR[1]) >= F.col("sum") * NEAR[0]).select("a", "b"), "near")
+
+
+def ordered_pairs(df: DataFrame) -> DataFrame:
+    """Distinct (a, b), a < b, of columns row, n, row_b, n_b, where sizes allow a similarity of NEAR."""
+    fits = F.least("n", "n_b") * NEAR[1] >= F.greatest("n", "n_b") * NEAR[0]
+    return df.where(fits & (F.col("row") != F.col("row_b"))).select(F.least("row", "row_b").alias("a"), F.greatest("row", "row_b").alias("b")).distinct()
+
+
+def near_links(placed: DataFrame) -> DataFrame:
+    """Links (a, b) between rows that connect exactly the texts (row, text) with a similarity of NEAR or more, directly or by way of others."""
+    frequent = frequent_shingles(placed)
+    prefixes = written(flat(placed, lambda s: prefix(s, frequent)), "prefixes")
+    shared = written(prefixes.groupBy("shingle").agg(F.count("*").alias("c")).where("c > 1").select("shingle"), "shared")
+    members = written(prefixes.join(shared, "shingle"), "members")
+
+    # A text of which all copies descend shares its whole prefix; copies have shingles of their own.
+    score = written(members.groupBy("row").agg((F.count("*") / F.first("n")).alias("score")), "scores")
+    scored = members.join(score, "row")
+    middle = written(scored.groupBy("shingle").agg(F.max(F.struct("score", "row", "n")).alias("m")).select("shingle", F.col("m.row").alias("row_b"), F.col("m.n").alias("n_b")), "middles")
+    met = written(ordered_pairs(members.join(middle, "shingle")), "met")
+    linked = near_enough(met, placed)
+
+    named = members.join(stars(linked).withColumnRenamed("node", "row"), "row", "left").withColumn("root", F.coalesce("root", "row"))
+    named = written(named, "named")
+    groups = named.select("shingle", "root").distinct()
+    mixed = groups.groupBy("shingle").agg(F.count("*").alias("c")).where("c > 1").select("shingle")
+    groups = written(groups.join(mixed, "shingle"), "mixed")
+    apart = groups.join(groups.withColumnRenamed("root", "root_b"), "shingle").where("root < root_b")
+    apart = apart.join(named, ["shingle", "root"]).join(named.select("shingle", F.col("root").alias("root_b"), F.col("row").alias("row_b"), F.col("n").alias("n_b")), ["shingle", "root_b"])
+    left = written(ordered_pairs(apart).join(met, ["a", "b"], "left_anti"), "apart")
+    return linked.unionByName(near_enough(left, placed))
+
+
+def without_near_copies(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of `df`, a stored table, that stay when one of each component of near copies does."""
+    placed = df.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text"), F.monotonically_increasing_id().alias("row"))
+    hung = written(stars(near_links(placed)), "near-copies")
+    rows = hung.select(F.col("node").alias("row"), "root").unionByName(hung.select(F.col("root").alias("row"), "root").distinct())
+    ids = written(placed.select("row", "doc_id").join(rows, "row"), "near-rows")
+    first = written(ids.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("first")), "first-rows")
+    return without_rows(df, ids.join(first, "root").where("row <> first.row").select("row"))

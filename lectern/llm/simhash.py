@@ -27,7 +27,6 @@ from pyspark.sql import types as T
 
 from lectern.llm.arrow_io import append_columns
 from lectern.llm.components import stars
-from lectern.llm.radix_dedup import without_rows
 from lectern.llm.scratch import written
 
 SHINGLE = 3
@@ -138,8 +137,3 @@ def near_components(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -
     least = written(rooted.groupBy("root").agg(F.min("least").alias("first")), "components")
     named = rooted.join(least, "root").select("fp", "first")
     return rows.join(named, "fp").select("doc_id", "fp", F.col("first.doc_id").alias("component_id"), (F.col("row") == F.col("first.row")).alias("kept"), "row")
-
-
-def without_near_copies(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of `df`, a stored table, that stay when one of each component does."""
-    return without_rows(df, near_components(df, doc_id, text).where("not kept"))
