@@ -122,10 +122,17 @@ def segment_items(v: Views) -> DataFrame:
     return layout.segment_items(marks(v), pages)
 
 
+def characters(documents: DataFrame) -> DataFrame:
+    """The characters of each line of the documents, six units wide: line_id has doc_id and the line's number."""
+    lines = documents.select("doc_id", F.posexplode(F.split("text", "\n")).alias("line", "body"))
+    chars = lines.select(F.struct("doc_id", "line").alias("line_id"), F.posexplode(F.split("body", "")).alias("pos", "ch"))
+    return chars.withColumns({"x0": F.col("pos") * 6.0, "x1": F.col("pos") * 6.0 + 6})
+
+
 @query()
 def highlight_boxes(v: Views) -> DataFrame:
-    chars = v("documents").select(F.col("doc_id").alias("line_id"), F.posexplode(F.split(F.substring_index("text", "\n", 1), "")).alias("pos", "ch"))
-    return layout.highlight_hits(chars.withColumns({"x0": F.col("pos") * 6.0, "x1": F.col("pos") * 6.0 + 6}), ["the", "ation"])
+    hits = layout.highlight_hits(characters(v("documents")), ["the", "ation"])
+    return hits.select("line_id.doc_id", "line_id.line", "term", "at", "x0", "x1")
 
 
 @query("""SELECT e.k, o.k IS NOT NULL AS "exists", e.h = o.h AS hash_ok, e.n = o.n AS items_ok, coalesce(o.k IS NOT NULL AND e.h = o.h AND coalesce(e.n = o.n, true), false) AS ok FROM (SELECT p_partkey AS k, sha256(p_name) AS h, CASE WHEN p_partkey % 2 = 0 THEN p_partkey % 40 END AS n FROM part WHERE p_partkey % 7 = 0) e
