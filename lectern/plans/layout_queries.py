@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -230,15 +228,15 @@ def stream(v: Views) -> DataFrame:
 
 @query("SELECT op_id, max(progress) AS shown FROM {operation} GROUP BY 1")
 def stream_progress(v: Views) -> DataFrame:
-    return jobs.run_to_end(jobs.progress(stream(v), "op_id"), f"p{uuid.uuid4().hex}", "complete")
+    return jobs.written_to_end(jobs.progress(stream(v), "op_id"), "progress")
 
 
 @query(LATEST)
 def stream_current_state(v: Views) -> DataFrame:
-    return jobs.run_to_end(jobs.current_state(stream(v), "op_id", "ts", "seq"), f"s{uuid.uuid4().hex}", "complete")
+    return jobs.written_to_end(jobs.current_state(stream(v), "op_id", "ts", "seq"), "state")
 
 
 @query("SELECT status, count(*) AS n FROM {operation} JOIN (SELECT c_custkey AS op_id FROM customer) c USING (op_id) GROUP BY 1")
 def stream_live_counts(v: Views) -> DataFrame:
     s = stream(v).select(F.col("op_id").alias("item"), "status")
-    return jobs.run_to_end(jobs.live_counts(s, v("customer").select(F.col("c_custkey").alias("item"))), f"l{uuid.uuid4().hex}", "complete")
+    return jobs.written_to_end(jobs.live_counts(s, v("customer").select(F.col("c_custkey").alias("item"))), "counts")
