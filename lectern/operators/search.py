@@ -168,17 +168,22 @@ def attested(phrases: DataFrame, corpus: DataFrame, n: int = 5, head: int = 8) -
     """For each phrase (phrase_id, phrase): in how many documents it occurs, and the first n of them.
 
     A few phrases are looked for in one pass over the documents. More of them meet a document by its distinct
-    substrings of `head` characters, so that the test is made only where a phrase starts like one of these.
+    substrings of `head` characters, so that the test is made only where a phrase starts like one of these; shorter phrases are looked up among all
+    substrings of their lengths. Both ways give the same: documents count once, whatever their rows.
     """
     few = phrases.select("phrase_id", "phrase").limit(FEW + 1).collect()
     if len(few) <= FEW:
         each = F.array(*(F.struct(F.lit(r.phrase_id).alias("phrase_id"), F.lit(r.phrase).alias("phrase")) for r in few))
         hits = corpus.select("doc_id", F.explode(F.filter(each, lambda p: F.contains(F.col("text"), p.phrase))).alias("p")).select("p.phrase_id", "doc_id") if few else corpus.select(F.lit(None).cast(phrases.schema["phrase_id"].dataType).alias("phrase_id"), "doc_id").limit(0)
     else:
-        p = phrases.withColumn("head", F.substring("phrase", 1, head))
-        starts = F.sequence(F.lit(1), F.greatest(F.length("text") - head + 1, F.lit(1)))
-        grams = corpus.select("doc_id", "text", F.explode(F.array_distinct(F.transform(starts, lambda i: F.substr(F.col("text"), i, F.lit(head))))).alias("head"))
-        hits = grams.join(p, "head").where(F.expr("contains(text, phrase)")).select("phrase_id", "doc_id").distinct()
+        p = phrases.select("phrase_id", "phrase", F.substring("phrase", 1, head).alias("head"))
+        substrings = lambda n: F.transform(F.sequence(F.lit(1), F.greatest(F.length("text") - n + 1, F.lit(1))), lambda i: F.substr(F.col("text"), i, n))
+        grams = corpus.select("doc_id", "text", F.explode(F.array_distinct(substrings(F.lit(head)))).alias("head"))
+        long = grams.join(p.where(F.length("phrase") >= head), "head").where(F.expr("contains(text, phrase)")).select("phrase_id", "doc_id")
+        parts = F.array_distinct(F.flatten(F.transform(F.sequence(F.lit(0), F.lit(head - 1)), substrings)))
+        short = corpus.select("doc_id", F.explode(parts).alias("phrase")).join(p.where(F.length("phrase") < head), "phrase").select("phrase_id", "doc_id")
+        hits = long.unionByName(short)
+    hits = hits.distinct()
     order = Window.partitionBy("phrase_id").orderBy("doc_id")
     first = hits.withColumn("n", F.row_number().over(order)).where(F.col("n") <= n)
     sample = first.groupBy("phrase_id").agg(F.array_join(F.array_sort(F.collect_list("doc_id")), ",").alias("sample"))

@@ -95,6 +95,12 @@ def attested(v: Views) -> DataFrame:
     return search.attested(v("benchmark").select(F.col("item_id").alias("phrase_id"), F.substring("text", 1, 40).alias("phrase")), v("documents").select("doc_id", "text"))
 
 
+@query(r"""SELECT item_id AS phrase_id, count(doc_id) AS documents, coalesce(array_to_string(list_sort(list(doc_id) FILTER (WHERE k <= 5)), ','), '') AS sample
+FROM (SELECT b.item_id, d.doc_id, row_number() OVER (PARTITION BY b.item_id ORDER BY d.doc_id) AS k FROM benchmark b LEFT JOIN documents d ON contains(d.text, b.text)) x GROUP BY 1""")
+def attested_whole(v: Views) -> DataFrame:
+    return search.attested(v("benchmark").select(F.col("item_id").alias("phrase_id"), F.col("text").alias("phrase")), v("documents").select("doc_id", "text"))
+
+
 PHRASES = ("the", "License", "and ", "\n")
 
 
