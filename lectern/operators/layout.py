@@ -202,6 +202,11 @@ def highlight_hits(chars: DataFrame, terms: list[str]) -> DataFrame:
     """Hits of terms in the characters of each line (line_id, pos, ch, x0, x1), blanks ignored, with the box from first to last character."""
     solid = chars.where(F.trim("ch") != "")
     lines = solid.groupBy("line_id").agg(F.array_sort(F.collect_list(F.struct("pos", "ch", "x0", "x1"))).alias("cs"))
+    return highlight_lines(lines, terms)
+
+
+def highlight_lines(lines: DataFrame, terms: list[str]) -> DataFrame:
+    """The same for lines as they stand: line_id and cs, the array of its characters (ch, x0, x1) without blanks, in order."""
     text = F.lower(F.array_join(F.transform("cs", lambda c: c.ch), ""))
     each = F.explode(F.array(*map(F.lit, terms))).alias("term")
     t = lines.select("line_id", "cs", text.alias("line"), each)

@@ -120,16 +120,17 @@ def segment_items(v: Views) -> DataFrame:
     return layout.segment_items(marks(v), pages)
 
 
-def characters(documents: DataFrame) -> DataFrame:
-    """The characters of each line of the documents, six units wide: line_id has doc_id and the line's number."""
-    lines = documents.select("doc_id", F.posexplode(F.split("text", "\n")).alias("line", "body"))
-    chars = lines.select(F.struct("doc_id", "line").alias("line_id"), F.posexplode(F.split("body", "")).alias("pos", "ch"))
-    return chars.withColumns({"x0": F.col("pos") * 6.0, "x1": F.col("pos") * 6.0 + 6})
+def document_lines(documents: DataFrame) -> DataFrame:
+    """The lines of the documents with their characters, six units wide: line_id has doc_id and the line's number."""
+    lines = documents.select(F.col("doc_id"), F.posexplode(F.split("text", "\n")).alias("line", "body"))
+    box = lambda ch, pos: F.struct(pos.alias("pos"), ch.alias("ch"), (pos * 6.0).alias("x0"), (pos * 6.0 + 6).alias("x1"))
+    cs = F.filter(F.transform(F.split("body", ""), box), lambda c: F.trim(c.ch) != "")
+    return lines.select(F.struct("doc_id", "line").alias("line_id"), cs.alias("cs"))
 
 
 @query()
 def highlight_boxes(v: Views) -> DataFrame:
-    hits = layout.highlight_hits(characters(v("documents")), ["the", "ation"])
+    hits = layout.highlight_lines(document_lines(v("documents")), ["the", "ation"])
     return hits.select("line_id.doc_id", "line_id.line", "term", "at", "x0", "x1")
 
 
