@@ -18,13 +18,19 @@ def append_columns(df: DataFrame, source: str, keep: list[str] | None, added: T.
     """`keep` columns of `df` (None: all) followed by `added`, computed from column `source`.
 
     `compute` is called once in each task and returns the function applied to slices of
-    `source`. A kept column that has the name of an added one gives way to it.
+    `source`. Kept columns keep their names; an added one whose name is taken gets
+    underscores behind it, so no column of the input is lost or overwritten.
     """
-    names = {f.name for f in added}
-    kept = [c for c in (df.columns if keep is None else keep) if c not in names]
+    kept = df.columns if keep is None else keep
+    taken = {c.lower() for c in kept}
     fields = [df.schema[c] for c in kept]
-    hidden = "__in"
-    out = T.StructType(fields + list(added))
+    for f in added:
+        name = f.name
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        fields.append(T.StructField(name, f.dataType, f.nullable))
+    out = T.StructType(fields)
     n = len(kept)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -35,5 +41,5 @@ def append_columns(df: DataFrame, source: str, keep: list[str] | None, added: T.
                 arrays = [part.column(i) for i in range(n)] + work(part.column(n))
                 yield pa.RecordBatch.from_arrays(arrays, names=out.fieldNames())
 
-    cols = [F.col(f"`{c}`") for c in kept] + [F.col(f"`{source}`").alias(hidden)]
+    cols = [F.col(f"`{c}`") for c in kept] + [F.col(f"`{source}`").alias("source text")]
     return df.select(*cols).mapInArrow(run, out)

@@ -9,8 +9,9 @@ it names no decoder (one blank).
 
 Defined results: a null text is an empty one and gives no ids; white space alone gives
 none either; special tokens' strings inside a text give their ids, as in the library;
-repeated rows repeat their results; an input column with the name of a result column
-gives way to the result.
+repeated rows repeat their results; texts of any length are encoded whole; an empty table
+gives an empty result; kept columns stay as they are, and results whose names they have
+get underscores behind theirs.
 """
 
 from __future__ import annotations

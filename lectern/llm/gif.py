@@ -13,8 +13,9 @@ points to an earlier one, and pointers are doubled until all end at literals.
 
 Defined results: a null payload counts as empty and is padded like any other; bytes that
 aren't a whole GIF give null frames; a GIF without pictures gives no frames; repeated
-rows repeat their results; other columns pass through, and those that have the name of a
-result give way to it.
+rows repeat their results; texts of any length are stored whole, in as many frames as
+they need; an empty table gives an empty result; other columns pass through, and results
+whose names they have get underscores behind theirs.
 """
 
 from __future__ import annotations
@@ -252,6 +253,14 @@ def frames_of(media: bytes) -> list[dict]:
         delay, disposal, clear_index = 0, 0, None
 
 
+def whole_frames(media: bytes | None) -> list[dict] | None:
+    """The frames of a GIF; null for what isn't a whole one."""
+    try:
+        return None if media is None else frames_of(media)
+    except (ValueError, IndexError, TypeError, struct.error):
+        return None
+
+
 def encode_gif(df: DataFrame, payload: str, keep: list[str] | None = None) -> DataFrame:
     """`keep` columns of `df` (None: all) and `media`, the GIF of the bytes in column `payload`."""
     added = T.StructType([T.StructField("media", T.BinaryType())])
@@ -265,25 +274,32 @@ def decode_gif(df: DataFrame, media: str = "media", keep: list[str] | None = Non
         *((n, pa.int32()) for n in ("delay_ms", "disposal", "left", "top", "width", "height")), ("samples", pa.binary()), ("histogram", pa.list_(pa.int32())),
     ]))
 
-    def one(x: bytes | None) -> list[dict] | None:
-        try:
-            return None if x is None else frames_of(x)
-        except (ValueError, IndexError, TypeError, struct.error):
-            return None  # not a whole GIF: a defined result
+    return append_columns(df, media, keep, added, lambda: lambda x: [pa.array([whole_frames(m) for m in x.to_pylist()], kind)])
+
+
+def read_samples(df: DataFrame, media: str = "media", keep: list[str] | None = None) -> DataFrame:
+    """`keep` columns of `df` (None: all), `frames_n`, `samples` (all frames' together) and `histogram` (the sum of theirs); null as for `decode_gif`."""
+    added = T.StructType([T.StructField("frames_n", T.IntegerType()), T.StructField("samples", T.BinaryType()), T.StructField("histogram", T.ArrayType(T.IntegerType()))])
+
+    def work(x: pa.Array) -> list[pa.Array]:
+        found = [whole_frames(m) for m in x.to_pylist()]
+        sums = [None if f is None else np.sum([[0] * BINS, *(g["histogram"] for g in f)], axis=0).tolist() for f in found]
+        return [
+            pa.array([None if f is None else len(f) for f in found], pa.int32()),
+            pa.array([None if f is None else b"".join(g["samples"] for g in f) for f in found], pa.binary()),
+            pa.array(sums, pa.list_(pa.int32())),
+        ]
 
-    return append_columns(df, media, keep, added, lambda: lambda x: [pa.array([one(m) for m in x.to_pylist()], kind)])
+    return append_columns(df, media, keep, added, lambda: work)
 
 
 def media_digests(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Texts stored as GIFs and read back: sizes, digests and a feature of the frames' colour histograms."""
     raw = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.coalesce(F.col(f"`{text}`"), F.lit("")).cast("binary").alias("payload"))
     raw = raw.withColumn("n_bytes", F.length("payload").cast("long"))
-    back = decode_gif(encode_gif(raw, "payload", keep=["doc_id", "n_bytes"]))
-    read = F.aggregate("frames", F.lit(b""), lambda a, f: F.concat(a, f.samples))
-    counts = F.aggregate("frames", F.array_repeat(F.lit(0), BINS), lambda a, f: F.zip_with(a, f.histogram, lambda x, y: x + y))
-    out = back.select("doc_id", "n_bytes", "media", F.size("frames").alias("n"), read.alias("read"), counts.alias("counts"))
-    return out.select(
-        "doc_id", "n_bytes", F.length("read").cast("long").alias("payload_bytes"), F.sha2("read", 256).alias("payload_sha256"),
-        F.crc32(F.substring("read", -32, 32)).alias("tail_crc32"), F.length("media").cast("long").alias("media_bytes"), F.sha2("media", 256).alias("media_sha256"),
-        F.concat_ws(";", F.col("n").cast("string"), F.array_join("counts", ",")).alias("feature"),
+    back = read_samples(encode_gif(raw, "payload", keep=["doc_id", "n_bytes"]))
+    return back.select(
+        "doc_id", "n_bytes", F.length("samples").cast("long").alias("payload_bytes"), F.sha2("samples", 256).alias("payload_sha256"),
+        F.crc32(F.substring("samples", -32, 32)).alias("tail_crc32"), F.length("media").cast("long").alias("media_bytes"), F.sha2("media", 256).alias("media_sha256"),
+        F.concat_ws(";", F.col("frames_n").cast("string"), F.array_join("histogram", ",")).alias("feature"),
     )

@@ -12,8 +12,10 @@ driver.
 
 Defined results: null text or text without a letter is `und` with score 0; so is every
 text if nothing could be learnt; ties go to the language that sorts first; a null id
-counts as an empty one when it is dealt to training or held out; other columns of the
-input are ignored, whatever their names.
+counts as an empty one when it is dealt to training or held out; repeated rows repeat
+their results; texts of any length are read whole; an empty table gives an empty result;
+kept columns of the input stay as they are, and results whose names they have get
+underscores behind theirs.
 """
 
 from __future__ import annotations
@@ -66,16 +68,18 @@ def positions(grams: np.ndarray) -> list[np.ndarray]:
     return [((low + np.uint64(i) * high) % np.uint64(ROWS)).astype(np.int64) for i in range(HASHES)]
 
 
-def build(frequent: list[tuple[str, int]]) -> Filters:
-    """Filters of (language, n-gram hash) pairs."""
-    langs = sorted({x for x, _ in frequent})
+def build(languages: np.ndarray, grams: np.ndarray) -> Filters:
+    """Filters of (language, n-gram hash) pairs, given as two arrays."""
+    langs, of = np.unique(np.asarray(languages, object).astype(str), return_inverse=True)
     table = np.zeros((ROWS, max(1, -(-len(langs) // 8))), np.uint8)
-    for k, lang in enumerate(langs):
-        own = np.array([h for x, h in frequent if x == lang], np.int64).view(np.uint64)
+    order = np.argsort(of, kind="stable")
+    ends = np.searchsorted(of[order], np.arange(len(langs) + 1))
+    for k in range(len(langs)):
+        own = np.asarray(grams, np.int64)[order[ends[k] : ends[k + 1]]].view(np.uint64)
         for rows in positions(own):
             table[rows, k // 8] |= np.uint8(1 << k % 8)
-    fill = np.unpackbits(table, axis=1, bitorder="little")[:, : len(langs)].mean(axis=0)
-    return Filters(table, langs, fill**HASHES)
+    ones = [int(((table[:, k // 8] >> k % 8) & 1).sum()) for k in range(len(langs))]
+    return Filters(table, langs.tolist(), (np.array(ones, float) / ROWS) ** HASHES)
 
 
 def sample(df: DataFrame, doc_id: str, text: str, lang: str, size: int) -> DataFrame:
@@ -94,21 +98,17 @@ def learn(df: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str =
 
     def count(batches):
         for batch in batches:
-            langs, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            out = []
-            for one in sorted(set(langs)):
-                distinct: dict[str, int] = {}
-                for x, t in zip(langs, texts):
-                    if x == one:
-                        for w in words_of(t):
-                            distinct[w] = distinct.get(w, 0) + 1
+            found: dict[str, dict[str, int]] = {}
+            for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                distinct = found.setdefault(lang, {})
+                for w in words_of(text):
+                    distinct[w] = distinct.get(w, 0) + 1
+            for lang, distinct in sorted(found.items()):
                 if distinct:
                     owner, h = gram_hashes(list(distinct), ORDERS)
                     keys, at = np.unique(h, return_inverse=True)
-                    n = np.bincount(at, weights=np.fromiter(distinct.values(), float)[owner])
-                    out.append((one, keys.view(np.int64), n.astype(np.int64)))
-            for one, keys, n in out:
-                yield pa.RecordBatch.from_arrays([pa.array([one] * len(keys), pa.string()), pa.array(keys), pa.array(n)], names=["lang", "gram", "n"])
+                    n = np.bincount(at, weights=np.fromiter(distinct.values(), float)[owner]).astype(np.int64)
+                    yield pa.RecordBatch.from_arrays([pa.array([lang] * len(keys), pa.string()), pa.array(keys.view(np.int64)), pa.array(n)], names=["lang", "gram", "n"])
 
     grouped = sample(df, doc_id, text, lang, size).mapInArrow(count, "lang string, gram long, n long").groupBy("lang", "gram")
     counted = written(grouped.agg(F.sum("n").alias("n")), "gram-counts")
@@ -118,7 +118,8 @@ def learn(df: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str =
     # The largest count is in however many reach it, as in a sample so small that all are equal.
     least = written(sizes.where((F.col("upto") <= grams) | (F.col("upto") == F.col("k"))).groupBy("lang").agg(F.min("n").alias("least")), "least-counts")
     top = counted.join(least, "lang").where(F.col("n") >= F.col("least"))
-    return build([(r.lang, r.gram) for r in top.select("lang", "gram").collect()])
+    found = top.select("lang", "gram").toArrow()
+    return build(found["lang"].to_numpy(zero_copy_only=False), found["gram"].to_numpy())
 
 
 def identify(df: DataFrame, filters: Filters, text: str = "text", keep: list[str] | None = None) -> DataFrame:

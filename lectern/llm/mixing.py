@@ -14,7 +14,8 @@ decided by comparing its rank with its source's cut. DataFrame functions only.
 Defined results: null text has no words and is taken with 0 words; a null source is a
 source of its own, the last; random numbers come from a digest of id and size, so reruns
 agree and rows alike in both share one decision; an empty table gives an empty result;
-other columns of the input pass through `mix_copies` unchanged and are ignored by `mix`.
+other columns of the input pass through `mix_copies` unchanged, whatever their names, and
+are ignored by `mix`.
 """
 
 from __future__ import annotations
@@ -109,7 +110,7 @@ def plan_of(rows: DataFrame) -> DataFrame:
 
 
 def decided(df: DataFrame) -> DataFrame:
-    """`df` (columns __id, __source, __size and any other) with source_size, target and copies."""
+    """`df` (columns __id, __source, __size and maybe __row) with source_size, target and copies."""
     rows = written(df.select(F.col("__id").alias("doc_id"), F.col("__source").alias("source"), F.col("__size").alias("size")), "sizes")
     plan = written(plan_of(rows), "plan")
     law = by_source(plan, cuts(rows, plan), "left").withColumnRenamed("source", "of")
@@ -122,13 +123,13 @@ def decided(df: DataFrame) -> DataFrame:
 
 
 def marked(df: DataFrame, doc_id: str, text: str, source: str) -> DataFrame:
-    return df.withColumns({"__id": F.col(f"`{doc_id}`"), "__source": F.col(f"`{source}`"), "__size": words(F.col(f"`{text}`"))})
+    """`df` as one column, __row, beside what the mix looks at: no name of its columns can clash."""
+    return df.select(F.col(f"`{doc_id}`").alias("__id"), F.col(f"`{source}`").alias("__source"), words(F.col(f"`{text}`")).alias("__size"), F.struct("*").alias("__row"))
 
 
 def mix(df: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
     """One row for each row of `df`: doc_id, size, source_size, target (of its source) and taken, the words the mix takes."""
-    slim = marked(df, doc_id, text, source).select("__id", "__source", "__size")
-    return decided(slim).select(
+    return decided(marked(df, doc_id, text, source).drop("__row")).select(
         F.col("__id").alias("doc_id"), F.col("__size").alias("size"), F.col("__source_size").alias("source_size"),
         F.col("__target").alias("target"), (F.col("__size") * F.col("__copies")).alias("taken"),
     )
@@ -137,7 +138,7 @@ def mix(df: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str =
 def mix_copies(df: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
     """The mix itself: rows of `df` as often as the mix takes them."""
     out = decided(marked(df, doc_id, text, source)).where("__copies > 0")
-    return out.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies").cast("int")))).select(*(F.col(f"`{c}`") for c in df.columns))
+    return out.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies").cast("int")))).select("__row.*")
 
 
 ORACLE_MIX = r"""

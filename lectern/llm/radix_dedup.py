@@ -1,8 +1,9 @@
 """Operator 8: exact duplicates by distributed most-significant-digit radix partitioning.
 
 Documents are split by successive stretches of their normalised bytes. A digit is a
-stretch of WIDTHS[k] bytes, so each round deals with a geometrically longer part and
-very long texts need few rounds. Within a round, (group so far, digit) is shuffled by
+stretch of WIDTHS[k] bytes, so each round deals with a geometrically longer part; what
+lies behind is dealt with in stretches of STRETCH bytes, for as many rounds as the
+longest texts that are still alike need. Within a round, (group so far, digit) is shuffled by
 value and compared by value: no digest decides equality. A group that is a single
 document, or whose digit is shorter than its width (all its texts have ended), is
 settled and leaves; only the others go on. Sizes are summed before the shuffle, and a
@@ -10,21 +11,24 @@ group's label meets its rows in a join whose large partitions adaptive execution
 splits, so one group may hold any share of all rows.
 
 Defined results: null text counts as empty; a null id sorts after all others; of rows
-with the same text and id one is kept; an empty table gives an empty result; other
-columns of the input are ignored, whatever their names.
+with the same text and id one is kept; texts of any length are compared whole; an empty
+table gives an empty result; other columns of the input are ignored by `exact_groups`
+and pass through `without_copies`, whatever their names.
 """
 
 from __future__ import annotations
 
 from functools import reduce
+from itertools import count
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.scratch import cut, written
+from lectern.llm.scratch import forget, numbered, without_rows, written
 
-#: Bytes of the digit of each round; what follows is the last digit.
+#: Bytes of the digits of the first rounds, and of every later one.
 WIDTHS = (48, 464, 3584, 28672)
+STRETCH = 1 << 18
 
 
 def normalised(text: Column) -> Column:
@@ -33,49 +37,56 @@ def normalised(text: Column) -> Column:
 
 
 def digits(raw: Column) -> dict[str, Column]:
-    """The columns that hold the digits of every round."""
+    """The columns that hold the digits of the first rounds, and all bytes behind them."""
     out, at = {}, 1
     for k, width in enumerate(WIDTHS):
         out[f"d{k}"] = F.substring(raw, at, width)
         at += width
-    return out | {f"d{len(WIDTHS)}": F.substring(raw, at, 2**31 - 1 - at)}
+    return out | {"rest": F.substring(raw, at, 2**31 - 1 - at)}
 
 
-def exact_groups(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row for each row of `df`: doc_id, keep_id, group_size, kept, text_sha256 (of the normalised text) and row, its place in `df`.
+def exact_groups(df: DataFrame, doc_id: str = "doc_id", text: str = "text", row: str | None = None) -> DataFrame:
+    """One row for each row of `df`: doc_id, keep_id, group_size, kept, text_sha256 (of the normalised text) and row.
 
-    `df` should be a stored table: rows are told apart by their place in it, which is the same in each scan. The first
-    digits of all rows are written to the shared folder, and the further ones, as Parquet columns, of the rows that the
-    first round doesn't settle; each round reads its own column only, which meets its rows by row number.
+    `row` names a column that numbers the rows of `df`; without one, `df` should be a stored table, whose rows are told
+    apart by their place in it. The first digits of all rows are written to the shared folder, and the further ones, as
+    Parquet columns, of the rows that the first round doesn't settle; each round reads its own column only, which meets
+    its rows by number.
     """
     text_col = normalised(F.col(f"`{text}`"))
-    plain = df.select(F.col(f"`{doc_id}`").alias("doc_id"), text_col.alias("t"), F.monotonically_increasing_id().alias("row"))
+    place = F.monotonically_increasing_id() if row is None else F.col(f"`{row}`")
+    plain = df.select(F.col(f"`{doc_id}`").alias("doc_id"), text_col.alias("t"), place.alias("row"))
     placed = plain.select("doc_id", "row", F.unhex(F.sha2("t", 256)).alias("sha"), *(c.alias(n) for n, c in digits(F.col("t").cast("binary")).items()))
     base = written(placed.select("row", "doc_id", "sha", "d0"), "first-digits")
     live = base.select("row", "doc_id", "sha", F.lit(-1).cast("long").alias("grp"), F.col("d0").alias("digit"))
     settled = []
-    for k in range(len(WIDTHS) + 1):
+    for k in count():
         sizes = live.groupBy("grp", "digit").agg(
             F.count("*").alias("n"),
             F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("first"),
         )
         # Groups of several rows only, cut off from their aggregate: the join's two sides are then plain shuffles, whose
         # large partitions can be split.
-        shared = cut(sizes.where("n > 1")).withColumnsRenamed({"grp": "s_grp", "digit": "s_digit"})
-        ended = F.length("digit") < WIDTHS[k] if k < len(WIDTHS) else F.lit(True)
+        shared = written(sizes.where("n > 1").withColumnsRenamed({"grp": "s_grp", "digit": "s_digit"}), "shared-digits")
+        ended = F.length("digit") < (WIDTHS[k] if k < len(WIDTHS) else STRETCH)
         alone = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")
         met = live.join(shared, (F.col("grp") == F.col("s_grp")) & (F.col("digit") == F.col("s_digit")), "left")
-        labelled = cut(met.select("row", "doc_id", "sha", F.coalesce("n", F.lit(1)).alias("n"), F.coalesce("first", alone).alias("first"), (F.col("n").isNull() | ended).alias("done")))
+        labelled = met.select("row", "doc_id", "sha", F.coalesce("n", F.lit(1)).alias("n"), F.coalesce("first", alone).alias("first"), (F.col("n").isNull() | ended).alias("done"))
+        labelled = written(labelled, "labelled")
+        forget(shared)
         settled.append(labelled.where("done"))
         rest = labelled.where(~F.col("done"))
-        if k == len(WIDTHS) or rest.isEmpty():
+        if rest.isEmpty():
             break
         rest = rest.select("row", "doc_id", "sha", F.col("first.row").alias("grp"))
         if k == 0:
+            forget(base)
             pool = written(rest.select("row", "sha").join(placed.drop("doc_id", "d0"), ["row", "sha"]), "live-digits")
             if pool.count() != rest.count():
                 raise ValueError("rows have changed their places: give a stored table")
-        live = rest.join(pool.select("row", F.col(f"d{k + 1}").alias("digit")), "row")
+        after = k + 1 - len(WIDTHS)
+        digit = F.col(f"d{k + 1}") if after < 0 else F.substring("rest", 1 + after * STRETCH, STRETCH)
+        live = rest.join(pool.select("row", digit.alias("digit")), "row")
     return reduce(DataFrame.unionByName, settled).select(
         "doc_id",
         F.col("first.doc_id").alias("keep_id"),
@@ -87,14 +98,9 @@ def exact_groups(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> D
 
 
 def without_copies(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of `df`, a stored table, that stay when of equal texts one does."""
-    return without_rows(df, exact_groups(df, doc_id, text).where("not kept"))
-
-
-def without_rows(df: DataFrame, dropped: DataFrame) -> DataFrame:
-    """The rows of `df`, a stored table, whose place isn't in column row of `dropped`."""
-    placed = df.withColumn("__row", F.monotonically_increasing_id())
-    return placed.join(dropped.select(F.col("row").alias("__row")), "__row", "left_anti").drop("__row")
+    """The rows of `df` that stay when of equal texts one does."""
+    stored, row = numbered(df, "numbered")
+    return without_rows(stored, row, exact_groups(stored, doc_id, text, row).where("not kept"))
 
 
 ORACLE_GROUPS = r"""

@@ -1,8 +1,9 @@
 """Places in the folder that driver and executors share.
 
-Tables that cut lineage are written below ``spark.checkpoint.dir``; only where the
-session leaves that unset (as in tests) is a folder of our own made. Everything
-written here is deleted by Hadoop's file system when the driver ends.
+Tables that cut lineage are written below ``spark.checkpoint.dir``. Only a local master
+may leave that unset (as tests do) and gets a folder of its own; elsewhere that is an
+error. A table is deleted by `forget` as soon as nothing reads it any more, and what is
+left when the JVM ends is deleted by Hadoop's file system.
 """
 
 from __future__ import annotations
@@ -11,33 +12,68 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The session's checkpoint folder; set to a temporary one only where it is unset."""
+    """The session's checkpoint folder; a temporary one only where it is unset and the master is local."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         found = tempfile.mkdtemp(prefix="lectern-")
         spark.sparkContext.setCheckpointDir(found)
+        _delete_at_end(spark, found)
     return found
 
 
+def _delete_at_end(spark: SparkSession, path: str) -> None:
+    """Ask the file system to delete `path`, which must exist by now, when the JVM ends."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(place)
+
+
 def new_path(spark: SparkSession, name: str) -> str:
-    """A fresh path below the shared folder, deleted when the driver ends."""
+    """A fresh folder below the shared one, deleted when the driver ends; files are to be written below it."""
     path = f"{shared_folder(spark).rstrip('/')}/lectern-{name}-{uuid.uuid4().hex}"
-    hadoop_path = spark._jvm.org.apache.hadoop.fs.Path(path)
-    hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(hadoop_path)
-    return path
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).mkdirs(place)
+    _delete_at_end(spark, path)
+    return f"{path}/rows"
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
     """The rows of `df`, written once as Parquet and read back: later jobs read only the columns they need."""
     path = new_path(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._lectern_path = path
+    return out
+
+
+def forget(*tables: DataFrame) -> None:
+    """Delete tables that `written` gave and nothing reads any more."""
+    for df in tables:
+        spark, path = df.sparkSession, df._lectern_path.removesuffix("/rows")
+        place = spark._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
+def fresh(name: str, *taken: DataFrame) -> str:
+    """`name`, with underscores added until no column of `taken` has it, however letters are cased."""
+    used = {c.lower() for df in taken for c in df.columns}
+    while name.lower() in used:
+        name += "_"
+    return name
+
+
+def numbered(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """`df` stored with a number for each row, which stays the row's own in every later scan, and that column's name."""
+    row = fresh("row", df)
+    return written(df.withColumn(row, F.monotonically_increasing_id()), name), row
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """`df` with its lineage cut by checkpoint(), for tables of a few narrow columns."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
+def without_rows(stored: DataFrame, row: str, dropped: DataFrame) -> DataFrame:
+    """The rows of a table that `numbered` gave, without their number, but for those whose number is in column row of `dropped`."""
+    left = stored.join(dropped.select(F.col("row").alias(row)), row, "left_anti")
+    return left.select(*(F.col(f"`{c}`") for c in stored.columns if c != row))

@@ -1,53 +1,102 @@
 """Operator 7: sharding by longest-processing-time scheduling.
 
-Documents with equal texts stay together. Groups larger than one part in
-UNITS_A_SHARD of a shard are scheduled on their own; there are at most
-UNITS_A_SHARD * shards of them. The others are dealt by a digest of their text into as
-many bundles, which stay together too. So however many groups there are, a bounded
-number of units, sorted by size, goes to the least-loaded shard through a heap on the
-driver, and its answer is a bounded table that is broadcast. A bundle is about
-1/UNITS_A_SHARD of a shard, which is how near to equal the shards' sizes come.
+Documents with equal texts stay together. Their groups, largest first, go to the
+least-loaded shard through a heap. Groups of equal size are all alike to the schedule,
+so what the driver needs is the histogram of group sizes: how many groups have each
+size. Different sizes that add up to a total are at most about the square root of twice
+that total in number, and far fewer where texts have a common bound. For each size,
+largest first, the heap says how many of its groups go to each shard, exactly as if they
+had been dealt one by one; many groups of one size are dealt at once by the level to
+which they fill the shards. A group then takes the shard of its rank within its size.
 
-Places within a shard are numbered from counts of CHUNKS chunks of each shard, so no
-task orders a whole shard.
+Ranks within a size and slots within a shard are numbered in two steps, from counts of
+chunks whose number grows with the rows there are, so no task orders a whole size or a
+whole shard.
 
 Defined results: null text has no bytes and counts as empty; one group with more than a
 shard's share makes its shard larger than the others; rows that repeat get places of
-their own; an empty table gives an empty result; other columns are ignored.
+their own; texts of any length count with all their bytes; an empty table gives an empty
+result; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
 import heapq
+from itertools import accumulate
 
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from lectern.llm.scratch import written
 
 SHARDS = 40
-UNITS_A_SHARD = 128
-CHUNKS = 64
 OVERHEAD = 16
+#: Rows of one key that a task orders, about.
+CHUNK = 50_000
 
 
-def schedule(units: list[tuple[str, int]], shards: int) -> list[tuple[str, int]]:
-    """(unit, shard): the largest unit first, each to the shard with the least so far; ties by name and number."""
-    loads = [(0, k) for k in range(shards)]
+def filled(loads: list[int], size: int, n: int) -> list[int]:
+    """How many of `n` units of one size each shard gets, each unit going to the least load so far (ties: the first shard).
+
+    A unit is put at its shard's load before it; the n smallest such (load, shard) are taken. All below some level are
+    among them, and at the level itself the first shards'.
+    """
+    if n < 2 * len(loads):
+        heap = [(load, k) for k, load in enumerate(loads)]
+        heapq.heapify(heap)
+        got = [0] * len(loads)
+        for _ in range(n):
+            load, k = heap[0]
+            got[k] += 1
+            heapq.heapreplace(heap, (load + size, k))
+        return got
+    below = lambda level: [max(0, -(-(level - load) // size)) for load in loads]
+    low, high = min(loads), max(loads) + size * n
+    while low < high:  # the highest level with at most n places below it
+        middle = (low + high + 1) // 2
+        low, high = (middle, high) if sum(below(middle)) <= n else (low, middle - 1)
+    got = below(low)
+    left = n - sum(got)
+    for k, load in enumerate(loads):
+        if left and load <= low and (low - load) % size == 0:
+            got[k] += 1
+            left -= 1
+    return got
+
+
+def schedule(histogram: list[tuple[int, int]], shards: int) -> list[tuple[int, list[int], list[int]]]:
+    """(size, upto, shards) for each (size, number of groups), largest size first.
+
+    Of the groups of a size, those whose rank is below upto[0] go to shards[0], those below upto[1] to shards[1], ...
+    """
+    loads = [0] * shards
     out = []
-    for unit, size in sorted(units, key=lambda u: (-u[1], u[0])):
-        load, k = heapq.heappop(loads)
-        out.append((unit, k))
-        heapq.heappush(loads, (load + size, k))
+    for size, n in sorted(histogram, reverse=True):
+        got = filled(loads, size, n)
+        loads = [load + size * g for load, g in zip(loads, got)]
+        used = [k for k, g in enumerate(got) if g]
+        out.append((size, list(accumulate(got[k] for k in used)), used))
     return out
 
 
+def ranked(df: DataFrame, key: str, order: list[str], rank: str, spread: Column) -> DataFrame:
+    """`df` with `rank`: a row's place, from 0, among those with its `key`, by chunk of `spread` (a digest) and then `order`."""
+    # Narrow, and stored, so that their size decides whether the rows are shuffled to meet them.
+    sizes = written(df.groupBy(key).agg(F.ceil(F.count("*") / CHUNK).alias("chunks")), "key-sizes")
+    dealt = df.join(sizes, key).withColumn("chunk", F.pmod(spread, F.col("chunks"))).drop("chunks")
+    before = Window.partitionBy(key).orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
+    starts = dealt.groupBy(key, "chunk").agg(F.count("*").alias("n")).select(key, "chunk", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
+    starts = written(starts, "starts")  # a row for each CHUNK rows of a key: small, and then known to be
+    own = F.row_number().over(Window.partitionBy(key, "chunk").orderBy(*order))
+    return dealt.withColumn(rank, own).join(starts, [key, "chunk"]).withColumn(rank, F.col(rank) + F.col("start") - 1).drop("chunk", "start")
+
+
 def shards_of(df: DataFrame, doc_id: str = "doc_id", text: str = "text", shards: int = SHARDS) -> DataFrame:
     """One row for each row of `df`: doc_id, size (bytes and OVERHEAD), text_crc32, law (`bytes`), shard, slot and grown_shard (null)."""
+    spark = df.sparkSession
     t = F.coalesce(F.col(f"`{text}`"), F.lit(""))
-    most = shards * UNITS_A_SHARD
     rows = written(
         df.select(
             F.col(f"`{doc_id}`").alias("doc_id"),
@@ -58,25 +107,17 @@ def shards_of(df: DataFrame, doc_id: str = "doc_id", text: str = "text", shards:
         ),
         "sizes",
     )
-    bundle = F.concat(F.lit("b"), F.pmod(F.xxhash64("text_key"), F.lit(most)).cast("string"))
-    groups = rows.groupBy("text_key").agg(F.sum("size").alias("size"))
-    total = rows.agg(F.sum("size")).first()[0] or 0
-    # At most `most` groups can be larger than one part in `most` of the total.
-    large = groups.where(F.col("size") * most > total).withColumn("unit", F.concat(F.lit("g"), F.hex("text_key")))
-    large = written(large, "large-groups")
-    keys = large.select("text_key", "unit")
-    united = rows.join(F.broadcast(keys), "text_key", "left").withColumn("unit", F.coalesce("unit", bundle))
-    # At most 2 * `most` rows.
-    units = united.groupBy("unit").agg(F.sum("size").alias("size")).collect()
-    plan = df.sparkSession.createDataFrame(schedule([(u.unit, u.size) for u in units], shards), T.StructType([T.StructField("unit", T.StringType()), T.StructField("shard", T.IntegerType())]))
-    dealt = united.join(F.broadcast(plan), "unit").withColumn("chunk", F.pmod(F.xxhash64("row"), F.lit(CHUNKS)))
-    counts = dealt.groupBy("shard", "chunk").agg(F.count("*").alias("n"))
-    before = Window.partitionBy("shard").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
-    starts = counts.select("shard", "chunk", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
-    order = Window.partitionBy("shard", "chunk").orderBy("row")
-    # One row for each of CHUNKS chunks of each shard.
-    placed = dealt.withColumn("n", F.row_number().over(order)).join(F.broadcast(starts), ["shard", "chunk"])
-    return placed.select(
-        "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard",
-        (F.col("start") + F.col("n") - 1).cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"),
+    groups = written(rows.groupBy("text_key").agg(F.sum("size").alias("group_size")), "group-sizes")
+    histogram = groups.groupBy("group_size").agg(F.count("*").alias("n")).toArrow()
+    plan = schedule(list(zip(histogram["group_size"].to_pylist(), histogram["n"].to_pylist())), shards)
+    kinds = [("group_size", pa.int64()), ("upto", pa.list_(pa.int64())), ("shards", pa.list_(pa.int32()))]
+    table = pa.table({name: pa.array([p[i] for p in plan], kind) for i, (name, kind) in enumerate(kinds)})
+    plan = written(spark.createDataFrame(table), "plan")
+    placed = ranked(groups, "group_size", ["text_key"], "rank", F.xxhash64("text_key")).join(plan, "group_size")
+    # `upto` ascends: the number of its elements that a rank has reached says which shard is its own.
+    index = F.size(F.filter("upto", lambda u: u <= F.col("rank"))) + 1
+    homes = written(placed.select("text_key", F.element_at("shards", index).alias("shard")), "homes")
+    dealt = written(rows.join(homes, "text_key").drop("text_key"), "dealt")
+    return ranked(dealt, "shard", ["row"], "slot", F.xxhash64("row")).select(
+        "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", F.col("slot").cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard")
     )

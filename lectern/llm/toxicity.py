@@ -1,10 +1,16 @@
-"""Operator 6: toxicity by subword-bag embeddings averaged into a linear softmax.
+"""Operator 6: toxicity by subword-bag embeddings and a linear softmax.
 
 A word is the mean of its character n-grams' embeddings, a document the mean of its
-words', and a linear softmax on top gives the class. Embeddings and softmax are trained
-jointly in numpy by Adam on whole batches, from word counts of a bounded sample:
-PER_CLASS toxic documents and CLEAN_SHARE times as many others, chosen by a digest of
-the id. Words are counted on the executors; the driver holds the sample's counts only.
+words', and a linear softmax on top gives the class. Embeddings and softmax start at
+random and are trained jointly in numpy: EPOCHS passes over batches of BATCH documents,
+the steps of an embedding shrinking with the gradients it has seen, and each step
+followed by the proximal one of a group penalty, which takes the embeddings of n-grams
+that tell nothing to zero. Documents labelled 1 weigh TOXIC_WEIGHT times as much.
+
+Training reads a bounded sample: PER_CLASS toxic documents and CLEAN_SHARE times as many
+others, chosen by a digest of the id, and of each no more documents than have ENTRIES
+times as many different words between them. Words are counted on the executors; the
+driver holds the sample's counts only, as arrays.
 
 As everything above the embeddings is linear until the softmax, scoring needs one
 number for each n-gram, its part of the difference of the two logits; that table is
@@ -13,16 +19,20 @@ with seen ones.
 
 Defined results: a text without words, null or empty, scores the softmax's bias alone;
 labels other than 0 and 1 are ignored; a document with several labels counts once for
-each; if the sample lacks a class, every score is 0; other columns are ignored.
+each; repeated rows repeat their scores; texts of any length are scored whole; if the
+sample lacks a class, every score is 0; an empty table gives an empty result; other
+columns are ignored, and kept ones stay as they are.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
 from lectern.llm.arrow_io import append_columns
 from lectern.llm.grams import TextSums, gram_hashes, words_of
@@ -33,13 +43,17 @@ BUCKETS = 1 << 21
 DIM = 4
 PER_CLASS = 1000
 CLEAN_SHARE = 4
-STEPS = 40
-#: Step sizes of embeddings, softmax weights and bias, as parts of the largest value.
-RATES = (0.01, 0.01, 0.01)
-#: Standard errors from 0 within which an n-gram's odds start as 0.
-CERTAIN = 3.5
-#: Part of the largest gradient that is added to each one's own scale: n-grams of a few documents then move little.
-DAMPING = 0.1
+#: Different words, counted by document, of the sampled documents labelled 1; CLEAN_SHARE times as many of the others.
+ENTRIES = 600_000
+EPOCHS = 14
+BATCH = 64
+TOXIC_WEIGHT = 1.7
+#: Spread of the embeddings at the start, and of the softmax's weights.
+START = (0.1, 1.0)
+#: Step sizes of the embeddings and of the softmax.
+RATES = (20.0, 0.05)
+#: Strength of the group penalty, and what is added to the gradients seen so far.
+PENALTY, DAMPING = 1e-5, 3e-5
 
 
 class Model:
@@ -49,124 +63,126 @@ class Model:
         self.table, self.bias = table, bias
 
 
-def sample(docs: DataFrame, labels: DataFrame, per_class: int, doc_id: str, text: str, label: str) -> DataFrame:
-    """(label, words, counts) of the sampled documents, none held out."""
+def sample(docs: DataFrame, labels: DataFrame, per_class: int, entries: int, doc_id: str, text: str, label: str) -> DataFrame:
+    """(label, words, counts) of the sampled documents in a fixed order, none held out."""
     known = labels.select(F.col(f"`{doc_id}`").alias("of"), F.col(f"`{label}`").cast("int").alias("label")).where("label in (0, 1)")
     known = known.where(~held_out(F.col("of"))).withColumn("draw", F.xxhash64(F.lit("toxicity"), "of", "label"))
     picks = [known.where(F.col("label") == k).orderBy("draw", "of").limit(per_class * (1 if k else CLEAN_SHARE)) for k in (0, 1)]
-    chosen = picks[0].unionByName(picks[1]).select("of", "label")
-    # At most (1 + CLEAN_SHARE) * per_class rows of two numbers.
-    rows = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text")).join(F.broadcast(chosen), F.col("doc_id") == F.col("of")).select("doc_id", "label", "text")
+    chosen = picks[0].unionByName(picks[1])
+    # At most (1 + CLEAN_SHARE) * per_class rows of three numbers.
+    rows = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text"))
+    rows = rows.join(F.broadcast(chosen), F.col("doc_id") == F.col("of")).select("doc_id", "label", "draw", "text")
 
     def count(batches):
         for batch in batches:
             got = []
-            for t in batch.column(2).to_pylist():
+            for t in batch.column(3).to_pylist():
                 n: dict[str, int] = {}
                 for w in words_of(t):
                     n[w] = n.get(w, 0) + 1
                 got.append(n)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array([list(n) for n in got], pa.list_(pa.string())), pa.array([list(n.values()) for n in got], pa.list_(pa.int32()))],
-                names=["doc_id", "label", "words", "counts"],
-            )
-
-    return rows.mapInArrow(count, "doc_id long, label int, words array<string>, counts array<int>")
-
-
-def spread(values: np.ndarray, order: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    """Sums of rows of `values` taken in `order`, a group from each start on."""
-    return np.add.reduceat(values[order], starts, axis=0)
-
-
-def grouped(keys: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The order that sorts keys, where each key that occurs starts, and those keys."""
-    order = np.argsort(keys, kind="stable")
-    found, starts = np.unique(keys[order], return_index=True)
-    return order, starts, found
-
-
-def evidence(labels: np.ndarray, doc: np.ndarray, word: np.ndarray, owner: np.ndarray, gram: np.ndarray, words: int, grams: int) -> np.ndarray:
-    """Where an n-gram's first dimension starts: log odds of the classes among the words' documents, nearer to 0 the less certain they are."""
-    each = [np.bincount(word[labels[doc] == k], minlength=words).astype(float) for k in (0, 1)]
-    low, high = (np.bincount(gram, weights=x[owner], minlength=grams) + 0.5 for x in each)
-    odds = np.log(high / each[1].sum()) - np.log(low / each[0].sum())
-    certain = np.abs(odds) / np.sqrt(1 / high + 1 / low)
-    return odds * np.maximum(0, 1 - (CERTAIN / np.maximum(certain, 1e-9)) ** 2)
-
-
-def logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
-    """Slope and intercept of a logistic curve for one feature, by Newton's steps with a small ridge: where the softmax starts."""
-    scale = x.std() + 1e-12
-    z = np.stack([(x - x.mean()) / scale, np.ones(len(x))])
-    p = np.zeros(2)
-    for _ in range(50):
-        odds = 1 / (1 + np.exp(-np.clip(p @ z, -30, 30)))
-        step = np.linalg.solve((z * (odds * (1 - odds) + 1e-6)) @ z.T + np.eye(2), z @ (y - odds) - p)
-        p += np.clip(step, -1, 1)
-    return p[0] / scale, p[1] - p[0] * x.mean() / scale
-
-
-def train(labels: np.ndarray, doc: np.ndarray, words: list[str], word: np.ndarray, count: np.ndarray) -> Model:
-    """Embeddings and softmax from (doc, word, count) entries; `labels` of the documents."""
+            words = pa.array([sorted(n) for n in got], pa.list_(pa.string()))
+            counts = pa.array([[n[w] for w in sorted(n)] for n in got], pa.list_(pa.int32()))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], words, counts], names=["doc_id", "label", "draw", "words", "counts"])
+
+    counted = rows.mapInArrow(count, "doc_id long, label int, draw long, words array<string>, counts array<int>")
+    upto = F.sum(F.size("words")).over(Window.partitionBy("label").orderBy("draw", "doc_id", F.array_join("words", " ")))
+    bound = F.when(F.col("label") == 1, entries).otherwise(entries * CLEAN_SHARE)
+    return counted.withColumn("upto", upto).where(F.col("upto") <= bound).orderBy("label", "upto").select("label", "words", "counts")
+
+
+class Batch:
+    """Some documents as sparse rows over the n-grams they hold, with what both directions of a step need."""
+
+    def __init__(self, labels: np.ndarray, doc: np.ndarray, part: np.ndarray, word: np.ndarray, grams: np.ndarray, at: np.ndarray, total: int):
+        """`doc` (ascending), `part` (of its document) and `word` of each entry; the grams of word w are grams[at[w]:at[w + 1]], of `total`."""
+        n = at[word + 1] - at[word]
+        places = np.repeat(at[word] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        keys, of = np.unique(np.repeat(doc, n) * total + grams[places], return_inverse=True)
+        self.labels = labels
+        self.weight = np.bincount(of, weights=np.repeat(part / np.maximum(n, 1), n)).astype(np.float32)
+        rows, gram = np.divmod(keys, total)
+        self.ends = np.searchsorted(rows, np.arange(len(labels) + 1))
+        self.grams, column = np.unique(gram, return_inverse=True)
+        self.column = column.astype(np.int32)
+        self.by_gram = np.argsort(column, kind="stable").astype(np.int32)
+        self.starts = np.searchsorted(column[self.by_gram], np.arange(len(self.grams)))
+
+    def means(self, e: np.ndarray) -> np.ndarray:
+        """Each document's mean of the embeddings `e` of this batch's n-grams."""
+        out = np.zeros((len(self.labels), e.shape[1]), np.float32)
+        some = self.ends[1:] > self.ends[:-1]
+        if some.any():
+            out[some] = np.add.reduceat(e[self.column] * self.weight[:, None], self.ends[:-1][some], axis=0)
+        return out
+
+    def back(self, d_mean: np.ndarray) -> np.ndarray:
+        """The embeddings' gradient from that of the means."""
+        spread = np.repeat(d_mean, np.diff(self.ends), axis=0) * self.weight[:, None]
+        return np.add.reduceat(spread[self.by_gram], self.starts, axis=0)
+
+
+def batches_of(labels: np.ndarray, doc: np.ndarray, words: list[str], word: np.ndarray, count: np.ndarray, rng: np.random.Generator) -> tuple[list[Batch], np.ndarray]:
+    """The documents in batches, dealt at random, and the buckets of their n-grams."""
     owner, h = gram_hashes(words, ORDERS)
-    buckets, gram = np.unique((h % np.uint64(BUCKETS)).astype(np.int64), return_inverse=True)
-    by_owner, by_gram = grouped(owner, len(words)), grouped(gram, len(buckets))
-    of_word = np.bincount(owner, minlength=len(words)).astype(np.float32)
+    order = np.argsort(owner, kind="stable")
+    buckets, grams = np.unique((h[order] % np.uint64(BUCKETS)).astype(np.int64), return_inverse=True)
+    at = np.searchsorted(owner[order], np.arange(len(words) + 1))
     total = np.maximum(np.bincount(doc, weights=count, minlength=len(labels)), 1)
-    part = (count / total[doc]).astype(np.float32)[:, None]
-    by_doc, by_word = grouped(doc, len(labels)), grouped(word, len(words))
+    place = rng.permutation(len(labels))
+    out = []
+    for low in range(0, len(labels), BATCH):
+        own = np.nonzero((place[doc] >= low) & (place[doc] < low + BATCH))[0]
+        own = own[np.argsort(place[doc[own]], kind="stable")]
+        members = np.argsort(place)[low : low + BATCH]
+        if len(own):
+            out.append(Batch(labels[members], place[doc[own]] - low, count[own] / total[doc[own]], word[own], grams, at, len(buckets)))
+    return out, buckets
+
+
+def train(labels: np.ndarray, doc: np.ndarray, words: list[str], word: np.ndarray, count: np.ndarray, epochs: int = EPOCHS) -> Model:
+    """Embeddings and softmax from (doc, word, count) entries; `labels` of the documents."""
     rng = np.random.default_rng(0)
-    params = [rng.normal(0, 0.01, (len(buckets), DIM)).astype(np.float32), rng.normal(0, 0.01, (DIM, 2)).astype(np.float32), np.zeros(2, np.float32)]
-    params[0][:, 0] = evidence(labels, doc, word, owner, gram, len(words), len(buckets))
-    moments = [(np.zeros_like(p), np.zeros_like(p)) for p in params]
-    truth = np.eye(2, dtype=np.float32)[labels]
-    for step in range(1, STEPS + 1):
-        e, w, b = params
-        vec = np.zeros((len(words), DIM), np.float32)
-        vec[by_owner[2]] = spread(e[gram], by_owner[0], by_owner[1])
-        vec /= np.maximum(of_word, 1)[:, None]
-        mean = np.zeros((len(labels), DIM), np.float32)
-        mean[by_doc[2]] = spread(vec[word] * part, by_doc[0], by_doc[1])
-        if step == 1:
-            slope, at = logistic(mean[:, 0], labels)
-            w[0] = -slope / 2, slope / 2
-            b[:] = -at / 2, at / 2
-        logits = mean @ w + b
-        odds = np.exp(logits - logits.max(axis=1, keepdims=True))
-        gap = (odds / odds.sum(axis=1, keepdims=True) - truth) / len(labels)
-        d_mean = gap @ w.T
-        d_vec = np.zeros_like(vec)
-        d_vec[by_word[2]] = spread(d_mean[doc] * part, by_word[0], by_word[1])
-        d_vec /= np.maximum(of_word, 1)[:, None]
-        d_e = spread(d_vec[owner], by_gram[0], by_gram[1])
-        for p, (m1, m2), g, rate in zip(params, moments, (d_e, mean.T @ gap, gap.sum(axis=0)), RATES):
-            m1 += 0.1 * (g - m1)
-            m2 += 0.01 * (g * g - m2)
-            root = np.sqrt(m2 / (1 - 0.99**step))
-            p -= rate * max(1.0, np.abs(p).max()) * (m1 / (1 - 0.9**step)) / (root + DAMPING * root.max() + 1e-12)
-    e, w, b = params
+    batches, buckets = batches_of(labels, doc, words, word, count, rng)
+    e = rng.normal(0, START[0], (len(buckets), DIM)).astype(np.float32)
+    w, b = rng.normal(0, START[1], (DIM, 2)).astype(np.float32), np.zeros(2, np.float32)
+    seen = np.zeros(len(buckets), np.float32)
+    for epoch in range(epochs):
+        rate = RATES[0] * (1 - epoch / epochs)
+        for k in rng.permutation(len(batches)):
+            x = batches[k]
+            own = e[x.grams]
+            means = x.means(own)
+            logits = means @ w + b
+            odds = np.exp(logits - logits.max(axis=1, keepdims=True))
+            gap = odds / odds.sum(axis=1, keepdims=True) - np.eye(2, dtype=np.float32)[x.labels]
+            gap *= np.where(x.labels == 1, TOXIC_WEIGHT, 1.0).astype(np.float32)[:, None] / len(x.labels)
+            slope = x.back(gap @ w.T)
+            seen[x.grams] += (slope * slope).sum(axis=1)
+            step = (rate / np.sqrt(seen[x.grams] + DAMPING**2))[:, None]
+            own = own - step * slope
+            length = np.maximum(np.sqrt((own * own).sum(axis=1, keepdims=True)), 1e-12)
+            e[x.grams] = own * np.maximum(0, 1 - step * PENALTY / length)
+            w -= RATES[1] * (means.T @ gap)
+            b -= RATES[1] * gap.sum(axis=0)
     table = np.zeros(BUCKETS, np.float32)
     table[buckets] = e @ (w[:, 1] - w[:, 0])
     return Model(table, float(b[1] - b[0]))
 
 
-def learn(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, doc_id: str = "doc_id", text: str = "text", label: str = "toxic") -> Model:
-    """A model from the sample; words that one sampled document alone has are left out of training."""
-    rows = sorted(sample(docs, labels, per_class, doc_id, text, label).collect(), key=lambda r: (r.label, str(r.doc_id), r.words))
-    found = np.array([r.label for r in rows], np.int64)
+def learn(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, entries: int = ENTRIES, doc_id: str = "doc_id", text: str = "text", label: str = "toxic") -> Model:
+    """A model from the sample."""
+    rows = sample(docs, labels, per_class, entries, doc_id, text, label).toArrow().combine_chunks()
+    found = rows["label"].to_numpy().astype(np.int64)
     if len(set(found.tolist())) < 2:
         return Model(None, 0.0)
-    in_docs: dict[str, int] = {}
-    for r in rows:
-        for w in r.words:
-            in_docs[w] = in_docs.get(w, 0) + 1
-    least = 2 if len(rows) > 50 else 1
-    index = {w: i for i, w in enumerate(sorted(w for w, n in in_docs.items() if n >= least))}
-    entries = np.array([(d, index[w], n) for d, r in enumerate(rows) for w, n in zip(r.words, r.counts) if w in index], np.int64).reshape(-1, 3)
-    if not len(entries):
+    lists = rows["words"].combine_chunks()
+    coded = lists.flatten().dictionary_encode()
+    if not len(coded):
         return Model(None, 0.0)
-    return train(found, entries[:, 0], list(index), entries[:, 1], entries[:, 2])
+    doc = np.repeat(np.arange(len(found)), pc.list_value_length(lists).to_numpy())
+    counts = rows["counts"].combine_chunks().flatten().to_numpy()
+    return train(found, doc, coded.dictionary.to_pylist(), coded.indices.to_numpy().astype(np.int64), counts)
 
 
 def score(df: DataFrame, model: Model, text: str = "text", keep: list[str] | None = None) -> DataFrame:

@@ -2,20 +2,29 @@
 
 Each page becomes a request, a response (or a revisit of the response with the same
 payload) and a metadata record, tied by WARC-Concurrent-To. A record is a gzip member
-of its own; files are written by Spark's text writer with a zero byte as line end: a
-member's last byte is zero as long as the record is below 16 MB, so it is left to the
-writer, and behind a larger record the zero byte is padding, which gzip readers skip.
-Files are read whole, so `captures_a_file` bounds what a task holds.
+of its own. Files are written, and committed, by Spark's text writer with a zero byte as
+line end: a member's last byte is the highest of its size's four, zero below 16 MB, and
+is left to the writer; a larger record is followed by an empty member, whose last byte is
+zero again, so files are gzip members and nothing else.
 
-Reading parses records by their Content-Length and joins the three kinds through their
-concurrent-to identifiers.
+Reading inflates one member after the other in slices of SLICE bytes, so work and memory
+grow with the records, not with the square of the archive; archives that aren't
+compressed are read as well. Spark hands over an archive as one row, at most 2 GB (the
+format recommends 1 GB); `captures_a_file` bounds those written here.
+
+Captures are assembled by joining responses and revisits with the records tied to them
+through concurrent-to identifiers, whichever of the two names the other; the header may
+be repeated, and a record tied to several captures is in each.
 
 Defined results: a null payload counts as empty; a null url leaves out the target URI;
 blanks and control characters in a url are percent-encoded; rows with the same page id
 and payload as a response are revisits of it, but for the first; a null page id sorts
-after others and reads back as null; records whose capture has no response are given
-with a null record_type; an empty table gives no archive and no rows; other columns are
-ignored. `pages` should be a stored table: rows are told apart by their place in it.
+after others and reads back as null; records tied to no response or revisit are given in
+a row with a null record_type for each identifier they name, or of their own with a null
+capture_id; records of other types than these four are no part of a capture; payloads of
+any length are kept whole; an empty table gives no archive and no rows; other columns
+are ignored, whatever their names. `pages` should be a stored table: rows are told apart
+by their place in it.
 """
 
 from __future__ import annotations
@@ -25,19 +34,23 @@ import hashlib
 import re
 import uuid
 import zlib
+from collections.abc import Iterator
+from itertools import islice
 from urllib.parse import quote, urlsplit
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm.scratch import new_path, written
+from lectern.llm.scratch import forget, new_path, written
 
 DATE = "2000-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 CAPTURES_A_FILE = 1000
+#: Bytes of an archive that are inflated at a time.
+SLICE = 1 << 14
 RECORDS = (
-    "record_id string, type string, concurrent_to string, refers_to string, target_uri string, date string, "
+    "record_id string, type string, concurrent_to array<string>, refers_to string, target_uri string, date string, "
     "payload_digest string, http_head string, fields string, payload_bytes long, payload binary"
 )
 
@@ -69,12 +82,16 @@ def record_id(key: bytes, row: int, role: str) -> str:
     return f"<urn:uuid:{uuid.UUID(bytes=hashlib.sha256(key + f'|{row}|{role}'.encode()).digest()[:16])}>"
 
 
+def zipped(data: bytes) -> bytes:
+    packer = zlib.compressobj(6, zlib.DEFLATED, 31)
+    return packer.compress(data) + packer.flush()
+
+
 def record(headers: list[tuple[str, str | None]], block: bytes) -> bytes:
-    """One record as a gzip member, without its last byte if that is zero."""
+    """One record as a gzip member, with an empty one behind it if it is large, without the zero byte at the end."""
     lines = "".join(f"{k}: {v}\r\n" for k, v in [*headers, ("Content-Length", str(len(block)))] if v is not None)
-    packer = zlib.compressobj(6, zlib.DEFLATED, 31)
-    member = packer.compress(b"WARC/1.1\r\n" + lines.encode() + b"\r\n" + block + b"\r\n\r\n") + packer.flush()
-    return member[:-1] if member[-1] == 0 else member
+    member = zipped(b"WARC/1.1\r\n" + lines.encode() + b"\r\n" + block + b"\r\n\r\n")
+    return (member if member[-1] == 0 else member + zipped(b""))[:-1]
 
 
 def records_of(page_id: int | None, url: str | None, payload: bytes, row: int, key: bytes, first: int, digest: str) -> list[bytes]:
@@ -113,57 +130,73 @@ def write_warc(pages: DataFrame, path: str, page_id: str = "page_id", url: str =
     members.write.option("lineSep", "\0").option("maxRecordsPerFile", 3 * captures_a_file).text(path)
 
 
-def parse(content: bytes):
-    """The records of one archive: (headers by lower-case name, block)."""
-    rest = content
-    while rest := rest.lstrip(b"\0") if rest[:1] == b"\0" else rest:
-        member = zlib.decompressobj(31)
-        data = member.decompress(rest) + member.flush()
-        rest = member.unused_data
+def members(content: bytes) -> Iterator[bytes]:
+    """What the gzip members of an archive inflate to, one by one; an archive that isn't compressed as it is."""
+    if content[:2] != b"\x1f\x8b":
+        yield content
+        return
+    view, at = memoryview(content), 0
+    while at < len(view):
+        member, parts = zlib.decompressobj(31), []
+        while not member.eof:
+            part = view[at : at + SLICE]
+            if not len(part):
+                raise ValueError("an archive that ends within a record")
+            parts.append(member.decompress(part))
+            at += len(part) - len(member.unused_data)
+        yield b"".join(parts)
+        while at < len(view) and view[at] == 0:  # padding, which gzip readers skip
+            at += 1
+
+
+def parse(content: bytes) -> Iterator[tuple[dict[str, list[str]], bytes]]:
+    """The records of one archive: (values of each header by lower-case name, block)."""
+    for data in members(content):
         at = 0
         while at < len(data):
             end = data.index(b"\r\n\r\n", at)
             lines = data[at:end].decode("utf-8", "replace").split("\r\n")
             if not lines[0].startswith("WARC/"):
                 raise ValueError("not a WARC record")
-            headers = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines[1:])}
-            size = int(headers["content-length"])
+            headers: dict[str, list[str]] = {}
+            for line in lines[1:]:
+                name, _, value = line.partition(":")
+                headers.setdefault(name.strip().lower(), []).append(value.strip())
+            size = int(headers["content-length"][0])
             yield headers, data[end + 4 : end + 4 + size]
             at = end + 4 + size + 4
 
 
+def fields_of(headers: dict[str, list[str]], block: bytes, payloads: bool) -> tuple:
+    """A record's columns, in the order of RECORDS."""
+    one = lambda name: headers.get(name, [None])[0]
+    kind = one("warc-type")
+    head, body, fields, size, digest = None, None, None, None, None
+    if kind in ("response", "revisit", "request"):
+        top, _, body = block.partition(b"\r\n\r\n")
+        head = top.decode("utf-8", "replace")
+    if kind == "response":
+        size = len(body)
+        digest = base64.b32encode(hashlib.sha1(body).digest()).decode()
+    elif kind == "revisit":
+        body = None
+        digest = (one("warc-payload-digest") or "").removeprefix("sha1:") or None
+    elif kind == "metadata":
+        fields = block.decode("utf-8", "replace")
+    ties = headers.get("warc-concurrent-to", [])
+    return (one("warc-record-id"), kind, ties, one("warc-refers-to"), one("warc-target-uri"), one("warc-date"), digest, head, fields, size, body if payloads else None)
+
+
 def read_warc(spark: SparkSession, path: str, payloads: bool = True) -> DataFrame:
     """One row for each record of the archives below `path`; without `payloads` their bytes are left out, not their sizes and digests."""
+    kinds = [pa.string(), pa.string(), pa.list_(pa.string()), *[pa.string()] * 6, pa.int64(), pa.binary()]
+    names = [x.split()[0] for x in RECORDS.split(", ")]
 
-    def rows(content: bytes):
-        for h, block in parse(content):
-            kind = h.get("warc-type")
-            head, body, fields, size, digest = None, None, None, None, None
-            if kind in ("response", "revisit", "request"):
-                top, _, body = block.partition(b"\r\n\r\n")
-                head = top.decode("utf-8", "replace")
-            if kind == "response":
-                size = len(body)
-                digest = base64.b32encode(hashlib.sha1(body).digest()).decode()
-            elif kind == "revisit":
-                body = None
-                digest = h.get("warc-payload-digest", "").removeprefix("sha1:") or None
-            elif kind == "metadata":
-                fields = block.decode("utf-8", "replace")
-            yield (h.get("warc-record-id"), kind, h.get("warc-concurrent-to"), h.get("warc-refers-to"), h.get("warc-target-uri"), h.get("warc-date"), digest, head, fields, size, body if payloads else None)
-
-    def build(batches):
-        kinds = [pa.string()] * 9 + [pa.int64(), pa.binary()]
-        names = [x.split()[0] for x in RECORDS.split(", ")]
+    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for content in batch.column(0):
-                held = []
-                for row in rows(content.as_py()):
-                    held.append(row)
-                    if len(held) == 256:
-                        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*held), kinds)], names=names)
-                        held = []
-                if held:
+                records = (fields_of(h, block, payloads) for h, block in parse(content.as_py()))
+                while held := list(islice(records, 256)):
                     yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*held), kinds)], names=names)
 
     return spark.read.format("binaryFile").load(path).select("content").mapInArrow(build, RECORDS)
@@ -172,20 +205,32 @@ def read_warc(spark: SparkSession, path: str, payloads: bool = True) -> DataFram
 def assemble(records: DataFrame) -> DataFrame:
     """One nested row for each capture: capture_id, record_type, target_uri, response, requests and metadata.
 
-    A response or revisit meets the records that name it as concurrent in one shuffle. Those are few for each capture
-    by the format.
+    `records` should be a stored table, since it is read for each direction of the ties. Requests and metadata that name
+    a capture are sent to it as they are; those that a capture names meet its identifier first. All then meet in one
+    shuffle. A capture's records are few by the format.
     """
     main = F.col("type").isin("response", "revisit")
-    side = lambda kind, *cols: F.collect_list(F.when(F.col("type") == kind, F.struct("record_id", *cols)))
+    side = F.struct("record_id", "type", "http_head", "fields")
+    response = F.struct("type", "target_uri", "date", "refers_to", "payload_digest", "payload_bytes", "http_head", "payload")
+    of_main = records.where(main).select(F.col("record_id").alias("capture_id"), response.alias("response"), F.when(~main, side).alias("side"))
+    sides = records.where(F.col("type").isin("request", "metadata"))
+    ties = records.where(main & (F.size("concurrent_to") > 0)).select(F.explode("concurrent_to").alias("record_id"), F.col("record_id").alias("capture_id"))
+    met = sides.join(ties.distinct(), "record_id", "left")
+    to = F.array_distinct(F.array_compact(F.concat("concurrent_to", F.array("capture_id"))))
+    of_side = met.select(F.explode_outer(to).alias("capture_id"), F.when(F.lit(False), response).alias("response"), side.alias("side"))
+    of_side = of_side.withColumn("alone", F.when(F.col("capture_id").isNull(), F.col("side.record_id")))
+    collect = lambda kind, *cols: F.transform(
+        F.filter("sides", lambda s: s.type == kind), lambda s: F.struct(s.record_id.alias("record_id"), *(s[c].alias(c) for c in cols))
+    )
     return (
-        records.groupBy(F.when(main, F.col("record_id")).otherwise(F.col("concurrent_to")).alias("capture_id"))
-        .agg(
-            F.first(F.when(main, F.struct("type", "target_uri", "date", "refers_to", "payload_digest", "payload_bytes", "http_head", "payload")), ignorenulls=True).alias("response"),
-            side("request", "http_head").alias("requests"),
-            side("metadata", "fields").alias("metadata"),
+        of_main.withColumn("alone", F.lit(None).cast("string")).unionByName(of_side)
+        .groupBy("capture_id", "alone")
+        .agg(F.first("response", ignorenulls=True).alias("response"), F.collect_set("side").alias("sides"))
+        .select(
+            "capture_id", F.col("response.type").alias("record_type"), F.col("response.target_uri").alias("target_uri"), "response",
+            collect("request", "http_head").alias("requests"), collect("metadata", "fields").alias("metadata"),
         )
-        .select("capture_id", F.col("response.type").alias("record_type"), F.col("response.target_uri").alias("target_uri"), "response", "requests", "metadata")
-    )
+    )
 
 
 def read_back(pages: DataFrame) -> DataFrame:
@@ -194,11 +239,13 @@ def read_back(pages: DataFrame) -> DataFrame:
     path = new_path(spark, "warc")
     write_warc(pages, path)
     page_id = F.expr("nullif(regexp_extract(metadata[0].fields, 'page-id: ([-0-9]*)', 1), '')").cast("long")
-    found = assemble(read_warc(spark, path, payloads=False)).select(
+    records = written(read_warc(spark, path, payloads=False), "records")  # narrow; the archives are then read once
+    found = assemble(records).select(
         "capture_id", page_id.alias("page_id"), "record_type", "target_uri", F.col("response.refers_to").alias("refers"),
         F.col("response.payload_bytes").alias("bytes"), F.col("response.payload_digest").alias("payload_digest"),
     )
-    found = written(found, "captures")  # narrow; the archives are then read once
+    found = written(found, "captures")
+    forget(records)
     responses = found.where("record_type = 'response'")
     origin = responses.select(F.col("capture_id").alias("refers"), F.col("page_id").alias("refers_to"), F.col("bytes").alias("of_response"))
     revisits = found.where("record_type <> 'response'").drop("bytes").join(origin, "refers", "left").withColumnRenamed("of_response", "bytes")

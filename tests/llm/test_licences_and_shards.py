@@ -1,7 +1,12 @@
 import heapq
+import random
+import re
+import textwrap
 import zlib
 from collections import Counter, defaultdict
 
+import duckdb
+
 from lectern.llm import licences, sharding
 from tests.llm.helpers import ROWS, docs, empty, stored
 
@@ -18,31 +23,95 @@ def test_canonical_forms(spark):
     assert got == {"mit license permission to sublicense is granted"}
 
 
+def reflowed(text, width):
+    """Paragraphs wrapped at a width; None: one line for each; 0: one line in all."""
+    paragraphs = [" ".join(p.split()) for p in re.split(r"\n[ \t]*\n\s*", text)]
+    if width == 0:
+        return " ".join(paragraphs)
+    return "\n\n".join("\n".join(textwrap.wrap(p, width)) if width else p for p in paragraphs)
+
+
+def test_known_texts_in_any_wrapping(spark, tmp_path):
+    rows, names = [], []
+    known = licences.known_texts()
+    assert len({name for name, _ in known}) >= 20
+    for name, body in known:
+        body = re.sub("<copyright holders?>", "Ann Example and the Other Contributors Ltd.", body.replace("<year>", "2003, 2005-2019"))
+        forms = [reflowed(body, w) for w in (None, 0, *range(48, 128, 4))]
+        for text in [*forms, body.upper(), body.replace("\n", "\r\n"), " * " + body.replace("\n", "\n * ")]:
+            rows.append((len(rows), text, None, None, None))
+            names.append(name)
+    d = stored(spark, tmp_path, docs(spark, rows))
+    got = {r.doc_id: r.licence for r in licences.scan(d, licences.known_licences(spark)).collect()}
+    assert [(i, names[i]) for i in got if got[i] != names[i]] == []
+
+
+def test_statements_only_are_dropped(spark):
+    from pyspark.sql import functions as F
+
+    cases = {
+        "Copyright (c) 2020 Someone": "",
+        "(c) 2001-2005 by A. Person and others": "",
+        "COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM": "copyright holders be liable for any claim",
+        "the above\ncopyright notice": "the above copyright notice",
+        "copyright law applies\n(c) You must retain it": "copyright law applies c you must retain it",
+        "Copyright 1999 " + "word " * 60 + "end": "copyright 1999 " + "word " * 60 + "end",
+    }
+    got = spark.createDataFrame([(k,) for k in cases], "t string").select("t", licences.canonical(F.col("t")).alias("c")).collect()
+    assert {r.t: r.c for r in got} == cases
+
+
 def test_scan(spark, tmp_path):
-    name, body = licences.TEXTS[0]
+    name, body = next(x for x in licences.known_texts() if x[0] == "MIT")
     rows = [*ROWS, (50, "Copyright (c) 2020 Me\n" + body.upper(), None, None, None), (51, "some text\nReleased under the MIT licence.\nmore", None, None, None),
             (52, "Released under the MIT License.", None, None, None), (53, "Copyright 2020", None, None, None), (54, body + " x", None, None, None)]
-    d = stored(spark, tmp_path, docs(spark, rows))
-    got = {r.doc_id: r for r in licences.scan(d, licences.known_licences(spark)).collect()}
+    d = stored(spark, tmp_path, docs(spark, rows).selectExpr("*", "1 AS digest", "2 AS row", "3 AS licence"))
+    found = licences.scan(d, licences.known_licences(spark)).collect()
+    got = {r.doc_id: r for r in found}
     assert got[50].licence == name and got[51].licence is None and got[51].line_licences == "MIT"
     assert got[52].licence == "MIT" and got[53].canonical_sha256 is None and got[54].licence is None
     assert got[4].licence is None and got[4].line_licences == ""
-    assert licences.scan(d, licences.known_licences(spark)).count() == len(rows)
+    assert len(found) == len(rows)
     assert licences.scan(empty(spark), licences.known_licences(spark)).count() == 0
+    documents = d.toPandas()  # noqa: F841
+    assert sorted(map(str, duckdb.sql(licences.oracle_scan()).fetchall())) == sorted(str(tuple(r)) for r in found)
 
 
-def test_schedule_is_longest_first():
-    units = [(f"u{i}", s) for i, s in enumerate([7, 7, 6, 6, 5, 4, 4, 3])]
-    got = dict(sharding.schedule(units, 3))
-    loads = Counter()
-    for u, s in units:
-        loads[got[u]] += s
-    heap, want = [(0, k) for k in range(3)], {}
-    for u, s in sorted(units, key=lambda x: (-x[1], x[0])):
+def one_by_one(sizes, shards):
+    """How many units of each size each shard gets, by the heap alone."""
+    heap, got = [(0, k) for k in range(shards)], defaultdict(Counter)
+    for size in sorted(sizes, reverse=True):
         load, k = heapq.heappop(heap)
-        want[u] = k
-        heapq.heappush(heap, (load + s, k))
-    assert got == want and max(loads.values()) - min(loads.values()) <= 3
+        got[size][k] += 1
+        heapq.heappush(heap, (load + size, k))
+    return got
+
+
+def test_schedule_is_that_of_one_unit_after_another():
+    rng = random.Random(1)
+    for _ in range(60):
+        shards = rng.randint(1, 9)
+        sizes = Counter({rng.randint(1, 60): rng.randint(1, 200) for _ in range(rng.randint(1, 12))})
+        want = one_by_one(sizes.elements(), shards)
+        for size, upto, used in sharding.schedule(list(sizes.items()), shards):
+            got = {k: b - a for k, a, b in zip(used, [0, *upto], upto)}
+            assert got == dict(want[size])
+
+
+def test_loads_are_those_of_the_heap(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(sharding, "CHUNK", 40)
+    rows = [(i, f"text {i % 700} " * (1 + i % 9), "en", "s", None) for i in range(2000)] + [(i, "hot", "en", "s", None) for i in range(900)]
+    groups = Counter()
+    for r in rows:
+        groups[r[1]] += len(r[1].encode()) + 16
+    want = Counter()
+    for size, shards in one_by_one(groups.values(), 40).items():
+        for k, n in shards.items():
+            want[k] += size * n
+    got = Counter()
+    for r in sharding.shards_of(stored(spark, tmp_path, docs(spark, rows).selectExpr("*", "1 AS size", "2 AS shard", "3 AS row"))).collect():
+        got[r.shard] += r.size
+    assert got == want
 
 
 def test_shards(spark, tmp_path):

@@ -117,9 +117,10 @@ def test_archives_are_whole_gzip_members(spark, tmp_path):
     warc.write_warc(pages, f"{tmp_path}/w", captures_a_file=2)
     files = sorted((tmp_path / "w").glob("part-*"))
     records = [h for f in files for h, _ in warc.parse(f.read_bytes())]
+    assert all(f.read_bytes()[:2] == b"\x1f\x8b" for f in files)
     assert len(records) == 3 * len(PAGES) and len(files) >= 4
     assert sum(gzip.decompress(f.read_bytes()).count(b"WARC-Record-ID") for f in files) == len(records)
-    assert len({h["warc-record-id"] for h in records}) == len(records)
+    assert len({h["warc-record-id"][0] for h in records}) == len(records)
 
 
 def test_captures_are_nested(spark, tmp_path):
@@ -141,3 +142,79 @@ def test_padding_and_frames(size):
     data = bytes(i % 251 for i in range(size))
     frames = gif.frames_of(gif.gif_of(data))
     assert b"".join(f["samples"] for f in frames) == gif.padded(data)
+
+
+def test_records_of_sixteen_megabytes_leave_no_padding(tmp_path):
+    import gzip
+
+    big = warc.record([("WARC-Type", "response")], b"\1" * (1 << 24)) + b"\0"
+    content = big + warc.record([("WARC-Type", "request")], b"x") + b"\0"
+    assert [h["warc-type"] for h, _ in warc.parse(content)] == [["response"], ["request"]]
+    at = 0
+    while at < len(content):  # members and nothing between
+        member = zlib.decompressobj(31)
+        member.decompress(content[at:])
+        assert member.eof
+        at = len(content) - len(member.unused_data)
+    assert len(gzip.decompress(content)) > 1 << 24
+
+
+def test_reading_is_linear():
+    import time
+
+    one = warc.record([("WARC-Type", "request"), ("WARC-Record-ID", "<a>")], b"x" * 500) + b"\0"
+    took = []
+    for n in (10_000, 100_000):
+        began = time.perf_counter()
+        assert sum(1 for _ in warc.parse(one * n)) == n
+        took.append(time.perf_counter() - began)
+    assert took[1] < 30 * took[0] + 1
+
+
+def test_cut_off_archives_are_an_error():
+    whole = warc.record([("WARC-Type", "request")], b"x" * 500) + b"\0"
+    with pytest.raises(ValueError):
+        list(warc.parse(whole[:-20]))
+
+
+def archive(*records):
+    """An archive that isn't compressed, of (headers, block)."""
+    out = []
+    for headers, block in records:
+        lines = "".join(f"{k}: {v}\r\n" for k, v in [*headers, ("Content-Length", len(block))])
+        out.append(b"WARC/1.1\r\n" + lines.encode() + b"\r\n" + block + b"\r\n\r\n")
+    return b"".join(out)
+
+
+def test_ties_in_both_directions_and_to_several_captures(spark, tmp_path):
+    tie, rid = "WARC-Concurrent-To", "WARC-Record-ID"
+    content = archive(
+        ([("WARC-Type", "warcinfo"), (rid, "<w>")], b"software: x"),
+        ([("WARC-Type", "response"), (rid, "<a>"), (tie, "<q>"), (tie, "<m>")], b"HTTP/1.1 200 OK\r\n\r\none"),
+        ([("WARC-Type", "request"), (rid, "<q>")], b"GET / HTTP/1.1\r\n\r\n"),
+        ([("WARC-Type", "response"), (rid, "<b>")], b"HTTP/1.1 200 OK\r\n\r\ntwo"),
+        ([("WARC-Type", "metadata"), (rid, "<m>"), (tie, "<a>"), (tie, "<b>")], b"k: v"),
+        ([("WARC-Type", "request"), (rid, "<r>"), (tie, "<gone>")], b"GET / HTTP/1.1\r\n\r\n"),
+        ([("WARC-Type", "request"), (rid, "<s>")], b"GET / HTTP/1.1\r\n\r\n"),
+        ([("WARC-Type", "request"), (rid, "<t>")], b"GET / HTTP/1.1\r\n\r\n"),
+    )
+    (tmp_path / "x.warc").write_bytes(content)
+    records = stored(spark, tmp_path, warc.read_warc(spark, f"{tmp_path}/x.warc"), "records")
+    got = sorted((str(r.capture_id), r.record_type, [q.record_id for q in r.requests], [m.record_id for m in r.metadata]) for r in warc.assemble(records).collect())
+    assert got == sorted([("<a>", "response", ["<q>"], ["<m>"]), ("<b>", "response", [], ["<m>"]), ("<gone>", None, ["<r>"], []), ("None", None, ["<s>"], []), ("None", None, ["<t>"], [])], key=str)
+
+
+def test_feature_against_brute_force(spark):
+    d = docs(spark).selectExpr("*", "1 AS media", "2 AS frames", "3 AS samples")
+    for r in gif.media_digests(d).collect():
+        text = next(x[1] for x in ROWS if x[0] == r.doc_id and len((x[1] or "").encode()) == r.n_bytes)
+        data, size = gif.padded((text or "").encode()), gif.WIDTH * gif.WIDTH
+        bins = [0] * 64
+        shown = bytearray(min(size, len(data)))
+        frames = [data[i : i + size] for i in range(0, len(data), size)]
+        for frame in frames:
+            shown[: len(frame)] = frame  # frames lie over what was there
+            for v in shown:
+                bins[(v >> 6) * 21] += 1
+        assert r.feature == f"{len(frames)};{','.join(map(str, bins))}"
+        assert r.media_bytes == len(gif.gif_of(data)) and r.media_sha256 == hashlib.sha256(gif.gif_of(data)).hexdigest()
