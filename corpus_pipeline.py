@@ -17,7 +17,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm import langid, mixing, radix_dedup, scratch, simhash
+from lectern import scratch
+from lectern.llm import langid, mixing, radix_dedup, simhash
 from lectern.llm.queries_text import table, token_digests
 
 
