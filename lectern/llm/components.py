@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.scratch import forget, written
+from lectern.scratch import forget, written
 
 
 def downward(links: DataFrame) -> DataFrame:

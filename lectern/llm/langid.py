@@ -31,7 +31,7 @@ from pyspark.sql.window import Window
 
 from lectern.llm.arrow_io import append_columns
 from lectern.llm.grams import TextSums, gram_hashes, has_letter, words_of
-from lectern.llm.scratch import written
+from lectern.scratch import written
 
 ORDERS = (2, 3, 4, 5)
 #: Documents of each language to learn from.

@@ -31,7 +31,7 @@ from pathlib import Path
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm.scratch import written
+from lectern.scratch import written
 
 FOLDER = Path(__file__).parent / "licence_texts"
 

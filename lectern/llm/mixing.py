@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from lectern.llm.scratch import written
+from lectern.scratch import written
 
 WEIGHTS = (3, 1, 2)
 TOTAL_SHARE = 1.5

@@ -24,7 +24,7 @@ from itertools import count
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.scratch import forget, numbered, without_rows, written
+from lectern.scratch import forget, numbered, without_rows, written
 
 #: Bytes of the digits of the first rounds, and of every later one.
 WIDTHS = (48, 464, 3584, 28672)

@@ -39,7 +39,7 @@ from pyspark.sql import types as T
 from lectern.llm.arrow_io import append_columns
 from lectern.llm.components import stars
 from lectern.llm.grams import mixed
-from lectern.llm.scratch import forget, numbered, without_rows, written
+from lectern.scratch import forget, numbered, without_rows, written
 
 SHINGLE = 3
 SEED = 42

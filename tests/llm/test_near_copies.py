@@ -6,7 +6,8 @@ import numpy as np
 import pytest
 import xxhash
 
-from lectern.llm import scratch, simhash
+from lectern import scratch
+from lectern.llm import simhash
 from tests.llm.helpers import ROWS, docs, empty, stored
 
 MASK = (1 << 64) - 1
