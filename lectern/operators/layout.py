@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -167,20 +168,42 @@ def baselines(words: DataFrame, page: list[str], tol: float = 2.5) -> DataFrame:
     return rows.groupBy(*page, "row").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("x", "word_id", "text"))), lambda w: w.text), " ").alias("line"))
 
 
-def merged_boxes(boxes: list[tuple[float, float, float, float]], gap: float) -> list[list[float]]:
-    """Merge boxes, in order, until no two unions grown by the gap meet; each with its number of boxes."""
-    live = [[*b, 1] for b in sorted(boxes)]
-    i = 0
-    while i < len(live):
-        a = live[i]
-        for j, b in enumerate(live):
-            if i != j and a[0] - gap <= b[2] and b[0] <= a[2] + gap and a[1] - gap <= b[3] and b[1] <= a[3] + gap:
-                live[i] = [min(a[0], b[0]), min(a[1], b[1]), max(a[2], b[2]), max(a[3], b[3]), a[4] + b[4]]
-                del live[j]
-                i = -1  # a larger box may meet earlier ones
-                break
-        i += 1
-    return sorted(live)
+def merged_boxes(boxes: list[tuple[float, float, float, float]], gap: float, strip: int = 256) -> list[list[float]]:
+    """Boxes merged until no two unions grown by the gap meet; each with its number of boxes, sorted.
+
+    A round sweeps the boxes in the order of their left sides, finds all that meet, `strip` of them at a time, and merges
+    what hangs together; unions that have grown are looked at again. What meets in the end doesn't depend on the order.
+    """
+    live = np.array(boxes, float).reshape(-1, 4)
+    members = np.ones(len(live), np.int64)
+    while True:
+        order = np.argsort(live[:, 0], kind="stable")
+        live, members = live[order], members[order]
+        label = np.arange(len(live))
+        for at in range(0, len(live), strip):
+            a = live[at : at + strip]
+            b = live[at : np.searchsorted(live[:, 0], a[:, 2].max() + gap, "right")]
+            i, j = np.nonzero(
+                (b[None, :, 0] <= a[:, None, 2] + gap) & (a[:, None, 0] - gap <= b[None, :, 2]) & (a[:, None, 1] - gap <= b[None, :, 3]) & (b[None, :, 1] <= a[:, None, 3] + gap)
+            )
+            i, j = i + at, j + at
+            while True:
+                least = np.minimum(label[i], label[j])
+                new = label.copy()
+                np.minimum.at(new, label[i], least)
+                np.minimum.at(new, label[j], least)
+                while not np.array_equal(new, new[new]):
+                    new = new[new]
+                if np.array_equal(new, label):
+                    break
+                label = new
+        found, at_group = np.unique(label, return_inverse=True)
+        if len(found) == len(live):
+            return sorted([*map(float, x), int(n)] for x, n in zip(live, members))
+        merged = np.concatenate([np.full((len(found), 2), np.inf), np.full((len(found), 2), -np.inf)], axis=1)
+        np.minimum.at(merged[:, :2], at_group, live[:, :2])
+        np.maximum.at(merged[:, 2:], at_group, live[:, 2:])
+        live, members = merged, np.bincount(at_group, weights=members).astype(np.int64)
 
 
 def box_clusters(boxes: DataFrame, page: str, gap: float = 12.0) -> DataFrame:
@@ -213,3 +236,80 @@ def highlight_lines(lines: DataFrame, terms: list[str]) -> DataFrame:
     starts = F.filter(F.sequence(F.lit(1), F.greatest(F.length("line") - F.length("term") + 1, F.lit(1))), lambda i: F.substr(F.col("line"), i, F.length("term")) == F.lower("term"))
     hit = t.select("line_id", "cs", "term", F.explode(starts).alias("at"))
     return hit.select("line_id", "term", "at", F.col("cs")[F.col("at") - 1].x0.alias("x0"), F.col("cs")[F.col("at") + F.length("term") - 2].x1.alias("x1"))
+
+
+def inside(x: str, y: str) -> Column:
+    return F.col(x).between(F.col("x0"), F.col("x1")) & F.col(y).between(F.col("y0"), F.col("y1"))
+
+
+def item_at(points: DataFrame, items: DataFrame, page: list[str]) -> DataFrame:
+    """For each point (point_id, x, y) the first item, by column, height and id, that holds it, else the first at its height; null if there is none.
+
+    Points meet the items of their page, which are few.
+    """
+    boxes = items.select(*page, F.col("item_id"), F.col("col"), *SIDES)
+    near = points.select(*page, "point_id", "x", "y").join(boxes, page).where(F.col("y").between(F.col("y0"), F.col("y1")))
+    best = F.min(F.struct((~inside("x", "y")).alias("beside"), "col", "y0", "item_id"))
+    found = near.groupBy(*page, "point_id").agg(best.alias("b")).select(*page, "point_id", F.col("b.item_id").alias("item_id"), (~F.col("b.beside")).alias("inside"))
+    return points.select(*page, "point_id").join(found, [*page, "point_id"], "left")
+
+
+def assemble_text(spans: DataFrame, page: list[str], order: list[str]) -> DataFrame:
+    """The text of each page from its spans (x0, x1, y, h, text): a new line where the height changes by over 0.6 of a span's, a blank where the gap is over 0.28 of it."""
+    w = Window.partitionBy(*page).orderBy(*order)
+    before = lambda c: F.lag(c).over(w)
+    new_line = F.abs(F.col("y") - before("y")) > 0.6 * F.col("h")
+    apart = F.col("x0") - before("x1") > 0.28 * F.col("h")
+    mark = F.when(new_line, "\n").when(apart, " ").otherwise("")
+    marked = spans.withColumn("__piece", F.concat(F.coalesce(mark, F.lit("")), F.coalesce("text", F.lit("")))).withColumn("__at", F.row_number().over(w))
+    pieces = F.transform(F.array_sort(F.collect_list(F.struct("__at", "__piece"))), lambda x: x["__piece"])
+    whole = F.array_join(pieces, "")
+    return marked.groupBy(*page).agg(F.trim(F.regexp_replace(F.regexp_replace(whole, r"[ \t]+", " "), r" ?\n ?", "\n")).alias("body"))
+
+
+def words_by_cell(words: DataFrame, cells: DataFrame, page: list[str]) -> DataFrame:
+    """The text of each cell of a table: the words whose centre it holds, by height and left side; empty for a cell without words."""
+    centre = words.select(*page, F.struct("y0", "x0", "word_id", "text").alias("w"), ((F.col("x0") + F.col("x1")) / 2).alias("cx"), ((F.col("y0") + F.col("y1")) / 2).alias("cy"))
+    held = centre.join(cells.select(*page, "cell_id", *SIDES), page).where(inside("cx", "cy"))
+    texts = held.groupBy(*page, "cell_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list("w")), lambda x: x.text), " ").alias("text"))
+    return cells.select(*page, "cell_id").join(texts, [*page, "cell_id"], "left").withColumn("text", F.coalesce("text", F.lit("")))
+
+
+#: Points by which an observed size may fall short of the least one.
+SIZE_TOLERANCE = 0.05
+
+
+def scale_readable(source: dict[str, Column], observed: dict[str, Column], least: Column, tolerance: float = SIZE_TOLERANCE) -> Column:
+    """Whether an observed box has at least `least` of the source's width and height."""
+    size = lambda b, axis: b[f"{axis}1"] - b[f"{axis}0"]
+    return (size(observed, "x") + tolerance >= size(source, "x") * least) & (size(observed, "y") + tolerance >= size(source, "y") * least)
+
+
+#: Least side of a figure, least number of strokes in it, largest part of the page, and sides of specks.
+MIN_SIDE, MIN_PATHS, MAX_PART, SPECK = 25.0, 4, 0.45, 4.0
+
+
+def figure_regions(images: DataFrame, vectors: DataFrame, sizes: DataFrame, page: str, gap: float = 12.0) -> DataFrame:
+    """The figures of each page (page, width, height in `sizes`): clusters of images, and of strokes that aren't part of one.
+
+    Specks and lines as wide or high as the page are left out. A cluster of strokes that meets a cluster of images makes it
+    larger; figures larger than MAX_PART of the page aren't any. `n` numbers them, left half of the page first.
+    """
+    side = {"x": F.col("x1") - F.col("x0"), "y": F.col("y1") - F.col("y0")}
+    area = side["x"] * side["y"]
+    large = (side["x"] >= MIN_SIDE) & (side["y"] >= MIN_SIDE)
+    pictures = box_clusters(images.where((side["x"] >= SPECK) & (side["y"] >= SPECK)), page, gap).where(large).withColumn("picture", F.monotonically_increasing_id())
+    frame = (side["x"] >= 0.95 * F.col("width")) & (side["y"] < SPECK) | (side["y"] >= 0.95 * F.col("height")) & (side["x"] < SPECK)
+    strokes = vectors.join(sizes, page).where(~frame & ((side["x"] >= SPECK / 2) | (side["y"] >= SPECK / 2))).select(page, *SIDES)
+    drawn = box_clusters(strokes, page, gap).where((F.col("members") >= MIN_PATHS) & large).join(sizes, page).where(area <= F.col("width") * F.col("height") * MAX_PART)
+    drawn = drawn.select(page, *SIDES, F.monotonically_increasing_id().alias("stroke"))
+    p = pictures.select(page, "picture", *(F.col(c).alias(f"p_{c}") for c in SIDES))
+    meets = (F.col("x0") < F.col("p_x1")) & (F.col("p_x0") < F.col("x1")) & (F.col("y0") < F.col("p_y1")) & (F.col("p_y0") < F.col("y1"))
+    home = drawn.join(p, page).where(meets).groupBy(page, "stroke").agg(F.min("picture").alias("picture"))
+    held = drawn.join(home, [page, "stroke"])
+    grown = pictures.select(page, "picture", *SIDES).unionByName(held.select(page, "picture", *SIDES)).groupBy(page, "picture")
+    union = grown.agg(F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max("x1").alias("x1"), F.max("y1").alias("y1"))
+    whole = union.join(sizes, page).where(area <= F.col("width") * F.col("height") * MAX_PART).select(page, *SIDES, F.lit("image").alias("kind"), "width")
+    alone = drawn.join(home, [page, "stroke"], "left_anti").join(sizes, page).select(page, *SIDES, F.lit("vector").alias("kind"), "width")
+    order = Window.partitionBy(page).orderBy(F.col("x0") > F.col("width") / 2, "y0", "x0", "kind")
+    return whole.unionByName(alone).withColumn("n", F.row_number().over(order)).drop("width")

@@ -2,15 +2,21 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 from functools import reduce
 
+import ahocorasick
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.window import Window
 
 from lectern.functions.text import occurrences, query_terms, squeezed, tokens
 from lectern.functions.windows import relative_pct
+from lectern.scratch import written
 
 K1, B = 1.5, 0.75
 
@@ -88,35 +94,92 @@ def search(pages: DataFrame, query: str, limit: int = 60, doc_id: int | None = N
     return out.drop("__best").orderBy(F.desc("score"), "document_id", "page_no").limit(limit)
 
 
-def search_many(pages: DataFrame, queries: DataFrame, limit: int = 10) -> DataFrame:
+@dataclass
+class Index:
+    """A stored index of pages: postings in the order of their tokens, the vocabulary, and two totals."""
+
+    postings: DataFrame
+    vocabulary: DataFrame
+    pages: int
+    mean_tokens: float
+
+
+def build_index(pages: DataFrame, path: str) -> Index:
+    """Store the index of `pages` below `path`; pages are read once.
+
+    Postings (token, document_id, page_no, tf, page_tokens, doc_type) are ranged and sorted by token and document, so
+    statistics of files and row groups leave out what a term's tokens aren't in, and no token makes a file of its own.
+    The vocabulary has each token with the number of its pages.
+    """
+    spark = pages.sparkSession
+    t = pages.select("document_id", "page_no", "doc_type", tokens(F.col("body")).alias("ts"))
+    t = t.select("document_id", "page_no", "doc_type", F.size("ts").cast("long").alias("page_tokens"), F.posexplode_outer("ts").alias("at", "token"))
+    rows = t.groupBy("document_id", "page_no", "token").agg(
+        F.count("token").alias("tf"), F.min("at").alias("at"), F.first("doc_type").alias("doc_type"), F.first("page_tokens").alias("page_tokens")
+    )
+    rows.repartitionByRange("token", "document_id").sortWithinPartitions("token", "document_id").write.parquet(f"{path}/postings")
+    stored = spark.read.schema(rows.schema).parquet(f"{path}/postings")
+    stored.where("token is not null").groupBy("token").agg(F.count("*").alias("df"), F.sum("tf").alias("n")).write.parquet(f"{path}/vocabulary")
+    # A page without tokens has a row with a null token; each page has one row with its first token or none.
+    totals = stored.agg(F.coalesce(F.sum("tf"), F.lit(0)).alias("tokens"), F.count_if(F.coalesce("at", F.lit(0)) == 0).alias("pages")).first()
+    mean = max(totals.tokens / totals.pages if totals.pages else 0.0, 1.0)
+    return Index(stored, spark.read.parquet(f"{path}/vocabulary"), totals.pages, mean)
+
+
+def part_of_score(index: Index, tf: Column, df: Column, length: Column) -> Column:
+    return F.log(1 + (F.lit(index.pages) - df + 0.5) / (df + 0.5)) * tf * (K1 + 1) / (tf + K1 * (1 - B + B * length / F.lit(index.mean_tokens)))
+
+
+def search_index(index: Index, query: str, limit: int = 60, doc_id: int | None = None, doc_type: str | None = None) -> DataFrame:
+    """What `search` gives in prefix mode, from the stored index: only postings of tokens that start with a term are read."""
+    terms = [t.lower() for t in query_terms(query)]
+    if not terms:
+        return index.postings.select("document_id", "page_no", "doc_type", F.lit(0.0).alias("score"), F.lit(0).alias("match_pct"), F.lit(0).cast("long").alias("total")).limit(0)
+    fits = [F.col("token").startswith(t) for t in terms]
+    read = index.postings.where(reduce(lambda a, b: a | b, fits))
+    tf = [F.coalesce(F.sum(F.when(f, F.col("tf"))), F.lit(0)).alias(f"tf{i}") for i, f in enumerate(fits)]
+    hits = read.groupBy("document_id", "page_no").agg(F.first("doc_type").alias("doc_type"), F.first("page_tokens").alias("len"), *tf)
+    df = hits.agg(*(F.count_if(F.col(f"tf{i}") > 0).alias(f"df{i}") for i in range(len(terms))))
+    whole = hits.where(reduce(lambda a, b: a & b, (F.col(f"tf{i}") > 0 for i in range(len(terms)))))
+    parts = [part_of_score(index, F.col(f"tf{i}"), F.col(f"df{i}"), F.col("len")) for i in range(len(terms))]
+    found = whole.crossJoin(F.broadcast(df)).withColumn("score", reduce(lambda a, b: a + b, parts, F.lit(0.0)))  # one row
+    if doc_id is not None:
+        found = found.where(F.col("document_id") == doc_id)
+    if doc_type is not None:
+        found = found.where(F.col("doc_type") == doc_type)
+    best = found.agg(F.max("score").alias("best"), F.count("*").alias("total"))
+    out = found.select("document_id", "page_no", "doc_type", "score").crossJoin(F.broadcast(best))  # one row
+    out = out.withColumn("match_pct", relative_pct(F.col("score"), F.col("best"))).drop("best")
+    return out.orderBy(F.desc("score"), "document_id", "page_no").limit(limit)
+
+
+#: Letters by which terms and tokens meet in `search_many`.
+PREFIX = 3
+
+
+def search_many(index: Index, queries: DataFrame, limit: int = 10) -> DataFrame:
     """For each query (query_id, term: one row a term) its best pages by exact tokens that start with the terms.
 
-    Terms meet the distinct tokens of the corpus by their first PREFIX letters, not all tokens.
+    Terms meet the vocabulary, not the postings, by their first letters: a token has heads of 1 to PREFIX letters. The
+    pairs are stored, so their size decides whether the postings are shuffled to meet them.
     """
-    postings = build_postings(pages)
-    totals = pages.select(F.size(tokens(F.col("body"))).alias("n")).agg(F.count("*").alias("__n"), F.greatest(F.avg("n"), F.lit(1.0)).alias("__avg"))
-    terms = queries.select("query_id", F.lower("term").alias("term")).distinct()
+    terms = queries.select("query_id", F.lower("term").alias("term")).where("term <> ''").distinct()
     need = terms.groupBy("query_id").agg(F.count("*").alias("need"))
-    vocabulary = postings.select("token").distinct().withColumn("head", F.substring("token", 1, PREFIX))
-    expanded = terms.select("term").distinct().withColumn("head", F.substring("term", 1, PREFIX))
-    short = expanded.where(F.length("term") < PREFIX)
-    pairs = expanded.where(F.length("term") >= PREFIX).join(vocabulary, "head").where(F.expr("startswith(token, term)")).select("term", "token")
-    if not short.isEmpty():
-        pairs = pairs.unionByName(short.select("term").join(vocabulary.select("token"), F.expr("startswith(token, term)")))
-    hits = pairs.join(postings, "token").groupBy("term", "document_id", "page_no").agg(F.sum("tf").alias("tf"), F.max("page_tokens").alias("len"))
+    heads = F.transform(F.sequence(F.lit(1), F.least(F.length("token"), F.lit(PREFIX))), lambda k: F.substr(F.col("token"), F.lit(1), k))
+    asked = written(terms.select("term").distinct().withColumn("head", F.substring("term", 1, PREFIX)), "terms")
+    vocabulary = index.vocabulary.select("token", F.explode(heads).alias("head"))
+    pairs = written(vocabulary.join(asked, "head").where(F.expr("startswith(token, term)")).select("term", "token"), "term-tokens")
+    hits = index.postings.join(pairs, "token").groupBy("term", "document_id", "page_no").agg(F.sum("tf").alias("tf"), F.max("page_tokens").alias("len"))
+    hits = written(hits, "term-hits")
     df = hits.groupBy("term").agg(F.count("*").alias("df"))
-    one = hits.join(df, "term").crossJoin(F.broadcast(totals))  # one row
-    part = F.log(1 + (F.col("__n") - F.col("df") + 0.5) / (F.col("df") + 0.5)) * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.col("__avg")))
-    per_page = terms.join(one.withColumn("part", part), "term").groupBy("query_id", "document_id", "page_no").agg(F.sum("part").alias("score"), F.count("*").alias("have"))
+    one = hits.join(df, "term").withColumn("part", part_of_score(index, F.col("tf"), F.col("df"), F.col("len")))
+    per_page = terms.join(one, "term").groupBy("query_id", "document_id", "page_no").agg(F.sum("part").alias("score"), F.count("*").alias("have"))
     full = per_page.join(need, "query_id").where("have = need")
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "document_id", "page_no")
+    # Scores are sums in any order: ranks go by what is the same in every order.
+    order = Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 9)), "document_id", "page_no")
     return full.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= limit).select("query_id", "document_id", "page_no", "score", "rank")
 
 
-#: Letters by which terms and tokens meet in `search_many`.
-PREFIX = 3
-
-
 def proximity(norm: Column, terms: list[str]) -> Column:
     """From 0 to 1, the nearer the terms stand together: 1 - (span - least span) / 140 of the narrowest stretch with all terms.
 
@@ -160,30 +223,51 @@ def kind_label(document_id: Column, title: Column, page_no: Column) -> tuple[Col
     return kind, label
 
 
-#: Phrases up to which `attested` looks for all of them in each document at once.
-FEW = 1000
-
-
-def attested(phrases: DataFrame, corpus: DataFrame, n: int = 5, head: int = 8) -> DataFrame:
+#: Letters of the phrases, about, that are looked for in one pass over the corpus.
+LETTERS = 1 << 22
+
+
+def holders(phrases: list[tuple], corpus: DataFrame, kind: T.DataType) -> DataFrame:
+    """(phrase_id, doc_id) for each document that holds a phrase, all phrases at once by one automaton; each pair once for a row."""
+    shared = corpus.sparkSession.sparkContext.broadcast(phrases)
+    out = T.StructType([T.StructField("phrase_id", kind), corpus.schema["doc_id"]])
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        owners: dict[str, list] = {}
+        for key, phrase in shared.value:
+            owners.setdefault(phrase, []).append(key)
+        everywhere = owners.pop("", [])
+        automaton = ahocorasick.Automaton()
+        for phrase, keys in owners.items():
+            automaton.add_word(phrase, keys)
+        automaton.make_automaton()
+        for batch in batches:
+            for at in range(0, batch.num_rows, 512):
+                part, found, rows = batch.slice(at, 512), [], []
+                for row, text in enumerate(part.column(1).to_pylist()):
+                    held = {id(keys): keys for _, keys in automaton.iter(text)} if len(owners) else {}
+                    own = everywhere + [k for keys in held.values() for k in keys]
+                    found += own
+                    rows += [row] * len(own)
+                ids = pa.array(found, arrow_kind)
+                yield pa.RecordBatch.from_arrays([ids, part.column(0).take(pa.array(rows, pa.int64()))], names=["phrase_id", "doc_id"])
+
+    arrow_kind = to_arrow_type(kind)
+    return corpus.where(F.col("text").isNotNull()).select("doc_id", "text").mapInArrow(find, out)
+
+
+def attested(phrases: DataFrame, corpus: DataFrame, n: int = 5) -> DataFrame:
     """For each phrase (phrase_id, phrase): in how many documents it occurs, and the first n of them.
 
-    A few phrases are looked for in one pass over the documents. More of them meet a document by its distinct
-    substrings of `head` characters, so that the test is made only where a phrase starts like one of these; shorter phrases are looked up among all
-    substrings of their lengths. Both ways give the same: documents count once, whatever their rows.
+    Phrases are looked for in blocks of about LETTERS letters, each in one pass over the whole texts. Documents count
+    once, whatever their rows; a null phrase is in none, the empty one in all that have a text.
     """
-    few = phrases.select("phrase_id", "phrase").limit(FEW + 1).collect()
-    if len(few) <= FEW:
-        each = F.array(*(F.struct(F.lit(r.phrase_id).alias("phrase_id"), F.lit(r.phrase).alias("phrase")) for r in few))
-        hits = corpus.select("doc_id", F.explode(F.filter(each, lambda p: F.contains(F.col("text"), p.phrase))).alias("p")).select("p.phrase_id", "doc_id") if few else corpus.select(F.lit(None).cast(phrases.schema["phrase_id"].dataType).alias("phrase_id"), "doc_id").limit(0)
-    else:
-        p = phrases.select("phrase_id", "phrase", F.substring("phrase", 1, head).alias("head"))
-        substrings = lambda n: F.transform(F.sequence(F.lit(1), F.greatest(F.length("text") - n + 1, F.lit(1))), lambda i: F.substr(F.col("text"), i, n))
-        grams = corpus.select("doc_id", "text", F.explode(F.array_distinct(substrings(F.lit(head)))).alias("head"))
-        long = grams.join(p.where(F.length("phrase") >= head), "head").where(F.expr("contains(text, phrase)")).select("phrase_id", "doc_id")
-        parts = F.array_distinct(F.flatten(F.transform(F.sequence(F.lit(0), F.lit(head - 1)), substrings)))
-        short = corpus.select("doc_id", F.explode(parts).alias("phrase")).join(p.where(F.length("phrase") < head), "phrase").select("phrase_id", "doc_id")
-        hits = long.unionByName(short)
-    hits = hits.distinct()
+    p = written(phrases.where(F.col("phrase").isNotNull()).select("phrase_id", "phrase"), "phrases")
+    blocks = -(-(p.agg(F.sum(F.length("phrase") + 1)).first()[0] or 1) // LETTERS)
+    dealt = p.withColumn("block", F.pmod(F.xxhash64("phrase_id", "phrase"), F.lit(blocks)))
+    kind = p.schema["phrase_id"].dataType
+    parts = [holders([tuple(r) for r in dealt.where(F.col("block") == b).select("phrase_id", "phrase").collect()], corpus, kind) for b in range(blocks)]
+    hits = written(reduce(DataFrame.unionByName, parts).distinct(), "attested")
     order = Window.partitionBy("phrase_id").orderBy("doc_id")
     first = hits.withColumn("n", F.row_number().over(order)).where(F.col("n") <= n)
     sample = first.groupBy("phrase_id").agg(F.array_join(F.array_sort(F.collect_list("doc_id")), ",").alias("sample"))
@@ -204,10 +288,16 @@ def term_hit_counts(df: DataFrame, terms: list[str], text: str) -> DataFrame:
     return df.select(F.explode(each).alias("x")).groupBy("x.term").agg(F.count_if("x.hit").alias("hits"))
 
 
-def standard_candidates(contexts: DataFrame, standards: DataFrame, stop: list[str], k: int = 5) -> DataFrame:
-    """For each context (context_id, text): the standards (code, body, propositions) that share terms, 2 for each in its text and 3 in its propositions."""
+def standard_terms(texts: DataFrame, points: int) -> DataFrame:
+    """(code, term, points): the different terms of a standard's texts (code, text), however many rows there are for it."""
+    return texts.select("code", F.explode(F.array_distinct(tokens(F.col("text")))).alias("term")).distinct().withColumn("points", F.lit(points))
+
+
+def standard_candidates(contexts: DataFrame, bodies: DataFrame, propositions: DataFrame, stop: list[str], k: int = 5) -> DataFrame:
+    """For each context (context_id, text): the standards that share terms, 2 points for each in their body and 3 in their propositions (both code, text)."""
     terms = contexts.select("context_id", F.explode(F.array_distinct(tokens(F.col("text")))).alias("term")).where((F.length("term") >= 2) & ~F.col("term").isin(stop))
-    words = lambda c, w: standards.select("code", F.explode(F.array_distinct(tokens(F.col(c)))).alias("term"), F.lit(w).alias("points"))
-    got = terms.join(words("body", 2).unionByName(words("propositions", 3)), "term").groupBy("context_id", "code").agg(F.sum("points").cast("long").alias("points"))
+    words = standard_terms(bodies, 2).unionByName(standard_terms(propositions, 3)).join(terms.select("term").distinct(), "term", "left_semi")
+    words = words.groupBy("code", "term").agg(F.sum("points").alias("points"))
+    got = terms.join(words, "term").groupBy("context_id", "code").agg(F.sum("points").cast("long").alias("points"))
     order = Window.partitionBy("context_id").orderBy(F.desc("points"), "code")
     return got.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)

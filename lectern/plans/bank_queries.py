@@ -264,11 +264,13 @@ def exam_ref_upsert(v: Views) -> DataFrame:
     return bank.exam_ref_upsert(a, b, ["k"])
 
 
-@query("SELECT 'orders' AS part, count(*) AS n FROM orders WHERE o_custkey % 4 <> 0 UNION ALL SELECT 'parent', count(*) FROM customer WHERE c_custkey % 4 <> 0")
+@query("SELECT 'orders' AS part, o_orderkey AS id FROM orders JOIN customer ON c_custkey = o_custkey WHERE c_mktsegment <> 'BUILDING' UNION ALL SELECT 'parent', c_custkey FROM customer WHERE c_mktsegment <> 'BUILDING'")
 def cascade_delete(v: Views) -> DataFrame:
-    c, o = v("customer").select(F.col("c_custkey").alias("k")), v("orders").select(F.col("o_custkey").alias("k"))
-    left = bank.cascade_delete(c, c.where("k % 4 = 0"), "k", {"orders": o})
-    return reduce(DataFrame.unionByName, (d.agg(F.lit(n).alias("part"), F.count("*").alias("n")) for n, d in left.items()))
+    """The rows that stay when the customers of a segment go with their orders."""
+    c = v("customer").select(F.col("c_custkey").alias("k"), F.col("c_custkey").alias("id"), "c_mktsegment")
+    o = v("orders").select(F.col("o_custkey").alias("k"), F.col("o_orderkey").alias("id"))
+    left = bank.cascade_delete(c, c.where("c_mktsegment = 'BUILDING'"), "k", {"orders": o})
+    return reduce(DataFrame.unionByName, (d.select(F.lit(n).alias("part"), "id") for n, d in left.items()))
 
 
 @query("SELECT id, CASE WHEN id % 3 = 2 AND id % 5 = 0 THEN '초안' ELSE status END AS status, CASE WHEN id % 5 = 0 THEN 'title' ELSE '' END AS flags FROM {question}")

@@ -35,22 +35,28 @@ def unknown_candidates(v: Views) -> DataFrame:
     return items.select_candidates(g, v("part").select((F.col("p_partkey") * 3).alias("item_id")))[1]
 
 
-@query("""SELECT id AS item_id, code, 'error' AS level FROM (SELECT id, unnest([CASE WHEN id % 10 = 0 THEN 'number_mismatch' END, CASE WHEN id % 7 = 0 THEN 'stem_missing' END, CASE WHEN id % 7 = 1 THEN 'stem_fragment' END, CASE WHEN id % 4 = 0 THEN 'choices' END,
-CASE WHEN id % 5 = 0 THEN 'claims' END, CASE WHEN id % 3 <> 1 THEN 'asks' END]) AS code FROM {question}) x WHERE code IS NOT NULL""")
+@query("""WITH q AS (SELECT d.id, d.ask, d.passage, (SELECT count(*) FROM {claim} c WHERE c.id = d.id) AS claims, (SELECT count(*) FROM {talk_line} t WHERE t.id = d.id) AS turns, (SELECT min(size) FROM {talk_line} t WHERE t.id = d.id) AS least FROM {draft} d)
+SELECT id AS item_id, code, 'error' AS level FROM (SELECT id, unnest([CASE WHEN least % 10 <> turns THEN 'number_mismatch' END, CASE WHEN passage IS NULL OR trim(passage) = '' THEN 'stem_missing' END, CASE WHEN turns <> 5 THEN 'choices' END,
+CASE WHEN claims NOT IN (0, 3) THEN 'claims' END, CASE WHEN ask IS NULL OR NOT contains(ask, '?') THEN 'asks' END]) AS code FROM q) x WHERE code IS NOT NULL""")
 def structure_contract(v: Views) -> DataFrame:
-    k = F.col("id")
-    q = v("question").select(
-        k.alias("item_id"), k.alias("number"), F.when(k % 10 != 0, k).alias("parsed_number"), F.when(k % 7 == 0, "").when(k % 7 == 1, "물체는").otherwise("물체가 운동한다.").alias("stem"), (k % 3).alias("asks"),
-        F.when(k % 4 == 0, F.array(F.lit(1), F.lit(2))).otherwise(F.sequence(F.lit(1), F.lit(5))).alias("choice_ords"), F.when(k % 5 == 0, F.array(F.lit("a"))).otherwise(F.array(F.lit("a"), F.lit("b"), F.lit("c"))).alias("claims"),
-    )
-    return items.structure_contract(q)
+    """Drafts read as items: the choices are their turns, the number what the shortest turn's length ends with."""
+    turns = v("talk_line").groupBy("id").agg(F.array_sort(F.collect_list(F.col("turn") + 1)).alias("choice_ords"), F.count("*").alias("number"), (F.min("size") % 10).alias("parsed_number"))
+    claims = v("claim").groupBy("id").agg(F.collect_list("text").alias("claims"))
+    d = v("draft").select("id", F.col("passage").alias("stem"), (F.length("ask") - F.length(F.replace("ask", F.lit("?"), F.lit("")))).alias("asks"))
+    return items.structure_contract(d.join(turns, "id").join(claims, "id", "left").withColumnRenamed("id", "item_id"))
 
 
-@query("SELECT id AS item_id, code, 'error' AS level FROM (SELECT id, unnest([CASE WHEN id % 4 = 0 THEN 'choice_marks' END, CASE WHEN id % 3 = 0 THEN 'claim_box' END, CASE WHEN id % 3 = 0 THEN 'claims' END, CASE WHEN id % 7 = 0 THEN 'fifth_choice' END, CASE WHEN id % 90 <> 5 THEN 'other_leader' END]) AS code FROM {question}) x WHERE code IS NOT NULL")
+@query("""WITH q AS (SELECT id, string_agg(substr('①②③④⑤', turn + 1, 1) || ' ' || word, ' ' ORDER BY turn) FILTER (WHERE turn < 5) AS body, count(*) AS n, max(CASE WHEN turn = 0 THEN size % 3 END) AS kind, max(CASE WHEN turn = 4 THEN word END) AS fifth, max(CASE WHEN turn = 0 THEN size % 20 END) AS shown FROM {talk_line} GROUP BY 1)
+SELECT id AS item_id, code, 'error' AS level FROM (SELECT id, unnest([CASE WHEN n < 5 THEN 'choice_marks' END, CASE WHEN kind = 0 THEN 'claim_box' END, CASE WHEN kind < 2 THEN 'claims' END, CASE WHEN shown <> n THEN 'other_leader' END]) AS code FROM q) x WHERE code IS NOT NULL""")
 def generated_contract(v: Views) -> DataFrame:
-    k = F.col("id")
-    text = F.concat(F.lit("5. 발문 ① 가 ② 나 ③ 다 ④ 라 "), F.when(k % 4 == 0, "마").otherwise("⑤ 마"))
-    return items.generated_contract(v("question").select(k.alias("item_id"), (k % 90).alias("number"), text.alias("text"), (k % 3 == 0).alias("needs_claims"), F.when(k % 7 == 0, "바").otherwise("마").alias("fifth_choice")))
+    """Items made of a conversation's first words: some need claims and have a box without them, some have neither."""
+    t = v("talk_line")
+    mark = F.substring(F.lit("①②③④⑤"), F.col("turn") + 1, F.lit(1))
+    first = lambda c: F.max(F.when(F.col("turn") == 0, c))
+    body = F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("turn") < 5, F.struct("turn", F.concat(mark, F.lit(" "), "word").alias("w"))))), lambda x: x.w), " ")
+    q = t.groupBy("id").agg(body.alias("body"), F.count("*").alias("number"), first(F.col("size") % 3).alias("kind"), F.max(F.when(F.col("turn") == 4, F.col("word"))).alias("fifth_choice"), first(F.col("size") % 20).alias("shown"))
+    text = F.concat(F.col("shown").cast("string"), F.lit(". 발문 "), F.when(F.col("kind") > 0, "<보기> ").otherwise(""), "body")
+    return items.generated_contract(q.select(F.col("id").alias("item_id"), "number", text.alias("text"), (F.col("kind") < 2).alias("needs_claims"), "fifth_choice"))
 
 
 @query("""SELECT page AS item_id, CASE WHEN (x0 >= 300 OR x1 <= 0) AND least(y1, 100) > greatest(y0, 0) THEN 'side_by_side' WHEN y0 >= 700 THEN 'after_ask' WHEN y0 >= 100 AND y1 <= 650 THEN 'between' ELSE 'before' END AS placement

@@ -9,6 +9,7 @@ from lectern.functions import windows
 from lectern.operators import layout, lineage
 from lectern.plans.base import query
 from lectern.plans.views import Views
+from lectern.scratch import written
 from lectern.streaming import jobs
 
 
@@ -38,16 +39,19 @@ def box_ops(v: Views) -> DataFrame:
     return both.select("box_id", F.round(layout.intersection(a, r), 6).alias("shared"), layout.contains(a, r).alias("inside"))
 
 
-@query("""WITH c AS (SELECT page, min(x0) AS x0, min(y0) AS y0, max(x1) - 40 AS x1, max(y1) - 40 AS y1 FROM {box} GROUP BY 1)
-SELECT a.page AS item_id, 'clipping' AS issue, count(*) AS n FROM c b JOIN {box} a ON a.page = b.page WHERE """ + INTER + """ / ((a.x1 - a.x0) * (a.y1 - a.y0)) >= 0.2::DOUBLE
-AND NOT (a.x0 >= b.x0 - 0.5::DOUBLE AND a.y0 >= b.y0 - 0.5::DOUBLE AND a.x1 <= b.x1 + 0.5::DOUBLE AND a.y1 <= b.y1 + 0.5::DOUBLE) GROUP BY 1""")
+@query("""WITH c AS (SELECT page, min(x0) AS x0, min(y0) AS y0, max(x1) - 40 AS x1, max(y1) - 40 AS y1, min(x0) AS i0, max(x1) AS i1, string_agg(DISTINCT lower(flag), ' ') AS known, bool_or(flag = 'R') AS semantic FROM {box} GROUP BY 1)
+SELECT a.page AS item_id, 'clipping' AS issue, count(*) AS n FROM c b JOIN {box} a ON a.page = b.page WHERE NOT b.semantic AND """ + INTER + """ / ((a.x1 - a.x0) * (a.y1 - a.y0)) >= 0.2::DOUBLE
+AND NOT (a.x0 >= b.x0 - 0.5::DOUBLE AND a.y0 >= b.y0 - 0.5::DOUBLE AND a.x1 <= b.x1 + 0.5::DOUBLE AND a.y1 <= b.y1 + 0.5::DOUBLE) GROUP BY 1
+UNION ALL SELECT a.page, 'contamination', count(*) FROM c b JOIN {region_box} a ON a.page = b.page WHERE (a.x1 - a.x0) >= (b.i1 - b.i0) * 0.35::DOUBLE AND """ + INTER + """ / ((a.x1 - a.x0) * (a.y1 - a.y0)) >= 0.6::DOUBLE GROUP BY 1""")
 def crop_audit(v: Views) -> DataFrame:
+    """Items are pages; their regions hold their flag's prose ten times, which the editable text has; pages with an R are cut by meaning."""
     box = v("box")
-    per = box.groupBy(F.col("page").alias("item_id")).agg(*(F.min(c).alias(f"i_{c}") for c in ("x0", "y0")), *(F.max(c).alias(f"i_{c}") for c in ("x1", "y1")))
-    items = per.select("item_id", *(F.col(f"i_{c}") for c in layout.SIDES), F.col("i_x0").alias("c_x0"), F.col("i_y0").alias("c_y0"), (F.col("i_x1") - 40).alias("c_x1"), (F.col("i_y1") - 40).alias("c_y1"), F.lit("a b").alias("editable_text"), F.lit(False).alias("semantic"))
-    none = box.limit(0).select(F.col("page").alias("item_id"), *(F.col(c).alias(f"r_{c}") for c in layout.SIDES), F.col("flag").alias("text"), F.lit(0).alias("characters"), F.lit(0).alias("words"))
+    per = box.groupBy(F.col("page").alias("item_id")).agg(*(F.min(c).alias(f"i_{c}") for c in ("x0", "y0")), *(F.max(c).alias(f"i_{c}") for c in ("x1", "y1")), F.bool_or(F.col("flag") == "R").alias("semantic"), F.concat_ws(" ", F.transform(F.collect_set("flag"), lambda x: F.repeat(x, F.lit(2)))).alias("editable_text"))
+    items = per.select("item_id", *(F.col(f"i_{c}") for c in layout.SIDES), F.col("i_x0").alias("c_x0"), F.col("i_y0").alias("c_y0"), (F.col("i_x1") - 40).alias("c_x1"), (F.col("i_y1") - 40).alias("c_y1"), "editable_text", "semantic")
+    prose = F.repeat(F.concat(F.repeat("flag", F.lit(2)), F.lit(" ")), F.lit(10))
+    regions = v("region_box").select(F.col("page").alias("item_id"), *(F.col(c).alias(f"r_{c}") for c in layout.SIDES), prose.alias("text"), F.length(prose).alias("characters"), F.lit(10).alias("words"))
     images = box.select(F.col("page").alias("item_id"), *(F.col(c).alias(f"m_{c}") for c in layout.SIDES))
-    return layout.crop_audit(items, none, images)
+    return layout.crop_audit(items, regions, images)
 
 
 @query("""WITH a AS (SELECT vec_id, label, embedding AS e FROM embeddings WHERE vec_id % 5 = 0), b AS (SELECT vec_id, label, embedding AS e FROM embeddings WHERE vec_id % 5 <> 0),
@@ -237,7 +241,9 @@ def stream_current_state(v: Views) -> DataFrame:
     return jobs.written_to_end(jobs.current_state(stream(v), "op_id", "ts", "seq"), "state")
 
 
-@query("SELECT status, count(*) AS n FROM {operation} JOIN (SELECT c_custkey AS op_id FROM customer) c USING (op_id) GROUP BY 1")
+@query("""SELECT coalesce(s.status, 'queued') AS status, count(*) AS n FROM (SELECT DISTINCT c_custkey AS op_id FROM customer) c LEFT JOIN (SELECT op_id, max_by(status, (status IN ('succeeded', 'failed', 'cancelled'), ts, seq)) AS status FROM {operation} GROUP BY 1) s USING (op_id) GROUP BY 1""")
 def stream_live_counts(v: Views) -> DataFrame:
-    s = stream(v).select(F.col("op_id").alias("item"), "status")
-    return jobs.written_to_end(jobs.live_counts(s, v("customer").select(F.col("c_custkey").alias("item"))), "counts")
+    """Each planned item's last state from the stream; those not seen yet are queued."""
+    states = jobs.written_to_end(jobs.current_state(stream(v), "op_id", "ts", "seq"), "item-state")
+    planned = v("customer").select(F.col("c_custkey").alias("item")).distinct()
+    return written(lineage.live_status(states.withColumnRenamed("op_id", "item"), planned), "counts")

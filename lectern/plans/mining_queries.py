@@ -89,10 +89,13 @@ def before_after_rollup(v: Views) -> DataFrame:
     return mining.before_after_rollup(before, after, "doc_id", "lang")
 
 
-@query("""SELECT a.doc_id, a.doc_id % 2 = 0 AS in_inventory, CASE WHEN a.doc_id % 5 <> 0 THEN a.status END AS final_status, coalesce(CASE WHEN a.doc_id % 5 <> 0 THEN a.status END <> 'ready', true) AS regressed FROM {labelled} a WHERE a.doc_id % 7 = 0""")
+@query("""SELECT a.doc_id, a.lang = 'en' AS in_inventory, CASE WHEN a.lang <> 'de' THEN CASE WHEN a.source < 'src2' THEN 'ready' ELSE a.status END END AS final_status,
+coalesce(CASE WHEN a.lang <> 'de' THEN CASE WHEN a.source < 'src2' THEN 'ready' ELSE a.status END END <> 'ready', true) AS regressed FROM {labelled} a WHERE a.status IN ('manual', 'failure')""")
 def residual_vs_final(v: Views) -> DataFrame:
+    """What was left to do by hand or failed, against an inventory of one language and a report that lacks another."""
     d = v("labelled")
-    return mining.residual_vs_final(d.where("doc_id % 7 = 0"), d.where("doc_id % 2 = 0"), d.where("doc_id % 5 <> 0"), ["doc_id"])
+    final = d.where("lang <> 'de'").withColumn("status", F.when(F.col("source") < "src2", "ready").otherwise(F.col("status")))
+    return mining.residual_vs_final(d.where(F.col("status").isin("manual", "failure")), d.where("lang = 'en'"), final, ["doc_id"])
 
 
 @query("SELECT 'quality' AS field, count(quality) AS present, count(*) AS expected FROM documents LEFT JOIN labels USING (doc_id) UNION ALL SELECT 'lang', count(lang), count(*) FROM documents")
@@ -156,10 +159,10 @@ def adjacent_values(v: Views) -> DataFrame:
     return windows.adjacent_values(v("events"), ["user_id"], ["event_id"], "event_type").select("event_id", "previous", "next")
 
 
-@query("""SELECT event_id, (SELECT 1) IS NOT NULL AS seen, max_by_id AS section FROM (SELECT event_id, max(CASE WHEN event_type = 'signup' THEN event_id END) OVER (PARTITION BY user_id ORDER BY event_id) AS max_by_id FROM events) e""")
+@query("SELECT event_id, max(CASE WHEN event_type = 'signup' THEN event_id END) OVER (PARTITION BY user_id ORDER BY event_id) AS section FROM events")
 def carry_forward(v: Views) -> DataFrame:
     e = v("events").select("event_id", "user_id", F.when(F.col("event_type") == "signup", F.col("event_id")).alias("start"))
-    return windows.carry_forward(e, ["user_id"], ["event_id"], "start", "section").select("event_id", F.lit(True).alias("seen"), "section")
+    return windows.carry_forward(e, ["user_id"], ["event_id"], "start", "section").select("event_id", "section")
 
 
 @query("SELECT set_id, item_id, CAST(greatest(1, least(100, round_even(l_quantity / max(l_quantity) OVER (PARTITION BY set_id) * 100, 0))) AS INTEGER) AS pct FROM {set_item}")
@@ -168,19 +171,25 @@ def relative_pct(v: Views) -> DataFrame:
     return v("set_item").select("set_id", "item_id", windows.relative_pct(F.col("l_quantity"), best).alias("pct"))
 
 
-@query("""SELECT doc_id, CASE WHEN contains(t, 'error') OR contains(t, 'choice') THEN 'graphical_choice' WHEN contains(t, 'figure') OR contains(t, 'slot') OR contains(t, 'panel') THEN 'figure' ELSE 'other' END AS bucket
-FROM (SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN 'choice lost' WHEN 1 THEN 'no slot' ELSE 'unknown' END AS t FROM documents) d""")
+@query(r"""SELECT doc_id, CASE WHEN regexp_matches(t, 'u\+|equation') THEN 'equation' WHEN regexp_matches(t, 'graphical|choice') THEN 'graphical_choice' WHEN contains(t, 'caption') THEN 'caption'
+WHEN regexp_matches(t, 'slot|figure|panel') THEN 'figure' WHEN regexp_matches(t, 'stopiteration|crash|zerodivision') THEN 'crash' WHEN contains(t, 'empty image') THEN 'empty_image' ELSE 'other' END AS bucket
+FROM (SELECT doc_id, lower(CASE n_chars % 6 WHEN 0 THEN 'Choice lost: ' WHEN 1 THEN 'no SLOT: ' WHEN 2 THEN 'glyph U+00e9: ' WHEN 3 THEN 'Empty image: ' WHEN 4 THEN 'CAPTION: ' ELSE '' END || text) AS t FROM documents) d""")
 def failure_bucket(v: Views) -> DataFrame:
-    e = F.when(F.col("doc_id") % 3 == 0, "Choice lost").when(F.col("doc_id") % 3 == 1, "no SLOT").otherwise("unknown")
-    return v("documents").select("doc_id", mining.failure_bucket(e).alias("bucket"))
+    heads = F.array(*map(F.lit, ("Choice lost: ", "no SLOT: ", "glyph U+00e9: ", "Empty image: ", "CAPTION: ", "")))
+    error = F.concat(F.element_at(heads, (F.col("n_chars") % 6 + 1).cast("int")), "text")
+    return v("documents").select("doc_id", mining.failure_bucket(error).alias("bucket"))
 
 
-@query("SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN 'malformed' WHEN doc_id % 5 = 1 THEN 'kice' WHEN doc_id % 5 = 2 THEN 'raster' WHEN doc_id % 5 = 3 THEN 'ebs' ELSE 'unrecognized' END AS route FROM documents")
+@query(r"""SELECT doc_id, CASE WHEN length(trim(split_part(text, chr(10), 1))) < 40 THEN 'malformed' WHEN lang = 'fr' AND n_chars % 2 = 0 THEN 'ebs' WHEN lang = 'en' AND n_chars % 3 = 0 THEN 'kice' WHEN n_chars % 7 = 0 THEN 'raster' ELSE 'unrecognized' END AS route FROM documents
+WHERE NOT contains(text, '[26023-')""")
 def route_source(v: Views) -> DataFrame:
-    k = F.col("doc_id") % 5
-    ident = F.when(k == 1, "대학수학능력시험").when(k == 3, "EBS 수능특강").otherwise("")
-    body = F.when(k == 3, "[26023-0001]").otherwise("")
-    return v("documents").select("doc_id", mining.route_source(k == 0, ident, body, F.when(k == 1, "a1_2024_06.pdf").otherwise("x.pdf"), F.lit(2), F.when(k == 2, 2).otherwise(1)).alias("route"))
+    """Identity, code, file name and rasters come from a document's language, length and text."""
+    d, n = v("documents").where(~F.contains("text", F.lit("[26023-"))), F.col("n_chars")
+    identity = F.concat(F.when(F.col("lang") == "en", "대학수학능력시험 ").when(F.col("lang") == "fr", "EBS 수능특강 ").otherwise(""), "source")
+    body = F.concat(F.when(n % 2 == 0, F.concat(F.lit("[26023-"), F.lpad((n % 1000).cast("string"), 4, "0"), F.lit("]"))).otherwise(""), "text")
+    name = F.when(n % 3 == 0, "a1_2024_06.pdf").otherwise(F.concat("source", F.lit(".pdf")))
+    short = F.length(F.trim(F.split_part("text", F.lit("\n"), F.lit(1)))) < 40
+    return d.select("doc_id", mining.route_source(short, identity, body, name, F.lit(2), F.when(n % 7 == 0, 2).otherwise(1)).alias("route"))
 
 
 @query("""SELECT conv_id AS doc_id, count(*) AS page_count, count(*) FILTER (WHERE role = 'user') AS raster_page_count, string_agg(CASE WHEN role = 'user' THEN '' ELSE text END, chr(10) ORDER BY turn) FILTER (WHERE turn <= 4) AS identity_text
@@ -193,44 +202,48 @@ def source_facts(v: Views) -> DataFrame:
 ENDINGS = "CASE " + " ".join(f"WHEN ends_with(c, '{e}') THEN '{e}'" for e in mining.CHOICE_ENDINGS) + " WHEN ends_with(c, '다.') THEN '기타_다.' WHEN ends_with(c, '.') THEN '기타_마침표' ELSE '비문장형' END"
 
 
-@query(f"SELECT id, {ENDINGS} AS ending FROM (SELECT p_partkey AS id, CASE p_partkey % 4 WHEN 0 THEN '값이 증가한다.' WHEN 1 THEN '크다.' WHEN 2 THEN '본다.' ELSE p_name END AS c FROM part) p")
+@query(f"SELECT id, turn, {ENDINGS} AS ending FROM (SELECT id, turn, CASE size % 5 WHEN 0 THEN word || '이 증가한다.' WHEN 1 THEN word || ' 크다.' WHEN 2 THEN word || ' 본다.' WHEN 3 THEN word ELSE text END AS c FROM {{talk_line}}) p")
 def choice_ending(v: Views) -> DataFrame:
-    c = F.when(F.col("id") % 4 == 0, "값이 증가한다.").when(F.col("id") % 4 == 1, "크다.").when(F.col("id") % 4 == 2, "본다.").otherwise(F.col("title"))
-    return v("question").select("id", mining.choice_ending(c).alias("ending"))
+    """Choices are words of the conversations with an ending by their length, or whole texts."""
+    k = F.col("size") % 5
+    ends = F.when(k == 0, "이 증가한다.").when(k == 1, " 크다.").when(k == 2, " 본다.").otherwise("")
+    return v("talk_line").select("id", "turn", mining.choice_ending(F.when(k == 4, F.col("text")).otherwise(F.concat("word", ends))).alias("ending"))
 
 
-FRAMES = ("이에 대한 설명으로 옳은 것만을 <보기>에서 있는 대로 고른 것은? [3점]", "속력을 옳게 비교한 것은?", "속력은?", "없음")
-
-
-@query("SELECT id, CASE id % 4 WHEN 0 THEN 'ASK_BOGI_STANDARD' WHEN 1 THEN 'ASK_COMPARE_CORRECT' WHEN 2 THEN CASE WHEN qtype <> '합답형' THEN 'ASK_VALUE' END END AS frame, CASE id % 4 WHEN 0 THEN '보기_있는대로' WHEN 1 THEN '옳게비교' WHEN 2 THEN '기타_의문' ELSE '물음표_미추출' END AS kind FROM {question}")
+@query("SELECT id, CASE WHEN ends_with(ask, '에 대한 설명으로 옳은 것은?') THEN 'ASK_DESCRIPTION_CORRECT' WHEN starts_with(ask, '이에 대한 설명') THEN 'ASK_BOGI_STANDARD' END AS frame, CASE WHEN ends_with(ask, '에 대한 설명으로 옳은 것은?') THEN '직접_옳은것' WHEN starts_with(ask, '이에 대한 설명') THEN '보기_있는대로' ELSE '물음표_미추출' END AS kind FROM {draft}")
 def ask_frames(v: Views) -> DataFrame:
-    ask = reduce(lambda c, i: c.when(F.col("id") % 4 == i, FRAMES[i]), (1, 2), F.when(F.col("id") % 4 == 0, FRAMES[0])).otherwise(FRAMES[3])
-    return v("question").select("id", mining.ask_frame(ask, F.col("qtype")).alias("frame"), mining.ask_class(ask).alias("kind"))
+    return v("draft").select("id", mining.ask_frame(F.col("ask"), F.col("qtype")).alias("frame"), mining.ask_class(F.col("ask")).alias("kind"))
 
 
-@query("SELECT id, CASE id % 3 WHEN 0 THEN 'INTRO_TABLE' WHEN 1 THEN 'INTRO_FIGURE_AS_SHOWN' END AS frame, CASE id % 3 WHEN 0 THEN '표는' WHEN 1 THEN '그림과_같이' ELSE '기타' END AS kind FROM {question}")
+@query("SELECT id, CASE WHEN starts_with(passage, '그림은 ') THEN 'INTRO_FIGURE_SINGLE' END AS frame, CASE WHEN starts_with(passage, '그림은 ') THEN '그림은' ELSE '기타' END AS kind FROM {draft}")
 def intro_frames(v: Views) -> DataFrame:
-    t = F.when(F.col("id") % 3 == 0, "\n표는 값을 나타낸 것이다.\n끝").when(F.col("id") % 3 == 1, "그림과 같이 물체가 운동한다.").otherwise(F.col("title"))
-    return v("question").select("id", mining.intro_frame(t).alias("frame"), mining.intro_class(F.trim(F.regexp_replace(t, "^\n", ""))).alias("kind"))
+    return v("draft").select("id", mining.intro_frame(F.col("passage")).alias("frame"), mining.intro_class(F.col("passage")).alias("kind"))
 
 
-@query("SELECT id, '9과' || lpad(CAST(id % 30 + 1 AS VARCHAR), 2, '0') || '-' || lpad(CAST(n AS VARCHAR), 2, '0') AS code FROM {question}, (SELECT unnest([1, 2, 3]) AS n) t")
+@query("SELECT doc_id, '9과' || lpad(CAST(n_chars % 30 + 1 AS VARCHAR), 2, '0') || '-' || lpad(CAST(n AS VARCHAR), 2, '0') AS code FROM (SELECT doc_id, n_chars, unnest(range(1, length(source) % 4 + n_chars % 3 + 2)) AS n FROM documents) d")
 def expand_code_ranges(v: Views) -> DataFrame:
-    unit = F.lpad((F.col("id") % 30 + 1).cast("string"), 2, "0")
-    a = F.concat(F.lit("[9과"), unit, F.lit("-01∼03]"))
-    b = F.concat(F.lit("[9과"), unit, F.lit("-01]∼[9과"), unit, F.lit("-03]"))
-    return mining.expand_code_ranges(v("question").select("id", F.when(F.col("id") % 2 == 0, a).otherwise(b).alias("t")), "t").select("id", "code")
+    """Documents cite as many codes as their source's name and their length say, as a range of one kind or the other."""
+    d = v("documents").withColumn("last", F.length("source") % 4 + F.col("n_chars") % 3 + 1)
+    unit, last = F.lpad((F.col("n_chars") % 30 + 1).cast("string"), 2, "0"), F.lpad(F.col("last").cast("string"), 2, "0")
+    a = F.concat(F.lit("[9과"), unit, F.lit("-01∼"), last, F.lit("]"))
+    b = F.concat(F.lit("[9과"), unit, F.lit("-01]∼[9과"), unit, F.lit("-"), last, F.lit("]"))
+    return mining.expand_code_ranges(d.select("doc_id", F.when(F.col("n_chars") % 2 == 0, a).otherwise(b).alias("t")), "t").select("doc_id", "code")
 
 
-@query("SELECT id, CASE id % 3 WHEN 0 THEN 'braces' WHEN 1 THEN 'greek,command' ELSE '' END AS problems FROM {question}")
+@query("SELECT id, CASE WHEN starts_with(explanation, '[[formula:') THEN CASE WHEN ends_with(explanation, ']]') THEN 'greek' ELSE 'unclosed' END WHEN explanation IS NOT NULL THEN '' END AS problems FROM {draft}")
 def formula_lint(v: Views) -> DataFrame:
-    t = F.when(F.col("id") % 3 == 0, "[[formula:{a]]").when(F.col("id") % 3 == 1, r"[[formula:\bad α]]").otherwise(F.lit(r"x [[formula:\frac{1}{2}]]"))
-    return v("question").select("id", F.array_join(mining.formula_lint(t, ["frac"]), ",").alias("problems"))
+    return v("draft").select("id", F.array_join(mining.formula_lint(F.col("explanation"), ["frac"]), ",").alias("problems"))
 
 
-@query("SELECT doc_id, regexp_replace(text, '(^|[^0-9A-Za-z_/])([0-9]+)/([0-9]+)($|[^0-9A-Za-z_/])', '\\1[[formula:{\\2 over {\\3]]\\4', 'g') IS NOT NULL AS done FROM documents")
+@query(r"""WITH t AS (SELECT doc_id, replace(replace(text, ' the ', ' 3/4 '), ' de ', ' x/4 ') AS t FROM documents),
+r AS (SELECT doc_id, regexp_replace(t, '(^|[^0-9A-Za-z_/])([0-9]+)/([0-9]+)($|[^0-9A-Za-z_/])', '\1[[formula:{\2} over {\3}]]\4', 'g') AS t FROM t)
+SELECT doc_id, sha256(u) AS rewritten, CAST((length(u) - length(replace(u, '[[formula:', ''))) / 10 AS BIGINT) AS formulas
+FROM (SELECT doc_id, regexp_replace(t, '(^|[^0-9A-Za-z_/])([0-9]+)/([0-9]+)($|[^0-9A-Za-z_/])', '\1[[formula:{\2} over {\3}]]\4', 'g') AS u FROM r) x""")
 def normalize_quantities(v: Views) -> DataFrame:
-    return v("documents").select("doc_id", mining.normalize_quantities(F.col("text")).isNotNull().alias("done"))
+    """Fractions stand where two of the most frequent words did, and where the texts have their own."""
+    t = F.replace(F.replace(F.col("text"), F.lit(" the "), F.lit(" 3/4 ")), F.lit(" de "), F.lit(" x/4 "))
+    u = v("documents").select("doc_id", mining.normalize_quantities(t).alias("u"))
+    return u.select("doc_id", F.sha2("u", 256).alias("rewritten"), text.occurrences(F.col("u"), F.lit("[[formula:")).alias("formulas"))
 
 
 @query("SELECT doc_id, sha256(coalesce(CAST(doc_id AS VARCHAR), '') || '|' || lang || '|' || source) AS fingerprint FROM documents")
@@ -239,11 +252,10 @@ def selection_fingerprint(v: Views) -> DataFrame:
 
 
 @query("""WITH t AS (SELECT doc_id AS context_id, unnest(list_distinct(regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+'))) AS term FROM (SELECT item_id AS doc_id, text FROM benchmark) b), w AS (
-SELECT code, unnest(list_distinct(regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+'))) AS term, 2 AS p FROM {standard} UNION ALL SELECT code, unnest(list_distinct(regexp_extract_all(lower(props), '[\\p{L}\\p{N}]+'))), 3 FROM (
-SELECT 'Brand#' || (doc_id % 25 + 1) AS code, string_agg(substr(text, 1, 200), ' ') AS props FROM documents GROUP BY 1) d),
+SELECT code, unnest(list_distinct(regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+'))) AS term, 2 AS p FROM {standard} UNION ALL SELECT DISTINCT code, unnest(list_distinct(regexp_extract_all(lower(props), '[\\p{L}\\p{N}]+'))), 3 FROM (
+SELECT 'Brand#' || (doc_id % 25 + 1) AS code, text AS props FROM documents) d),
 g AS (SELECT context_id, code, sum(p) AS points FROM t JOIN w ON t.term = w.term WHERE length(t.term) >= 2 AND NOT t.term IN ('the', 'of') GROUP BY 1, 2)
 SELECT context_id, code, CAST(points AS BIGINT) AS points, CAST(k AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY context_id ORDER BY points DESC, code) AS k FROM g) x WHERE k <= 5""")
 def standard_candidates(v: Views) -> DataFrame:
-    props = v("documents").groupBy(F.concat(F.lit("Brand#"), (F.col("doc_id") % 25 + 1).cast("string")).alias("code")).agg(F.array_join(F.collect_list(F.substring("text", 1, 200)), " ").alias("propositions"))
-    st = v("standard").select("code", F.col("text").alias("body")).join(props, "code", "full_outer").select("code", F.coalesce("body", F.lit("")).alias("body"), F.coalesce("propositions", F.lit("")).alias("propositions"))
-    return search.standard_candidates(v("benchmark").select(F.col("item_id").alias("context_id"), "text"), st, ["the", "of"])
+    texts = v("documents").select(F.concat(F.lit("Brand#"), (F.col("doc_id") % 25 + 1).cast("string")).alias("code"), "text")
+    return search.standard_candidates(v("benchmark").select(F.col("item_id").alias("context_id"), "text"), v("standard").select("code", "text"), texts, ["the", "of"])

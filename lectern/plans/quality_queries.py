@@ -77,9 +77,10 @@ def editable_text_lint(v: Views) -> DataFrame:
     return v("documents").select("doc_id", quality.text_lint(F.col("text")).alias("problem"))
 
 
-@query(f"SELECT doc_id, regexp_matches(text, '{PRIVATE}') AS private FROM documents")
+@query(f"SELECT doc_id, n_chars % 5 = 0 OR regexp_matches(text, '{PRIVATE}') AS private FROM documents")
 def contains_private_use(v: Views) -> DataFrame:
-    d = v("documents")
+    """Every fifth length brings a private-use character behind the text."""
+    d = v("documents").withColumn("text", F.when(F.col("n_chars") % 5 == 0, F.concat("text", F.lit(chr(0xE123)))).otherwise(F.col("text")))
     return d.select("doc_id", quality.contains_private_use(d).alias("private"))
 
 
@@ -154,7 +155,9 @@ def block_contract(v: Views) -> DataFrame:
     return quality.block_contract(b, ["F"])
 
 
-@query("SELECT id, answer <> '' AS saved, " + "CASE WHEN answer <> '' THEN answer ELSE '' END AS answer FROM {question}")
+@query("""SELECT q.id, CASE WHEN trim(q.answer) <> '' THEN q.answer ELSE coalesce(c.shown, '') END AS answer FROM {question} q
+LEFT JOIN (SELECT question_id, string_agg(substr('①②③④⑤', CAST(ord AS INTEGER), 1), ' ' ORDER BY ord) AS shown FROM (SELECT DISTINCT question_id, ord FROM {choice} WHERE is_answer) GROUP BY 1) c ON c.question_id = q.id""")
 def saved_answers(v: Views) -> DataFrame:
-    none = F.array().cast("array<int>")
-    return v("question").select("id", (F.col("answer") != "").alias("saved"), bank.answer_text(F.col("answer"), none).alias("answer"))
+    """The saved answer, or the places of the choices that are marked."""
+    marked = v("choice").where("is_answer").groupBy(F.col("question_id").alias("id")).agg(F.collect_set("ord").alias("ords"))
+    return v("question").join(marked, "id", "left").select("id", bank.answer_text(F.col("answer"), F.col("ords")).alias("answer"))

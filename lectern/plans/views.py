@@ -68,6 +68,22 @@ GROUP BY source, stage, rank""",
 SELECT l_orderkey AS job_id, item_id, CASE l_returnflag WHEN 'R' THEN 'failed' WHEN 'A' THEN 'manual_required' ELSE 'ready' END AS status,
   l_linenumber % 2 = 0 AS selected, l_linestatus = 'F' AS confirmed, repeat('x', CAST(l_linenumber % 3 AS INT)) AS text
 FROM (SELECT set_id AS l_orderkey, item_id, l_returnflag, l_linenumber, l_linestatus FROM {set_item}) j""",
+    "talk_line": "SELECT conv_id AS id, CAST(turn AS INT) AS turn, role, text, split_part(text, ' ', 1) AS word, length(text) AS size FROM {conversations}",
+    "draft": """
+SELECT id, CASE max(CASE WHEN turn = 0 THEN size END) % 5 WHEN 0 THEN '서술형' WHEN 1 THEN '정답형' ELSE '합답형' END AS qtype,
+  max(CASE WHEN turn = 0 THEN CASE size % 3 WHEN 0 THEN '그림은 ' || word || '을 나타낸 것이다.' WHEN 1 THEN '' ELSE text END END) AS passage,
+  max(CASE WHEN turn = 1 THEN CASE size % 4 WHEN 0 THEN word || '에 대한 설명으로 옳은 것은?' WHEN 1 THEN '이에 대한 설명으로 옳은 것만을 <보기>에서 있는 대로 고른 것은? [3점]' WHEN 2 THEN ' ' ELSE text END END) AS ask,
+  max(CASE WHEN turn = 1 THEN CASE size % 3 WHEN 0 THEN '[[formula:' || word || ' α]]' WHEN 1 THEN '[[formula:' || word ELSE text END END) AS explanation,
+  CASE sum(size) % 7 WHEN 0 THEN chr(123) || '"reconstruction": ' || chr(123) || '"enabled": true' || chr(125) || chr(125) WHEN 1 THEN chr(123) WHEN 2 THEN '' ELSE chr(123) || '"reconstruction": ' || chr(123) || '"enabled": false' || chr(125) || chr(125) END AS style_meta
+FROM {talk_line} GROUP BY id""",
+    "claim": """
+SELECT id, turn - 1 AS idx, CASE WHEN size % 2 = 0 THEN word || ' 크다.' ELSE text END AS text, CASE WHEN size % 3 = 0 THEN ' ' ELSE role END AS evidence,
+  CASE WHEN role = 'user' THEN '' ELSE word END AS explanation, CAST(CASE WHEN size % 5 = 0 THEN size END AS BIGINT) AS proposition_id
+FROM {talk_line} WHERE turn >= 2""",
+    "draft_choice": """
+SELECT id, turn + 1 AS idx, CASE WHEN size % 4 = 1 THEN '' ELSE text END AS text, size % 4 = 0 AS is_answer, CAST(CASE WHEN size % 5 < 2 THEN size END AS BIGINT) AS proposition_id, CASE WHEN role = 'user' THEN ' ' ELSE '' END AS custom_evidence,
+  CASE size % 6 WHEN 0 THEN '["ㄱ","ㄷ"]' WHEN 1 THEN 'ㄱ, ' || word || ',' WHEN 2 THEN '[' || word ELSE '' END AS combo
+FROM {talk_line}""",
 }
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
 

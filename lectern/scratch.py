@@ -77,3 +77,19 @@ def without_rows(stored: DataFrame, row: str, dropped: DataFrame) -> DataFrame:
     """The rows of a table that `numbered` gave, without their number, but for those whose number is in column row of `dropped`."""
     left = stored.join(dropped.select(F.col("row").alias(row)), row, "left_anti")
     return left.select(*(F.col(f"`{c}`") for c in stored.columns if c != row))
+
+
+#: What `remembered` has made in this process, by application, name, input and the input's state.
+_MADE: dict[tuple, object] = {}
+
+
+def remembered(spark: SparkSession, name: str, source: str, make):
+    """What `make(path)` gave for the files at `source`; made again when they have changed or the application is another."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(source)
+    files = place.getFileSystem(spark._jsc.hadoopConfiguration())
+    status = [files.getFileStatus(place), *(files.listStatus(place) if files.getFileStatus(place).isDirectory() else [])]
+    state = tuple((f.getPath().toString(), f.getLen(), f.getModificationTime()) for f in status)
+    key = (spark.sparkContext.applicationId, name, source, state)
+    if key not in _MADE:
+        _MADE[key] = make(new_path(spark, name))
+    return _MADE[key]

@@ -213,7 +213,7 @@ def test_incremental_index_replaces_versions(spark, tmp_path):
 def test_windowed_stream(spark, tmp_path):
     spark.sql("select timestamp'2024-01-01 00:10:00' as ts, 'a' as kind union all select timestamp'2024-01-01 00:50:00', 'a'").write.parquet(str(tmp_path / "e"))
     s = spark.readStream.schema("ts timestamp, kind string").parquet(str(tmp_path / "e"))
-    assert [r.n for r in jobs.run_to_end(jobs.windowed_counts(s, "ts", "kind"), "windowed", "complete").collect()] == [2]
+    assert [r.n for r in jobs.written_to_end(jobs.windowed_counts(s, "ts", "kind"), "windowed").collect()] == [2]
 
 
 def test_job_states(spark):
