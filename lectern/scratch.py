@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -39,6 +40,8 @@ def new_path(spark: SparkSession, name: str) -> str:
     place = spark._jvm.org.apache.hadoop.fs.Path(path)
     place.getFileSystem(spark._jsc.hadoopConfiguration()).mkdirs(place)
     _delete_at_end(spark, path)
+    if _OPEN:
+        _OPEN[-1].append(f"{path}/rows")
     return f"{path}/rows"
 
 
@@ -54,9 +57,31 @@ def written(df: DataFrame, name: str) -> DataFrame:
 def forget(*tables: DataFrame) -> None:
     """Delete tables that `written` gave and nothing reads any more."""
     for df in tables:
-        spark, path = df.sparkSession, df._lectern_path.removesuffix("/rows")
-        place = spark._jvm.org.apache.hadoop.fs.Path(path)
-        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+        _delete(df.sparkSession, df._lectern_path)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    place = spark._jvm.org.apache.hadoop.fs.Path(path.removesuffix("/rows"))
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
+#: Paths made inside each `kept_only` that is under way, the innermost last.
+_OPEN: list[list[str]] = []
+
+
+def kept_only(name: str, make: Callable[[], DataFrame]) -> DataFrame:
+    """What `make` gives, written; all tables that were written on the way to it are then deleted."""
+    _OPEN.append([])
+    try:
+        out = written(make(), name)
+    finally:
+        made = _OPEN.pop()
+    for path in made:
+        if path != out._lectern_path:
+            _delete(out.sparkSession, path)
+    if _OPEN:
+        _OPEN[-1].append(out._lectern_path)
+    return out
 
 
 def fresh(name: str, *taken: DataFrame) -> str:
