@@ -24,7 +24,7 @@ from itertools import count
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lectern.scratch import forget, numbered, without_rows, written
+from lectern.scratch import forget, kept_only, numbered, without_rows, written
 
 #: Bytes of the digits of the first rounds, and of every later one.
 WIDTHS = (48, 464, 3584, 28672)
@@ -100,7 +100,8 @@ def exact_groups(df: DataFrame, doc_id: str = "doc_id", text: str = "text", row:
 def without_copies(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of `df` that stay when of equal texts one does."""
     stored, row = numbered(df, "numbered")
-    return without_rows(stored, row, exact_groups(stored, doc_id, text, row).where("not kept"))
+    dropped = kept_only("dropped", lambda: exact_groups(stored, doc_id, text, row).where("not kept").select("row"))
+    return without_rows(stored, row, dropped)
 
 
 ORACLE_GROUPS = r"""

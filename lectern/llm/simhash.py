@@ -39,7 +39,7 @@ from pyspark.sql import types as T
 from lectern.llm.arrow_io import append_columns
 from lectern.llm.components import stars
 from lectern.llm.grams import mixed
-from lectern.scratch import forget, numbered, without_rows, written
+from lectern.scratch import forget, kept_only, numbered, without_rows, written
 
 SHINGLE = 3
 SEED = 42
@@ -55,7 +55,7 @@ NEAR = (4, 5)
 #: 64-bit words of a wide fingerprint, and how many of its bits may differ.
 WIDE, WIDE_RADIUS = 4, 48
 #: Shingles in a block of candidates that are compared exactly: two blocks are held at a time.
-SHINGLES_A_BLOCK = 1 << 21
+SHINGLES_A_BLOCK = 1 << 17
 #: Set sizes at which a size class begins: sets in a ratio of NEAR or more are in the same class or the next.
 CLASSES = [-(-NEAR[1] ** k // NEAR[0] ** k) for k in range(120)]
 
@@ -353,4 +353,4 @@ def without_near_copies(df: DataFrame, doc_id: str = "doc_id", text: str = "text
     """The rows of `df` that stay when one of each component of near copies does."""
     stored, row = numbered(df, "numbered")
     placed = stored.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text"), F.col(row).alias("row"))
-    return without_rows(stored, row, near_copies(placed))
+    return without_rows(stored, row, kept_only("dropped", lambda: near_copies(placed)))
