@@ -53,7 +53,7 @@ WIDE_SHINGLE = 5
 #: Texts with a similarity of 4 / 5 or more are near copies.
 NEAR = (4, 5)
 #: 64-bit words of a wide fingerprint, and how many of its bits may differ.
-WIDE, WIDE_RADIUS = 4, 48
+WIDE, WIDE_RADIUS = 4, 54
 #: Shingles in a block of candidates that are compared exactly: two blocks are held at a time.
 SHINGLES_A_BLOCK = 1 << 17
 #: Set sizes at which a size class begins: sets in a ratio of NEAR or more are in the same class or the next.
