@@ -95,7 +95,7 @@ def valid_prefix(stages: DataFrame, source: str, order: str, valid: str) -> Data
 def next_pending_stage(stages: DataFrame, plan: DataFrame, source: str) -> DataFrame:
     """For each source the first planned stage (columns stage, rank) that it hasn't completed; null if none is left."""
     sources = stages.select(source).distinct()
-    missing = sources.join(F.broadcast(plan)).join(stages.select(source, "stage"), [source, "stage"], "left_anti")  # the plan is a fixed list of stages
+    missing = sources.crossJoin(plan).join(stages.select(source, "stage"), [source, "stage"], "left_anti")  # the plan is a fixed list of stages
     return sources.join(missing.groupBy(source).agg(F.min_by("stage", "rank").alias("next_stage")), source, "left")
 
 

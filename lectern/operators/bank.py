@@ -191,10 +191,14 @@ def answer_position_counts(choices: DataFrame, items: DataFrame) -> DataFrame:
 
 
 def duplicate_usage(items: DataFrame, uses: DataFrame) -> DataFrame:
-    """Propositions (uses: question_id, proposition_id) that more than one question of a set has, each question counted once."""
+    """Propositions (uses: question_id, proposition_id) that more than one question of a set has, each question counted once.
+
+    Questions are listed only where counts have shown that there are several.
+    """
     pairs = items.select("set_id", "question_id").distinct().join(uses.where("proposition_id is not null").select("question_id", "proposition_id").distinct(), "question_id")
-    found = pairs.groupBy("set_id", "proposition_id").agg(F.count("*").alias("n"), F.array_join(F.array_sort(F.collect_list("question_id")), ",").alias("questions"))
-    return found.where("n > 1")
+    several = pairs.groupBy("set_id", "proposition_id").agg(F.count("*").alias("n")).where("n > 1")
+    listed = pairs.join(several, ["set_id", "proposition_id"]).groupBy("set_id", "proposition_id")
+    return listed.agg(F.count("*").alias("n"), F.array_join(F.array_sort(F.collect_list("question_id")), ",").alias("questions"))
 
 
 def standards_tree(units: DataFrame, standards: DataFrame) -> DataFrame:

@@ -150,7 +150,7 @@ def caption_for_panel(panels: DataFrame, labels: DataFrame, below: float = 28.0,
 def generated_marks(words: DataFrame, tol: float = 40.0, top: float = 40.0, bottom: float = 1150.0) -> DataFrame:
     """Item numbers of a generated document: `1.` or `1` and `.` in one block, off the margins, aligned with another one of the document.
 
-    words: doc_id, page_no, block, word_no, text, x0, y0. Marks meet by strips of x, so not all pairs are looked at.
+    words: doc_id, page_no, block, word_no, text, x0, y0.
     """
     w = Window.partitionBy("doc_id", "page_no", "block").orderBy("word_no")
     follow = F.lead("text").over(w)
@@ -158,12 +158,12 @@ def generated_marks(words: DataFrame, tol: float = 40.0, top: float = 40.0, bott
     t = words.withColumn("next", follow).withColumn("first", first)
     number = F.when(F.col("text").rlike(r"^[0-9]{1,2}\.$"), F.regexp_extract("text", "^([0-9]+)", 1)).when(F.col("text").rlike(r"^[0-9]{1,2}$") & (F.col("next") == "."), F.col("text"))
     m = t.where("first").withColumn("number", number.cast("int")).where(F.col("number").isNotNull() & F.col("y0").between(top, bottom)).select("doc_id", "page_no", "number", "x0", "y0")
-    strip = F.floor(F.col("x0") / tol)
-    a = m.withColumn("strip", F.explode(F.array(strip - 1, strip, strip + 1)))
-    b = m.select("doc_id", strip.alias("strip"), F.col("page_no").alias("p"), F.col("x0").alias("px"), F.col("y0").alias("py"))
-    peer = (F.abs(F.col("px") - F.col("x0")) <= tol) & ~((F.col("p") == F.col("page_no")) & (F.col("py") == F.col("y0")) & (F.col("px") == F.col("x0")))
-    aligned = a.join(b, ["doc_id", "strip"]).where(peer).select("doc_id", "page_no", "number", "x0", "y0").distinct()
-    return aligned
+    # Of places in the order of x, one that has another near enough has its neighbour near enough.
+    places = m.select("doc_id", "page_no", "x0", "y0").distinct()
+    near = Window.partitionBy("doc_id").orderBy("x0", "page_no", "y0")
+    apart = F.least(F.col("x0") - F.lag("x0").over(near), F.lead("x0").over(near) - F.col("x0"))
+    aligned = places.withColumn("apart", apart).where(F.col("apart") <= tol).drop("apart")
+    return m.join(aligned, ["doc_id", "page_no", "x0", "y0"]).select("doc_id", "page_no", "number", "x0", "y0").distinct()
 
 
 def continuation_text(lines: DataFrame, marks: DataFrame) -> DataFrame:

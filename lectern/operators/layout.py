@@ -145,16 +145,15 @@ def exclude_words_in_boxes(words: DataFrame, boxes: DataFrame, page: list[str])
 
 
 def folded_rows(words: DataFrame, page: list[str], y: str, tol: float, to: str = "row") -> DataFrame:
-    """Rows of words by a greedy fold: a word within `tol` of the row's first word belongs to it. Pages are folded in parallel."""
-    ordered = words.groupBy(*page).agg(F.array_sort(F.collect_list(F.struct(F.col(y).alias("y"), F.col("x0").alias("x"), "word_id", "text"))).alias("ws"))
-    start = F.struct(F.lit(None).cast("double").alias("anchor"), F.lit(0).alias("row"), F.array().cast("array<struct<word_id:bigint,row:int,x:double,text:string>>").alias("out"))
+    """Rows of words by a greedy fold: a word within `tol` of the row's first word belongs to it. Pages are folded in parallel.
 
-    def step(acc: Column, w: Column) -> Column:
-        new = acc.anchor.isNull() | (w.y - acc.anchor > tol)
-        row = F.when(new, acc.row + 1).otherwise(acc.row)
-        return F.struct(F.when(new, w.y).otherwise(acc.anchor).alias("anchor"), row.alias("row"), F.concat(acc.out, F.array(F.struct(w.word_id.alias("word_id"), row.alias("row"), w.x.alias("x"), w.text.alias("text")))).alias("out"))
-
-    return ordered.select(*page, F.explode(F.aggregate("ws", start, step).out).alias("w")).select(*page, "w.word_id", F.col("w.row").alias(to), "w.x", "w.text")
+    The fold finds the heights at which rows begin; a word's row is how many of them it has reached.
+    """
+    heights = words.groupBy(*page).agg(F.array_sort(F.collect_set(F.col(y))).alias("ys"))
+    start = F.array().cast("array<double>")
+    begin = F.aggregate("ys", start, lambda a, h: F.when((F.size(a) == 0) | (h - F.element_at(a, -1) > tol), F.concat(a, F.array(h))).otherwise(a))
+    rows = words.join(heights.select(*page, begin.alias("begin")), page)
+    return rows.select(*page, "word_id", F.size(F.filter("begin", lambda h: h <= F.col(y))).alias(to), F.col("x0").alias("x"), "text")
 
 
 def text_rows(words: DataFrame, page: list[str], tol: float = 15.5) -> DataFrame:

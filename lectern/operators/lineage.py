@@ -43,7 +43,7 @@ def assign_region(lines: DataFrame, starts: DataFrame, part: list[str], at: str,
 def resume_plan(stages: DataFrame, plan: DataFrame) -> DataFrame:
     """Stages (source, stage, rank, valid) still to run: those of the plan behind the leading run of valid ones."""
     done = valid_prefix(stages, "source", "rank", "valid").select("source", "stage")
-    todo = stages.select("source").distinct().crossJoin(F.broadcast(plan))  # the plan is a fixed list of stages
+    todo = stages.select("source").distinct().crossJoin(plan)  # the plan is a list of stages
     return todo.join(done, ["source", "stage"], "left_anti")
 
 

@@ -184,9 +184,11 @@ def known_vs_unexpected(failures: DataFrame, claims: DataFrame) -> DataFrame:
 def extraction_report(standards: DataFrame, samples: int = 5) -> DataFrame:
     """For each unit: standards, those with an explanation, those with an odd ending, and some of these."""
     odd = ~F.col("text").endswith(".")
-    w = Window.partitionBy("unit_no", odd).orderBy("code")
-    ranked = standards.withColumn("k", F.row_number().over(w))
-    return ranked.groupBy("unit_no").agg(F.count("*").alias("n"), F.count_if(F.col("explain") != "").alias("explained"), F.count_if(odd).alias("odd"), F.array_join(F.array_sort(F.collect_list(F.when(odd & (F.col("k") <= samples), F.col("code")))), ",").alias("odd_codes"))
+    counts = standards.groupBy("unit_no").agg(F.count("*").alias("n"), F.count_if(F.col("explain") != "").alias("explained"), F.count_if(odd).alias("odd"))
+    ranked = standards.where(odd).withColumn("k", F.row_number().over(Window.partitionBy("unit_no").orderBy("code"))).where(F.col("k") <= samples)
+    first = ranked.groupBy(F.col("unit_no").alias("of")).agg(F.array_join(F.array_sort(F.collect_list("code")), ",").alias("odd_codes"))
+    both = counts.join(first, F.col("unit_no").eqNullSafe(F.col("of")), "left")
+    return both.select("unit_no", "n", "explained", "odd", F.coalesce("odd_codes", F.lit("")).alias("odd_codes"))
 
 
 def parse_standard(line: Column) -> Column:

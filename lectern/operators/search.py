@@ -215,6 +215,32 @@ def snippet(body: Column, term: Column, before: int = 45, after: int = 80) -> Co
     return F.when(at > 0, F.substr(body, start, at - start + F.length(term) + after)).otherwise(F.substring(body, 1, 160))
 
 
+#: How much nearness adds to a score at most.
+NEARNESS = 2.2
+
+
+def search_near(pages: DataFrame, query: str, limit: int = 60) -> DataFrame:
+    """The best pages by substrings, their scores raised where the terms stand together."""
+    terms = query_terms(query)
+    near = proximity(squeezed(F.col("body")), terms)
+    found = bm25(pages, terms, "substring").withColumn("score", F.col("score") * (1 + NEARNESS * near))
+    return found.orderBy(F.desc("score"), "document_id", "page_no").limit(limit)
+
+
+def marked_snippet(body: Column, terms: list[str], before: int = 8, size: int = 24) -> Column:
+    """`size` words from `before` words before the first hit on, hits in brackets, ` … ` where text is left out; the first words if there is no hit.
+
+    A word is a hit if it starts with a term, marks before its first letter apart.
+    """
+    words = F.split(body, " ")
+    bare = lambda w: F.regexp_replace(F.lower(w), r"^[^\p{L}\p{N}]+", "")
+    hit = lambda w: reduce(lambda a, b: a | b, (bare(w).startswith(t.lower()) for t in terms), F.lit(False))
+    first = F.coalesce(F.array_min(F.filter(F.transform(words, lambda w, i: F.when(hit(w), i)), lambda i: i.isNotNull())), F.lit(0))
+    start = F.greatest(first - before, F.lit(0))
+    shown = F.transform(F.slice(words, start + 1, F.lit(size)), lambda w: F.when(hit(w), F.concat(F.lit("["), w, F.lit("]"))).otherwise(w))
+    return F.concat(F.when(start > 0, "… ").otherwise(""), F.array_join(shown, " "), F.when(F.size(words) > start + size, " …").otherwise(""))
+
+
 def kind_label(document_id: Column, title: Column, page_no: Column) -> tuple[Column, Column]:
     """(kind, label): negative ids are lessons."""
     lesson = document_id < 0

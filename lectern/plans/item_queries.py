@@ -90,7 +90,8 @@ def choice_texts(v: Views) -> DataFrame:
     return items.choice_texts(w.select("page", F.col("box_id").alias("word_id"), word.alias("text"), "x0", "y0"), ["page"])
 
 
-@query()
+@query("""WITH m AS (SELECT DISTINCT page AS doc_id, 1 AS page_no, CAST(box_id % 40 AS INTEGER) AS number, x0, y0 FROM {box} WHERE y0 BETWEEN 40 AND 1150)
+SELECT * FROM m WHERE EXISTS (SELECT 1 FROM m o WHERE o.doc_id = m.doc_id AND abs(o.x0 - m.x0) <= 40 AND NOT (o.x0 = m.x0 AND o.y0 = m.y0))""")
 def generated_marks(v: Views) -> DataFrame:
     b = v("box").select(F.col("page").alias("doc_id"), F.lit(1).alias("page_no"), F.col("box_id").alias("block"), F.lit(0).alias("word_no"), F.concat((F.col("box_id") % 40).cast("string"), F.lit(".")).alias("text"), "x0", "y0")
     return items.generated_marks(b)

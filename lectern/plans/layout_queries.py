@@ -99,12 +99,20 @@ def exclude_words_in_boxes(v: Views) -> DataFrame:
     return layout.exclude_words_in_boxes(words(v), v("region_box").where("flag = 'R'"), ["page"]).select("box_id")
 
 
-@query()
+def rows_sql(y: str, tol: float) -> str:
+    """Words of pages folded into rows one after the other."""
+    return f"""WITH RECURSIVE w AS (SELECT page, box_id, flag, x0, {y} AS y, row_number() OVER (PARTITION BY page ORDER BY {y}, x0, box_id) AS k FROM {{box}}),
+f AS (SELECT page, k, y AS anchor, 1 AS row FROM w WHERE k = 1
+  UNION ALL SELECT w.page, w.k, CASE WHEN w.y - f.anchor > {tol}::DOUBLE THEN w.y ELSE f.anchor END, CASE WHEN w.y - f.anchor > {tol}::DOUBLE THEN f.row + 1 ELSE f.row END FROM f JOIN w ON w.page = f.page AND w.k = f.k + 1)
+SELECT f.page, CAST(f.row AS INTEGER) AS row, string_agg(w.flag, ' ' ORDER BY w.x0, w.box_id) AS line FROM f JOIN w ON w.page = f.page AND w.k = f.k GROUP BY 1, 2"""
+
+
+@query(rows_sql("y0", 15.5))
 def text_rows(v: Views) -> DataFrame:
     return layout.text_rows(words(v), ["page"])
 
 
-@query()
+@query(rows_sql("y1", 2.5))
 def baselines(v: Views) -> DataFrame:
     return layout.baselines(words(v), ["page"])
 
@@ -132,7 +140,10 @@ def document_lines(documents: DataFrame) -> DataFrame:
     return lines.select(F.struct("doc_id", "line").alias("line_id"), cs.alias("cs"))
 
 
-@query()
+@query("""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS body, unnest(range(0, len(string_split(text, chr(10))))) AS line FROM documents),
+s AS (SELECT doc_id, line, list_filter(range(0, length(body)), lambda i: substr(body, i + 1, 1) <> ' ') AS p, lower(replace(body, ' ', '')) AS t FROM l),
+h AS (SELECT doc_id, line, p, term, unnest(list_filter(range(1, length(t) - length(term) + 2), lambda i: substr(t, i, length(term)) = term)) AS spot FROM s, (VALUES ('the'), ('ation')) v(term) WHERE contains(t, term))
+SELECT doc_id, CAST(line AS INTEGER) AS line, term, CAST(spot AS INTEGER) AS "at", p[spot] * 6.0::DOUBLE AS x0, p[spot + length(term) - 1] * 6.0::DOUBLE + 6 AS x1 FROM h""")
 def highlight_boxes(v: Views) -> DataFrame:
     hits = layout.highlight_lines(document_lines(v("documents")), ["the", "ation"])
     return hits.select("line_id.doc_id", "line_id.line", "term", "at", "x0", "x1")

@@ -135,21 +135,59 @@ def snippet(v: Views) -> DataFrame:
     return pages_of(v).select("document_id", "page_no", search.snippet(F.col("body"), F.lit("from")).alias("snippet"))
 
 
-@query()
+def starts_sql(term: str) -> str:
+    """The places of the first 60 hits of a term in column t, from 0."""
+    parts = f"string_split(t, '{term}')"
+    return f"list_transform(range(1, least(len({parts}), 61)), lambda i: list_sum(list_transform({parts}[1:i], lambda x: length(x))) + (i - 1) * {len(term)})"
+
+
+NEAR_SQL = f"""near AS (SELECT document_id, page_no, round(coalesce(greatest(0.0::DOUBLE, 1 - (list_min(list_transform(list_concat(a, b), lambda s: CASE WHEN len(list_filter(a, lambda x: x >= s)) > 0 AND len(list_filter(b, lambda x: x >= s)) > 0
+THEN greatest(list_min(list_filter(a, lambda x: x >= s)), list_min(list_filter(b, lambda x: x >= s))) + 4 - s END)) - 8) / 140.0::DOUBLE), 0.0::DOUBLE), 9) AS proximity
+FROM (SELECT document_id, page_no, {starts_sql(TERMS[0])} AS a, {starts_sql(TERMS[1])} AS b FROM (SELECT document_id, page_no, {SQUEEZED} AS t FROM line_pages) n WHERE contains(t, '{TERMS[0]}') AND contains(t, '{TERMS[1]}')) m)"""
+
+
+@query(f"WITH {PAGES_SQL}, {NEAR_SQL} SELECT document_id, page_no, round(proximity, 6) AS proximity FROM near")
 def proximity(v: Views) -> DataFrame:
     pages = search.substring_and_match(pages_of(v), list(TERMS))
     return pages.select("document_id", "page_no", F.round(search.proximity(squeezed(F.col("body")), list(TERMS)), 6).alias("proximity"))
 
 
-@query()
+@query(bm25_sql([f"CAST((length({SQUEEZED}) - length(replace({SQUEEZED}, '{t}', ''))) / {len(t)} AS BIGINT)" for t in TERMS], f"length({SQUEEZED})") + f", {NEAR_SQL}" + """
+SELECT document_id, page_no, round(score * (1 + 2.2::DOUBLE * proximity), 6) AS score FROM r JOIN near USING (document_id, page_no) ORDER BY score * (1 + 2.2::DOUBLE * proximity) DESC, document_id, page_no LIMIT 60""")
+def search_near(v: Views) -> DataFrame:
+    return search.search_near(pages_of(v), " ".join(TERMS)).select("document_id", "page_no", F.round("score", 6).alias("score"))
+
+
+HIT_SQL = r"(starts_with(regexp_replace(lower(x), '^[^\p{L}\p{N}]+', ''), 'from') OR starts_with(regexp_replace(lower(x), '^[^\p{L}\p{N}]+', ''), 'thre'))"
+
+
+@query(f"""WITH {PAGES_SQL}, w AS (SELECT document_id, page_no, string_split(body, ' ') AS w FROM line_pages),
+f AS (SELECT *, greatest(coalesce(list_min(list_filter(range(1, len(w) + 1), lambda i: {HIT_SQL.replace('lower(x)', 'lower(w[i])')})), 1) - 9, 0) AS cut FROM w)
+SELECT document_id, page_no, CASE WHEN cut > 0 THEN '… ' ELSE '' END || array_to_string(list_transform(w[cut + 1:cut + 24], lambda x: CASE WHEN {HIT_SQL} THEN '[' || x || ']' ELSE x END), ' ') || CASE WHEN len(w) > cut + 24 THEN ' …' ELSE '' END AS snippet FROM f""")
+def marked_snippet(v: Views) -> DataFrame:
+    return pages_of(v).select("document_id", "page_no", search.marked_snippet(F.col("body"), list(TERMS)).alias("snippet"))
+
+
+#: Lines packed into chunks as the operator packs them, one line after the other.
+CHUNKS_SQL = r"""RECURSIVE src AS (SELECT doc_id, rtrim(unnest(string_split(text, chr(10)))) AS line, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS i FROM documents),
+ln AS (SELECT doc_id, line, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS k FROM src WHERE trim(line) <> ''),
+fold AS (SELECT doc_id, k, 1 AS chunk, length(line) AS used FROM ln WHERE k = 1
+  UNION ALL SELECT ln.doc_id, ln.k, CASE WHEN f.used + length(ln.line) + 1 > 700 THEN f.chunk + 1 ELSE f.chunk END, CASE WHEN f.used + length(ln.line) + 1 > 700 THEN length(ln.line) ELSE f.used + length(ln.line) + 1 END
+  FROM fold f JOIN ln ON ln.doc_id = f.doc_id AND ln.k = f.k + 1),
+chunk AS (SELECT f.doc_id, f.chunk AS page_no, string_agg(ln.line, chr(10) ORDER BY ln.k) AS body FROM fold f JOIN ln ON ln.doc_id = f.doc_id AND ln.k = f.k GROUP BY 1, 2)"""
+
+
+@query(f"WITH {CHUNKS_SQL} SELECT doc_id, CAST(page_no AS INTEGER) AS page_no, sha256(body) AS body FROM chunk")
 def line_chunks(v: Views) -> DataFrame:
-    return corpus.line_chunks(v("documents"), ["doc_id"], "text").select("doc_id", "page_no", F.length("body").alias("chars"))
+    return corpus.line_chunks(v("documents"), ["doc_id"], "text").select("doc_id", "page_no", F.sha2("body", 256).alias("body"))
 
 
-@query()
+@query(f"""WITH {CHUNKS_SQL}, last AS (SELECT doc_id, max(page_no) AS last_chunk FROM chunk GROUP BY 1), w AS (SELECT d.doc_id, greatest(1, least(d.n_chars % 7, l.last_chunk)) AS page_no, l.last_chunk FROM documents d JOIN last l USING (doc_id))
+SELECT w.doc_id, CAST(w.page_no AS INTEGER) AS page_no, CAST(w.last_chunk AS INTEGER) AS last_chunk, sha256(c.body) AS body FROM w JOIN chunk c ON c.doc_id = w.doc_id AND c.page_no = w.page_no""")
 def chunk_lookup(v: Views) -> DataFrame:
     chunks = corpus.line_chunks(v("documents"), ["doc_id"], "text")
-    return corpus.chunk_lookup(chunks, v("documents").select("doc_id", (F.col("doc_id") % 7).cast("int").alias("n")), "doc_id").select("doc_id", "page_no", "last_chunk", F.length("body").alias("chars"))
+    wanted = v("documents").select("doc_id", (F.col("n_chars") % 7).cast("int").alias("n"))
+    return corpus.chunk_lookup(chunks, wanted, "doc_id").select("doc_id", "page_no", "last_chunk", F.sha2("body", 256).alias("body"))
 
 
 @query(r"""SELECT conv_id, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY i) AS INTEGER) AS page_no, body FROM (
@@ -193,10 +231,14 @@ def to_tsv(v: Views) -> DataFrame:
     return bank.to_tsv(v("documents").select("doc_id", "text"))
 
 
-@query()
+@query(r"""WITH t AS (SELECT page_id, regexp_replace(regexp_replace(regexp_replace(html, '(?is)<(script|style)[^>]*>.*?</(script|style)>|<!--.*?-->', ' ', 'g'),
+'(?i)</?(p|div|li|ul|h[1-6]|br|tr|article|section|nav|title)[^>]*>', chr(10) || chr(10), 'g'), '<[^>]+>', '', 'g') AS t FROM pages),
+u AS (SELECT page_id, string_split(replace(replace(replace(replace(replace(replace(t, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', chr(39)), '&nbsp;', ' '), '&amp;', '&'), chr(10) || chr(10)) AS parts FROM t),
+b AS (SELECT page_id, trim(unnest(parts)) AS body, unnest(range(1, len(parts) + 1)) AS i FROM u)
+SELECT page_id, CAST(row_number() OVER (PARTITION BY page_id ORDER BY i) AS INTEGER) AS page_no, sha256(body) AS body FROM b WHERE length(body) >= 10""")
 def web_pages(v: Views) -> DataFrame:
     plain = v("pages").select("page_id", corpus.web_text(F.col("html")).alias("text"))
-    return corpus.paragraph_pages(plain, ["page_id"], "text").select("page_id", "page_no", F.length("body").alias("chars"))
+    return corpus.paragraph_pages(plain, ["page_id"], "text").select("page_id", "page_no", F.sha2("body", 256).alias("body"))
 
 
 @query("""SELECT s_suppkey, s_name, s_acctbal + 1 AS s_acctbal FROM supplier WHERE s_suppkey % 3 = 0

@@ -127,4 +127,6 @@ def with_views(sql: str) -> str:
     body = plain(sql.strip())
     if not names:
         return body
+    if body.upper().startswith("WITH RECURSIVE "):
+        return f"WITH RECURSIVE {views}, {body[15:]}"
     return f"WITH {views}, {body[5:]}" if body.upper().startswith("WITH ") else f"WITH {views} {body}"
