@@ -63,7 +63,7 @@ def bm25(pages: DataFrame, terms: list[str], mode: str = "prefix", body: str = "
         base = pages.withColumn("__ts", squeezed(F.col(body)))
         tf = [occurrences(F.col("__ts"), F.lit(t.lower())) for t in terms]
         length = F.length("__ts")
-    counted = base.withColumn("__len", length.cast("long")).withColumns({f"__tf{i}": c for i, c in enumerate(tf)}).drop("__ts")
+    counted = base.withColumn("__len", F.coalesce(length.cast("long"), F.lit(0))).withColumns({f"__tf{i}": c for i, c in enumerate(tf)}).drop("__ts")
     stats = counted.agg(
         F.count("*").alias("__n"), F.greatest(F.coalesce(F.avg("__len"), F.lit(0.0)), F.lit(1.0)).alias("__avg"),
         *(F.count_if(F.col(f"__tf{i}") > 0).alias(f"__df{i}") for i in range(len(terms))),
