@@ -73,7 +73,11 @@ def layout_class(v: Views) -> DataFrame:
     return items.layout_class(v("box").select(F.col("page").alias("item_id"), (F.col("x1") - F.col("x0")).alias("width"), kind.alias("arrangement"), F.lit(0.8).alias("scale")))
 
 
-@query()
+@query("""WITH p AS (SELECT page, box_id AS panel_id, x0, y0, x1, y1 FROM {box} WHERE flag <> 'R'), l AS (SELECT page, box_id AS label_id, (x0 + x1) / 2 AS lx, (y0 + y1) / 2 AS ly FROM {box} WHERE flag = 'R'),
+n AS (SELECT p.page, panel_id, label_id, abs(lx - (x0 + x1) / 2) AS d, CASE WHEN lx BETWEEN x0 AND x1 AND ly BETWEEN y1 - 2 AND y1 + 28 THEN 0 WHEN (lx BETWEEN x0 AND x1 AND ly BETWEEN y0 - 28 AND y0 + 2) OR (ly BETWEEN y0 AND y1 AND lx BETWEEN x0 - 28 AND x0 + 2) THEN 1 END AS band FROM p JOIN l ON l.page = p.page),
+b AS (SELECT *, row_number() OVER (PARTITION BY page, panel_id ORDER BY band, d, label_id) AS k FROM n WHERE band IS NOT NULL), o AS (SELECT *, count(*) OVER (PARTITION BY page, label_id) AS users FROM b WHERE k = 1),
+w AS (SELECT o.page FROM o JOIN (SELECT page, count(*) AS need FROM p GROUP BY 1) q ON q.page = o.page WHERE users = 1 GROUP BY o.page, need HAVING count(*) = need)
+SELECT o.page AS item_id, panel_id, label_id FROM o JOIN w ON w.page = o.page""")
 def caption_for_panel(v: Views) -> DataFrame:
     b = v("box")
     panels = b.where("flag <> 'R'").select(F.col("page").alias("item_id"), F.col("box_id").alias("panel_id"), *layout.SIDES)
@@ -81,7 +85,11 @@ def caption_for_panel(v: Views) -> DataFrame:
     return items.caption_for_panel(panels, labels)
 
 
-@query()
+@query("""WITH w AS (SELECT page, box_id, flag, x0, y0, CAST(row_number() OVER (PARTITION BY page ORDER BY box_id) AS INTEGER) AS place FROM {box}),
+m AS (SELECT w.*, CASE WHEN y0 - lag(y0) OVER (PARTITION BY page ORDER BY y0, place) > 12 THEN 1 ELSE 0 END AS fresh FROM w WHERE place <= 5 AND page IN (SELECT page FROM w WHERE place = 5)),
+i AS (SELECT *, sum(fresh) OVER (PARTITION BY page ORDER BY y0, place ROWS UNBOUNDED PRECEDING) AS island FROM m), r AS (SELECT page, place, x0 AS mx, avg(y0) OVER (PARTITION BY page, island) AS row_y FROM i),
+n AS (SELECT w.*, r.place AS no, row_number() OVER (PARTITION BY w.page, w.box_id ORDER BY abs(w.y0 - row_y), mx DESC, r.place) AS k FROM w JOIN r ON r.page = w.page AND mx <= w.x0 WHERE w.place > 5)
+SELECT page, no, string_agg(flag, ' ' ORDER BY y0, x0, box_id) AS choice FROM n WHERE k = 1 GROUP BY 1, 2""")
 def choice_texts(v: Views) -> DataFrame:
     at = F.row_number().over(Window.partitionBy("page").orderBy("box_id"))
     marks = F.array(*map(F.lit, items.CHOICE_MARKS))
@@ -104,7 +112,10 @@ def continuation_text(v: Views) -> DataFrame:
     return items.continuation_text(c, c.where("turn % 3 = 0").withColumn("number", F.col("turn")))
 
 
-@query()
+@query("""WITH n AS (SELECT *, count(*) OVER (PARTITION BY page) AS on_page FROM {box} WHERE y1 - y0 >= 15 AND x1 - x0 >= 10),
+g AS (SELECT *, sum(fresh) OVER (PARTITION BY page ORDER BY x0, y0 ROWS UNBOUNDED PRECEDING) AS col FROM (SELECT *, CASE WHEN x0 - lag(x0) OVER (PARTITION BY page ORDER BY x0, y0) > 30 THEN 1 ELSE 0 END AS fresh FROM n WHERE on_page >= 2)),
+l AS (SELECT *, min(x0) OVER (PARTITION BY page, col) AS edge FROM g)
+SELECT page AS doc_id, 1 AS page_no, CAST(col AS BIGINT) AS col, CAST(box_id % 50 AS INTEGER) AS number, x0, y0 FROM l WHERE x0 - edge <= 15""")
 def segment_textbook_items(v: Views) -> DataFrame:
     b = v("box").select(F.col("page").alias("doc_id"), F.lit(1).alias("page_no"), (F.col("box_id") % 50).cast("string").alias("text"), *layout.SIDES, F.lit(False).alias("is_answer_head"))
     return items.segment_textbook_items(b)

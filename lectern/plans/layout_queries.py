@@ -126,7 +126,13 @@ def marks(v: Views) -> DataFrame:
     return v("set_item").select(F.col("set_id").alias("doc_id"), F.lit(1).alias("page_no"), F.concat(F.col("l_linenumber").cast("string"), F.lit(".")).alias("text"), (F.floor(F.col("l_quantity") / 10) * 150).cast("double").alias("x0"), (F.col("l_extendedprice") / 100).alias("y0"))
 
 
-@query()
+@query("""WITH m AS (SELECT set_id AS doc_id, CAST(l_linenumber AS INTEGER) AS number, floor(l_quantity / 10) * 150 AS x, l_extendedprice / 100 AS y FROM {set_item}),
+g AS (SELECT *, sum(fresh) OVER (PARTITION BY doc_id ORDER BY x, y, number ROWS UNBOUNDED PRECEDING) AS col FROM (SELECT *, CASE WHEN x - lag(x) OVER (PARTITION BY doc_id ORDER BY x, y, number) > 30 THEN 1 ELSE 0 END AS fresh FROM m)),
+k AS (SELECT * FROM (SELECT *, min(x) OVER (PARTITION BY doc_id, col) AS edge FROM g) WHERE abs(x - edge) <= 15),
+c AS (SELECT doc_id, col, lead(edge) OVER (PARTITION BY doc_id ORDER BY col) AS next_edge FROM (SELECT DISTINCT doc_id, col, edge FROM k)),
+o AS (SELECT k.doc_id, 1 AS page_no, number, CAST(k.col AS BIGINT) AS col, greatest(edge - 8, 0) AS x0, greatest(y - 8, 0) AS y0, coalesce(next_edge - 8, 842) AS x1, coalesce(lead(y) OVER (PARTITION BY k.doc_id, k.col ORDER BY y, number) - 8, 1161) AS y1
+  FROM k JOIN c ON c.doc_id = k.doc_id AND c.col = k.col)
+SELECT * FROM o WHERE y1 - y0 >= 60""")
 def segment_items(v: Views) -> DataFrame:
     pages = v("set_item").select(F.col("set_id").alias("doc_id")).distinct().select("doc_id", F.lit(1).alias("page_no"), F.lit(842.0).alias("width"), F.lit(1191.0).alias("height"))
     return layout.segment_items(marks(v), pages)
