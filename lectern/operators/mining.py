@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from lectern.functions.text import compact, first_match, formula_spans, strip_score
-from lectern.functions.windows import first_n
 
 # Phrases and patterns of question frames, first match wins.
 ASK_PHRASES = (
@@ -219,10 +217,6 @@ def join_broken_lines(lines: Column) -> Column:
     return F.trim(F.array_join(lines, ""))
 
 
-def global_unit_no(base: Column, local: Column) -> Column:
-    return base + local
-
-
 def normalize_quantities(text: Column) -> Column:
     """Fractions such as `3/4` outside formula marks become formulas."""
     parts = F.split(text, r"(?=\[\[formula:)|(?<=\]\])")
@@ -241,16 +235,3 @@ def formula_lint(text: Column, allowed: list[str]) -> Column:
         F.when(F.size(F.array_except(commands, F.array(*map(F.lit, allowed)))) > 0, "command"),
     )
     return F.filter(issues, lambda x: x.isNotNull())
-
-
-def first_samples(df: DataFrame, label: str, order: list[str], n: int = 5) -> DataFrame:
-    return first_n(df, [label], order, n)
-
-
-def tree_of_types(catalog: DataFrame) -> DataFrame:
-    """A nested catalog (domain, types: array of struct) as one row a type."""
-    return catalog.select("domain", F.explode("types").alias("t")).select("domain", "t.*")
-
-
-def all_of(cols: list[Column]) -> Column:
-    return reduce(lambda a, b: a & b, cols, F.lit(True))

@@ -93,34 +93,54 @@ def publish_report(df: DataFrame, path: str, order: list[str], form: str = "json
     df.orderBy(*order).write.mode("overwrite").format(form).save(path)
 
 
-def snapshot(tables: dict[str, DataFrame], root: str, slots: int = 3) -> None:
-    """Write all tables as slot 1; older slots move up by one and the oldest goes."""
-    spark = next(iter(tables.values())).sparkSession
+def _files(spark: SparkSession, root: str):
     path = spark._jvm.org.apache.hadoop.fs.Path
-    fs = path(root).getFileSystem(spark._jsc.hadoopConfiguration())
+    return path, path(root).getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def versions(spark: SparkSession, root: str) -> list[int]:
+    """The whole snapshots below `root`, the newest first; a version counts from when its mark is written."""
+    path, fs = _files(spark, root)
+    if not fs.exists(path(root)):
+        return []
+    found = [int(f.getPath().getName().removeprefix("version=")) for f in fs.listStatus(path(root)) if f.getPath().getName().startswith("version=")]
+    return sorted((n for n in found if fs.exists(path(f"{root}/version={n}/_SUCCESS"))), reverse=True)
+
+
+def snapshot(tables: dict[str, DataFrame], root: str, slots: int = 3, keep: tuple[int, ...] = ()) -> None:
+    """Write all tables as a new version; of the older ones the newest `slots` - 1 stay, and those in `keep`.
+
+    Nothing is renamed or written over: readers of a version aren't disturbed, and a failed snapshot leaves no mark.
+    """
+    spark = next(iter(tables.values())).sparkSession
+    path, fs = _files(spark, root)
+    new = 1 + max((int(f.getPath().getName().removeprefix("version=")) for f in (fs.listStatus(path(root)) if fs.exists(path(root)) else []) if f.getPath().getName().startswith("version=")), default=0)
     for name, df in tables.items():
-        df.write.mode("overwrite").parquet(f"{root}/incoming/table={name}")
-    fs.delete(path(f"{root}/slot={slots}"), True)
-    for k in range(slots - 1, 0, -1):
-        if fs.exists(path(f"{root}/slot={k}")):
-            fs.rename(path(f"{root}/slot={k}"), path(f"{root}/slot={k + 1}"))
-    fs.rename(path(f"{root}/incoming"), path(f"{root}/slot=1"))
+        df.write.parquet(f"{root}/version={new}/table={name}")
+    fs.create(path(f"{root}/version={new}/_SUCCESS")).close()
+    for old in versions(spark, root)[slots:]:
+        if old not in keep:
+            fs.delete(path(f"{root}/version={old}"), True)
 
 
 def list_snapshots(spark: SparkSession, root: str, tables: list[str], slots: int = 3) -> DataFrame:
-    """slot, table and rows of every snapshot that is there."""
-    path = spark._jvm.org.apache.hadoop.fs.Path
-    fs = path(root).getFileSystem(spark._jsc.hadoopConfiguration())
-    there = [(k, t) for k in range(1, slots + 1) for t in tables if fs.exists(path(f"{root}/slot={k}/table={t}"))]
-    counts = [spark.read.parquet(f"{root}/slot={k}/table={t}").agg(F.lit(k).alias("slot"), F.lit(t).alias("table"), F.count("*").alias("rows")) for k, t in there]
+    """slot (1 is the newest), table and rows of every snapshot that is there."""
+    path, fs = _files(spark, root)
     out = spark.createDataFrame([], "slot int, table string, rows long")
-    for c in counts:
-        out = out.unionByName(c)
+    for k, n in enumerate(versions(spark, root)[:slots], 1):
+        for t in tables:
+            if fs.exists(path(f"{root}/version={n}/table={t}")):
+                rows = spark.read.parquet(f"{root}/version={n}/table={t}")
+                out = out.unionByName(rows.agg(F.lit(k).alias("slot"), F.lit(t).alias("table"), F.count("*").alias("rows")))
     return out
 
 
-def restore(spark: SparkSession, root: str, slot: int, table: str) -> DataFrame:
-    return spark.read.parquet(f"{root}/slot={slot}/table={table}")
+def restore(spark: SparkSession, root: str, slot: int, table: str, current: dict[str, DataFrame] | None = None, slots: int = 3) -> DataFrame:
+    """A table of a snapshot; the `current` tables, if given, become the newest snapshot first, and the restored one stays."""
+    version = versions(spark, root)[slot - 1]
+    if current:
+        snapshot(current, root, slots, keep=(version,))
+    return spark.read.parquet(f"{root}/version={version}/table={table}")
 
 
 def lessons(conversations: DataFrame) -> DataFrame:
@@ -139,11 +159,6 @@ def web_text(html: Column) -> Column:
     return t
 
 
-def numbered_lines(docs: DataFrame, key: str, text: str, least: int = 10) -> DataFrame:
-    """One page a line of at least `least` characters, numbered by its place."""
-    return docs.select(key, F.posexplode(F.split(F.col(text), "\n")).alias("at", "body")).where(F.length(F.trim("body")) >= least).select(key, (F.col("at") + 1).alias("page_no"), "body")
-
-
 def day_gate(snapshots: DataFrame, today: Column) -> DataFrame:
     """Whether today's automatic snapshot is still to be made (snapshots: at)."""
     return snapshots.agg((F.count_if(F.to_date("at") == today) == 0).alias("due"))

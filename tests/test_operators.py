@@ -70,6 +70,8 @@ def test_snapshots_rotate(spark, tmp_path):
         corpus.snapshot({"t": spark.range(n)}, root)
     assert rows(corpus.list_snapshots(spark, root, ["t"])) == [(1, "t", 4), (2, "t", 3), (3, "t", 2)]
     assert corpus.restore(spark, root, 2, "t").count() == 3
+    oldest = corpus.restore(spark, root, 3, "t", {"t": spark.range(9)})
+    assert oldest.count() == 2 and rows(corpus.list_snapshots(spark, root, ["t"])) == [(1, "t", 9), (2, "t", 4), (3, "t", 3)]
 
 
 def test_ocr_words_and_inventory(spark, tmp_path):
