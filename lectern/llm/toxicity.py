@@ -35,7 +35,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from lectern.llm.arrow_io import append_columns
-from lectern.llm.grams import TextSums, gram_hashes, words_of
+from lectern.llm.grams import TOGETHER, TextSums, gram_hashes, words_of
 from lectern.llm.langid import held_out
 
 ORDERS = (3, 4, 5)
@@ -122,21 +122,35 @@ class Batch:
         return np.add.reduceat(spread[self.by_gram], self.starts, axis=0)
 
 
+def word_buckets(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """The buckets of all words' n-grams, word by word, and where each word's begin; some words at a time."""
+    parts, sizes = [], []
+    for low in range(0, len(words), TOGETHER):
+        some = words[low : low + TOGETHER]
+        owner, h = gram_hashes(some, ORDERS)
+        parts.append((h % np.uint64(BUCKETS)).astype(np.int32)[np.argsort(owner, kind="stable")])
+        sizes.append(np.bincount(owner, minlength=len(some)))
+    return np.concatenate(parts), np.concatenate([[0], np.cumsum(np.concatenate(sizes))])
+
+
 def batches_of(labels: np.ndarray, doc: np.ndarray, words: list[str], word: np.ndarray, count: np.ndarray, rng: np.random.Generator) -> tuple[list[Batch], np.ndarray]:
     """The documents in batches, dealt at random, and the buckets of their n-grams."""
-    owner, h = gram_hashes(words, ORDERS)
-    order = np.argsort(owner, kind="stable")
-    buckets, grams = np.unique((h[order] % np.uint64(BUCKETS)).astype(np.int64), return_inverse=True)
-    at = np.searchsorted(owner[order], np.arange(len(words) + 1))
+    grams, at = word_buckets(words)
+    buckets = np.unique(grams)
+    place_of = np.zeros(BUCKETS, np.int32)
+    place_of[buckets] = np.arange(len(buckets))
+    grams = place_of[grams]
     total = np.maximum(np.bincount(doc, weights=count, minlength=len(labels)), 1)
-    place = rng.permutation(len(labels))
+    order = rng.permutation(len(labels))
+    by_doc = np.argsort(doc, kind="stable")  # entries of each document
+    ends = np.searchsorted(doc[by_doc], np.arange(len(labels) + 1))
     out = []
     for low in range(0, len(labels), BATCH):
-        own = np.nonzero((place[doc] >= low) & (place[doc] < low + BATCH))[0]
-        own = own[np.argsort(place[doc[own]], kind="stable")]
-        members = np.argsort(place)[low : low + BATCH]
+        members = order[low : low + BATCH]
+        own = np.concatenate([by_doc[ends[d] : ends[d + 1]] for d in members])
         if len(own):
-            out.append(Batch(labels[members], place[doc[own]] - low, count[own] / total[doc[own]], word[own], grams, at, len(buckets)))
+            of = np.repeat(np.arange(len(members)), ends[members + 1] - ends[members])
+            out.append(Batch(labels[members], of, count[own] / total[doc[own]], word[own], grams, at, len(buckets)))
     return out, buckets
 
 
@@ -180,9 +194,9 @@ def learn(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, entrie
     coded = lists.flatten().dictionary_encode()
     if not len(coded):
         return Model(None, 0.0)
-    doc = np.repeat(np.arange(len(found)), pc.list_value_length(lists).to_numpy())
+    doc = np.repeat(np.arange(len(found), dtype=np.int32), pc.list_value_length(lists).to_numpy())
     counts = rows["counts"].combine_chunks().flatten().to_numpy()
-    return train(found, doc, coded.dictionary.to_pylist(), coded.indices.to_numpy().astype(np.int64), counts)
+    return train(found, doc, coded.dictionary.to_pylist(), coded.indices.to_numpy(), counts)
 
 
 def score(df: DataFrame, model: Model, text: str = "text", keep: list[str] | None = None) -> DataFrame:
