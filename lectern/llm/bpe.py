@@ -31,7 +31,7 @@ from pyspark.sql import types as T
 from lectern.llm.arrow_io import append_columns
 
 #: Chunks whose ids a Python worker keeps at hand, twice. Results don't depend on it.
-CACHED = 100_000
+CACHED = 60_000
 #: White space for str.split() that the tokenizer's pattern counts as symbols.
 SEPARATORS = regex.compile("[\x1c-\x1f]")
 
