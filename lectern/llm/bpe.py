@@ -20,6 +20,7 @@ import heapq
 import json
 import struct
 import unicodedata
+from collections.abc import Callable
 from functools import lru_cache
 
 import numpy as np
@@ -30,8 +31,10 @@ from pyspark.sql import types as T
 
 from lectern.llm.arrow_io import append_columns
 
-#: Chunks whose ids a Python worker keeps at hand, twice. Results don't depend on it.
-CACHED = 60_000
+#: Bytes of chunks and their ids that a Python worker keeps at hand, at most twice; an entry costs ENTRY besides. Results don't depend on it.
+CACHED, ENTRY = 6 << 20, 200
+#: Chunks of a text that are looked up at a time.
+TOGETHER = 1 << 14
 #: White space for str.split() that the tokenizer's pattern counts as symbols.
 SEPARATORS = regex.compile("[\x1c-\x1f]")
 
@@ -131,21 +134,19 @@ class WordBpe:
 
 
 class Packed(dict):
-    """Packed ids by chunk, computed when first asked for. When full, it keeps the last CACHED chunks and those asked for again."""
+    """Packed ids by chunk, computed when first asked for; `older` is asked before that."""
 
-    def __init__(self, bpe: WordBpe):
+    def __init__(self, bpe: WordBpe, older: dict[str, bytes]):
         super().__init__()
-        self.bpe, self.older = bpe, {}
+        self.bpe, self.older, self.room = bpe, older, CACHED
 
     def __missing__(self, chunk: str) -> bytes:
-        if len(self) >= CACHED:
-            self.older = dict(self)
-            self.clear()
         got = self.older.get(chunk)
         if got is None:
             got = self.bpe.chunk(chunk)
         if len(chunk) < 64:
             self[chunk] = got
+            self.room -= ENTRY + len(chunk) + len(got)
         return got
 
 
@@ -162,13 +163,19 @@ def encoder(path: str) -> Encoder:
 
 class Encoder:
     def __init__(self, bpe: WordBpe):
-        self.bpe, self.packed = bpe, Packed(bpe)
+        self.bpe, self.packed = bpe, Packed(bpe, {})
 
     def plain(self, text: str) -> bytes:
         # Sigma loses its context-dependent lower case: the tokenizer lowers one character at a time.
         text = unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()
         chunks = self.bpe.pieces.findall(text) if SEPARATORS.search(text) else text.split()
-        return b"".join(map(self.packed.__getitem__, chunks))
+        parts = []
+        for at in range(0, len(chunks), TOGETHER):
+            if self.packed.room <= 0:  # what is asked for again moves from the full table into the new one
+                self.packed.older = {}
+                self.packed = Packed(self.bpe, self.packed)
+            parts += map(self.packed.__getitem__, chunks[at : at + TOGETHER])
+        return b"".join(parts)
 
     def __call__(self, text: str | None) -> bytes:
         if not text:
@@ -180,24 +187,43 @@ class Encoder:
         return b"".join([*parts, self.plain(text[at:])])
 
 
-def bpe_encode(df: DataFrame, tokenizer: str, text: str = "text", keep: list[str] | None = None) -> DataFrame:
+def joined_strings(names: list[str]) -> Callable[[bytes | None], str]:
+    """What decodes packed ids: their strings in `names`, one blank between them."""
+    known = np.array([bool(x) for x in names])
+
+    def one(packed: bytes | None) -> str:
+        found = np.frombuffer(packed or b"", "<u4")
+        if len(found) and (found.max() >= len(names) or not known[found].all()):
+            found = found[found < len(names)]
+            found = found[known[found]]
+        return " ".join(map(names.__getitem__, found.tolist()))
+
+    return one
+
+
+def bpe_encode(df: DataFrame, tokenizer: str, text: str = "text", keep: list[str] | None = None, decode: bool = False) -> DataFrame:
     """`keep` columns of `df` (None: all), `ids` (little-endian unsigned 32-bit integers, packed) and `n_tokens`.
 
+    With `decode` also `decoded`, what `bpe_decode` makes of the ids, by the same Python worker.
     No shuffle: each task encodes its own rows and keeps the ids of frequent words at hand.
     `tokenizer` is the path of the file on every machine, as where the package that holds it is installed.
     """
-    added = T.StructType([T.StructField("ids", T.BinaryType()), T.StructField("n_tokens", T.LongType())])
+    added = [T.StructField("ids", T.BinaryType()), T.StructField("n_tokens", T.LongType())]
+    if decode:
+        added.append(T.StructField("decoded", T.StringType()))
 
     def compute():
         encode = encoder(tokenizer)
+        one = joined_strings(load(tokenizer).names) if decode else None
 
         def work(texts: pa.Array) -> list[pa.Array]:
             ids = [encode(t) for t in texts.to_pylist()]
-            return [pa.array(ids, pa.binary()), pa.array([len(x) // 4 for x in ids], pa.int64())]
+            arrays = [pa.array(ids, pa.binary()), pa.array([len(x) // 4 for x in ids], pa.int64())]
+            return [*arrays, pa.array(map(one, ids), pa.string())] if decode else arrays
 
         return work
 
-    return append_columns(df, text, keep, added, compute)
+    return append_columns(df, text, keep, T.StructType(added), compute)
 
 
 def bpe_decode(df: DataFrame, tokenizer: str, ids: str = "ids", keep: list[str] | None = None) -> DataFrame:
@@ -208,16 +234,7 @@ def bpe_decode(df: DataFrame, tokenizer: str, ids: str = "ids", keep: list[str]
     added = T.StructType([T.StructField("decoded", T.StringType())])
 
     def compute():
-        names = vocabulary(tokenizer)
-        known = np.array([bool(x) for x in names])
-
-        def one(packed: bytes | None) -> str:
-            found = np.frombuffer(packed or b"", "<u4")
-            if len(found) and (found.max() >= len(names) or not known[found].all()):
-                found = found[found < len(names)]
-                found = found[known[found]]
-            return " ".join(map(names.__getitem__, found.tolist()))
-
+        one = joined_strings(vocabulary(tokenizer))
         return lambda packed: [pa.array([one(x) for x in packed.to_pylist()], pa.string())]
 
     return append_columns(df, ids, keep, added, compute)

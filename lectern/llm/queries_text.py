@@ -20,9 +20,7 @@ def word_tokenizer() -> str:
 
 
 def token_digests(docs: DataFrame) -> DataFrame:
-    path = word_tokenizer()
-    encoded = bpe.bpe_encode(docs, path, keep=["doc_id"])
-    decoded = bpe.bpe_decode(encoded, path)
+    decoded = bpe.bpe_encode(docs, word_tokenizer(), keep=["doc_id"], decode=True)
     return decoded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 

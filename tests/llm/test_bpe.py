@@ -45,6 +45,22 @@ def test_whole_table(spark, library):
     assert got == sorted(want, key=str)
 
 
+def test_decoding_while_encoding(spark):
+    d = docs(spark)
+    both = bpe.bpe_encode(d, word_tokenizer(), keep=["doc_id"], decode=True)
+    apart = bpe.bpe_decode(bpe.bpe_encode(d, word_tokenizer(), keep=["doc_id"]), word_tokenizer())
+    assert both.columns == apart.columns and sorted(map(str, both.collect())) == sorted(map(str, apart.collect()))
+
+
+def test_full_caches_change_nothing(monkeypatch):
+    text = " ".join(f"word{i % 700} {'x' * (i % 80)}" for i in range(5000))
+    want = bpe.Encoder(bpe.load(word_tokenizer()))(text)
+    monkeypatch.setattr(bpe, "CACHED", 3000)
+    monkeypatch.setattr(bpe, "TOGETHER", 50)
+    small = bpe.Encoder(bpe.load(word_tokenizer()))
+    assert small(text) == want and small(text) == want and len(small.packed) < 100
+
+
 def test_clashing_names_and_empty_table(spark):
     from pyspark.sql import functions as F
 

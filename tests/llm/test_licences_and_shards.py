@@ -73,8 +73,9 @@ def test_scan(spark, tmp_path):
     assert got[4].licence is None and got[4].line_licences == ""
     assert len(found) == len(rows)
     assert licences.scan(empty(spark), licences.known_licences(spark)).count() == 0
-    documents = d.toPandas()  # noqa: F841
-    assert sorted(map(str, duckdb.sql(licences.oracle_scan()).fetchall())) == sorted(str(tuple(r)) for r in found)
+    c = duckdb.connect()
+    c.sql(f"create view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")  # not by way of pandas, where ids with nulls become floats
+    assert sorted(map(str, c.sql(licences.oracle_scan()).fetchall())) == sorted(str(tuple(r)) for r in found)
 
 
 def one_by_one(sizes, shards):
