@@ -75,7 +75,8 @@ def split_choices(text: Column) -> Column:
 
 
 def formula_spans(text: Column) -> Column:
-    return F.regexp_extract_all(text, F.lit(r"\[\[formula:(.*?)\]\]"), 1)
+    """What stands in formula marks, which may go over line ends; at least one character."""
+    return F.regexp_extract_all(text, F.lit(r"(?s)\[\[formula:(.+?)\]\]"), 1)
 
 
 def item_digest(*cols: Column) -> Column:
