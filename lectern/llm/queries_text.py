@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm import bpe, gif, langid, licences, mixing, radix_dedup, sharding, simhash, toxicity, warc
+from lectern.llm import bpe, fim, gif, langid, licences, mixing, radix_dedup, sharding, simhash, toxicity, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -78,3 +78,13 @@ def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_gif(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents stored as GIFs and read back."""
     return gif.media_digests(table(spark, sf_dir, "documents"))
+
+
+def op12_fim(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document cut for filling in its middle, and restored: forms, lengths and digests."""
+    made = fim.fill_in_middle(table(spark, sf_dir, "documents"), keep=["doc_id"])
+    back = fim.restored(made)
+    return back.select(
+        "doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2(F.col("output").cast("binary"), 256).alias("output_sha256"),
+        F.sha2(F.col("restored").cast("binary"), 256).alias("restored_sha256"),
+    )
