@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm import bpe, fim, gif, langid, licences, mixing, radix_dedup, sharding, simhash, toxicity, warc
+from lectern.llm import bpe, fim, gif, hard_negatives, langid, licences, mixing, radix_dedup, sharding, simhash, toxicity, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -88,3 +88,9 @@ def op12_fim(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2(F.col("output").cast("binary"), 256).alias("output_sha256"),
         F.sha2(F.col("restored").cast("binary"), 256).alias("restored_sha256"),
     )
+
+
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hard negatives of every anchor and positive among all embeddings."""
+    found = hard_negatives.hard_negatives(table(spark, sf_dir, "embeddings"))
+    return found.drop("anchor_row", "positive_row", "negative_row")

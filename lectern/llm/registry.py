@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lectern.llm import fim, licences, mixing, queries_text, radix_dedup
+from lectern.llm import fim, hard_negatives, licences, mixing, queries_text, radix_dedup
 
 QUERIES = {
     "op1_bpe": queries_text.op1_bpe,
@@ -15,11 +15,13 @@ QUERIES = {
     "op8_exact_dedup": queries_text.op8_exact_dedup,
     "op9_language_id": queries_text.op9_language_id,
     "op10_simhash": queries_text.op10_simhash,
+    "op11_hard_negatives": queries_text.op11_hard_negatives,
     "op12_fim": queries_text.op12_fim,
 }
 ORACLES = {
     "op2_licence_scan": licences.oracle_scan(),
     "op5_mix": mixing.ORACLE_MIX,
     "op8_exact_dedup": radix_dedup.ORACLE_GROUPS,
+    "op11_hard_negatives": hard_negatives.ORACLE_HARD,
     "op12_fim": fim.ORACLE_FIM,
 }
