@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm import bpe, fim, gif, hard_negatives, langid, licences, mixing, radix_dedup, sharding, simhash, toxicity, warc
+from lectern.llm import bpe, fim, gif, hard_negatives, langid, licences, mixing, partenum, radix_dedup, sharding, simhash, toxicity, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -94,3 +94,8 @@ def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hard negatives of every anchor and positive among all embeddings."""
     found = hard_negatives.hard_negatives(table(spark, sf_dir, "embeddings"))
     return found.drop("anchor_row", "positive_row", "negative_row")
+
+
+def op13_partenum(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents with the size of their n-gram set and the component of similar sets."""
+    return partenum.similar_sets(table(spark, sf_dir, "documents"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lectern.llm import fim, hard_negatives, licences, mixing, queries_text, radix_dedup
+from lectern.llm import fim, hard_negatives, licences, mixing, partenum, queries_text, radix_dedup
 
 QUERIES = {
     "op1_bpe": queries_text.op1_bpe,
@@ -17,6 +17,7 @@ QUERIES = {
     "op10_simhash": queries_text.op10_simhash,
     "op11_hard_negatives": queries_text.op11_hard_negatives,
     "op12_fim": queries_text.op12_fim,
+    "op13_partenum": queries_text.op13_partenum,
 }
 ORACLES = {
     "op2_licence_scan": licences.oracle_scan(),
@@ -24,4 +25,5 @@ ORACLES = {
     "op8_exact_dedup": radix_dedup.ORACLE_GROUPS,
     "op11_hard_negatives": hard_negatives.ORACLE_HARD,
     "op12_fim": fim.ORACLE_FIM,
+    "op13_partenum": partenum.ORACLE_SIMILAR,
 }
