@@ -12,14 +12,16 @@ signatures whose expected number of elements is large enough for the number of s
 that few unlike sets meet because a subset is empty in both.
 
 Signatures travel as packed arrays, a blob for each batch of sets and each range of
-signatures; of the sets in a batch that share one, the first goes along and the others are
-tied to it on the spot. A signature's sets are tied to the smallest. Ties are decided by
-comparing whole sets. Then, where sets with a common signature are still in different
-components, all pairs across these are decided too, after sizes and parity counts (which
-never exceed the differences) have been looked at. So components are exact, and a large
-group of near copies costs about a comparison for each of its sets.
+signatures; of the sets in a batch that share one, a leader goes along and the others are
+tied to it on the spot, and so are the leaders of batches to one of theirs. A set is
+compared, whole, with the LEADERS that it shares most signatures with, and in large groups
+with some drawn at random. Then, where sets with
+a common signature are still in different components, all pairs across these are looked at
+too, in numpy: sizes and parity counts (which never exceed the differences) leave few that
+have to be compared. So components are exact, and a large group of near copies costs about LEADERS
+comparisons for each of its sets.
 
-Equal texts (letters' case and white space aside) are one node, however many copies.
+Equal texts are one node, however many copies; of equal sets in a batch one stands for all.
 
 Defined results: null, empty and wordless texts have no n-grams and link with nothing;
 fewer words than SHINGLE make one; rows with a null id take part, and a component of such
@@ -37,7 +39,8 @@ from math import ceil, comb, log
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+import xxhash
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lectern.llm.arrow_io import runs_of
@@ -57,6 +60,10 @@ PER_BYTE = 0.15
 MEETING = 6
 #: 64-bit words of a set's parity.
 PARITY = 8
+#: A key with more members has them meet at random first.
+FEW = 8
+#: Members of a key in a block, those of them that are compared with a block at a time, and pairs that a task remembers.
+BLOCK, STRIP, SEEN = 4096, 128, 200_000
 
 
 def most_apart(total: int) -> int:
@@ -127,8 +134,10 @@ def signatures(sets: list[np.ndarray], wanted: float) -> tuple[np.ndarray, np.nd
 
 
 def tied(keys: np.ndarray, nodes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(key, first node, other node) of nodes with equal keys, and where the first ones stand."""
-    order = np.lexsort((nodes, keys))
+    """(key, leader, other node) of nodes with equal keys, and where the leaders stand: each key has a leader drawn for it."""
+    with np.errstate(over="ignore"):
+        drawn = mixed(keys.astype(np.uint64) ^ mixed(nodes.astype(np.uint64)))
+    order = np.lexsort((drawn, keys))
     keys, nodes = keys[order], nodes[order]
     new = np.ones(len(keys), bool)
     new[1:] = keys[1:] != keys[:-1]
@@ -137,6 +146,9 @@ def tied(keys: np.ndarray, nodes: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
     return keys[rest], nodes[lead][rest], nodes[rest], order[new]
 
 
+#: Leaders that each node is compared with at first, those that it shares most keys with.
+LEADERS = 3
+
 FIELDS = "range long, base long, keys binary, places binary, node long, n long, key long, first long"
 
 
@@ -148,8 +160,15 @@ def signed(nodes: DataFrame, ranges: int, wanted: float) -> DataFrame:
         return pa.RecordBatch.from_arrays([pa.array(columns[f.name], f.type) if f.name in columns else pa.nulls(count, f.type) for f in schema], schema=schema)
 
     def batch_of(ids: np.ndarray, sets: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-        n = len(ids)
-        yield rows(n, range=ids % ranges, node=ids, n=[len(s) for s in sets])
+        yield rows(len(ids), range=ids % ranges, node=ids, n=[len(s) for s in sets])
+        # Of equal sets one gives signatures, the others are tied to it under a key of their own.
+        kept: dict[bytes, int] = {}
+        lead = [kept.setdefault(xxhash.xxh3_128_digest(s.tobytes()), i) if len(s) else i for i, s in enumerate(sets)]
+        again = np.flatnonzero(np.array(lead) != np.arange(len(ids)))
+        if len(again):
+            yield rows(len(again), range=ids[again] % ranges, key=-1 - ids[again], first=ids[np.array(lead)[again]], node=ids[again])
+            ids = np.delete(ids, again)
+            sets = [s for i, s in enumerate(sets) if lead[i] == i]
         found, places = signatures(sets, wanted)
         # A key is its range, then 32 bits.
         keys = ((found % np.uint64(ranges)) << np.uint64(32) | found >> np.uint64(32)).view(np.int64)
@@ -241,33 +260,86 @@ def linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return both.where(alike(F.size(F.array_intersect("ha", "hb")), F.col("total"))).select("a", "b")
 
 
+def near_parities(sizes: tuple[np.ndarray, np.ndarray], parities: tuple[np.ndarray, np.ndarray], roots: tuple[np.ndarray, np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places (i, j) of members of two blocks in different components whose sizes and parities don't tell them apart, in strips."""
+    for at in range(0, len(sizes[0]), STRIP):
+        strip = slice(at, at + STRIP)
+        total = sizes[0][strip, None] + sizes[1][None, :]
+        near = np.minimum(sizes[0][strip, None], sizes[1][None, :]) * (100 + LIKE) >= total * LIKE
+        near &= roots[0][strip, None] != roots[1][None, :]
+        apart = np.zeros(near.shape, np.uint16)
+        for k in range(PARITY):
+            apart += np.bitwise_count(parities[0][strip, None, k] ^ parities[1][None, :, k])
+        # As many as `apart` differ, so at most (total - apart) / 2 are shared.
+        near &= apart * np.int64(100 + LIKE) <= (100 - LIKE) * total
+        i, j = np.nonzero(near)
+        yield i + at, j
+
+
+def untied(members: DataFrame, torn: DataFrame) -> DataFrame:
+    """Pairs (a, b) of nodes with a common key in different components whose sets may be similar, by parities in numpy, block by block.
+
+    `members` has key, node, root, n and parity, `torn` key, lead and m, the members there are. Keys with the same lead
+    meet in one task, where pairs that came with an earlier key are left out as long as SEEN of them are held.
+    """
+    sized = members.join(torn.select("key", "lead", F.ceil(F.col("m") / BLOCK).alias("blocks")), "key")
+    own = sized.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks"))).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    own = own.select("lead", F.least("block", "other").alias("p"), F.greatest("block", "other").alias("q"), "key", "block", "node", "root", "n", "parity")
+    keys = ["lead", "p", "q", "key"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task, seen = None, set()
+        for key, rows in runs_of(batches, len(keys)):
+            if key[:3] != task or len(seen) > SEEN:
+                task, seen = key[:3], set()
+            block, node, root, n = (rows.column(c).to_numpy() for c in ("block", "node", "root", "n"))
+            parity = rows.column("parity").combine_chunks().flatten().to_numpy().view(np.uint64).reshape(-1, PARITY)  # signed numbers count as their absolute values
+            p, q = (np.flatnonzero(block == x) for x in key[1:3])
+            for i, j in near_parities((n[p], n[q]), (parity[p], parity[q]), (root[p], root[q])):
+                a, b = node[p[i]], node[q[j]]
+                pairs = set(zip(np.minimum(a, b).tolist(), np.maximum(a, b).tolist())) - seen
+                if pairs:
+                    seen |= pairs
+                    yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in pairs], pa.int64()), pa.array([x for _, x in pairs], pa.int64())], names=["a", "b"])
+
+    return own.repartition("lead", "p", "q").sortWithinPartitions(*keys).mapInArrow(run, "a long, b long")
+
+
 def links(nodes: DataFrame, ties: DataFrame) -> DataFrame:
     """Links (a, b) that connect exactly the nodes with similar sets, from ties (key, first, node) between nodes with a common signature."""
-    first = written(ties.groupBy("node").agg(F.min("first").alias("first")).select(F.col("first").alias("a"), F.col("node").alias("b")), "first-pairs")
+    met = ties.groupBy("node", "first").agg(F.count("*").alias("keys"))
+    most = met.withColumn("k", F.row_number().over(Window.partitionBy("node").orderBy(F.desc("keys"), "first"))).where(F.col("k") <= LEADERS)
+    first = written(most.select(F.least("first", "node").alias("a"), F.greatest("first", "node").alias("b")).distinct(), "first-pairs")
     some = written(ties.select("node").unionByName(ties.select(F.col("first").alias("node"))).distinct(), "tied-nodes")
     sets = written(whole_sets(nodes.join(some, "node")), "sets")
     roots = stars(linked(first, sets))
-    root_of = lambda c: F.coalesce(c, "node")
-    led = ties.select("key", F.col("first").alias("node")).distinct().unionByName(ties.select("key", "node"))
-    members = written(led.join(roots, "node", "left").select("key", "node", root_of("root").alias("root")), "members")
-    torn = written(members.groupBy("key").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a <> b").select("key"), "torn")
-    members = written(members.join(torn, "key").distinct(), "torn-members")
-    groups = members.select("key", F.col("root").alias("other")).distinct()
-    others = members.select("key", F.col("root").alias("other"), F.col("node").alias("b"))
-    across = members.join(groups, "key").where("root < other").select("key", "other", F.col("node").alias("a")).join(others, ["key", "other"])
-    across = written(across.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(first, ["a", "b"], "left_anti"), "pairs")
+    led = written(ties.select("key", F.col("first").alias("node")).distinct().unionByName(ties.select("key", "node")), "led")
+    members, torn = torn_apart(led, roots)
+    # In a large group each member meets another at random for each of its keys; most groups that hang together do so after that.
+    drawn = Window.partitionBy("key").orderBy(F.xxhash64("key", "node"))
+    crowded = members.join(torn.where(F.col("m") > FEW).select("key"), "key")
+    chained = crowded.select("root", "node", F.lag("root").over(drawn).alias("other"), F.lag("node").over(drawn).alias("before")).where("root <> other")
+    chained = chained.select(F.least("before", "node").alias("a"), F.greatest("before", "node").alias("b")).distinct()
+    hung = roots.select(F.col("root").alias("a"), F.col("node").alias("b"))
+    roots = stars(linked(written(chained.join(first, ["a", "b"], "left_anti"), "drawn-pairs"), sets).unionByName(hung))
+    members, torn = torn_apart(led, roots)
+    looked = members.join(sets.select("node", "n", "parity"), "node")
+    across = written(untied(looked, torn).distinct().join(first, ["a", "b"], "left_anti"), "pairs")
     return linked(across, sets).unionByName(roots.select(F.col("root").alias("a"), F.col("node").alias("b")))
 
 
-def plain_words(text: Column) -> Column:
-    """A to Z in lower case, one blank between words, none at the ends; empty for null."""
-    return F.trim(F.regexp_replace(F.translate(F.coalesce(text, F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), r"[\x20\x09-\x0D]+", " "))
+def torn_apart(led: DataFrame, roots: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(key, node, root) of all members, and (key, lead, m) of keys whose members are in different components: the least root and their number."""
+    members = written(led.join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root")).distinct(), "members")
+    torn = members.groupBy("key").agg(F.min("root").alias("lead"), F.max("root").alias("last"), F.count("*").alias("m"))
+    torn = written(torn.where("lead <> last").drop("last"), "torn")
+    return members.join(torn.select("key"), "key", "left_semi"), torn
 
 
 def similar_sets(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row for each row of `df`: doc_id, n_shingles and component_id (the smallest id reachable over links)."""
-    words = df.select(F.col(f"`{doc_id}`").alias("doc_id"), plain_words(F.col(f"`{text}`")).alias("text"))
-    keyed = words.select(F.unhex(F.sha2("text", 256)).alias("digest"), "doc_id", "text")
+    words = df.select(F.col(f"`{doc_id}`").alias("doc_id"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text"))
+    keyed = words.select(F.unhex(F.sha2(F.col("text").cast("binary"), 256)).alias("digest"), "doc_id", "text")
     copies = written(keyed.select("digest", "doc_id"), "digests")
     least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id")).alias("least")
     nodes = keyed.groupBy("digest").agg(least, F.first("text").alias("text"))

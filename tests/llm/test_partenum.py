@@ -56,6 +56,9 @@ def test_like_brute_force(spark, monkeypatch, small):
     if small:  # many batches and ranges
         monkeypatch.setattr(pe, "BATCH", 500)
         monkeypatch.setattr(pe, "RANGE", 2000)
+        monkeypatch.setattr(pe, "BLOCK", 3)
+        monkeypatch.setattr(pe, "SEEN", 5)
+        monkeypatch.setattr(pe, "LEADERS", 1)
     rows = mixed_rows(1) + [(1000 + i if r[0] is not None else None, *r[1:]) for i, r in enumerate(ROWS)]
     d = docs(spark, rows).selectExpr("*", "1 AS node", "2 AS digest", "3 AS n")
     got = sorted(str(tuple(r)) for r in pe.similar_sets(d).collect())
