@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from dataclasses import dataclass
 from functools import reduce
 
 import ahocorasick
@@ -16,6 +15,7 @@ from pyspark.sql.window import Window
 
 from lectern.functions.text import occurrences, query_terms, squeezed, tokens
 from lectern.functions.windows import relative_pct
+from lectern.operators.index import Index, PieceIndex, build_index, build_piece_index, places_of_terms
 from lectern.scratch import written
 
 K1, B = 1.5, 0.75
@@ -94,38 +94,6 @@ def search(pages: DataFrame, query: str, limit: int = 60, doc_id: int | None = N
     return out.drop("__best").orderBy(F.desc("score"), "document_id", "page_no").limit(limit)
 
 
-@dataclass
-class Index:
-    """A stored index of pages: postings in the order of their tokens, the vocabulary, and two totals."""
-
-    postings: DataFrame
-    vocabulary: DataFrame
-    pages: int
-    mean_tokens: float
-
-
-def build_index(pages: DataFrame, path: str) -> Index:
-    """Store the index of `pages` below `path`; pages are read once.
-
-    Postings (token, document_id, page_no, tf, page_tokens, doc_type) are ranged and sorted by token and document, so
-    statistics of files and row groups leave out what a term's tokens aren't in, and no token makes a file of its own.
-    The vocabulary has each token with the number of its pages.
-    """
-    spark = pages.sparkSession
-    t = pages.select("document_id", "page_no", "doc_type", tokens(F.col("body")).alias("ts"))
-    t = t.select("document_id", "page_no", "doc_type", F.size("ts").cast("long").alias("page_tokens"), F.posexplode_outer("ts").alias("at", "token"))
-    rows = t.groupBy("document_id", "page_no", "token").agg(
-        F.count("token").alias("tf"), F.min("at").alias("at"), F.first("doc_type").alias("doc_type"), F.first("page_tokens").alias("page_tokens")
-    )
-    rows.repartitionByRange("token", "document_id").sortWithinPartitions("token", "document_id").write.parquet(f"{path}/postings")
-    stored = spark.read.schema(rows.schema).parquet(f"{path}/postings")
-    stored.where("token is not null").groupBy("token").agg(F.count("*").alias("df"), F.sum("tf").alias("n")).write.parquet(f"{path}/vocabulary")
-    # A page without tokens has a row with a null token; each page has one row with its first token or none.
-    totals = stored.agg(F.coalesce(F.sum("tf"), F.lit(0)).alias("tokens"), F.count_if(F.coalesce("at", F.lit(0)) == 0).alias("pages")).first()
-    mean = max(totals.tokens / totals.pages if totals.pages else 0.0, 1.0)
-    return Index(stored, spark.read.parquet(f"{path}/vocabulary"), totals.pages, mean)
-
-
 def part_of_score(index: Index, tf: Column, df: Column, length: Column) -> Column:
     return F.log(1 + (F.lit(index.pages) - df + 0.5) / (df + 0.5)) * tf * (K1 + 1) / (tf + K1 * (1 - B + B * length / F.lit(index.mean_tokens)))
 
@@ -208,6 +176,59 @@ def proximity(norm: Column, terms: list[str]) -> Column:
     return F.coalesce(F.greatest(F.lit(0.0), 1 - (best - sum(map(len, terms))) / F.lit(140.0)), F.lit(0.0))
 
 
+#: Hits of a term that are looked at for nearness.
+HITS = 60
+
+
+def narrowest(at: list[Column], sizes: list[int]) -> Column:
+    """The shortest stretch with a hit of every term, from arrays of where the terms' hits begin; null if there is none.
+
+    One sweep over the merged lists from the last hit to the first: each term's nearest end is kept, and every hit may
+    begin a stretch.
+    """
+    begun = F.flatten(F.array(*(F.transform(a, lambda x: F.struct(x.alias("at"), F.lit(i).alias("term"))) for i, a in enumerate(at))))  # noqa: B023
+    start = F.struct(*(F.lit(None).cast("int").alias(f"e{i}") for i in range(len(at))), F.lit(None).cast("int").alias("best"))
+
+    def step(acc: Column, hit: Column) -> Column:
+        ends = [F.when(hit.term == i, hit["at"] + n).otherwise(acc[f"e{i}"]) for i, n in enumerate(sizes)]
+        span = F.when(reduce(lambda a, b: a & b, (e.isNotNull() for e in ends)), (F.greatest(*ends) if len(ends) > 1 else ends[0]) - hit["at"])
+        return F.struct(*(e.alias(f"e{i}") for i, e in enumerate(ends)), F.least(acc.best, span).alias("best"))
+
+    return F.aggregate(F.reverse(F.array_sort(begun)), start, step, lambda acc: acc.best)
+
+
+def nearness(at: list[Column], terms: list[str]) -> Column:
+    """What `proximity` gives, from places."""
+    if len(terms) < 2:
+        return F.lit(1.0)
+    best = narrowest([F.slice(a, 1, HITS) for a in at], [len(t) for t in terms])
+    return F.coalesce(F.greatest(F.lit(0.0), 1 - (best - sum(map(len, terms))) / F.lit(140.0)), F.lit(0.0))
+
+
+def search_pieces(index: PieceIndex, query: str) -> DataFrame:
+    """(document_id, page_no, score, proximity) of the pages that hold every term of a query anywhere, from a stored index of pieces.
+
+    The same as `bm25` by substrings and `proximity`, without reading the pages' text.
+    """
+    terms = [t.lower() for t in query_terms(query)]
+    if not terms:
+        return index.postings.select("document_id", "page_no", F.lit(0.0).alias("score"), F.lit(0.0).alias("proximity")).limit(0)
+    hits = places_of_terms(index, terms)
+    hits = hits.withColumns({f"tf{i}": F.size(f"at{i}").cast("long") for i in range(len(terms))})
+    df = hits.agg(*(F.count_if(F.col(f"tf{i}") > 0).alias(f"df{i}") for i in range(len(terms))))
+    whole = hits.where(reduce(lambda a, b: a & b, (F.col(f"tf{i}") > 0 for i in range(len(terms))))).crossJoin(F.broadcast(df))  # one row
+    totals = Index(index.postings, index.postings, index.pages, index.mean_letters)
+    parts = [part_of_score(totals, F.col(f"tf{i}"), F.col(f"df{i}"), F.col("letters")) for i in range(len(terms))]
+    near = nearness([F.col(f"at{i}") for i in range(len(terms))], terms)
+    return whole.select("document_id", "page_no", reduce(lambda a, b: a + b, parts, F.lit(0.0)).alias("score"), near.alias("proximity"))
+
+
+def search_near_pieces(index: PieceIndex, query: str, limit: int = 60) -> DataFrame:
+    """What `search_near` gives, from a stored index of pieces."""
+    found = search_pieces(index, query).withColumn("score", F.col("score") * (1 + NEARNESS * F.col("proximity"))).drop("proximity")
+    return found.orderBy(F.desc("score"), "document_id", "page_no").limit(limit)
+
+
 def snippet(body: Column, term: Column, before: int = 45, after: int = 80) -> Column:
     """Text around the first hit, or the first 160 characters."""
     at = F.instr(F.lower(body), F.lower(term))

@@ -6,12 +6,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from lectern.functions.text import squeezed, tokens
-from lectern.operators import bank, search
+from lectern.functions.text import tokens
+from lectern.operators import bank, index, search
 from lectern.plans.base import query
 from lectern.plans.views import Views
-from lectern.scratch import remembered
+from lectern.scratch import new_path, remembered
 from lectern.sources import corpus
+from lectern.streaming import jobs
 
 TERMS = ("from", "thre")
 
@@ -45,9 +46,14 @@ PREFIX_LEN = r"len(regexp_extract_all(lower(body), '[\p{L}\p{N}]+'))"
 SQUEEZED = r"regexp_replace(lower(body), '\s+', '', 'g')"
 
 
-def index_of(v: Views) -> search.Index:
+def index_of(v: Views) -> index.Index:
     """The stored index of the pages; made when first asked for in an application."""
-    return remembered(v.spark, "index", f"{v.sf_dir}/documents.parquet", lambda path: search.build_index(pages_of(v), path))
+    return remembered(v.spark, "index", f"{v.sf_dir}/documents.parquet", lambda path: index.build_index(pages_of(v), path))
+
+
+def pieces_of(v: Views) -> index.PieceIndex:
+    """The stored index of the pages' pieces; made when first asked for in an application."""
+    return remembered(v.spark, "pieces", f"{v.sf_dir}/documents.parquet", lambda path: index.build_piece_index(pages_of(v), path))
 
 
 @query(f"WITH {PAGES_SQL}, {TOKENS_SQL} SELECT token, count(DISTINCT (document_id, page_no)) AS df, count(*) AS n FROM tok GROUP BY 1")
@@ -71,7 +77,7 @@ def search_doc_type_filter(v: Views) -> DataFrame:
 @query(bm25_sql([f"CAST((length({SQUEEZED}) - length(replace({SQUEEZED}, '{t}', ''))) / {len(t)} AS BIGINT)" for t in TERMS], f"length({SQUEEZED})") + """
 SELECT document_id, page_no, round(score, 6) AS score FROM r""")
 def search_substring(v: Views) -> DataFrame:
-    return search.bm25(pages_of(v), list(TERMS), "substring").select("document_id", "page_no", F.round("score", 6).alias("score"))
+    return search.search_pieces(pieces_of(v), " ".join(TERMS)).select("document_id", "page_no", F.round("score", 6).alias("score"))
 
 
 @query(f"WITH {PAGES_SQL}, {TOKENS_SQL} SELECT document_id, page_no FROM tok GROUP BY 1, 2 HAVING count(CASE WHEN starts_with(token, 'from') THEN 1 END) > 0 AND count(CASE WHEN starts_with(token, 'thre') THEN 1 END) > 0")
@@ -148,14 +154,13 @@ FROM (SELECT document_id, page_no, {starts_sql(TERMS[0])} AS a, {starts_sql(TERM
 
 @query(f"WITH {PAGES_SQL}, {NEAR_SQL} SELECT document_id, page_no, round(proximity, 6) AS proximity FROM near")
 def proximity(v: Views) -> DataFrame:
-    pages = search.substring_and_match(pages_of(v), list(TERMS))
-    return pages.select("document_id", "page_no", F.round(search.proximity(squeezed(F.col("body")), list(TERMS)), 6).alias("proximity"))
+    return search.search_pieces(pieces_of(v), " ".join(TERMS)).select("document_id", "page_no", F.round("proximity", 6).alias("proximity"))
 
 
 @query(bm25_sql([f"CAST((length({SQUEEZED}) - length(replace({SQUEEZED}, '{t}', ''))) / {len(t)} AS BIGINT)" for t in TERMS], f"length({SQUEEZED})") + f", {NEAR_SQL}" + """
 SELECT document_id, page_no, round(score * (1 + 2.2::DOUBLE * proximity), 6) AS score FROM r JOIN near USING (document_id, page_no) ORDER BY score * (1 + 2.2::DOUBLE * proximity) DESC, document_id, page_no LIMIT 60""")
 def search_near(v: Views) -> DataFrame:
-    return search.search_near(pages_of(v), " ".join(TERMS)).select("document_id", "page_no", F.round("score", 6).alias("score"))
+    return search.search_near_pieces(pieces_of(v), " ".join(TERMS)).select("document_id", "page_no", F.round("score", 6).alias("score"))
 
 
 HIT_SQL = r"(starts_with(regexp_replace(lower(x), '^[^\p{L}\p{N}]+', ''), 'from') OR starts_with(regexp_replace(lower(x), '^[^\p{L}\p{N}]+', ''), 'thre'))"
@@ -271,3 +276,42 @@ FROM (SELECT lang, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}]+')) AS t
 def top_tokens(v: Views) -> DataFrame:
     n = v("documents").select("lang", F.explode(tokens(F.col("text"))).alias("token")).groupBy("lang", "token").agg(F.count("*").alias("n"))
     return n.withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "token"))).where("k <= 20").drop("k")
+
+
+def arrivals(v: Views) -> tuple[str, str]:
+    """Documents as they come in, one folder of files after the other: drafts of all, final texts of some sources, and documents that are taken back."""
+    docs = v("documents").select((F.col("doc_id") + 1).alias("document_id"), F.col("source").alias("doc_type"), "lang", "text")
+    rounds = [
+        docs.withColumn("text", F.concat(F.lit("draft three\n"), F.coalesce("text", F.lit("")))), docs.where("doc_type >= 'src2'"),
+        docs.where("lang = 'en'").withColumn("text", F.concat("text", F.lit("\nrevised from three sources"))), docs.where("doc_type = 'src4'").withColumn("text", F.lit(None).cast("string")),
+    ]
+    root = new_path(v.spark, "arrivals")
+    for k, rows in enumerate(rounds):
+        # A document is one row, so it never comes in two batches of the same version.
+        rows.select("document_id", F.lit(k).cast("long").alias("version"), "doc_type", "text").coalesce(1).write.mode("append").parquet(root)
+    return root, "document_id long, version long, doc_type string, text string"
+
+
+def pages_of_arrivals(docs: DataFrame) -> DataFrame:
+    """One page a line of ten characters or more; a document without one is a row with a null body."""
+    parts = F.split("text", "\n")
+    numbered = F.transform(parts, lambda x, i: F.struct((i + 1).alias("page_no"), x.alias("body")))
+    kept = docs.withColumn("p", F.filter(numbered, lambda p: F.length(F.trim(p.body)) >= 10))
+    return kept.select("document_id", "version", "doc_type", F.explode_outer("p").alias("p")).select("document_id", "version", F.col("p.page_no").alias("page_no"), "doc_type", F.col("p.body").alias("body"))
+
+
+LAST_SQL = """last AS (SELECT doc_id + 1 AS document_id, source AS doc_type, CASE WHEN source = 'src4' THEN NULL WHEN lang = 'en' THEN text || chr(10) || 'revised from three sources'
+  WHEN source >= 'src2' THEN text ELSE 'draft three' || chr(10) || coalesce(text, '') END AS text FROM documents)"""
+
+
+@query(bm25_sql(PREFIX_TF, PREFIX_LEN).replace("WITH ", f"WITH {LAST_SQL}, ", 1).replace("doc_id + 1 AS document_id, source AS doc_type", "document_id, doc_type").replace("doc_id + 1 AS document_id, source AS doc_type", "document_id, doc_type").replace(LAST_SQL.replace("doc_id + 1 AS document_id, source AS doc_type", "document_id, doc_type"), LAST_SQL).replace("FROM documents) p", "FROM last) p") + """
+SELECT document_id, page_no, round(score, 6) AS score, CAST(greatest(1, least(100, round_even(score / max(score) OVER () * 100, 0))) AS INTEGER) AS match_pct, count(*) OVER () AS total
+FROM r ORDER BY r.score DESC, document_id, page_no LIMIT 200""")
+def incremental_index(v: Views) -> DataFrame:
+    """The best pages after documents came in and were replaced and removed, four batches and their merges later."""
+    folder, schema = arrivals(v)
+    root = new_path(v.spark, "segments")
+    stream = pages_of_arrivals(jobs.event_stream(v.spark, folder, schema))
+    jobs.incremental_index(stream, root, new_path(v.spark, "segments-state"), most=2).start().awaitTermination()
+    found = search.search_index(index.open_segments(v.spark, root), " ".join(TERMS), limit=200)
+    return found.select("document_id", "page_no", F.round("score", 6).alias("score"), "match_pct", "total")
