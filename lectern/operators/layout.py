@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from lectern.functions.windows import gap_islands
+from lectern.operators.components import stars
+from lectern.operators.grid import FirstAtHeight, NearestBefore, meeting, swept
+from lectern.scratch import written
 
 SIDES = ("x0", "y0", "x1", "y1")
 
@@ -59,17 +62,23 @@ def segment_items(words: DataFrame, pages: DataFrame, tol: float = 30.0, margin:
     return out.where(F.col("y1") - F.col("y0") >= least)
 
 
+def centred(words: DataFrame, page: list[str]) -> DataFrame:
+    """Words with columns w_..., and their centres as boxes a_x0 to a_y1 without width and height."""
+    centre = {"x": (F.col("w_x0") + F.col("w_x1")) / 2, "y": (F.col("w_y0") + F.col("w_y1")) / 2}
+    return renamed(words, "w_", page).withColumns({f"a_{s}": centre[s[0]] for s in SIDES})
+
+
 def words_in_region(words: DataFrame, items: DataFrame, page: list[str]) -> DataFrame:
     """Words with the item whose box holds their centre."""
-    w, i = renamed(words, "w_", page), renamed(items, "i_", page)
-    cx, cy = (F.col("w_x0") + F.col("w_x1")) / 2, (F.col("w_y0") + F.col("w_y1")) / 2
-    return w.join(i, page).where(cx.between(F.col("i_x0"), F.col("i_x1")) & cy.between(F.col("i_y0"), F.col("i_y1")))
+    w, i = centred(words, page), renamed(items, "i_", page)
+    found = meeting(w, i.withColumns({f"b_{s}": F.col(f"i_{s}") for s in SIDES}), page)
+    return found.select(*(c for c in w.columns if not c.startswith("a_")), *(c for c in i.columns if c not in page))
 
 
 def owner_of_box(boxes: DataFrame, items: DataFrame, page: list[str], box: str, item: str, least: float = 0.5) -> DataFrame:
-    """For each box the items that hold at least half of it; more than one is ambiguous."""
-    both = renamed(boxes, "a_", page).join(renamed(items, "b_", page), page)
-    held = both.where(intersection(named("a_"), named("b_")) / area(named("a_")) >= least)
+    """For each box the items that hold at least half of it; more than one is ambiguous. A box without area has no owner."""
+    both = meeting(renamed(boxes, "a_", page), renamed(items, "b_", page), page)
+    held = both.where(intersection(named("a_"), named("b_")) / F.nullif(area(named("a_")), F.lit(0.0)) >= least)
     return held.groupBy(*page, F.col(f"a_{box}").alias(box)).agg(F.count("*").alias("owners"), F.min(f"b_{item}").alias("owner"))
 
 
@@ -131,16 +140,17 @@ def arrangement(boxes: DataFrame, part: list[str]) -> DataFrame:
 
 def nearest_marker(words: DataFrame, markers: DataFrame, page: list[str]) -> DataFrame:
     """For each word (word_id, x, y) the marker (marker_id, mx, my) before it in the row of markers that is nearest."""
-    both = words.join(markers, page).where("mx <= x")
-    near = both.groupBy(*page, "word_id").agg(F.min(F.struct(F.abs(F.col("my") - F.col("y")).alias("d"), (-F.col("mx")).alias("x"), "marker_id")).alias("b"))
-    return near.select(*page, "word_id", F.col("b.marker_id").alias("marker_id"))
+    kind = lambda name: markers.schema[name].dataType.simpleString()
+    number = lambda c: F.col(c).cast("double")
+    left = markers.where("mx IS NOT NULL AND my IS NOT NULL").select(*page, number("mx").alias("x"), F.lit(0).alias("kind"), number("my").alias("y"), F.lit(None).cast(words.schema["word_id"].dataType).alias("word_id"), "marker_id")
+    right = words.where("x IS NOT NULL AND y IS NOT NULL").select(*page, number("x").alias("x"), F.lit(1).alias("kind"), number("y").alias("y"), "word_id", F.lit(None).cast(kind("marker_id")).alias("marker_id"))
+    out = f"word_id {words.schema['word_id'].dataType.simpleString()}, marker_id {kind('marker_id')}"
+    return swept(left.unionByName(right), page, ["x", "kind"], ["x", "kind", "y", "word_id", "marker_id"], NearestBefore, out)
 
 
 def exclude_words_in_boxes(words: DataFrame, boxes: DataFrame, page: list[str]) -> DataFrame:
     """Words whose centre is in no box."""
-    b = renamed(boxes.select(*page, *SIDES), "b_", page)
-    cx, cy = (F.col("x0") + F.col("x1")) / 2, (F.col("y0") + F.col("y1")) / 2
-    inside = words.join(b, page).where(cx.between(F.col("b_x0"), F.col("b_x1")) & cy.between(F.col("b_y0"), F.col("b_y1"))).select(*page, "word_id").distinct()
+    inside = meeting(centred(words, page), renamed(boxes.select(*page, *SIDES), "b_", page), page).select(*page, F.col("w_word_id").alias("word_id")).distinct()
     return words.join(inside, [*page, "word_id"], "left_anti")
 
 
@@ -167,14 +177,14 @@ def baselines(words: DataFrame, page: list[str], tol: float = 2.5) -> DataFrame:
     return rows.groupBy(*page, "row").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("x", "word_id", "text"))), lambda w: w.text), " ").alias("line"))
 
 
-def merged_boxes(boxes: list[tuple[float, float, float, float]], gap: float, strip: int = 256) -> list[list[float]]:
+def merged_boxes(boxes: list[tuple[float, float, float, float]], gap: float, strip: int = 256, members: np.ndarray | None = None) -> list[list[float]]:
     """Boxes merged until no two unions grown by the gap meet; each with its number of boxes, sorted.
 
     A round sweeps the boxes in the order of their left sides, finds all that meet, `strip` of them at a time, and merges
     what hangs together; unions that have grown are looked at again. What meets in the end doesn't depend on the order.
     """
     live = np.array(boxes, float).reshape(-1, 4)
-    members = np.ones(len(live), np.int64)
+    members = np.ones(len(live), np.int64) if members is None else members
     while True:
         order = np.argsort(live[:, 0], kind="stable")
         live, members = live[order], members[order]
@@ -205,19 +215,83 @@ def merged_boxes(boxes: list[tuple[float, float, float, float]], gap: float, str
         live, members = merged, np.bincount(at_group, weights=members).astype(np.int64)
 
 
-def box_clusters(boxes: DataFrame, page: str, gap: float = 12.0) -> DataFrame:
-    """Boxes merged to a fix-point, page by page: the union and how many boxes it has. Batches of pages are handled in parallel."""
-    pages = boxes.groupBy(page).agg(F.collect_list(F.struct(*SIDES)).alias("boxes"))
+#: Boxes that are merged in one piece. Pages with more are cut into tiles.
+TILE = 20_000
+
+
+def merged_in_tiles(boxes: DataFrame, keys: list[str], gap: float) -> DataFrame:
+    """Boxes (page, sides, members and `keys`) merged to a fix-point among those alike in `keys`, one tile at a time."""
+    columns = [*keys, *SIDES, "members"]
+    n = len(keys)
+    out = ", ".join(f"`{c}` {boxes.schema[c].dataType.simpleString()}" for c in columns)
 
     def run(batches):
         import pyarrow as pa
 
+        def done(now, parts):
+            own = [np.concatenate(x) for x in zip(*parts)]
+            got = merged_boxes(np.stack(own[:4], axis=1), gap, members=own[4])
+            return [(*now, *m) for m in got]
+
+        now, parts, names = None, [], None
         for batch in batches:
-            out = [(k, m) for k, own in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) for m in merged_boxes([tuple(b[s] for s in SIDES) for b in own], gap)]
-            columns = [pa.array([k for k, _ in out], batch.column(0).type), *(pa.array([m[i] for _, m in out], pa.float64() if i < 4 else pa.int64()) for i in range(5))]
-            yield pa.RecordBatch.from_arrays(columns, names=[page, *SIDES, "members"])
+            names, kinds = batch.schema.names, batch.schema.types
+            heads = list(zip(*(batch.column(i).to_pylist() for i in range(n))))
+            cuts = [0, *(i for i in range(1, len(heads)) if heads[i] != heads[i - 1]), len(heads)]
+            found = []
+            for a, b in zip(cuts, cuts[1:]):
+                if a < b:
+                    if parts and heads[a] != now:
+                        found += done(now, parts)
+                        parts = []
+                    now = heads[a]
+                    parts.append([batch.column(n + i).slice(a, b - a).to_numpy() for i in range(5)])
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*found), kinds)], names=names)
+        if parts:
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*done(now, parts)), kinds)], names=names)
+
+    return boxes.select(*columns).repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, out)
 
-    return pages.mapInArrow(run, f"{page} {boxes.schema[page].dataType.simpleString()}, x0 double, y0 double, x1 double, y1 double, members long")
+
+def box_clusters(boxes: DataFrame, page: str, gap: float = 12.0) -> DataFrame:
+    """Boxes merged to a fix-point, page by page: the union and how many boxes it has.
+
+    Pages of up to TILE boxes are merged whole. Larger ones are cut into tiles, and tiles into blocks if they are still
+    crowded; what is left of each is joined with what it meets over the borders, components are united, and that is
+    repeated until nothing grows. Merging only unites what the end result unites, so the cuts don't show in it. Boxes
+    with a null side are left out.
+    """
+    sides = F.array(*(F.col(s).cast("double") for s in SIDES))
+    known = boxes.where(F.forall(sides, lambda x: x.isNotNull())).select(page, *(F.col(s).cast("double").alias(s) for s in SIDES), F.lit(1).cast("long").alias("members"))
+    number = F.count("*").alias("in page")
+    spread = known.groupBy(page).agg(number, *(F.min(s).alias(f"least {s}") for s in ("x0", "y0")), *(F.max(s).alias(f"most {s}") for s in ("x0", "y0")))
+    tiles = F.ceil(F.sqrt(F.col("in page") / TILE))
+    at = lambda s: F.floor(F.least(tiles - 1, (F.col(s) - F.col(f"least {s}")) / F.greatest(F.col(f"most {s}") - F.col(f"least {s}"), F.lit(1e-9)) * tiles)).cast("long")
+    cut = written(known.join(spread, page).withColumn("tile", at("x0") * tiles + at("y0")).select(page, *SIDES, "members", "tile", (F.col("in page") > TILE).alias("large")), "boxes")
+    crowd = cut.groupBy(page, "tile").agg(F.ceil(F.count("*") / TILE).alias("blocks"))
+    dealt = cut.join(crowd, [page, "tile"]).withColumn("block", F.pmod(F.xxhash64(*SIDES), F.col("blocks")))
+    merged = written(merged_in_tiles(dealt, [page, "large", "tile", "block"], gap).drop("tile", "block"), "merged")
+    whole, left = merged.where("NOT large").drop("large"), merged.where("large").drop("large")
+    if left.first() is not None:
+        whole = whole.unionByName(united(left, page, gap))
+    return whole
+
+
+def united(boxes: DataFrame, page: str, gap: float) -> DataFrame:
+    """Boxes of large pages merged to a fix-point by joins over cells and connected components."""
+    while True:
+        now = written(boxes.withColumn("id", F.monotonically_increasing_id()), "live-boxes")
+        grown = now.select(page, F.col("id").alias("a_id"), *(F.col(s).alias(f"a_{s}") for s in SIDES))
+        grown = grown.withColumns({f"a_{s}": F.col(f"a_{s}") + (gap if s[1] == "1" else -gap) for s in SIDES})
+        others = now.select(page, F.col("id").alias("b_id"), *(F.col(s).alias(f"b_{s}") for s in SIDES))
+        links = written(meeting(grown, others, [page]).where("a_id < b_id").select(F.col("a_id").alias("a"), F.col("b_id").alias("b")), "box-links")
+        if links.first() is None:
+            return now.drop("id")
+        hung = stars(links)
+        held = now.join(hung.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
+        unions = held.groupBy(page, "root").agg(*(f(s).alias(s) for s, f in zip(SIDES, (F.min, F.min, F.max, F.max))), F.sum("members").alias("members"))
+        boxes = unions.drop("root")
 
 
 def highlight_hits(chars: DataFrame, terms: list[str]) -> DataFrame:
@@ -237,20 +311,23 @@ def highlight_lines(lines: DataFrame, terms: list[str]) -> DataFrame:
     return hit.select("line_id", "term", "at", F.col("cs")[F.col("at") - 1].x0.alias("x0"), F.col("cs")[F.col("at") + F.length("term") - 2].x1.alias("x1"))
 
 
-def inside(x: str, y: str) -> Column:
-    return F.col(x).between(F.col("x0"), F.col("x1")) & F.col(y).between(F.col("y0"), F.col("y1"))
-
-
 def item_at(points: DataFrame, items: DataFrame, page: list[str]) -> DataFrame:
     """For each point (point_id, x, y) the first item, by column, height and id, that holds it, else the first at its height; null if there is none.
 
-    Points meet the items of their page, which are few.
+    Items that hold a point are found by cells; those at its height by a sweep with a heap.
     """
-    boxes = items.select(*page, F.col("item_id"), F.col("col"), *SIDES)
-    near = points.select(*page, "point_id", "x", "y").join(boxes, page).where(F.col("y").between(F.col("y0"), F.col("y1")))
-    best = F.min(F.struct((~inside("x", "y")).alias("beside"), "col", "y0", "item_id"))
-    found = near.groupBy(*page, "point_id").agg(best.alias("b")).select(*page, "point_id", F.col("b.item_id").alias("item_id"), (~F.col("b.beside")).alias("inside"))
-    return points.select(*page, "point_id").join(found, [*page, "point_id"], "left")
+    boxes = items.where(F.col("y0").isNotNull() & F.col("y1").isNotNull()).select(*page, "item_id", "col", *SIDES)
+    spots = points.where("x IS NOT NULL AND y IS NOT NULL").select(*page, "point_id", F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"))
+    held = meeting(spots.select(*page, F.col("point_id").alias("a_id"), *(F.col(s[0]).alias(f"a_{s}") for s in SIDES)), renamed(boxes, "b_", page), page)
+    inside = held.groupBy(*page, F.col("a_id").alias("point_id")).agg(F.min(F.struct("b_col", F.col("b_y0").alias("y"), "b_item_id")).alias("b"))
+    inside = inside.select(*page, "point_id", F.col("b.b_item_id").alias("in_item"))
+    item, point = items.schema["item_id"].dataType.simpleString(), points.schema["point_id"].dataType.simpleString()
+    number = lambda c: F.col(c).cast("double")
+    begun = boxes.select(*page, number("y0").alias("y"), F.lit(0).alias("kind"), "col", "item_id", number("y1").alias("y1"), F.lit(None).cast(point).alias("point_id"))
+    asked = spots.select(*page, "y", F.lit(1).alias("kind"), F.lit(None).cast(items.schema["col"].dataType).alias("col"), F.lit(None).cast(item).alias("item_id"), F.lit(None).cast("double").alias("y1"), "point_id")
+    beside = swept(begun.unionByName(asked), page, ["y", "kind"], ["y", "kind", "col", "item_id", "y1", "point_id"], FirstAtHeight, f"point_id {point}, item_id {item}")
+    both = points.select(*page, "point_id").join(inside, [*page, "point_id"], "left").join(beside, [*page, "point_id"], "left")
+    return both.select(*page, "point_id", F.coalesce("in_item", "item_id").alias("item_id"), F.when(F.coalesce("in_item", "item_id").isNotNull(), F.col("in_item").isNotNull()).alias("inside"))
 
 
 def assemble_text(spans: DataFrame, page: list[str], order: list[str]) -> DataFrame:
@@ -268,8 +345,8 @@ def assemble_text(spans: DataFrame, page: list[str], order: list[str]) -> DataFr
 
 def words_by_cell(words: DataFrame, cells: DataFrame, page: list[str]) -> DataFrame:
     """The text of each cell of a table: the words whose centre it holds, by height and left side; empty for a cell without words."""
-    centre = words.select(*page, F.struct("y0", "x0", "word_id", "text").alias("w"), ((F.col("x0") + F.col("x1")) / 2).alias("cx"), ((F.col("y0") + F.col("y1")) / 2).alias("cy"))
-    held = centre.join(cells.select(*page, "cell_id", *SIDES), page).where(inside("cx", "cy"))
+    held = meeting(centred(words.select(*page, "word_id", "text", *SIDES), page), renamed(cells.select(*page, "cell_id", *SIDES), "b_", page), page)
+    held = held.select(*page, F.col("b_cell_id").alias("cell_id"), F.struct("w_y0", "w_x0", "w_word_id", F.col("w_text").alias("text")).alias("w"))
     texts = held.groupBy(*page, "cell_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list("w")), lambda x: x.text), " ").alias("text"))
     return cells.select(*page, "cell_id").join(texts, [*page, "cell_id"], "left").withColumn("text", F.coalesce("text", F.lit("")))
 
@@ -302,9 +379,11 @@ def figure_regions(images: DataFrame, vectors: DataFrame, sizes: DataFrame, page
     strokes = vectors.join(sizes, page).where(~frame & ((side["x"] >= SPECK / 2) | (side["y"] >= SPECK / 2))).select(page, *SIDES)
     drawn = box_clusters(strokes, page, gap).where((F.col("members") >= MIN_PATHS) & large).join(sizes, page).where(area <= F.col("width") * F.col("height") * MAX_PART)
     drawn = drawn.select(page, *SIDES, F.monotonically_increasing_id().alias("stroke"))
-    p = pictures.select(page, "picture", *(F.col(c).alias(f"p_{c}") for c in SIDES))
-    meets = (F.col("x0") < F.col("p_x1")) & (F.col("p_x0") < F.col("x1")) & (F.col("y0") < F.col("p_y1")) & (F.col("p_y0") < F.col("y1"))
-    home = drawn.join(p, page).where(meets).groupBy(page, "stroke").agg(F.min("picture").alias("picture"))
+    pictures, drawn = written(pictures, "pictures"), written(drawn, "drawn")  # so that their numbers stay
+    p = pictures.select(page, "picture", *(F.col(c).alias(f"b_{c}") for c in SIDES))
+    both = meeting(drawn.select(page, "stroke", *(F.col(c).alias(f"a_{c}") for c in SIDES)), p, [page])
+    meets = (F.col("a_x0") < F.col("b_x1")) & (F.col("b_x0") < F.col("a_x1")) & (F.col("a_y0") < F.col("b_y1")) & (F.col("b_y0") < F.col("a_y1"))
+    home = both.where(meets).groupBy(page, "stroke").agg(F.min(F.struct("b_y0", "b_x0", "picture")).alias("first")).select(page, "stroke", F.col("first.picture").alias("picture"))
     held = drawn.join(home, [page, "stroke"])
     grown = pictures.select(page, "picture", *SIDES).unionByName(held.select(page, "picture", *SIDES)).groupBy(page, "picture")
     union = grown.agg(F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max("x1").alias("x1"), F.max("y1").alias("y1"))
