@@ -10,6 +10,7 @@ from pyspark.sql.window import Window
 from lectern.functions.windows import gap_islands
 from lectern.operators.components import stars
 from lectern.operators.grid import FirstAtHeight, NearestBefore, meeting, swept
+from lectern.operators.nearest import difference, nearest_signatures
 from lectern.scratch import written
 
 SIDES = ("x0", "y0", "x1", "y1")
@@ -104,16 +105,12 @@ def crop_audit(items: DataFrame, regions: DataFrame, images: DataFrame) -> DataF
 
 def signature_match(assets: DataFrame, observed: DataFrame, by: list[str], floor: float = 0.9) -> DataFrame:
     """For each asset (asset_id, sig) the best observed one (observed_id, sig) of its group, and whether it is near enough."""
-    pair = assets.withColumnRenamed("sig", "s1").join(observed.withColumnRenamed("sig", "s2"), by)
-    diff = F.aggregate(F.zip_with("s1", "s2", lambda x, y: F.abs(x.cast("double") - y.cast("double"))), F.lit(0.0), lambda a, x: a + x) / F.size("s1")
-    score = F.bround(1 - diff, 6)
-    best = pair.groupBy("asset_id").agg(F.min(F.struct((-score).alias("m"), "observed_id")).alias("b"))
-    return best.select("asset_id", F.col("b.observed_id").alias("observed_id"), (-F.col("b.m")).alias("score"), (-F.col("b.m") >= floor).alias("matched"))
+    best = nearest_signatures(assets, observed, by)
+    return best.select("asset_id", "observed_id", "score", (F.col("score") >= floor).alias("matched"))
 
 
 def vector_mae(df: DataFrame, a: str, b: str, most: float = 0.02) -> DataFrame:
-    mae = F.aggregate(F.zip_with(a, b, lambda x, y: F.abs(x.cast("double") - y.cast("double"))), F.lit(0.0), lambda s, x: s + x) / F.size(a)
-    return df.withColumn("mae", F.bround(mae, 6)).withColumn("same", F.col("mae") <= most)
+    return df.withColumn("mae", F.bround(difference(F.col(a), F.col(b)), 6)).withColumn("same", F.col("mae") <= most)
 
 
 def reading_order(boxes: DataFrame, part: list[str], horizontal: Column) -> DataFrame:
