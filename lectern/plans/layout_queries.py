@@ -232,9 +232,10 @@ def monotone_progress(v: Views) -> DataFrame:
     return lineage.monotone_progress(v("operation"), "op_id", ["ts", "seq"]).select("op_id", "seq", "shown")
 
 
-@query("SELECT coalesce(e.status, 'queued') AS status, count(*) AS n FROM (SELECT c_custkey AS item FROM customer) p LEFT JOIN (SELECT op_id AS item, max(status) AS status FROM {operation} GROUP BY 1) e ON e.item = p.item GROUP BY 1")
+@query("SELECT coalesce(e.status, 'queued') AS status, count(*) AS n FROM (SELECT c_custkey AS item FROM customer) p LEFT JOIN (SELECT op_id AS item, max_by(status, (ts, seq)) AS status FROM {operation} GROUP BY 1) e ON e.item = p.item GROUP BY 1")
 def live_status(v: Views) -> DataFrame:
-    seen = v("operation").groupBy(F.col("op_id").alias("item")).agg(F.max("status").alias("status"))
+    """Planned items by their last state."""
+    seen = v("operation").groupBy(F.col("op_id").alias("item")).agg(F.max_by("status", F.struct("ts", "seq")).alias("status"))
     return lineage.live_status(seen, v("customer").select(F.col("c_custkey").alias("item")))
 
 
@@ -250,17 +251,17 @@ def stream(v: Views) -> DataFrame:
 
 @query("SELECT op_id, max(progress) AS shown FROM {operation} GROUP BY 1")
 def stream_progress(v: Views) -> DataFrame:
-    return jobs.written_to_end(jobs.progress(stream(v), "op_id"), "progress")
+    return jobs.updated_to_end(stream(v), jobs.progress("op_id"), "progress")
 
 
 @query(LATEST)
 def stream_current_state(v: Views) -> DataFrame:
-    return jobs.written_to_end(jobs.current_state(stream(v), "op_id", "ts", "seq"), "state")
+    return jobs.updated_to_end(stream(v), jobs.current_state("op_id", "ts", "seq"), "state")
 
 
 @query("""SELECT coalesce(s.status, 'queued') AS status, count(*) AS n FROM (SELECT DISTINCT c_custkey AS op_id FROM customer) c LEFT JOIN (SELECT op_id, max_by(status, (status IN ('succeeded', 'failed', 'cancelled'), ts, seq)) AS status FROM {operation} GROUP BY 1) s USING (op_id) GROUP BY 1""")
 def stream_live_counts(v: Views) -> DataFrame:
     """Each planned item's last state from the stream; those not seen yet are queued."""
-    states = jobs.written_to_end(jobs.current_state(stream(v), "op_id", "ts", "seq"), "item-state")
+    states = jobs.updated_to_end(stream(v), jobs.current_state("op_id", "ts", "seq"), "item-state")
     planned = v("customer").select(F.col("c_custkey").alias("item")).distinct()
     return written(lineage.live_status(states.withColumnRenamed("op_id", "item"), planned), "counts")
