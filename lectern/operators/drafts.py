@@ -93,11 +93,36 @@ def style_issues(allowed: list[str]) -> Column:
     )
 
 
-def draft_check(drafts: DataFrame, allowed: list[str], key: str = "id") -> DataFrame:
-    """All issues of drafts, one row each; style issues whose code the item check has raised already are left out. One pass, no join."""
-    two = drafts.select(key, evidence_issues().alias("first"), style_issues(allowed).alias("then"))
+def cited_ids(evidence: Column) -> Column:
+    """The ids that evidence cites, as `reference_id=3` or `[ref:3`, without leading zeros."""
+    # How evidence names a reference.
+    found = F.regexp_extract_all(F.coalesce(evidence, F.lit("")), F.lit(r"(?:reference_id\s*=|\[ref:)([0-9]+)"), 1)
+    return F.array_distinct(F.transform(found, lambda x: F.regexp_replace(x, "^0+(?=[0-9])", "")))
+
+
+def reference_issues(attached: Column) -> Column:
+    """Claims, or without claims' evidence choices, that cite no reference, or one that isn't among the `attached` ids."""
+    claims, choices = F.coalesce("claims", F.array().cast(CLAIM)), F.coalesce("choices", F.array().cast(CHOICE))
+    known = F.transform(F.coalesce(attached, F.array().cast("array<bigint>")), lambda x: x.cast("string"))
+
+    def of(rows: Column, evidence: str, field: str) -> Column:
+        found = F.transform(rows, lambda x, i: F.struct((i + 1).alias("at"), cited_ids(x[evidence]).alias("ids")))
+        missing = F.transform(F.filter(found, lambda x: F.size(x.ids) == 0), lambda x: issue("evidence_reference_id_missing", field, at=x["at"]))
+        unknown = F.filter(found, lambda x: F.size(F.array_except(x.ids, known)) > 0)
+        return F.concat(missing, F.transform(unknown, lambda x: issue("evidence_reference_unknown", field, at=x["at"])))
+
+    return F.when(F.coalesce(F.col("qtype") == COMBINED, F.lit(False)), of(claims, "evidence", "claims")).otherwise(of(choices, "custom_evidence", "choices"))
+
+
+def draft_check(drafts: DataFrame, allowed: list[str], key: str = "id", attached: str | None = None) -> DataFrame:
+    """All issues of drafts, one row each; style issues whose code the item check has raised already are left out. One pass, no join.
+
+    With `attached`, a column with the ids of a draft's references, evidence must cite these.
+    """
+    cited = F.array().cast(NONE) if attached is None else reference_issues(F.col(attached))
+    two = drafts.select(key, evidence_issues().alias("first"), style_issues(allowed).alias("then"), cited.alias("cited"))
     codes = F.transform("first", lambda x: x.code)
-    found = F.concat("first", F.filter("then", lambda x: ~F.array_contains(codes, x.code)))
+    found = F.concat("first", F.filter("then", lambda x: ~F.array_contains(codes, x.code)), "cited")
     return two.select(key, F.explode(found).alias("x")).select(key, "x.*")
 
 

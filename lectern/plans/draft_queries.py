@@ -50,6 +50,32 @@ def draft_check(v: Views) -> DataFrame:
     return drafts.draft_check(nested_drafts(v), ALLOWED)
 
 
+CITED_SQL = r"""list_transform(regexp_extract_all(e, '(?:reference_id\s*=|\[ref:)([0-9]+)', 1), lambda x: CAST(CAST(x AS HUGEINT) AS VARCHAR))"""
+EVIDENCE_SQL = "CASE size % 4 WHEN 0 THEN 'reference_id = 0' || size || ': ' || text WHEN 1 THEN '[ref:' || size || '] and reference_id=' || (size + 1) ELSE text END"
+
+
+@query(f"""WITH {DRAFT_ISSUES}, known AS (SELECT id, list(CAST(size AS VARCHAR)) AS ids FROM {{talk_line}} WHERE role = 'user' GROUP BY 1),
+e AS (SELECT t.id, d.qtype, t.turn - 1 AS place, 'claims' AS field, {EVIDENCE_SQL} AS e FROM {{talk_line}} t JOIN d ON d.id = t.id WHERE t.turn >= 2 AND d.qtype = '합답형'
+  UNION ALL SELECT t.id, d.qtype, t.turn + 1, 'choices', {EVIDENCE_SQL} FROM {{talk_line}} t JOIN d ON d.id = t.id WHERE d.qtype <> '합답형'),
+k AS (SELECT e.id, field, place, {CITED_SQL} AS cited, coalesce(known.ids, []) AS ids FROM e LEFT JOIN known ON known.id = e.id)
+SELECT id, 'evidence_reference_id_missing' AS code, field, CAST(place AS INTEGER) AS place FROM k WHERE len(cited) = 0
+UNION ALL SELECT id, 'evidence_reference_unknown', field, place FROM k WHERE len(list_filter(cited, lambda x: NOT list_contains(ids, x))) > 0""")
+def reference_check(v: Views) -> DataFrame:
+    """Evidence that cites no reference, or one that isn't attached: references are the sizes of the user's lines, evidence cites its own line's size or the next."""
+    lines = v("talk_line")
+    cited = F.when(F.col("size") % 4 == 0, F.concat(F.lit("reference_id = 0"), F.col("size").cast("string"), F.lit(": "), F.col("text"))).when(
+        F.col("size") % 4 == 1, F.concat(F.lit("[ref:"), F.col("size").cast("string"), F.lit("] and reference_id="), (F.col("size") + 1).cast("string"))
+    ).otherwise(F.col("text"))
+    evidence = lines.select("id", "turn", "role", "size", cited.alias("e"))
+    known = evidence.where("role = 'user'").groupBy("id").agg(F.collect_set(F.col("size").cast("long")).alias("attached"))
+    listed = evidence.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("turn", "e"))).alias("lines"))
+    both = nested_drafts(v).join(listed, "id").join(known, "id", "left")
+    later = F.filter("lines", lambda x: x.turn >= 2)
+    both = both.withColumn("claims", F.zip_with("claims", later, lambda c, e: c.withField("evidence", e.e))).withColumn("choices", F.zip_with("choices", "lines", lambda c, e: c.withField("custom_evidence", e.e)))
+    found = drafts.draft_check(both, ALLOWED, attached="attached")
+    return found.where(F.col("code").startswith("evidence_reference")).select("id", "code", "field", "place")
+
+
 @query(f"WITH {DRAFT_ISSUES} SELECT code, level, field, count(*) AS n, count(DISTINCT id) AS drafts FROM found GROUP BY 1, 2, 3")
 def draft_issue_counts(v: Views) -> DataFrame:
     return drafts.draft_check(nested_drafts(v), ALLOWED).groupBy("code", "level", "field").agg(F.count("*").alias("n"), F.count_distinct("id").alias("drafts"))

@@ -5,6 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from lectern.functions.text import formula_spans
 from lectern.operators import drafts, layout, search
 from tests.test_operators import pages, rows  # noqa: F401
 
@@ -44,6 +45,22 @@ def test_reconstructions_are_exempt_and_codes_come_once(spark):
     assert ("bogi_reference_orphan", "ask", None) in codes(spark, 1, "정답형", "", ASK, "", '{"reconstruction": {"enabled": false}}', [], [RIGHT])
 
 
+def test_cited_references(spark):
+    cite = lambda e: ("물체는 크다.", e, "까닭", None, None)
+    claims = [cite("reference_id=3: 책"), cite("[ref:007] 책"), cite("책 3쪽"), cite(None), cite("reference_id = 3, [ref:9"), cite("reference_id=99999999999999999999")]
+    row = (1, "합답형", "", ASK, None, "", claims, [RIGHT, LEFT], [3, 7])
+    d = spark.createDataFrame([row, (2, "정답형", "", "x", None, "", None, [("가", True, 1, None, "[ref:3]", ""), LEFT], None)], SCHEMA + ", attached array<bigint>")
+    got = sorted((r.id, r.code, r.field, r.place) for r in drafts.draft_check(d, ["frac"], attached="attached").collect() if r.code.startswith("evidence_reference"))
+    missing, unknown = "evidence_reference_id_missing", "evidence_reference_unknown"
+    assert got == [(1, missing, "claims", 3), (1, missing, "claims", 4), (1, unknown, "claims", 5), (1, unknown, "claims", 6), (2, missing, "choices", 2), (2, unknown, "choices", 1)]
+
+
+def test_formulas_over_line_ends(spark):
+    assert ("formula_invalid", "explanation", None) in codes(spark, 1, "정답형", "", "x", "[[formula:a\nα]]", "", None, [RIGHT])
+    d = spark.createDataFrame([("[[formula:a\nb]] [[formula:]] x]]",), ("[[formula:a",)], "t string")
+    assert [r[0] for r in d.select(formula_spans(F.col("t"))).collect()] == [["a\nb", "]] x"], []]
+
+
 def test_items_and_numbers(spark):
     items = spark.createDataFrame([(1, 7, 2, 5, "AI초안", "초안"), (1, 8, 1, 6, " ", "완성"), (1, 9, 1, 7, None, None), (2, 7, 1, 8, "직접", "완성")], "set_id int, question_id int, ord int, item_id int, origin string, status string")
     issues = spark.createDataFrame([(7, "no_ask", "error"), (99, "x", "warn")], "id int, code string, level string")
