@@ -32,7 +32,7 @@ from pyspark.sql import types as T
 from lectern.llm.arrow_io import append_columns
 
 #: Bytes of chunks and their ids that a Python worker keeps at hand, at most twice; an entry costs ENTRY besides. Results don't depend on it.
-CACHED, ENTRY = 6 << 20, 200
+CACHED, ENTRY = 24 << 20, 200
 #: Chunks of a text that are looked up at a time.
 TOGETHER = 1 << 14
 #: White space for str.split() that the tokenizer's pattern counts as symbols.
