@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -44,23 +43,3 @@ def append_columns(df: DataFrame, source: str, keep: list[str] | None, added: T.
 
     cols = [F.col(f"`{c}`") for c in kept] + [F.col(f"`{source}`").alias("source text")]
     return df.select(*cols).mapInArrow(run, out)
-
-
-def runs_of(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[tuple[tuple[int, ...], pa.Table]]:
-    """Each run of rows that agree in their first `keys` columns, whole numbers without nulls, and its rows; one run is held at a time."""
-    held: list[pa.RecordBatch] = []
-    now = None
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        heads = np.stack([batch.column(i).to_numpy().astype(np.int64, copy=False) for i in range(keys)], axis=1)
-        cuts = [0, *(np.flatnonzero((heads[1:] != heads[:-1]).any(axis=1)) + 1).tolist(), batch.num_rows]
-        for a, b in zip(cuts, cuts[1:]):
-            key = tuple(heads[a].tolist())
-            if held and key != now:
-                yield now, pa.Table.from_batches(held)
-                held = []
-            now = key
-            held.append(batch.slice(a, b - a))
-    if held:
-        yield now, pa.Table.from_batches(held)
