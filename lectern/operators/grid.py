@@ -30,11 +30,13 @@ def cell(x: Column, at: Column) -> Column:
     return F.floor(x.cast("double") / F.pow(F.lit(2.0), at.cast("double")))
 
 
-def meeting(a: DataFrame, b: DataFrame, page: list[str]) -> DataFrame:
+def meeting(a: DataFrame, b: DataFrame, page: list[str], points: bool = False) -> DataFrame:
     """Pairs of rows of `a` (`page` and columns a_...) and `b` (b_...), boxes a_x0 to a_y1 and b_x0 to b_y1, that touch or overlap on a page; each once.
 
-    Boxes with a null side, or with sides the wrong way round, meet nothing.
+    Boxes with a null side, or with sides the wrong way round, meet nothing. If the boxes of `a` are `points`, without
+    width and height, none of them is larger than one of `b`, and one of the two joins is enough.
     """
+
     def placed(df: DataFrame, p: str) -> DataFrame:
         x0, y0, x1, y1 = (F.col(p + s) for s in SIDES)
         return df.where((x0 <= x1) & (y0 <= y1)).withColumn(f"{p}level", level(x0, y0, x1, y1))
@@ -59,6 +61,8 @@ def meeting(a: DataFrame, b: DataFrame, page: list[str]) -> DataFrame:
         return own.join(looked, keys).where(meets & once).drop("grid level", "grid x", "grid y")
 
     up = joined(b, "b_", a, "a_", F.col("grid level") >= F.col("a_level"))
+    if points:
+        return up.drop("a_level", "b_level")
     down = joined(a, "a_", b, "b_", F.col("grid level") > F.col("b_level"))
     return up.unionByName(down).drop("a_level", "b_level")
 

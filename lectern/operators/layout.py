@@ -72,7 +72,7 @@ def centred(words: DataFrame, page: list[str]) -> DataFrame:
 def words_in_region(words: DataFrame, items: DataFrame, page: list[str]) -> DataFrame:
     """Words with the item whose box holds their centre."""
     w, i = centred(words, page), renamed(items, "i_", page)
-    found = meeting(w, i.withColumns({f"b_{s}": F.col(f"i_{s}") for s in SIDES}), page)
+    found = meeting(w, i.withColumns({f"b_{s}": F.col(f"i_{s}") for s in SIDES}), page, points=True)
     return found.select(*(c for c in w.columns if not c.startswith("a_")), *(c for c in i.columns if c not in page))
 
 
@@ -147,7 +147,7 @@ def nearest_marker(words: DataFrame, markers: DataFrame, page: list[str]) -> Dat
 
 def exclude_words_in_boxes(words: DataFrame, boxes: DataFrame, page: list[str]) -> DataFrame:
     """Words whose centre is in no box."""
-    inside = meeting(centred(words, page), renamed(boxes.select(*page, *SIDES), "b_", page), page).select(*page, F.col("w_word_id").alias("word_id")).distinct()
+    inside = meeting(centred(words, page), renamed(boxes.select(*page, *SIDES), "b_", page), page, points=True).select(*page, F.col("w_word_id").alias("word_id")).distinct()
     return words.join(inside, [*page, "word_id"], "left_anti")
 
 
@@ -315,7 +315,7 @@ def item_at(points: DataFrame, items: DataFrame, page: list[str]) -> DataFrame:
     """
     boxes = items.where(F.col("y0").isNotNull() & F.col("y1").isNotNull()).select(*page, "item_id", "col", *SIDES)
     spots = points.where("x IS NOT NULL AND y IS NOT NULL").select(*page, "point_id", F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"))
-    held = meeting(spots.select(*page, F.col("point_id").alias("a_id"), *(F.col(s[0]).alias(f"a_{s}") for s in SIDES)), renamed(boxes, "b_", page), page)
+    held = meeting(spots.select(*page, F.col("point_id").alias("a_id"), *(F.col(s[0]).alias(f"a_{s}") for s in SIDES)), renamed(boxes, "b_", page), page, points=True)
     inside = held.groupBy(*page, F.col("a_id").alias("point_id")).agg(F.min(F.struct("b_col", F.col("b_y0").alias("y"), "b_item_id")).alias("b"))
     inside = inside.select(*page, "point_id", F.col("b.b_item_id").alias("in_item"))
     item, point = items.schema["item_id"].dataType.simpleString(), points.schema["point_id"].dataType.simpleString()
@@ -342,7 +342,7 @@ def assemble_text(spans: DataFrame, page: list[str], order: list[str]) -> DataFr
 
 def words_by_cell(words: DataFrame, cells: DataFrame, page: list[str]) -> DataFrame:
     """The text of each cell of a table: the words whose centre it holds, by height and left side; empty for a cell without words."""
-    held = meeting(centred(words.select(*page, "word_id", "text", *SIDES), page), renamed(cells.select(*page, "cell_id", *SIDES), "b_", page), page)
+    held = meeting(centred(words.select(*page, "word_id", "text", *SIDES), page), renamed(cells.select(*page, "cell_id", *SIDES), "b_", page), page, points=True)
     held = held.select(*page, F.col("b_cell_id").alias("cell_id"), F.struct("w_y0", "w_x0", "w_word_id", F.col("w_text").alias("text")).alias("w"))
     texts = held.groupBy(*page, "cell_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list("w")), lambda x: x.text), " ").alias("text"))
     return cells.select(*page, "cell_id").join(texts, [*page, "cell_id"], "left").withColumn("text", F.coalesce("text", F.lit("")))
