@@ -74,11 +74,6 @@ def split_choices(text: Column) -> Column:
     return F.filter(F.transform(parts, lambda x: F.trim(x)), lambda x: x != "")
 
 
-def formula_spans(text: Column) -> Column:
-    """What stands in formula marks, which may go over line ends; at least one character."""
-    return F.regexp_extract_all(text, F.lit(r"(?s)\[\[formula:(.+?)\]\]"), 1)
-
-
 def item_digest(*cols: Column) -> Column:
     """SHA-256 of the columns as a JSON array."""
     return F.sha2(F.to_json(F.array(*(F.coalesce(c.cast("string"), F.lit("")) for c in cols))), 256)

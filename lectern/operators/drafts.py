@@ -11,8 +11,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from lectern.functions.formulas import formula_lint
 from lectern.functions.text import blank
-from lectern.operators.mining import ask_frame, formula_lint, intro_frame
+from lectern.operators.mining import ask_frame, intro_frame
 from lectern.operators.quality import COMBINED, ESSAY, FORBIDDEN
 
 CLAIM = "array<struct<text:string,evidence:string,explanation:string,proposition_id:bigint,variant_id:bigint>>"

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from lectern.functions.text import compact, first_match, formula_spans, strip_score
+from lectern.functions.text import compact, first_match, strip_score
 
 # Phrases and patterns of question frames, first match wins.
 ASK_PHRASES = (
@@ -214,23 +214,3 @@ def is_running_head(line: Column, heads: str) -> Column:
 def join_broken_lines(lines: Column) -> Column:
     """Lines as one text: a line that ends with a blank ends a word, another goes on in the next."""
     return F.trim(F.array_join(lines, ""))
-
-
-def normalize_quantities(text: Column) -> Column:
-    """Fractions such as `3/4` outside formula marks become formulas."""
-    parts = F.split(text, r"(?=\[\[formula:)|(?<=\]\])")
-    return F.array_join(F.transform(parts, lambda p: F.when(p.startswith("[[formula:"), p).otherwise(F.regexp_replace(p, r"(?<![\w/])([0-9]+)/([0-9]+)(?![\w/])", "[[formula:{$1} over {$2}]]"))), "")
-
-
-def formula_lint(text: Column, allowed: list[str]) -> Column:
-    """Messages about formulas: an unclosed mark, braces out of balance, raised or lowered digits, Greek letters, unknown commands."""
-    spans = formula_spans(text)
-    opened = (F.length(text) - F.length(F.replace(text, F.lit("[[formula:"), F.lit("")))) / len("[[formula:")
-    depth = lambda s: F.aggregate(F.split(s, ""), F.lit(0), lambda a, ch: F.when(a < 0, a).when(ch == "{", a + 1).when(ch == "}", a - 1).otherwise(a))
-    commands = F.flatten(F.transform(spans, lambda s: F.regexp_extract_all(s, F.lit(r"\\([a-z]+)"), 1)))
-    issues = F.array(
-        F.when(opened != F.size(spans), "unclosed"), F.when(F.exists(spans, lambda s: depth(s) != 0), "braces"),
-        F.when(F.exists(spans, lambda s: s.rlike("[⁰¹²³⁴-⁹₀-₉]")), "script"), F.when(F.exists(spans, lambda s: s.rlike("[α-ωΑ-Ω]")), "greek"),
-        F.when(F.size(F.array_except(commands, F.array(*map(F.lit, allowed)))) > 0, "command"),
-    )
-    return F.filter(issues, lambda x: x.isNotNull())

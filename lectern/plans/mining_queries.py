@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from lectern.functions import text, windows
+from lectern.functions import formulas, text, windows
 from lectern.operators import mining, search
 from lectern.plans.base import query
 from lectern.plans.views import Views
@@ -34,9 +36,9 @@ def first_per_name(v: Views) -> DataFrame:
     return windows.first_n(v("part").select("p_name", "p_partkey"), ["p_name"], ["p_partkey"], 1)
 
 
-@query("SELECT suffix, n FROM (SELECT right(regexp_extract(text, '(?s)^(.*\\?)', 1), 12) AS suffix, count(*) AS n FROM documents WHERE contains(text, '?') GROUP BY 1) x ORDER BY n DESC, suffix LIMIT 60")
+@query("SELECT suffix, n FROM (SELECT right(regexp_extract(ask, '(?s)^(.*\\?)', 1), 12) AS suffix, count(*) AS n FROM {draft} WHERE contains(ask, '?') GROUP BY 1) x ORDER BY n DESC, suffix LIMIT 60")
 def top_suffixes(v: Views) -> DataFrame:
-    return mining.top_suffixes(v("documents"), "text", 12, 60)
+    return mining.top_suffixes(v("draft"), "ask", 12, 60)
 
 
 @query("SELECT source, count(*) AS n FROM documents GROUP BY 1 HAVING count(*) <> 40")
@@ -228,19 +230,32 @@ def expand_code_ranges(v: Views) -> DataFrame:
     return mining.expand_code_ranges(d.select("doc_id", F.when(F.col("n_chars") % 2 == 0, a).otherwise(b).alias("t")), "t").select("doc_id", "code")
 
 
-@query("SELECT id, CASE WHEN starts_with(explanation, '[[formula:') THEN CASE WHEN ends_with(explanation, ']]') THEN 'greek' ELSE 'unclosed' END WHEN explanation IS NOT NULL THEN '' END AS problems FROM {draft}")
+@query(r"""SELECT id, turn, CASE size % 9 WHEN 0 THEN 'greek' WHEN 1 THEN 'unclosed' WHEN 2 THEN 'braces' WHEN 3 THEN 'brace order,braces' WHEN 4 THEN 'command,command' WHEN 5 THEN 'command outside,script outside'
+WHEN 6 THEN 'empty,script' ELSE '' END AS problems FROM {talk_line} WHERE text IS NOT NULL""")
 def formula_lint(v: Views) -> DataFrame:
-    return v("draft").select("id", F.array_join(mining.formula_lint(F.col("explanation"), ["frac"]), ",").alias("problems"))
+    """Lines of conversations as formulas, most of them with a fault."""
+    kinds = ("[[formula:~ α]]", "[[formula:~", "[[formula:{~\n]]", "[[formula:}~{]]", r"[[formula:\foo ~ \bar \Baz]]", r"\frac ~ x⁴", "[[formula: ]]~[[formula:x₂]]", r"[[formula:\frac{~}{\Delta}]]", "~")
+    shape = F.try_element_at(F.array(*map(F.lit, kinds)), (F.col("size") % 9 + 1).cast("int"))
+    lines = v("talk_line").where("text is not null").select("id", "turn", F.replace(shape, F.lit("~"), F.translate("text", "{}\\[]", "     ")).alias("t"))
+    return lines.select("id", "turn", F.array_join(formulas.formula_lint(F.col("t")), ",").alias("problems"))
+
+
+#: What stands for frequent words in `normalize_quantities`; in the SQL held formulas are ‹…› with a bar between digits and letters.
+QUANTITIES = (("the", "3/4m"), ("de", "x/4"), ("of", "20m 5x 1.5kg 2V"), ("to", "질량이 m인"), ("und", "속력은  v_0, 힘 F가"), ("a", "[[formula: 2x ]]7/8"), ("que", "x는? ax는?"), ("et", "시간 t^2이고 3 / 5"))
 
 
-@query(r"""WITH t AS (SELECT doc_id, replace(replace(text, ' the ', ' 3/4 '), ' de ', ' x/4 ') AS t FROM documents),
-r AS (SELECT doc_id, regexp_replace(t, '(^|[^0-9A-Za-z_/])([0-9]+)/([0-9]+)($|[^0-9A-Za-z_/])', '\1[[formula:{\2} over {\3}]]\4', 'g') AS t FROM t)
-SELECT doc_id, sha256(u) AS rewritten, CAST((length(u) - length(replace(u, '[[formula:', ''))) / 10 AS BIGINT) AS formulas
-FROM (SELECT doc_id, regexp_replace(t, '(^|[^0-9A-Za-z_/])([0-9]+)/([0-9]+)($|[^0-9A-Za-z_/])', '\1[[formula:{\2} over {\3}]]\4', 'g') AS u FROM r) x""")
+@query(r"""WITH a AS (SELECT doc_id, PLANTED AS t FROM documents),
+b AS (SELECT doc_id, regexp_replace(t, '(^|[^A-Za-z0-9_\]])([0-9]+)\s*/\s*([0-9]+)([A-Za-z]?)', '\1‹\\frac{\2}{\3}\4›', 'g') AS t FROM a),
+c AS (SELECT doc_id, regexp_replace(t, 'ATTACHED', '\1‹\2|\3›\4', 'g') AS t FROM b), d AS (SELECT doc_id, regexp_replace(t, 'ATTACHED', '\1‹\2|\3›\4', 'g') AS t FROM c),
+e AS (SELECT doc_id, regexp_replace(t, '((?:MEASURES)(?:이|가|은|는)?\s*)([A-Za-z](?:_[A-Za-z0-9]+|\^[A-Za-z0-9]+)?)(인|이고|이며|이다|일|[,.?)])', '\1‹\2›\3', 'g') AS t FROM d),
+f AS (SELECT doc_id, replace(replace(replace(regexp_replace(t, '(^|[^A-Za-z0-9_])([A-Za-z])(는\?)', '\1‹\2›\3', 'g'), '|', ''), '‹', '[[formula:'), '›', ']]') AS t FROM e)
+SELECT doc_id, sha256(t) AS rewritten, CAST((length(t) - length(replace(t, '[[formula:', ''))) / 10 AS BIGINT) AS formulas FROM f""".replace(
+    "ATTACHED", r"(^|[^A-Za-z0-9_\]])([0-9]+(?:\.[0-9]+)?)([A-Za-z])($|[^A-Za-z0-9_])").replace("MEASURES", formulas.MEASURES).replace(
+    "PLANTED", reduce(lambda t, wq: f"replace({t}, ' {wq[0]} ', ' {wq[1].replace('[[formula: 2x ]]', '‹2|x›')} ')", QUANTITIES, "translate(text, '|‹›', '   ')")))
 def normalize_quantities(v: Views) -> DataFrame:
-    """Fractions stand where two of the most frequent words did, and where the texts have their own."""
-    t = F.replace(F.replace(F.col("text"), F.lit(" the "), F.lit(" 3/4 ")), F.lit(" de "), F.lit(" x/4 "))
-    u = v("documents").select("doc_id", mining.normalize_quantities(t).alias("u"))
+    """Quantities stand where frequent words did, and where the texts have their own; no bars in the texts."""
+    t = reduce(lambda t, wq: F.replace(t, F.lit(f" {wq[0]} "), F.lit(f" {wq[1]} ")), QUANTITIES, F.translate("text", "|‹›", "   "))
+    u = v("documents").select("doc_id", formulas.normalize_quantities(t).alias("u"))
     return u.select("doc_id", F.sha2("u", 256).alias("rewritten"), text.occurrences(F.col("u"), F.lit("[[formula:")).alias("formulas"))
 
 

@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from lectern.functions.text import formula_spans
+from lectern.functions.formulas import formula_spans
 from lectern.operators import drafts, layout, search
 from tests.test_operators import pages, rows  # noqa: F401
 

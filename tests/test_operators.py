@@ -171,11 +171,6 @@ def test_frames(spark):
     assert [r[0] for r in d.select(mining.ask_frame(F.col("a"), F.col("q"))).collect()] == ["ASK_BOGI_STANDARD", None, "ASK_VALUE"]
 
 
-def test_normalized_quantities(spark):
-    d = spark.createDataFrame([("a 3/4 b [[formula:1/2]] 5/6",)], "t string")
-    assert d.select(mining.normalize_quantities(F.col("t"))).first()[0] == "a [[formula:{3} over {4}]] b [[formula:1/2]] [[formula:{5} over {6}]]"
-
-
 def test_valid_prefix_and_resume(spark):
     plan = spark.createDataFrame([("a", 1), ("b", 2), ("c", 3)], "stage string, rank int")
     st = spark.createDataFrame([("x", "a", 1, True), ("x", "b", 2, False), ("x", "c", 3, True), ("y", "a", 1, True)], "source string, stage string, rank int, valid boolean")
