@@ -112,16 +112,25 @@ def set_rules(sets: DataFrame, items: DataFrame) -> DataFrame:
 
 
 def answer_spread(items: DataFrame, choices: DataFrame) -> DataFrame:
-    """answer_bias and answer_unused of sets: of five items or more, with as many single answers as the most choices of one."""
+    """answer_bias and answer_unused of sets: of five items or more, with as many single answers as the most choices of one.
+
+    detail is the position and its share, the first seen of those that are alike, or the positions that no answer has.
+    """
     per_q = choices.groupBy("question_id").agg(F.count("*").alias("n_choices"), F.count_if("is_answer").alias("answers"), F.min(F.when(F.col("is_answer"), F.col("ord"))).alias("ord_answer"))
     joined = items.select("set_id", "question_id", F.col("ord").alias("item_ord"), "item_id").join(per_q, "question_id", "left")
-    one = F.col("answers") == 1
-    base = joined.groupBy("set_id").agg(F.count("*").alias("n"), F.count_if(one).alias("total"), F.coalesce(F.max("n_choices"), F.lit(0)).alias("most"), F.array_sort(F.collect_set(F.when(one, F.col("ord_answer")))).alias("used"))
-    base = base.where("n >= 5 and total > 0 and most >= 2 and total >= most")
-    counts = joined.where(one).groupBy("set_id", "ord_answer").agg(F.count("*").alias("k"), F.min(F.struct("item_ord", "item_id")).alias("first_at"))
-    top = counts.groupBy("set_id").agg(F.max("k").alias("top"))
-    unused = F.size(F.array_except(F.sequence(F.lit(1), F.col("most").cast("int")), F.col("used").cast("array<int>")))
-    return check(base.join(top, "set_id"), ["set_id"], [("answer_bias", "warn", F.col("top") / F.col("total") > 0.4), ("answer_unused", "warn", unused > 0)])
+    one = F.coalesce(F.col("answers") == 1, F.lit(False))
+    # A set's positions are few, so its counts of each are one small array.
+    each = joined.groupBy("set_id", F.when(one, F.col("ord_answer")).alias("place")).agg(F.count("*").alias("k"), F.count_if(one).alias("single"), F.max("n_choices").alias("widest"), F.min(F.struct("item_ord", "item_id")).alias("first_at"))
+    base = each.groupBy("set_id").agg(
+        F.sum("k").alias("n"), F.sum("single").alias("total"), F.coalesce(F.max("widest"), F.lit(0)).alias("most"), F.collect_set("place").alias("used"),
+        F.max(F.when(F.col("place").isNotNull(), F.col("k"))).alias("top"), F.min(F.when(F.col("place").isNotNull(), F.struct(-F.col("k"), "first_at", "place"))).alias("lead"),
+    ).where("n >= 5 and total > 0 and most >= 2 and total >= most")
+    unused = F.array_except(F.sequence(F.lit(1), F.col("most").cast("int")), F.col("used").cast("array<int>"))
+    issues = F.array(
+        F.when(F.col("top") / F.col("total") > 0.4, F.struct(F.lit("answer_bias").alias("code"), F.format_string("%d: %d/%d", "lead.place", "top", "total").alias("detail"))),
+        F.when(F.size(unused) > 0, F.struct(F.lit("answer_unused").alias("code"), F.array_join(unused, " ").alias("detail"))),
+    )
+    return base.select("set_id", F.explode(F.filter(issues, lambda x: x.isNotNull())).alias("x")).select("set_id", "x.code", F.lit("warn").alias("level"), "x.detail")
 
 
 def text_lint(text: Column) -> Column:

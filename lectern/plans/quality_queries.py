@@ -15,8 +15,8 @@ AGG = """c AS (SELECT question_id, count(*) AS n, count(*) FILTER (WHERE is_answ
 RULES = (
     ("no_ask", "error", "trim(ask) = ''"), ("bad_qtype", "error", "qtype = 'PROMO'"), ("no_model_answer", "error", "qtype = '서술형' AND trim(answer) = ''"),
     ("too_few_choices", "error", "qtype <> '서술형' AND n < 2"), ("no_answer", "error", "qtype <> '서술형' AND answers = 0"), ("multi_answer", "warn", "qtype <> '서술형' AND answers > 1"),
-    ("no_origin", "warn", "origin = ''"), ("bad_origin", "warn", "origin = '기타'"), ("bad_points", "warn", "default_points <= 0"), ("no_standard", "warn", "trim(standard_code) = ''"),
-    ("negative_mismatch", "warn", "is_negative"), ("answer_longest", "warn", "qtype <> '합답형' AND texts >= 3 AND answers = 1 AND la = lm AND la >= mean * 1.4::DOUBLE"),
+    ("bad_difficulty", "warn", "coalesce(difficulty, '') NOT IN ('상', '중', '하')"), ("no_origin", "warn", "origin = ''"), ("bad_origin", "warn", "origin = '기타'"), ("bad_points", "warn", "coalesce(default_points, 0) <= 0"), ("no_standard", "warn", "trim(standard_code) = ''"),
+    ("negative_unmarked", "warn", "contains(ask, '옳지 않') AND NOT is_negative"), ("negative_mismatch", "warn", "is_negative AND NOT contains(ask, '옳지 않')"), ("answer_longest", "warn", "qtype <> '합답형' AND texts >= 3 AND answers = 1 AND la = lm AND la >= mean * 1.4::DOUBLE"),
 )
 ISSUES = "WITH " + AGG + ", q AS (SELECT q.*, coalesce(c.n, 0) AS n, coalesce(c.answers, 0) AS answers, coalesce(c.texts, 0) AS texts, la, lm, mean FROM {question} q LEFT JOIN c ON c.question_id = q.id), issues AS (" + " UNION ALL ".join(
     f"SELECT id, '{c}' AS code, '{level}' AS level FROM q WHERE {cond}" for c, level, cond in RULES) + ")"
@@ -50,14 +50,14 @@ def set_check(v: Views) -> DataFrame:
     return quality.set_rules(v("exam_set"), v("item"))
 
 
-@query("""WITH c AS (SELECT question_id, count(*) AS n, count(*) FILTER (WHERE is_answer) AS a, min(ord) FILTER (WHERE is_answer) AS o FROM {choice} GROUP BY 1),
-j AS (SELECT s.set_id, c.* FROM {set_item} s LEFT JOIN c ON c.question_id = s.question_id), b AS (SELECT set_id, count(*) AS n, count(*) FILTER (WHERE a = 1) AS total, max(j.n) AS most, count(DISTINCT CASE WHEN a = 1 AND o <= 99 THEN o END) AS used FROM j GROUP BY 1 HAVING count(*) >= 5),
-k AS (SELECT set_id, max(k) AS top FROM (SELECT set_id, o, count(*) AS k FROM j WHERE a = 1 GROUP BY 1, 2) x GROUP BY 1),
-u AS (SELECT j.set_id, j.o FROM j WHERE a = 1 GROUP BY 1, 2), g AS (SELECT b.*, k.top, (SELECT count(*) FROM u WHERE u.set_id = b.set_id AND u.o <= b.most) AS low FROM b JOIN k ON k.set_id = b.set_id WHERE total > 0 AND most >= 2 AND total >= most)
-SELECT set_id, 'answer_bias' AS code, 'warn' AS level FROM g WHERE top * 1.0::DOUBLE / total > 0.4::DOUBLE UNION ALL SELECT set_id, 'answer_unused', 'warn' FROM g WHERE low < most""")
+@query("""WITH c AS (SELECT question_id, count(*) AS n, count(*) FILTER (WHERE is_answer) AS a, min(ord) FILTER (WHERE is_answer) AS o FROM {option} GROUP BY 1),
+j AS (SELECT s.set_id, row_number() OVER (PARTITION BY s.set_id ORDER BY s.ord, s.item_id) AS place, c.n, CASE WHEN c.a = 1 THEN c.o END AS o FROM {set_item} s LEFT JOIN c ON c.question_id = s.question_id),
+b AS (SELECT set_id, count(*) AS items, count(o) AS total, max(n) AS most, list(DISTINCT o) FILTER (WHERE o IS NOT NULL) AS used FROM j GROUP BY 1 HAVING count(*) >= 5 AND count(o) > 0 AND max(n) >= 2 AND count(o) >= max(n)),
+k AS (SELECT *, row_number() OVER (PARTITION BY set_id ORDER BY k DESC, first) AS r FROM (SELECT set_id, o, count(*) AS k, min(place) AS first FROM j WHERE o IS NOT NULL GROUP BY 1, 2) x)
+SELECT b.set_id, 'answer_bias' AS code, 'warn' AS level, k.o || ': ' || k.k || '/' || b.total AS detail FROM b JOIN k ON k.set_id = b.set_id AND k.r = 1 WHERE k.k > 0.4::DOUBLE * total
+UNION ALL SELECT set_id, 'answer_unused', 'warn', array_to_string(list_filter(range(1, most + 1), lambda p: NOT list_contains(used, p)), ' ') FROM b WHERE len(list_filter(used, lambda p: p <= most)) < most""")
 def answer_spread(v: Views) -> DataFrame:
-    few = v("choice").where("ord <= 99")
-    return quality.answer_spread(v("set_item"), few)
+    return quality.answer_spread(v("set_item"), v("option"))
 
 
 @query("""SELECT set_id, proposition_id, n FROM (SELECT *, row_number() OVER (PARTITION BY set_id ORDER BY proposition_id) AS k FROM (SELECT set_id, proposition_id, count(*) AS n FROM (
@@ -113,16 +113,23 @@ def severity_policy(v: Views) -> DataFrame:
 
 
 
-@query(" UNION ALL ".join([f"SELECT doc_id, 'style_forbidden_phrase_{i}' AS code, 'error' AS level FROM documents WHERE contains(text, '{p}')" for i, p in enumerate(quality.FORBIDDEN)]
-                          + ["SELECT doc_id, 'bogi_reference_missing', 'error' FROM documents WHERE NOT contains(text, 'the')",
-                             "SELECT doc_id, 'choice_ending', 'error' FROM documents"]))
+@query(" UNION ALL ".join([f"SELECT doc_id, 'style_forbidden_phrase_{i}' AS code, 'error' AS level FROM documents WHERE n_chars % 12 = {i} OR contains(text, '{p}')" for i, p in enumerate(quality.FORBIDDEN)]
+                          + ["SELECT doc_id, 'bogi_reference_missing', 'error' FROM documents WHERE n_chars % 5 <> 0 AND NOT contains(text, 'the')",
+                             "SELECT doc_id, 'bogi_reference_orphan', 'error' FROM documents WHERE n_chars % 5 = 0 AND contains(text, 'the')",
+                             "SELECT doc_id, 'choice_ending', 'error' FROM documents WHERE n_chars % 5 <> 0 AND n_chars % 7 = 0"]))
 def style_rules(v: Views) -> DataFrame:
-    return quality.check(v("documents"), ["doc_id"], quality.style_rules(F.col("text"), F.array(F.col("lang")), F.contains("text", F.lit("the"))))
+    """Whole documents with a forbidden phrase behind most of them, and two claims each, of which one ends in a seventh of them wrongly."""
+    phrase = F.try_element_at(F.array(*map(F.lit, quality.FORBIDDEN)), (F.col("n_chars") % 12 + 1).cast("int"))
+    wording = F.concat("text", F.lit("\n"), F.coalesce(phrase, F.lit("")))
+    claims = F.when(F.col("n_chars") % 5 == 0, F.array().cast("array<string>")).otherwise(F.array(F.concat("lang", F.lit(" 크다. ")), F.concat("lang", F.when(F.col("n_chars") % 7 == 0, " 크다").otherwise(" 작다."))))
+    return quality.check(v("documents"), ["doc_id"], quality.style_rules(wording, claims, F.contains("text", F.lit("the"))))
 
 
-@query(r"SELECT doc_id, array_to_string(list_sort(list_distinct(list_filter(regexp_extract_all(text, '\[([A-Za-z0-9_-]+)\]', 1), lambda x: x <> 'en'))), ',') AS missing FROM documents".replace(r"\[([A", r"\[ref:([A"))
+@query("SELECT doc_id, array_to_string(list_sort(list_filter([lang, source], lambda x: NOT x IN ('en', 'src1'))), ',') AS missing FROM documents")
 def cited_references(v: Views) -> DataFrame:
-    return v("documents").select("doc_id", F.array_join(F.array_sort(quality.cited_references(F.col("text"), F.array(F.lit("en")))), ",").alias("missing"))
+    """Documents that cite their language and source, the latter twice."""
+    cited = F.concat("text", F.lit(" [ref:"), "lang", F.lit("][ref:"), "source", F.lit("] and [ref:"), "source", F.lit("]"))
+    return v("documents").select("doc_id", F.array_join(F.array_sort(quality.cited_references(cited, F.array(F.lit("en"), F.lit("src1")))), ",").alias("missing"))
 
 
 @query("""WITH p AS (SELECT page AS item_id, row_number() OVER (PARTITION BY page ORDER BY box_id) + CASE WHEN page % 3 = 0 THEN 1 ELSE 0 END AS idx, flag, x0, y0, x1, y1 FROM {box}),

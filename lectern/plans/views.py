@@ -13,12 +13,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 VIEWS = {
     "question": """
-SELECT p_partkey AS id, p_name AS title, p_name AS ask, p_brand AS brand,
+SELECT p_partkey AS id, p_name AS title, CASE WHEN p_size % 6 = 0 THEN p_name || ' 옳지 않은 것은?' ELSE p_name END AS ask, p_brand AS brand,
   CASE WHEN split_part(p_type, ' ', 1) IN ('ECONOMY', 'SMALL') THEN '정답형' WHEN split_part(p_type, ' ', 1) IN ('MEDIUM', 'LARGE') THEN '합답형'
        WHEN split_part(p_type, ' ', 1) = 'STANDARD' THEN '서술형' ELSE 'PROMO' END AS qtype,
   CASE WHEN p_size = 1 THEN '' ELSE p_brand END AS standard_code,
-  CASE WHEN p_size <= 15 THEN '하' WHEN p_size <= 35 THEN '중' ELSE '상' END AS difficulty,
-  CAST(p_size % 5 + 1 AS DOUBLE) AS default_points,
+  CASE WHEN p_size <= 15 THEN '하' WHEN p_size <= 35 THEN '중' WHEN p_size <= 48 THEN '상' ELSE '최상' END AS difficulty,
+  CAST(p_size % 6 AS DOUBLE) AS default_points,
   CASE p_partkey % 3 WHEN 0 THEN '초안' WHEN 1 THEN '검토중' ELSE '완성' END AS status,
   CASE p_partkey % 5 WHEN 0 THEN '' WHEN 1 THEN '직접' WHEN 2 THEN 'AI초안' WHEN 3 THEN '기출변형' ELSE '기타' END AS origin,
   CASE p_partkey % 4 WHEN 0 THEN '지식·이해' WHEN 1 THEN '과정·기능' WHEN 2 THEN '가치·태도' ELSE '' END AS behavior,
@@ -34,6 +34,9 @@ FROM {lineitem}""",
 SELECT question_id, item_id AS choice_id, CAST(l_linenumber % 5 + 1 AS BIGINT) AS ord, l_returnflag = 'R' AS is_answer, l_suppkey AS proposition_id,
   repeat(l_linestatus, l_linenumber) AS text
 FROM {set_item}""",
+    "option": """
+SELECT question_id, CAST(l_linenumber % 5 + 1 AS BIGINT) AS ord, CASE WHEN question_id % 13 = 0 THEN false WHEN question_id % 11 = 0 THEN l_linenumber % 5 < 2 ELSE l_linenumber % 5 = question_id % 8 % 5 END AS is_answer
+FROM (SELECT DISTINCT question_id, l_linenumber FROM {set_item} WHERE l_linenumber <= 5) o""",
     "item": """
 SELECT s.set_id, s.question_id, s.ord, s.item_id, s.points, 100.0E0 AS target, q.title, q.qtype, q.standard_code, q.difficulty, q.default_points,
   q.status, q.origin, q.behavior, q.answer

@@ -80,17 +80,29 @@ def evolve_schema(df: DataFrame, defaults: dict[str, object]) -> DataFrame:
     return df.withColumns({c: F.coalesce(F.col(c), F.lit(v)) if c in df.columns else F.lit(v) for c, v in defaults.items()})
 
 
-def read_ocr_words(spark: SparkSession, path: str) -> DataFrame:
-    """Words with boxes of OCR sidecar files: {"page": n, "words": [{"text", "bbox": [x0, y0, x1, y1], "confidence"}]}."""
+def read_ocr_words(spark: SparkSession, path: str, one_a_line: bool = False) -> DataFrame:
+    """Words with boxes of OCR sidecars: {"page": n, "words": [{"text", "bbox": [x0, y0, x1, y1], "confidence"}]}.
+
+    A sidecar is a file, or with `one_a_line` a line of files that have many, which Spark can split.
+    """
     schema = "page int, words array<struct<text:string,bbox:array<double>,confidence:double>>"
-    raw = spark.read.schema(schema).option("multiLine", True).json(path).withColumn("file", F.input_file_name())
+    raw = spark.read.schema(schema).option("multiLine", not one_a_line).json(path).withColumn("file", F.input_file_name())
     w = raw.select("file", F.col("page").alias("page_no"), F.posexplode("words").alias("word_no", "w"))
     return w.select("file", "page_no", "word_no", "w.text", *(F.col("w.bbox")[i].alias(n) for i, n in enumerate(("x0", "y0", "x1", "y1"))), "w.confidence")
 
 
 def publish_report(df: DataFrame, path: str, order: list[str], form: str = "json") -> None:
-    """A report in a fixed order, complete or absent by the writer's commit."""
-    df.orderBy(*order).write.mode("overwrite").format(form).save(path)
+    """A report in a fixed order, complete or absent by the writer's commit; `md` is a table in Markdown, nulls as empty cells."""
+    if form != "md":
+        df.orderBy(*order).write.mode("overwrite").format(form).save(path)
+        return
+    row = lambda cells: F.concat(F.lit("| "), F.array_join(F.array(*cells), " | "), F.lit(" |"))
+    cell = lambda c: F.regexp_replace(F.replace(F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("")), F.lit("|"), F.lit("\\|")), r"\s*[\r\n]\s*", " ")
+    keys = [F.col(f"`{c}`").alias(f"k{i}") for i, c in enumerate(order)]
+    body = df.select(F.lit(2).alias("part"), row([cell(c) for c in df.columns]).alias("line"), *keys)
+    head = df.sparkSession.range(1).select(F.explode(F.array(*(F.struct(F.lit(i).alias("part"), row(cells).alias("line")) for i, cells in enumerate(([F.lit(c) for c in df.columns], [F.lit("---")] * len(df.columns)))))).alias("x")).select("x.*")
+    lines = head.unionByName(body, allowMissingColumns=True).orderBy("part", *(f"k{i}" for i in range(len(order))))
+    lines.select("line").write.mode("overwrite").text(path)
 
 
 def _files(spark: SparkSession, root: str):
