@@ -102,11 +102,24 @@ def reject_object_literal(df: DataFrame, key: str, cols: list[str]) -> DataFrame
 
 
 def unwrap_text_envelope(df: DataFrame, col: str, meta: str) -> DataFrame:
-    """`{"text": ..}` objects in a text column become their text, what else they hold goes to `meta`; `changed` says where."""
-    inner = F.get_json_object(col, "$.text")
-    wrapped = F.trim(F.col(col)).startswith("{") & inner.isNotNull()
-    frame = F.get_json_object(col, "$.frame_id")
-    return df.withColumn("changed", F.coalesce(wrapped, F.lit(False))).withColumn(meta, F.when(F.col("changed"), F.to_json(F.struct(frame.alias("frame_id")))).otherwise(F.col(meta))).withColumn(col, F.when(F.col("changed"), inner).otherwise(F.col(col)))
+    """`{"text": ..}` objects in a text column become their text, without one the empty text, and so does `[object Object]`; `changed` says where.
+
+    An object's frame_id goes to the JSON object in `meta`, under the column's name and with the sources of its style
+    (style_sources, else sources, else none); what else is there stays, and what isn't an object is replaced.
+    """
+    c = F.col(col)
+    map_type = "map<string,variant>"
+    inner = F.when(F.trim(c).startswith("{"), F.from_json(c, map_type))
+    wrapped = F.coalesce(F.map_contains_key(inner, "text") | F.map_contains_key(inner, "frame_id"), F.lit(False))
+    broken = F.coalesce(F.lower(F.trim(c)) == "[object object]", F.lit(False))
+    text = lambda name: F.nullif(F.get_json_object(c, f"$.{name}"), F.lit(""))
+    filled = lambda name: F.nullif(text(name), F.lit("[]"))
+    frame = text("frame_id")
+    sources = F.try_parse_json(F.coalesce(filled("style_sources"), filled("sources"), F.lit("[]")))
+    entry = F.to_variant_object(F.struct(frame.alias("frame_id"), sources.alias("sources")))
+    held = F.coalesce(F.when(F.trim(F.col(meta)).startswith("{"), F.from_json(meta, map_type)), F.create_map().cast(map_type))
+    merged = F.to_json(F.map_concat(F.map_filter(held, lambda k, _: k != col), F.create_map(F.lit(col), entry)))
+    return df.withColumns({"changed": wrapped | broken, meta: F.when(wrapped & frame.isNotNull(), merged).otherwise(F.col(meta)), col: F.when(wrapped, F.coalesce(F.get_json_object(c, "$.text"), F.lit(""))).when(broken, "").otherwise(c)})
 
 
 def set_items(items: DataFrame, questions: DataFrame, choices: DataFrame) -> DataFrame:

@@ -11,7 +11,7 @@ from lectern.functions.windows import gap_islands
 from lectern.operators.components import stars
 from lectern.operators.grid import FirstAtHeight, NearestBefore, meeting, swept
 from lectern.operators.nearest import difference, nearest_signatures
-from lectern.scratch import written
+from lectern.scratch import fresh, written
 
 SIDES = ("x0", "y0", "x1", "y1")
 
@@ -113,10 +113,39 @@ def vector_mae(df: DataFrame, a: str, b: str, most: float = 0.02) -> DataFrame:
     return df.withColumn("mae", F.bround(difference(F.col(a), F.col(b)), 6)).withColumn("same", F.col("mae") <= most)
 
 
-def reading_order(boxes: DataFrame, part: list[str], horizontal: Column) -> DataFrame:
-    """Number the boxes of each part: by (x, y) where horizontal, else by (y, x)."""
+def reading_order(boxes: DataFrame, part: list[str], horizontal: Column, grid: Column | None = None) -> DataFrame:
+    """Number the boxes of each part: by (x, y) where horizontal, else by (y, x).
+
+    Where `grid` holds, three boxes of which two lie above one another and the third beside both are read pair by pair:
+    the pair from the top, the third first if its centre is left of the pair's, else last; likewise with sides changed.
+    Boxes that lie in both ways or in neither are numbered as the others.
+    """
     first, second = F.when(horizontal, F.col("x0")).otherwise(F.col("y0")), F.when(horizontal, F.col("y0")).otherwise(F.col("x0"))
-    return boxes.withColumn("place", F.row_number().over(Window.partitionBy(*part).orderBy(first, second, "box_id")))
+    if grid is None:
+        return boxes.withColumn("place", F.row_number().over(Window.partitionBy(*part).orderBy(first, second, "box_id")))
+    at, group, b, sides = (fresh(n, boxes) for n in ("at", "group", "three", "sides"))
+    whole = Window.partitionBy(*part)
+    ranked = boxes.withColumn(at, F.row_number().over(whole.orderBy("box_id"))).withColumn(group, F.count("*").over(whole))
+    box = F.struct("x0", "y0", "x1", "y1")
+    # Three boxes at most stand in a row, however many a part has.
+    ranked = ranked.withColumn(b, F.when(F.col(group) == 3, F.array(*(F.max(F.when(F.col(at) == k, box)).over(whole) for k in (1, 2, 3)))))
+    three = [F.col(b)[k] for k in range(3)]
+
+    def lone(low: str, high: str) -> Column:
+        """Which box keeps apart along an axis from two that meet, or null."""
+        meet = lambda i, j: F.least(three[i][high], three[j][high]) > F.greatest(three[i][low], three[j][low])
+        return F.when(meet(0, 1) & ~meet(0, 2) & ~meet(1, 2), 3).when(meet(0, 2) & ~meet(0, 1) & ~meet(1, 2), 2).when(meet(1, 2) & ~meet(0, 1) & ~meet(0, 2), 1)
+
+    across, along = lone("x0", "x1"), lone("y0", "y1")
+    stands = grid & across.isNotNull() & along.isNull()
+    lies = grid & along.isNotNull() & across.isNull()
+    centre = lambda low, high, k: (F.try_element_at(b, k)[low] + F.try_element_at(b, k)[high]) / 2
+    rest = lambda low, high, k: (sum(x[low] + x[high] for x in three) / 2 - centre(low, high, k)) / 2
+    early = lambda low, high, k: F.when(F.col(at) == k, F.when(centre(low, high, k) < rest(low, high, k), -1).otherwise(1)).otherwise(0)
+    key = F.when(stands, early("x0", "x1", across)).when(lies, early("y0", "y1", along)).otherwise(0)
+    inner = F.when(stands, F.col("y0")).when(lies, F.col("x0"))
+    keyed = ranked.withColumn(sides, F.struct(key.alias("key"), F.coalesce(inner, first).alias("first"), F.when(inner.isNull(), second).alias("second")))
+    return keyed.withColumn("place", F.row_number().over(whole.orderBy(F.col(sides), "box_id"))).drop(at, group, b, sides)
 
 
 def layout_axis(boxes: DataFrame, part: list[str]) -> DataFrame:

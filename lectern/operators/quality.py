@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from lectern.functions.formulas import formula_lint
 from lectern.functions.text import blank
 from lectern.operators.bank import ORIGINS, duplicate_usage, effective_points
 
@@ -15,6 +18,11 @@ ESSAY, COMBINED = "서술형", "합답형"
 DIFFICULTIES = ("상", "중", "하")
 NEGATIVE = "않은|아닌|틀린|옳지 않|적절하지 않"
 LONG_ANSWER = 1.4
+THREE_CAPTIONS = ("(가)|(나)|(다)", "A|B|C")
+CLAIM_BOX, CLAIM_LETTERS, FIFTH = "<보기>", "ㄱㄴㄷ", "⑤"
+WHOLE_PICTURE = "\\수능원문1대사진\\"
+#: Private use, control characters but tab and line feed, and the upper half of Latin-1 but for ° ± · ×.
+UNSAFE = r"[\x00-\x08\x0b-\x1f\x7f-\xaf\xb2-\xb6\xb8-\xd6\xd8-\xff]|[" + chr(0xE000) + "-" + chr(0xF8FF) + "]"
 FORBIDDEN = (
     "이에 대한 설명으로 옳은 것만을 고른 것은?", "알맞은 답을 고르시오.", "모두 선택하시오.", "찾아보자.", "무엇일까요?",
     "확인해 보세요.", "위 그림을 참고하여", "주어진 정보를 바탕으로", "다음 질문에 답하시오.",
@@ -133,19 +141,27 @@ def answer_spread(items: DataFrame, choices: DataFrame) -> DataFrame:
     return base.select("set_id", F.explode(F.filter(issues, lambda x: x.isNotNull())).alias("x")).select("set_id", "x.code", F.lit("warn").alias("level"), "x.detail")
 
 
-def text_lint(text: Column) -> Column:
-    """The first thing wrong with an editable text, or null."""
-    private = f"[{chr(0xE000)}-{chr(0xF8FF)}]"
-    control = r"[\x00-\x08\x0b-\x1f\x7f]"
+def text_lint(text: Column, markup: Column | None = None, choices: Column | None = None, pictures: Column | None = None) -> Column:
+    """The first thing wrong with an editable text, or null.
+
+    `markup` is what the text is set with, `choices` and `pictures` are the numbers of its choices of either kind; rules
+    whose column isn't given are left out, and a null counts as blank or 0.
+    """
+    whole = text if markup is None else F.concat_ws("\n", text, markup)
+    none = F.lit(False)
+    number = lambda n: F.lit(0) if n is None else F.coalesce(n, F.lit(0))
     return (
-        F.when(blank(text), "empty text")
-        .when(text.rlike(r"\[26023-[0-9]{4}\]"), "source id")
-        .when(text.rlike(r";[0-9]+[!@#$%^&*()];"), "fraction code")
-        .when(F.contains(text, F.lit("`")), "backtick")
-        .when(text.rlike(private) | text.rlike(control), "private or control character")
-        .when(text.rlike(r"[!?.#$%&*]{3,}"), "repeated punctuation")
-        .when(text.rlike(r"[0-9]{7,}"), "digit run")
-        .when(F.contains(text, F.lit("@")), "at sign")
+        F.when(none if markup is None else F.coalesce(markup, F.lit("")).startswith(WHOLE_PICTURE), "picture of the whole item")
+        .when(blank(text), "empty text")
+        .when(none if choices is None else (number(choices) != 5) & (number(pictures) != 5), "not five choices")
+        .when(whole.rlike(r"\[26023-[0-9]{4}\]"), "source id")
+        .when(whole.rlike(r";[0-9]+[!@#$%^&*()];"), "fraction code")
+        .when(F.contains(whole, F.lit("`")), "backtick")
+        .when(whole.rlike(UNSAFE), "private or control character")
+        .when(F.size(formula_lint(text)) > 0, F.concat(F.lit("formula: "), F.try_element_at(formula_lint(text), F.lit(1))))
+        .when(whole.rlike(r"[!?.#$%&*]{3,}"), "repeated punctuation")
+        .when(whole.rlike(r"[0-9]{7,}"), "digit run")
+        .when(F.contains(whole, F.lit("@")), "at sign")
     )
 
 
@@ -182,22 +198,56 @@ def severity_policy(issues: DataFrame, diagnostic: list[str]) -> DataFrame:
 
 
 def panel_contract(panels: DataFrame) -> DataFrame:
-    """Items whose panels break the contract: indices 1..n, one arrangement, positive boxes, nearly square."""
+    """Items whose panels break the contract: item_id, code, level.
+
+    panels: item_id, owner_id, idx, asset_count, arrangement, x0, y0, x1, y1, width_px, height_px, caption, caption_y0,
+    recorded and observed digest. Of an item with three panels the captions must be one of the known rows, stand below
+    their pictures, and no two pictures overlap. An item's panels are one aggregate, of which only the first three
+    places are kept, so that none is collected. What is null where a rule needs it breaks the rule.
+    """
+    c = F.col
+    wide, high = c("x1") - c("x0"), c("y1") - c("y0")
+    ratio = F.try_divide(F.try_divide("width_px", "height_px"), F.try_divide(wide, high))
+    sure = lambda x: F.bool_and(F.coalesce(x, F.lit(False)))
+    panel = F.struct("x0", "y0", "x1", "y1", F.trim(F.coalesce("caption", F.lit(""))).alias("caption"), "caption_y0")
     per = panels.groupBy("item_id").agg(
         F.count("*").alias("n"), F.count_distinct("idx").alias("indices"), F.min("idx").alias("low"), F.max("idx").alias("high"), F.count_distinct("arrangement").alias("kinds"),
-        F.bool_and((F.col("x1") > F.col("x0")) & (F.col("y1") > F.col("y0"))).alias("positive"),
-        F.bool_and(F.abs((F.col("x1") - F.col("x0")) / F.nullif(F.col("y1") - F.col("y0"), F.lit(0.0)) - 1) <= 0.05).alias("square"),
+        F.min("asset_count").alias("least"), F.max("asset_count").alias("most"), F.count("asset_count").alias("stated"), sure(c("owner_id") == c("item_id")).alias("own"),
+        sure((wide > 0) & (high > 0)).alias("positive"), sure(F.abs(ratio - 1) <= 0.05).alias("shaped"), sure(c("recorded") == c("observed")).alias("unchanged"),
+        *(F.any_value(F.when(c("idx") == k, panel), True).alias(f"p{k}") for k in (1, 2, 3)),
     )
+    p = [c(f"p{k}") for k in (1, 2, 3)]
+    meet = lambda a, b, low, high: reduce(Column.__and__, [x[high] > y[low] for x in (a, b) for y in (a, b)])
+    overlap = lambda a, b: meet(a, b, "x0", "x1") & meet(a, b, "y0", "y1")
+    three, captions = c("n") == 3, F.concat_ws("|", *(x.caption for x in p))
     return check(per, ["item_id"], [
-        ("panel_index", "error", (F.col("low") != 1) | (F.col("high") != F.col("n")) | (F.col("indices") != F.col("n"))),
-        ("panel_arrangement", "error", F.col("kinds") != 1), ("panel_box", "error", ~F.col("positive")), ("panel_ratio", "error", ~F.coalesce("square", F.lit(False))),
+        ("panel_index", "error", (c("low") != 1) | (c("high") != c("n")) | (c("indices") != c("n"))),
+        ("panel_assets", "error", (c("stated") != c("n")) | (c("least") != c("n")) | (c("most") != c("n"))),
+        ("panel_owner", "error", ~c("own")), ("panel_arrangement", "error", c("kinds") != 1), ("panel_box", "error", ~c("positive")), ("panel_ratio", "error", ~c("shaped")),
+        ("panel_digest", "error", ~c("unchanged")), ("panel_captions", "error", three & ~captions.isin(*THREE_CAPTIONS)),
+        ("panel_caption_place", "error", three & ~F.coalesce((p[0].y1 <= p[0].caption_y0) & (p[1].y1 <= p[1].caption_y0) & (p[2].y1 <= p[2].caption_y0), F.lit(False))),
+        ("panel_overlap", "error", three & (overlap(p[0], p[1]) | overlap(p[0], p[2]) | overlap(p[1], p[2]))),
     ])
 
 
 def graphical_choice_contract(choices: DataFrame) -> DataFrame:
-    """Items without exactly the five choices 1 to 5 in order, or with one that is under review."""
-    per = choices.groupBy("item_id").agg(F.array_sort(F.collect_list("ord")).alias("ords"), F.bool_or("needs_review").alias("review"))
-    return check(per, ["item_id"], [("choice_order", "error", F.col("ords").cast("array<int>") != F.sequence(F.lit(1), F.lit(5))), ("choice_review", "error", F.col("review"))])
+    """Items without exactly the five choices 1 to 5, with a choice of another item, one that is under review or one that was changed.
+
+    choices: item_id, owner_id, ord, needs_review, reason, recorded and observed digest; detail has the distinct reasons of a
+    review in their order. Nulls in owner_id, digests and ord break the rule.
+    """
+    c = F.col
+    per = choices.groupBy("item_id").agg(
+        F.count("*").alias("n"), F.count_distinct("ord").alias("places"), F.min("ord").alias("low"), F.max("ord").alias("high"), F.bool_or("needs_review").alias("review"),
+        F.bool_and(F.coalesce(c("owner_id") == c("item_id"), F.lit(False))).alias("own"), F.bool_and(F.coalesce(c("recorded") == c("observed"), F.lit(False))).alias("unchanged"),
+        F.collect_set(F.when(c("needs_review") & ~blank(c("reason")), c("reason"))).alias("reasons"),
+    )
+    ordered = (c("n") == 5) & (c("places") == 5) & (c("low") == 1) & (c("high") == 5)
+    found = check(per, ["item_id", "reasons"], [
+        ("choice_count", "error", c("n") != 5), ("choice_order", "error", ~F.coalesce(ordered, F.lit(False))), ("choice_owner", "error", ~c("own")),
+        ("choice_review", "error", c("review")), ("choice_digest", "error", ~c("unchanged")),
+    ])
+    return found.select("item_id", "code", "level", F.when(c("code") == "choice_review", F.array_join(F.array_sort("reasons"), "; ")).otherwise("").alias("detail"))
 
 
 def slot_count_match(slots: DataFrame, assets: DataFrame) -> DataFrame:
@@ -205,10 +255,26 @@ def slot_count_match(slots: DataFrame, assets: DataFrame) -> DataFrame:
     return slots.select("item_id", "kind", "idx", F.lit(True).alias("slot")).join(assets.select("item_id", "kind", "idx", F.lit(True).alias("asset")), ["item_id", "kind", "idx"], "full_outer").where("slot is null or asset is null").select("item_id", "kind", "idx", F.when(F.col("slot").isNull(), "asset without slot").otherwise("slot without asset").alias("issue"))
 
 
-def block_contract(blocks: DataFrame, required: list[str]) -> DataFrame:
-    """Documents (blocks: doc_id, kind, text) with pictures but no text, or without a required text."""
-    per = blocks.groupBy("doc_id").agg(F.bool_or(F.col("kind") == "image").alias("images"), F.bool_or((F.col("kind") == "text") & ~blank(F.col("text"))).alias("texts"), *(F.bool_or(F.contains("text", F.lit(r))).alias(f"r{i}") for i, r in enumerate(required)))
-    return check(per, ["doc_id"], [("images_only", "error", F.col("images") & ~F.col("texts")), ("no_text", "error", ~F.col("texts")), *((f"required_{i}", "error", ~F.coalesce(f"r{i}", F.lit(False))) for i in range(len(required)))])
+def block_contract(blocks: DataFrame, required: list[str], box: bool = False, claims: bool = False, fifth: bool = False) -> DataFrame:
+    """Documents whose blocks (doc_id, kind, text, page_no, expected_pages) lack something: pictures but no text, no text, required texts, pages.
+
+    On demand also a table with the box of claims (`box`; with `claims` it must hold all three), the claims, and the fifth
+    choice, in whatever block. A document without an expected number of pages may have any.
+    """
+    c, has = F.col, lambda x: F.coalesce(F.bool_or(x), F.lit(False))
+    text = F.coalesce("text", F.lit(""))
+    letters = [F.contains(text, F.lit(x)) for x in CLAIM_LETTERS]
+    boxed = (c("kind") == "table") & F.contains(F.regexp_replace(text, r"\s+", ""), F.lit(CLAIM_BOX))
+    per = blocks.groupBy("doc_id").agg(
+        has(c("kind") == "image").alias("images"), has((c("kind") == "text") & ~blank(text)).alias("texts"), has((boxed & letters[0] & letters[1] & letters[2]) if claims else boxed).alias("boxed"),
+        *(has(x).alias(f"l{i}") for i, x in enumerate(letters)), has(F.contains(text, F.lit(FIFTH))).alias("fifth"), F.count_distinct("page_no").alias("pages"), F.max("expected_pages").alias("expected"),
+        *(has(F.contains(text, F.lit(r))).alias(f"r{i}") for i, r in enumerate(required)),
+    )
+    return check(per, ["doc_id"], [
+        ("images_only", "error", c("images") & ~c("texts")), ("no_text", "error", ~c("texts")), ("page_count", "error", c("pages") != c("expected")),
+        *([("no_box", "error", ~c("boxed"))] if box else []), *([("claims_missing", "error", ~(c("l0") & c("l1") & c("l2")))] if claims else []),
+        *([("fifth_choice", "error", ~c("fifth"))] if fifth else []), *((f"required_{i}", "error", ~c(f"r{i}")) for i in range(len(required))),
+    ])
 
 
 def set_duplicates(items: DataFrame, uses: DataFrame, first: int = 4) -> DataFrame:

@@ -70,10 +70,18 @@ def reject_object_literal(v: Views) -> DataFrame:
     return bank.reject_object_literal(q, "id", ["title", "ask"])
 
 
-@query("""SELECT id, id % 4 = 0 AS changed, CASE WHEN id % 4 = 0 THEN 'text ' || id ELSE title END AS title, CASE WHEN id % 4 = 0 THEN '{{"frame_id":"F1"}}' END AS meta FROM {question}""".replace("{{", "{").replace("}}", "}"))
+@query("""SELECT id, id % 4 = 0 OR id % 50 = 1 AS changed,
+CASE WHEN id % 50 = 1 OR id % 12 = 8 THEN '' WHEN id % 4 = 0 THEN 'text ' || id ELSE title END AS title,
+CASE WHEN id % 8 = 0 THEN translate('<' || CASE WHEN id % 3 = 0 THEN '"ask":<"frame_id":"A">,' ELSE '' END || '"title":<"frame_id":"F' || id % 5 || '","sources":[' || CASE WHEN id % 12 <> 4 THEN CAST(id % 7 AS VARCHAR) ELSE '' END || ']>>', '<>', chr(123) || chr(125))
+WHEN id % 3 = 0 THEN translate('<"ask":<"frame_id":"A">>', '<>', chr(123) || chr(125)) END AS meta FROM {question}""")
 def unwrap_text_envelope(v: Views) -> DataFrame:
-    wrapped = F.to_json(F.struct(F.concat(F.lit("text "), F.col("id").cast("string")).alias("text"), F.lit("F1").alias("frame_id")))
-    q = v("question").select("id", F.when(F.col("id") % 4 == 0, wrapped).otherwise(F.col("title")).alias("title"), F.lit(None).cast("string").alias("meta"))
+    """Titles, a fourth of them in envelopes with and without a text, a frame and sources; meta of another field is there already in a third."""
+    i = F.col("id")
+    text = F.when(i % 12 != 8, F.concat(F.lit("text "), i.cast("string")))
+    frame = F.when(i % 8 == 0, F.concat(F.lit("F"), (i % 5).cast("string"))).otherwise("")
+    wrapped = F.to_json(F.struct(text.alias("text"), frame.alias("frame_id"), F.when(i % 12 == 0, F.array(i % 7)).alias("style_sources"), F.when(i % 12 == 8, F.array(i % 7)).alias("sources")))
+    title = F.when(i % 50 == 1, " [Object object]").when(i % 4 == 0, wrapped).otherwise(F.col("title"))
+    q = v("question").select("id", title.alias("title"), F.when(i % 3 == 0, '{"ask":{"frame_id":"A"}}').alias("meta"))
     return bank.unwrap_text_envelope(q, "title", "meta").select("id", "changed", "title", "meta")
 
 
@@ -125,9 +133,9 @@ def proposition_footer(v: Views) -> DataFrame:
     return child_counts(v).agg(F.sum("n_evidence").alias("n_evidence"), F.sum("n_variants").alias("n_variants"))
 
 
-@query("""SELECT set_id, round(total_points, 1) AS total_points, n_high, n_middle, n_low, 0::BIGINT AS n_other, standards, n_items, 100.0::DOUBLE AS target, round(100.0::DOUBLE - total_points, 1) AS gap FROM (
+@query("""SELECT set_id, round(total_points, 1) AS total_points, n_high, n_middle, n_low, n_other, standards, n_items, 100.0::DOUBLE AS target, round(100.0::DOUBLE - total_points, 1) AS gap FROM (
 SELECT set_id, sum(coalesce(points, default_points)) AS total_points, count(*) FILTER (WHERE difficulty = '상') AS n_high, count(*) FILTER (WHERE difficulty = '중') AS n_middle,
-count(*) FILTER (WHERE difficulty = '하') AS n_low, coalesce(string_agg(DISTINCT CASE WHEN standard_code <> '' THEN standard_code END, ',' ORDER BY CASE WHEN standard_code <> '' THEN standard_code END), '') AS standards, count(*) AS n_items FROM {item} GROUP BY 1) x""")
+count(*) FILTER (WHERE difficulty = '하') AS n_low, count(*) FILTER (WHERE difficulty NOT IN ('상', '중', '하')) AS n_other, coalesce(string_agg(DISTINCT CASE WHEN standard_code <> '' THEN standard_code END, ',' ORDER BY CASE WHEN standard_code <> '' THEN standard_code END), '') AS standards, count(*) AS n_items FROM {item} GROUP BY 1) x""")
 def set_dashboard(v: Views) -> DataFrame:
     return bank.set_dashboard(v("item"))
 

@@ -75,6 +75,20 @@ def reading_order(v: Views) -> DataFrame:
     return layout.reading_order(v("box"), ["page"], F.col("page") % 2 == 0).select("page", "box_id", "place")
 
 
+THREE = """t AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY page ORDER BY box_id) AS k, count(*) OVER (PARTITION BY page) AS n FROM {box}) x WHERE n = 3),
+pair AS (SELECT a.page, a.k AS ka, b.k AS kb, 6 - a.k - b.k AS other, least(a.x1, b.x1) > greatest(a.x0, b.x0) AS x, least(a.y1, b.y1) > greatest(a.y0, b.y0) AS y FROM t a JOIN t b ON a.page = b.page AND a.k < b.k),
+axis AS (SELECT page, CASE WHEN count(*) FILTER (WHERE x) = 1 THEN max(other) FILTER (WHERE x) END AS lx, CASE WHEN count(*) FILTER (WHERE y) = 1 THEN max(other) FILTER (WHERE y) END AS ly FROM pair GROUP BY 1),
+grid AS (SELECT t.*, lx, ly, lx IS NOT NULL AND ly IS NULL AS stands, ly IS NOT NULL AND lx IS NULL AS lies, avg((x0 + x1) / 2) FILTER (WHERE k <> lx) OVER (PARTITION BY t.page) AS px, avg((y0 + y1) / 2) FILTER (WHERE k <> ly) OVER (PARTITION BY t.page) AS py FROM t JOIN axis ON axis.page = t.page)"""
+
+
+@query(f"""WITH {THREE} SELECT page, box_id, CAST(row_number() OVER (PARTITION BY page ORDER BY CASE WHEN stands AND k = lx THEN CASE WHEN (x0 + x1) / 2 < px THEN -1 ELSE 1 END WHEN lies AND k = ly THEN CASE WHEN (y0 + y1) / 2 < py THEN -1 ELSE 1 END ELSE 0 END,
+CASE WHEN lies THEN x0 ELSE y0 END, CASE WHEN NOT stands AND NOT lies THEN x0 END, box_id) AS INTEGER) AS place FROM grid""")
+def reading_order_grid(v: Views) -> DataFrame:
+    """The order of the boxes of pages that have three."""
+    threes = v("box").groupBy("page").agg(F.count("*").alias("n")).where("n = 3").select("page")
+    return layout.reading_order(v("box").join(threes, "page", "left_semi"), ["page"], F.lit(False), F.lit(True)).select("page", "box_id", "place")
+
+
 @query("SELECT page, CASE WHEN max((x0 + x1) / 2) - min((x0 + x1) / 2) >= max((y0 + y1) / 2) - min((y0 + y1) / 2) THEN 'horizontal' ELSE 'vertical' END AS axis FROM {box} GROUP BY 1")
 def layout_axis(v: Views) -> DataFrame:
     return layout.layout_axis(v("box"), ["page"])

@@ -67,14 +67,20 @@ def duplicate_proposition(v: Views) -> DataFrame:
 
 
 PRIVATE = f"[{chr(0xE000)}-{chr(0xF8FF)}]"
-LINT = r"""CASE WHEN trim(text) = '' THEN 'empty text' WHEN regexp_matches(text, '\[26023-[0-9]{4}\]') THEN 'source id' WHEN regexp_matches(text, ';[0-9]+[!@#$%^&*()];') THEN 'fraction code'
-WHEN contains(text, '`') THEN 'backtick' WHEN regexp_matches(text, 'PRIVATE') OR regexp_matches(text, '[\x00-\x08\x0b-\x1f\x7f]') THEN 'private or control character' WHEN regexp_matches(text, '[!?.#$%&*]{3,}') THEN 'repeated punctuation'
-WHEN regexp_matches(text, '[0-9]{7,}') THEN 'digit run' WHEN contains(text, '@') THEN 'at sign' END""".replace("PRIVATE", PRIVATE)
+LINT = r"""CASE WHEN n_chars % 10 = 0 THEN 'picture of the whole item' WHEN trim(text) = '' THEN 'empty text' WHEN n_chars % 16 = 8 THEN 'not five choices' WHEN regexp_matches(text, '\[26023-[0-9]{4}\]') THEN 'source id'
+WHEN regexp_matches(text, ';[0-9]+[!@#$%^&*()];') THEN 'fraction code' WHEN contains(text, '`') THEN 'backtick'
+WHEN regexp_matches(text, 'PRIVATE') OR regexp_matches(text, '[\x00-\x08\x0b-\x1f\x7f-\x{af}\x{b2}-\x{b6}\x{b8}-\x{d6}\x{d8}-\x{ff}]') THEN 'private or control character' WHEN n_chars % 9 = 0 THEN 'formula: greek'
+WHEN regexp_matches(text, '[!?.#$%&*]{3,}') THEN 'repeated punctuation' WHEN regexp_matches(text, '[0-9]{7,}') THEN 'digit run' WHEN contains(text, '@') THEN 'at sign' END""".replace("PRIVATE", PRIVATE)
 
 
 @query(f"SELECT doc_id, {LINT} AS problem FROM documents")
 def editable_text_lint(v: Views) -> DataFrame:
-    return v("documents").select("doc_id", quality.text_lint(F.col("text")).alias("problem"))
+    """Whole documents as texts of items: some of them set as one picture, some with four choices, some with a wrong formula."""
+    n = F.col("n_chars")
+    text = F.concat("text", F.when(n % 9 == 0, "[[formula:α]]").otherwise(""))
+    markup = F.when(n % 10 == 0, F.concat(F.lit(quality.WHOLE_PICTURE), "text")).otherwise(F.concat(F.lit("set in "), "lang"))
+    found = quality.text_lint(text, markup, F.when(n % 8 == 0, 4).otherwise(5), F.when(n % 16 == 0, 5))
+    return v("documents").select("doc_id", found.alias("problem"))
 
 
 @query(f"SELECT doc_id, n_chars % 5 = 0 OR regexp_matches(text, '{PRIVATE}') AS private FROM documents")
@@ -132,19 +138,35 @@ def cited_references(v: Views) -> DataFrame:
     return v("documents").select("doc_id", F.array_join(F.array_sort(quality.cited_references(cited, F.array(F.lit("en"), F.lit("src1")))), ",").alias("missing"))
 
 
-@query("""WITH p AS (SELECT page AS item_id, row_number() OVER (PARTITION BY page ORDER BY box_id) + CASE WHEN page % 3 = 0 THEN 1 ELSE 0 END AS idx, flag, x0, y0, x1, y1 FROM {box}),
-g AS (SELECT item_id, count(*) AS n, min(idx) AS low, max(idx) AS high, count(DISTINCT flag) AS kinds, bool_and(abs((x1 - x0) / (y1 - y0) - 1) <= 0.05::DOUBLE) AS square FROM p GROUP BY 1)
-SELECT item_id, 'panel_index' AS code, 'error' AS level FROM g WHERE low <> 1 OR high <> n UNION ALL SELECT item_id, 'panel_arrangement', 'error' FROM g WHERE kinds <> 1 UNION ALL SELECT item_id, 'panel_ratio', 'error' FROM g WHERE NOT square""")
+PANELS = """SELECT page AS item_id, CASE WHEN page % 7 = 0 AND box_id % 2 = 0 THEN box_id ELSE page END AS owner_id, k + CASE WHEN page % 3 = 0 THEN 1 ELSE 0 END AS idx, n + CASE WHEN page % 5 = 0 THEN k % 2 ELSE 0 END AS asset_count,
+flag AS arrangement, x0, y0, x1, CASE WHEN box_id % 17 = 0 THEN y0 ELSE y1 END AS y1, (x1 - x0) * 4 AS width_px, (y1 - y0) * CASE WHEN page % 2 = 0 AND k = 1 THEN 4.5E0 ELSE 4.1E0 END AS height_px,
+CASE WHEN page % 4 = 0 THEN '(가)' ELSE CASE k WHEN 1 THEN ' (가)' WHEN 2 THEN '(나)' WHEN 3 THEN '(다) ' END END AS caption, y1 + CASE WHEN page % 11 = 0 THEN -5 ELSE 5 END AS caption_y0, box_id AS recorded, CASE WHEN box_id % 13 = 0 THEN 0 ELSE box_id END AS observed
+FROM (SELECT *, row_number() OVER (PARTITION BY page ORDER BY box_id) AS k, count(*) OVER (PARTITION BY page) AS n FROM {box}) b"""
+
+
+@query(f"""WITH p AS ({PANELS}), g AS (SELECT item_id, count(*) AS n, min(idx) AS low, bool_and(asset_count = c) AS assets, bool_and(owner_id = item_id) AS own, count(DISTINCT arrangement) AS kinds, bool_and(x1 > x0 AND y1 > y0) AS positive,
+  bool_and(CASE WHEN y1 > y0 THEN abs((width_px / height_px) / ((x1 - x0) / (y1 - y0)) - 1) <= 0.05::DOUBLE ELSE false END) AS shaped, bool_and(recorded = observed) AS same, string_agg(trim(caption), '|' ORDER BY idx) FILTER (WHERE idx <= 3) AS captions,
+  count(*) FILTER (WHERE idx <= 3 AND y1 <= caption_y0) AS below FROM (SELECT *, count(*) OVER (PARTITION BY item_id) AS c FROM p) q GROUP BY 1)
+SELECT item_id, 'panel_index' AS code, 'error' AS level FROM g WHERE low <> 1 UNION ALL SELECT item_id, 'panel_assets', 'error' FROM g WHERE NOT assets UNION ALL SELECT item_id, 'panel_owner', 'error' FROM g WHERE NOT own
+UNION ALL SELECT item_id, 'panel_arrangement', 'error' FROM g WHERE kinds <> 1 UNION ALL SELECT item_id, 'panel_box', 'error' FROM g WHERE NOT positive UNION ALL SELECT item_id, 'panel_ratio', 'error' FROM g WHERE NOT shaped
+UNION ALL SELECT item_id, 'panel_digest', 'error' FROM g WHERE NOT same UNION ALL SELECT item_id, 'panel_captions', 'error' FROM g WHERE n = 3 AND captions <> '(가)|(나)|(다)' UNION ALL SELECT item_id, 'panel_caption_place', 'error' FROM g WHERE n = 3 AND below < 3
+UNION ALL SELECT DISTINCT a.item_id, 'panel_overlap', 'error' FROM p a JOIN p b ON a.item_id = b.item_id AND a.idx < b.idx AND b.idx <= 3 JOIN g ON g.item_id = a.item_id AND g.n = 3
+  WHERE least(a.x1, b.x1) > greatest(a.x0, b.x0) AND least(a.y1, b.y1) > greatest(a.y0, b.y0)""")
 def panel_contract(v: Views) -> DataFrame:
-    n = F.row_number().over(Window.partitionBy("page").orderBy("box_id"))
-    p = v("box").select(F.col("page").alias("item_id"), (n + F.when(F.col("page") % 3 == 0, 1).otherwise(0)).alias("idx"), F.col("flag").alias("arrangement"), "x0", "y0", "x1", "y1")
-    return quality.panel_contract(p)
+    """Boxes as the panels of their page, with a fault of each kind in some of them."""
+    return quality.panel_contract(v.sql(PANELS))
+
 
+CHOICES = """SELECT set_id AS item_id, CASE WHEN item_id % 31 = 0 THEN item_id ELSE set_id END AS owner_id, ord, l_returnflag = 'R' AS needs_review, CASE WHEN l_linestatus = 'F' THEN l_returnflag || CAST(l_linenumber % 3 AS STRING) ELSE ' ' END AS reason,
+item_id AS recorded, CASE WHEN item_id % 37 <> 0 THEN item_id END AS observed FROM {set_item}"""
 
-@query("""WITH g AS (SELECT set_id AS item_id, string_agg(CAST(ord AS VARCHAR), ',' ORDER BY ord) AS ords, bool_or(l_returnflag = 'R') AS review FROM {set_item} GROUP BY 1)
-SELECT item_id, 'choice_order' AS code, 'error' AS level FROM g WHERE ords <> '1,2,3,4,5' UNION ALL SELECT item_id, 'choice_review', 'error' FROM g WHERE review""")
+
+@query(f"""WITH o AS ({CHOICES}), g AS (SELECT item_id, count(*) AS n, string_agg(CAST(ord AS VARCHAR), ',' ORDER BY ord) AS ords, bool_or(needs_review) AS review, bool_and(owner_id = item_id) AS own, count(*) = count(observed) AS same,
+  coalesce(string_agg(DISTINCT reason, '; ' ORDER BY reason) FILTER (WHERE needs_review AND reason <> ' '), '') AS reasons FROM o GROUP BY 1)
+SELECT item_id, 'choice_count' AS code, 'error' AS level, '' AS detail FROM g WHERE n <> 5 UNION ALL SELECT item_id, 'choice_order', 'error', '' FROM g WHERE ords <> '1,2,3,4,5' UNION ALL SELECT item_id, 'choice_owner', 'error', '' FROM g WHERE NOT own
+UNION ALL SELECT item_id, 'choice_review', 'error', reasons FROM g WHERE review UNION ALL SELECT item_id, 'choice_digest', 'error', '' FROM g WHERE NOT same""")
 def graphical_choice_contract(v: Views) -> DataFrame:
-    return quality.graphical_choice_contract(v("set_item").select(F.col("set_id").alias("item_id"), "ord", (F.col("l_returnflag") == "R").alias("needs_review")))
+    return quality.graphical_choice_contract(v.sql(CHOICES))
 
 
 @query("""WITH a AS (SELECT DISTINCT set_id AS item_id, l_returnflag AS kind, ord AS idx FROM {set_item} WHERE item_id % 3 <> 0), b AS (SELECT DISTINCT set_id AS item_id, l_returnflag AS kind, ord AS idx FROM {set_item} WHERE item_id % 4 <> 0)
@@ -155,11 +177,16 @@ def slot_count_match(v: Views) -> DataFrame:
     return quality.slot_count_match(one(s.where("item_id % 3 <> 0")), one(s.where("item_id % 4 <> 0")))
 
 
-@query("""SELECT set_id AS doc_id, 'images_only' AS code, 'error' AS level FROM {set_item} GROUP BY 1 HAVING bool_or(l_returnflag = 'R') AND NOT bool_or(l_returnflag <> 'R')
-UNION ALL SELECT set_id, 'no_text', 'error' FROM {set_item} GROUP BY 1 HAVING NOT bool_or(l_returnflag <> 'R') UNION ALL SELECT set_id, 'required_0', 'error' FROM {set_item} GROUP BY 1 HAVING NOT bool_or(l_linestatus = 'F')""")
+BLOCKS = """SELECT set_id AS doc_id, CASE WHEN l_returnflag = 'R' THEN 'image' WHEN l_linenumber % 3 = 0 THEN 'table' ELSE 'text' END AS kind, ord % 3 AS page_no, nullif(set_id % 4, 0) AS expected_pages,
+CASE WHEN l_returnflag = 'R' THEN NULL WHEN l_linenumber % 3 = 0 THEN '< 보기 > ㄱ ㄴ' || CASE WHEN item_id % 2 = 0 THEN ' ㄷ' ELSE '' END ELSE l_linestatus || CASE WHEN item_id % 4 = 0 THEN ' ⑤' ELSE '' END END AS text FROM {set_item}"""
+
+
+@query(f"""WITH b AS ({BLOCKS}), g AS (SELECT doc_id, coalesce(bool_or(kind = 'image'), false) AS images, coalesce(bool_or(kind = 'text'), false) AS texts, count(DISTINCT page_no) AS pages, max(expected_pages) AS expected,
+  coalesce(bool_or(kind = 'table' AND contains(text, 'ㄷ')), false) AS claims, coalesce(bool_or(contains(text, '⑤')), false) AS fifth, coalesce(bool_or(contains(text, 'F')), false) AS f FROM b GROUP BY 1)
+SELECT doc_id, 'images_only' AS code, 'error' AS level FROM g WHERE images AND NOT texts UNION ALL SELECT doc_id, 'no_text', 'error' FROM g WHERE NOT texts UNION ALL SELECT doc_id, 'page_count', 'error' FROM g WHERE pages <> expected
+UNION ALL SELECT doc_id, 'no_box', 'error' FROM g WHERE NOT claims UNION ALL SELECT doc_id, 'claims_missing', 'error' FROM g WHERE NOT claims UNION ALL SELECT doc_id, 'fifth_choice', 'error' FROM g WHERE NOT fifth UNION ALL SELECT doc_id, 'required_0', 'error' FROM g WHERE NOT f""")
 def block_contract(v: Views) -> DataFrame:
-    b = v("set_item").select(F.col("set_id").alias("doc_id"), F.when(F.col("l_returnflag") == "R", "image").otherwise("text").alias("kind"), F.col("l_linestatus").alias("text"))
-    return quality.block_contract(b, ["F"])
+    return quality.block_contract(v.sql(BLOCKS), ["F"], box=True, claims=True, fifth=True)
 
 
 @query("""SELECT q.id, CASE WHEN trim(q.answer) <> '' THEN q.answer ELSE coalesce(c.shown, '') END AS answer FROM {question} q
