@@ -13,33 +13,39 @@ from lectern.plans.views import Views
 from lectern.sources import corpus
 
 
-@query("""SELECT doc_id, line AS first, trim(line) AS asked FROM (SELECT doc_id, ltrim(split_part(text, chr(10), 1)) AS line FROM documents) d WHERE NOT regexp_matches(line, '^[0-9]') AND line <> '' AND NOT regexp_matches(line, '[\\])]\\s*$') AND NOT regexp_matches(line, '\\s$')""".replace("\\\\", "\\"))
+LINES = "(SELECT doc_id, n_chars, unnest(string_split(text, chr(10))) AS line, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS line_no FROM documents) d"
+
+
+def lines_of(v: Views) -> DataFrame:
+    """All lines of all documents, numbered from 1."""
+    return v("documents").select("doc_id", "n_chars", F.posexplode(F.split("text", "\n")).alias("at", "line")).withColumn("line_no", F.col("at").cast("long") + 1)
+
+
+@query(f"""SELECT doc_id, line_no, ltrim(line) AS first, trim(line) AS asked FROM {LINES} WHERE NOT regexp_matches(ltrim(line), '^[0-9]') AND ltrim(line) <> '' AND NOT regexp_matches(line, '[\\])]\\s*$') AND NOT regexp_matches(line, '\\s$')""")
 def stripped_stems(v: Views) -> DataFrame:
-    """First lines with a number before and a score behind, by the document's length, stripped of both."""
-    line = F.ltrim(F.split_part("text", F.lit("\n"), F.lit(1)))
-    d = v("documents").select("doc_id", "n_chars", line.alias("line")).where(~F.col("line").rlike("^[0-9]") & (F.col("line") != "") & ~F.col("line").rlike(r"[\])]\s*$") & ~F.col("line").rlike(r"\s$"))
+    """Lines with a number before and a score behind, by the document's length, stripped of both."""
+    d = lines_of(v).withColumn("line", F.ltrim("line")).where(~F.col("line").rlike("^[0-9]") & (F.col("line") != "") & ~F.col("line").rlike(r"[\])]\s*$") & ~F.col("line").rlike(r"\s$"))
     numbered = F.concat((F.col("n_chars") % 99).cast("string"), F.lit(" . "), "line")
     scored = F.concat("line", F.lit(" ["), (F.col("n_chars") % 4 + 1).cast("string"), F.lit(".5점] "))
-    return d.select("doc_id", text.strip_number(numbered).alias("first"), text.strip_score(scored).alias("asked"))
+    return d.select("doc_id", "line_no", text.strip_number(numbered).alias("first"), text.strip_score(scored).alias("asked"))
 
 
-@query("""SELECT id, turn, array_to_string(list_filter([trim(word), trim(role), trim(CASE WHEN size % 2 = 0 THEN ' ' ELSE word END)], lambda x: x <> ''), '|') AS choices FROM {talk_line} WHERE NOT regexp_matches(word, '[①②③④⑤]')""")
+@query("""SELECT id, turn, array_to_string(list_filter([trim(text), trim(role), trim(CASE WHEN size % 2 = 0 THEN ' ' ELSE text END)], lambda x: x <> ''), '|') AS choices FROM {talk_line} WHERE NOT regexp_matches(text, '[①②③④⑤]')""")
 def split_choices(v: Views) -> DataFrame:
-    t = v("talk_line").where(~F.col("word").rlike("[①②③④⑤]"))
-    line = F.concat(F.lit("발문 ① "), "word", F.lit(" ②"), "role", F.lit(" ③ "), F.when(F.col("size") % 2 == 0, " ").otherwise(F.col("word")))
+    t = v("talk_line").where(~F.col("text").rlike("[①②③④⑤]"))
+    line = F.concat(F.lit("발문 ① "), "text", F.lit(" ②"), "role", F.lit(" ③ "), F.when(F.col("size") % 2 == 0, " ").otherwise(F.col("text")))
     return t.select("id", "turn", F.array_join(text.split_choices(line), "|").alias("choices"))
 
 
-@query("""SELECT doc_id, CASE WHEN n_chars % 3 > 0 THEN lpad(CAST(n_chars % 9 + 1 AS VARCHAR), 1, '0') || '과' || lpad(CAST(n_chars % 20 AS VARCHAR), 2, '0') || '-' || lpad(CAST(doc_id % 9 + 1 AS VARCHAR), 2, '0') END AS code,
-CASE WHEN n_chars % 3 > 0 THEN split_part(text, chr(10), 1) END AS body FROM documents WHERE split_part(text, chr(10), 1) = ltrim(split_part(text, chr(10), 1)) AND split_part(text, chr(10), 1) <> ''""")
+@query(f"""SELECT doc_id, line_no, CASE WHEN n_chars % 3 > 0 THEN lpad(CAST(n_chars % 9 + 1 AS VARCHAR), 1, '0') || '과' || lpad(CAST(n_chars % 20 AS VARCHAR), 2, '0') || '-' || lpad(CAST(doc_id % 9 + 1 AS VARCHAR), 2, '0') END AS code,
+CASE WHEN n_chars % 3 > 0 THEN line END AS body FROM {LINES} WHERE line = ltrim(line) AND line <> ''""")
 def parse_standard(v: Views) -> DataFrame:
-    """Lines that begin with a code, or nearly, with the first line of a document behind it."""
-    line = F.split_part("text", F.lit("\n"), F.lit(1))
-    d = v("documents").where((line == F.ltrim(line)) & (line != ""))
+    """Lines that begin with a code, or nearly, with a line of a document behind it."""
+    d = lines_of(v).where((F.col("line") == F.ltrim("line")) & (F.col("line") != ""))
     n = F.col("n_chars")
     code = F.concat((n % 9 + 1).cast("string"), F.lit("과"), F.lpad((n % 20).cast("string"), 2, "0"), F.lit("-"), F.lpad((F.col("doc_id") % 9 + 1).cast("string"), 2, "0"))
-    whole = F.concat(F.when(n % 3 > 0, F.concat(F.lit(" ["), code, F.lit("] "))).otherwise(F.concat(F.lit("["), code, F.lit(" "))), line)
-    return d.select("doc_id", mining.parse_standard(whole).alias("p")).select("doc_id", "p.code", F.col("p.text").alias("body"))
+    whole = F.concat(F.when(n % 3 > 0, F.concat(F.lit(" ["), code, F.lit("] "))).otherwise(F.concat(F.lit("["), code, F.lit(" "))), "line")
+    return d.select("doc_id", "line_no", mining.parse_standard(whole).alias("p")).select("doc_id", "line_no", "p.code", F.col("p.text").alias("body"))
 
 
 @query(f"WITH {PAGES_SQL} SELECT document_id, page_no, regexp_matches(body, '^(The|Der|Le|El) ') OR regexp_matches(trim(body), '^[0-9]{{1,4}}$') AS head FROM line_pages")
