@@ -101,17 +101,17 @@ def choice_text(v: Views) -> DataFrame:
     return v("draft_choice").select("id", "idx", drafts.choice_text(F.col("combo"), F.col("text")).alias("shown"))
 
 
-STEM = """stem AS (SELECT doc_id, n_chars, split_part(text, ' ', 1) AS a, split_part(text, ' ', 2) AS b, split_part(text, ' ', 3) AS c FROM documents),
-asked AS (SELECT *, trim(a) <> '' AND trim(b) <> '' AND trim(c) <> '' AND NOT contains(a || b || c, '?') AND NOT contains(a || b || c, chr(10)) AS whole FROM stem)"""
+STEM = """flat AS (SELECT doc_id, n_chars, trim(translate(text, '?' || chr(10), '. ')) AS t FROM documents), words AS (SELECT *, split_part(t, ' ', 1) AS a, split_part(t, ' ', 2) AS b FROM flat),
+asked AS (SELECT *, trim(substr(t, length(a) + length(b) + 3)) AS c, a <> '' AND b <> '' AND trim(substr(t, length(a) + length(b) + 3)) <> '' AS whole FROM words)"""
 
 
 @query(f"WITH {STEM} SELECT doc_id, CASE WHEN n_chars % 3 > 0 THEN '합답형' ELSE '정답형' END AS qtype, CASE n_chars % 3 WHEN 0 THEN a || ' 옳은 것은? ' || b WHEN 1 THEN a || ' 옳은 것은? (단, ' || b || ')' ELSE a || ' <보기> 옳은 것은?' END AS ask, "
        "CAST(CASE WHEN n_chars % 2 = 0 THEN n_chars % 4 + 1 ELSE 3 END AS INTEGER) AS points, CASE WHEN n_chars % 3 > 0 THEN a || '/' || b || '/' || c ELSE '' END AS claims FROM asked WHERE whole")
 def split_stem_claims(v: Views) -> DataFrame:
-    words = [F.split_part("text", F.lit(" "), F.lit(k)).alias(c) for k, c in enumerate("abc", 1)]
-    s = v("documents").select("doc_id", "n_chars", *words)
-    together = F.concat("a", "b", "c")
-    s = s.where((F.trim("a") != "") & (F.trim("b") != "") & (F.trim("c") != "") & ~F.contains(together, F.lit("?")) & ~F.contains(together, F.lit("\n")))
+    """Whole documents as a word, another and the rest, without question marks and line ends, in three kinds of stems."""
+    flat = v("documents").select("doc_id", "n_chars", F.trim(F.translate("text", "?\n", ". ")).alias("t"))
+    words = flat.withColumns({c: F.split_part("t", F.lit(" "), F.lit(k)) for k, c in enumerate("ab", 1)})
+    s = words.withColumn("c", F.trim(F.substr("t", F.length("a") + F.length("b") + 3))).where("a <> '' and b <> '' and c <> ''")
     claims = F.concat(F.lit("ㄱ. "), "a", F.lit("  ㄴ. "), "b", F.lit("\nㄷ. "), "c", F.lit(" "))
     kind = F.col("n_chars") % 3
     text = (

@@ -202,12 +202,12 @@ def source_facts(v: Views) -> DataFrame:
 ENDINGS = "CASE " + " ".join(f"WHEN ends_with(c, '{e}') THEN '{e}'" for e in mining.CHOICE_ENDINGS) + " WHEN ends_with(c, '다.') THEN '기타_다.' WHEN ends_with(c, '.') THEN '기타_마침표' ELSE '비문장형' END"
 
 
-@query(f"SELECT id, turn, {ENDINGS} AS ending FROM (SELECT id, turn, CASE size % 5 WHEN 0 THEN word || '이 증가한다.' WHEN 1 THEN word || ' 크다.' WHEN 2 THEN word || ' 본다.' WHEN 3 THEN word ELSE text END AS c FROM {{talk_line}}) p")
+@query(f"SELECT id, turn, {ENDINGS} AS ending FROM (SELECT id, turn, text || CASE size % 5 WHEN 0 THEN '이 증가한다.' WHEN 1 THEN ' 크다.' WHEN 2 THEN ' 본다.' ELSE '' END AS c FROM {{talk_line}}) p")
 def choice_ending(v: Views) -> DataFrame:
-    """Choices are words of the conversations with an ending by their length, or whole texts."""
+    """Choices are whole lines of the conversations, most with an ending by their length."""
     k = F.col("size") % 5
     ends = F.when(k == 0, "이 증가한다.").when(k == 1, " 크다.").when(k == 2, " 본다.").otherwise("")
-    return v("talk_line").select("id", "turn", mining.choice_ending(F.when(k == 4, F.col("text")).otherwise(F.concat("word", ends))).alias("ending"))
+    return v("talk_line").select("id", "turn", mining.choice_ending(F.concat("text", ends)).alias("ending"))
 
 
 @query("SELECT id, CASE WHEN ends_with(ask, '에 대한 설명으로 옳은 것은?') THEN 'ASK_DESCRIPTION_CORRECT' WHEN starts_with(ask, '이에 대한 설명') THEN 'ASK_BOGI_STANDARD' END AS frame, CASE WHEN ends_with(ask, '에 대한 설명으로 옳은 것은?') THEN '직접_옳은것' WHEN starts_with(ask, '이에 대한 설명') THEN '보기_있는대로' ELSE '물음표_미추출' END AS kind FROM {draft}")
