@@ -47,7 +47,7 @@ from lectern.arrow import runs_of
 from lectern.operators.components import stars
 from lectern.llm.grams import mixed
 from lectern.llm.simhash import shingle_hashes
-from lectern.scratch import written
+from lectern.scratch import bucketed, forget, written
 
 SHINGLE = 4
 #: Sets with a similarity of LIKE hundredths or more are linked.
@@ -248,16 +248,28 @@ def alike(shared: Column, total: Column) -> Column:
     return shared * (100 + LIKE) >= total * LIKE
 
 
-def linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (a, b) of nodes whose sets are similar; sets travel only where sizes and parities leave room."""
+def linked(pairs: DataFrame, sets: DataFrame, picked: bool = True) -> DataFrame:
+    """The pairs (a, b) of nodes whose sets are similar; sets travel only where sizes and parities leave room.
+
+    Both sides of the comparison are shuffled, so the sets that are wanted are `picked` out first, once for both, unless
+    that is most of them.
+    """
     small = [sets.select(F.col("node").alias(x), F.col("n").alias(f"n{x}"), F.col("parity").alias(f"p{x}")) for x in "ab"]
-    large = [sets.select(F.col("node").alias(x), F.col("hashes").alias(f"h{x}")) for x in "ab"]
     total = F.col("na") + F.col("nb")
     apart = sum(F.bit_count(F.col("pa")[i].bitwiseXOR(F.col("pb")[i])) for i in range(PARITY))
     # As many as `apart` differ, so at most (total - apart) / 2 are shared.
     near = pairs.join(small[0], "a").join(small[1], "b").where(alike(F.least("na", "nb"), total) & alike((total - apart) / 2, total))
-    both = near.select("a", "b", total.alias("total")).join(large[0], "a").join(large[1], "b")
-    return both.where(alike(F.size(F.array_intersect("ha", "hb")), F.col("total"))).select("a", "b")
+    near = near.select("a", "b", total.alias("total"))
+    if picked:
+        near = written(near, "near")
+        wanted = near.select(F.col("a").alias("node")).unionByName(near.select(F.col("b").alias("node"))).distinct()
+        sets = written(sets.select("node", "hashes").join(wanted, "node", "left_semi"), "picked")
+    large = [sets.select(F.col("node").alias(x), F.col("hashes").alias(f"h{x}")) for x in "ab"]
+    both = near.join(large[0], "a").join(large[1], "b")
+    found = written(both.where(alike(F.size(F.array_intersect("ha", "hb")), F.col("total"))).select("a", "b"), "similar")
+    if picked:
+        forget(near, sets)
+    return found
 
 
 def near_parities(sizes: tuple[np.ndarray, np.ndarray], parities: tuple[np.ndarray, np.ndarray], roots: tuple[np.ndarray, np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -305,35 +317,47 @@ def untied(members: DataFrame, torn: DataFrame) -> DataFrame:
     return own.repartition("lead", "p", "q").sortWithinPartitions(*keys).mapInArrow(run, "a long, b long")
 
 
-def links(nodes: DataFrame, ties: DataFrame) -> DataFrame:
-    """Links (a, b) that connect exactly the nodes with similar sets, from ties (key, first, node) between nodes with a common signature."""
+def links(nodes: DataFrame, named: DataFrame, ties: DataFrame) -> DataFrame:
+    """Links (a, b) that connect exactly the nodes with similar sets, from ties (key, first, node) between nodes with a common signature.
+
+    `nodes` has node, digest and text, in buckets by digest, and is forgotten when the sets that have to be compared are
+    there; `named` has node and digest.
+    """
     met = ties.groupBy("node", "first").agg(F.count("*").alias("keys"))
     most = met.withColumn("k", F.row_number().over(Window.partitionBy("node").orderBy(F.desc("keys"), "first"))).where(F.col("k") <= LEADERS)
     first = written(most.select(F.least("first", "node").alias("a"), F.greatest("first", "node").alias("b")).distinct(), "first-pairs")
     some = written(ties.select("node").unionByName(ties.select(F.col("first").alias("node"))).distinct(), "tied-nodes")
-    sets = written(whole_sets(nodes.join(some, "node")), "sets")
-    roots = stars(linked(first, sets))
+    # Texts lie in buckets by their digest, so only the digests of those that are wanted are shuffled.
+    wanted = some.join(named, "node").select("digest")
+    sets = written(whole_sets(nodes.join(wanted, "digest")), "sets")
+    forget(nodes, some)
+    roots = stars(linked(first, sets, picked=False))
     led = written(ties.select("key", F.col("first").alias("node")).distinct().unionByName(ties.select("key", "node")), "led")
-    members, torn = torn_apart(led, roots)
+    members, torn, used = torn_apart(led, roots)
     # In a large group each member meets another at random for each of its keys; most groups that hang together do so after that.
     drawn = Window.partitionBy("key").orderBy(F.xxhash64("key", "node"))
     crowded = members.join(torn.where(F.col("m") > FEW).select("key"), "key")
     chained = crowded.select("root", "node", F.lag("root").over(drawn).alias("other"), F.lag("node").over(drawn).alias("before")).where("root <> other")
     chained = chained.select(F.least("before", "node").alias("a"), F.greatest("before", "node").alias("b")).distinct()
     hung = roots.select(F.col("root").alias("a"), F.col("node").alias("b"))
-    roots = stars(linked(written(chained.join(first, ["a", "b"], "left_anti"), "drawn-pairs"), sets).unionByName(hung))
-    members, torn = torn_apart(led, roots)
+    chained = written(chained.join(first, ["a", "b"], "left_anti"), "drawn-pairs")
+    forget(used, torn)
+    roots = stars(linked(chained, sets).unionByName(hung))
+    members, torn, used = torn_apart(led, roots)
     looked = members.join(sets.select("node", "n", "parity"), "node")
     across = written(untied(looked, torn).distinct().join(first, ["a", "b"], "left_anti"), "pairs")
-    return linked(across, sets).unionByName(roots.select(F.col("root").alias("a"), F.col("node").alias("b")))
+    forget(used, torn, led)
+    found = linked(across, sets).unionByName(roots.select(F.col("root").alias("a"), F.col("node").alias("b")))
+    forget(sets)
+    return found
 
 
-def torn_apart(led: DataFrame, roots: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(key, node, root) of all members, and (key, lead, m) of keys whose members are in different components: the least root and their number."""
+def torn_apart(led: DataFrame, roots: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(key, node, root) of members, and (key, lead, m) of keys whose members are in different components: the least root and their number; the table to forget with the latter."""
     members = written(led.join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root")).distinct(), "members")
     torn = members.groupBy("key").agg(F.min("root").alias("lead"), F.max("root").alias("last"), F.count("*").alias("m"))
     torn = written(torn.where("lead <> last").drop("last"), "torn")
-    return members.join(torn.select("key"), "key", "left_semi"), torn
+    return members.join(torn.select("key"), "key", "left_semi"), torn, members
 
 
 def similar_sets(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -343,14 +367,15 @@ def similar_sets(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> D
     copies = written(keyed.select("digest", "doc_id"), "digests")
     least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id")).alias("least")
     nodes = keyed.groupBy("digest").agg(least, F.first("text").alias("text"))
-    nodes = written(nodes.select(F.monotonically_increasing_id().alias("node"), "digest", "least", "text"), "nodes")
+    nodes = bucketed(nodes.select(F.monotonically_increasing_id().alias("node"), "digest", "least", "text"), "nodes", "digest")
+    named = written(nodes.select("node", "digest", "least"), "named-nodes")
     seen = nodes.agg(F.count("*"), F.sum(F.octet_length("text"))).first()
     ranges = max(1, round((seen[1] or 0) * PER_BYTE / RANGE))
     wanted = max(2.0, log(max(1, seen[0])) - MEETING)
     found = written(met(signed(nodes, ranges, wanted)), "ties")
     sizes, ties = found.where("n IS NOT NULL").select("node", "n"), found.where("n IS NULL").select("key", "first", "node")
-    roots = stars(links(nodes, ties))
-    placed = nodes.select("node", "digest", "least").join(sizes, "node").join(roots, "node", "left")
+    roots = stars(links(nodes, named, ties))
+    placed = named.join(sizes, "node").join(roots, "node", "left")
     placed = written(placed.select("digest", "least", "n", F.coalesce("root", "node").alias("root")), "placed")
     least = written(placed.groupBy("root").agg(F.min("least").alias("least")), "least")
     named = placed.drop("least").join(least, "root").select("digest", "n", F.col("least.doc_id").alias("component_id"))

@@ -10,7 +10,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -45,15 +46,49 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{path}/rows"
 
 
+#: Spark's setting by which an action deletes its shuffle files at its end; else they stay until the driver collects garbage.
+CLEANED = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextmanager
+def _cleaned(spark: SparkSession) -> Iterator[None]:
+    """Actions delete their shuffle files in here; the session's own setting for that holds again afterwards."""
+    before = spark.conf.get(CLEANED, "false")
+    spark.conf.set(CLEANED, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(CLEANED, before)
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
-    """The rows of `df`, written once as Parquet and read back: later jobs read only the columns they need."""
+    """The rows of `df`, written once as Parquet and read back: later jobs read only the columns they need.
+
+    What was shuffled on the way is deleted when the write ends.
+    """
     path = new_path(df.sparkSession, name)
-    df.write.parquet(path)
+    with _cleaned(df.sparkSession):
+        df.write.parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._lectern_path = path
     return out
 
 
+def bucketed(df: DataFrame, name: str, key: str) -> DataFrame:
+    """Like `written`, in as many buckets by `key` as Spark shuffles into: a join on `key` shuffles the other table only.
+
+    Spark reads buckets of tables in its catalog only, so there is one while the result is being looked up.
+    """
+    spark, path = df.sparkSession, new_path(df.sparkSession, name)
+    table = f"spark_catalog.default.lectern_{uuid.uuid4().hex}"
+    with _cleaned(spark):
+        df.write.bucketBy(int(spark.conf.get("spark.sql.shuffle.partitions")), key).format("parquet").option("path", path).saveAsTable(table)
+    out = spark.table(table)
+    spark.sql(f"DROP TABLE {table}")
+    out._lectern_path = path
+    return out
+
+
 def forget(*tables: DataFrame) -> None:
     """Delete tables that `written` gave and nothing reads any more."""
     for df in tables:
