@@ -2,8 +2,11 @@ import hashlib
 import re
 
 import numpy as np
+import pytest
 import xxhash
+from pyspark.sql import functions as F
 
+from lectern import scratch
 from lectern.llm import radix_dedup, simhash
 from lectern.operators.components import stars
 from tests.llm.helpers import LONG, ROWS, docs, empty, stored
@@ -31,6 +34,21 @@ def test_exact_groups(spark, tmp_path):
     assert all(r.doc_id == r.keep_id for r in kept)
 
 
+@pytest.mark.parametrize("clashing", [False, True])
+def test_labels_by_prints_and_by_value(spark, tmp_path, monkeypatch, clashing):
+    """Texts that part in any round; prints that clash change nothing, and where none does, labels don't shuffle digits."""
+    if clashing:
+        monkeypatch.setattr(radix_dedup, "print_of", lambda digit: F.lit(7).cast("long"))
+    texts = ["a" * n + c for n in (0, 47, 48, 511, 512, 4095, 4096, 33000) for c in ("", "x", "y", "xy")] * 2
+    stored_docs = stored(spark, tmp_path, docs(spark, [(i, t, "en", "s", None) for i, t in enumerate(texts)]))
+    seen = []
+    monkeypatch.setattr(radix_dedup, "written", lambda df, name: seen.append((name, df)) or scratch.written(df, name))
+    found = radix_dedup.exact_groups(stored_docs).collect()
+    assert sorted((r.doc_id, r.keep_id, r.group_size) for r in found) == [(i, texts.index(t), texts.count(t)) for i, t in enumerate(texts)]
+    plan = next(df for name, df in seen[3:] if name == "labelled")._jdf.queryExecution().optimizedPlan().toString()
+    assert ("print" in plan.split("Join")[1]) != clashing
+
+
 def test_exact_groups_of_nothing(spark):
     assert radix_dedup.exact_groups(empty(spark)).count() == 0
 
