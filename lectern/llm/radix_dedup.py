@@ -101,10 +101,12 @@ def exact_groups(df: DataFrame, doc_id: str = "doc_id", text: str = "text", row:
         live = rest.select("row", "doc_id", "sha", F.col("first.row").alias("grp"))
         if k == 0:
             forget(base)
-            # In buckets by row: a round's live rows are shuffled to their digits, which stay where they are.
+            # In buckets by row: a round's live rows are shuffled to their digits, which stay where they are. The digests are
+            # compared as a column, as a condition would join the join's keys; dealt by row alone, a bucket is one file.
             again = placed.drop("doc_id", "d0").withColumnRenamed("sha", "seen")
-            pool = bucketed(live.select("row", "sha").join(again, "row").where("sha = seen").drop("sha", "seen"), "live-digits", "row")
-            if pool.count() != live.count():
+            found = live.select("row", "sha").join(again, "row").withColumn("same", F.col("sha") == F.col("seen"))
+            pool = bucketed(found.drop("sha", "seen").repartition("row"), "live-digits", "row")
+            if pool.where("same").count() != live.count():
                 raise ValueError("rows have changed their places: give a stored table")
         after = k + 1 - len(WIDTHS)
         digit = F.col(f"d{k + 1}") if after < 0 else F.substring("rest", 1 + after * STRETCH, STRETCH)

@@ -1,5 +1,7 @@
 import hashlib
 import re
+import uuid
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -49,6 +51,38 @@ def test_labels_by_prints_and_by_value(spark, tmp_path, monkeypatch, clashing):
     assert ("print" in plan.split("Join")[1]) != clashing
 
 
+@pytest.mark.parametrize("broadcast", ["-1", "10m"])
+def test_a_bucket_of_live_digits_is_one_file(spark, tmp_path, monkeypatch, broadcast):
+    """Else as many files as tasks times buckets are written, and each later round opens all of them."""
+    settings = {"spark.sql.autoBroadcastJoinThreshold": broadcast, "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in settings}
+    files = []
+
+    def seen(df, name, key):
+        out = scratch.bucketed(df, name, key)
+        files.extend(Path(out._lectern_path.removeprefix("file:")).glob("part-*"))
+        return out
+
+    monkeypatch.setattr(radix_dedup, "bucketed", seen)
+    texts = ["a" * 48 + str(i % 50) for i in range(200)]
+    stored_docs = stored(spark, tmp_path, docs(spark, [(i, t, "en", "s", None) for i, t in enumerate(texts)]).repartition(4))
+    for k, v in settings.items():
+        spark.conf.set(k, v)
+    try:
+        found = radix_dedup.exact_groups(stored_docs).collect()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert sorted((r.doc_id, r.keep_id, r.group_size) for r in found) == [(i, i % 50, 4) for i in range(200)]
+    assert 1 < len(files) <= int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def test_rows_that_change_are_an_error(spark, tmp_path):
+    other = F.udf(lambda: "a" * 48 + uuid.uuid4().hex).asNondeterministic()
+    with pytest.raises(ValueError, match="stored table"):
+        radix_dedup.exact_groups(stored(spark, tmp_path, docs(spark)).withColumn("text", other()))
+
+
 def test_exact_groups_of_nothing(spark):
     assert radix_dedup.exact_groups(empty(spark)).count() == 0
 
