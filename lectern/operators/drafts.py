@@ -68,8 +68,8 @@ def formula_issues(field: str, allowed: list[str]) -> Column:
     return F.transform(formula_lint(F.coalesce(field, F.lit("")), allowed), lambda _: issue("formula_invalid", field))
 
 
-def style_issues(allowed: list[str]) -> Column:
-    """What the rules of style find; restored items are exempt from all but the ask's and the formulas'."""
+def style_issues(allowed: list[str], wrapped: bool = False) -> Column:
+    """What the rules of style find; restored items are exempt from all but the ask's and the formulas'. Frames of `wrapped` texts may go over line ends."""
     qtype, claims, choices = F.coalesce("qtype", F.lit("정답형")), F.coalesce("claims", F.array().cast(CLAIM)), F.coalesce("choices", F.array().cast(CHOICE))
     passage, ask = F.coalesce("passage", F.lit("")), F.coalesce("ask", F.lit(""))
     free, combined, some = ~reconstruction(F.col("style_meta")), qtype == COMBINED, F.size(claims) > 0
@@ -83,8 +83,8 @@ def style_issues(allowed: list[str]) -> Column:
     formulas = [formula_issues(c, allowed) for c in ("passage", "ask", "explanation")]
     return F.concat(
         when(blank(F.col("ask")), issue("no_ask", "ask")),
-        when(free & ~blank(passage) & intro_frame(passage).isNull(), issue("style_frame_unattested", "passage")),
-        when(free & (qtype != ESSAY) & ~blank(ask) & ask_frame(ask, qtype).isNull(), issue("style_frame_unattested", "ask")),
+        when(free & ~blank(passage) & intro_frame(passage, wrapped).isNull(), issue("style_frame_unattested", "passage")),
+        when(free & (qtype != ESSAY) & ~blank(ask) & ask_frame(ask, qtype, wrapped).isNull(), issue("style_frame_unattested", "ask")),
         *(when(free & F.contains(wording, F.lit(p)), issue("style_forbidden_phrase", "")) for p in FORBIDDEN),
         when(free & combined & some & ~mentions, issue("bogi_reference_missing", "ask")),
         when(free & ~some & mentions, issue("bogi_reference_orphan", "ask")),
@@ -115,13 +115,14 @@ def reference_issues(attached: Column) -> Column:
     return F.when(F.coalesce(F.col("qtype") == COMBINED, F.lit(False)), of(claims, "evidence", "claims")).otherwise(of(choices, "custom_evidence", "choices"))
 
 
-def draft_check(drafts: DataFrame, allowed: list[str], key: str = "id", attached: str | None = None) -> DataFrame:
+def draft_check(drafts: DataFrame, allowed: list[str], key: str = "id", attached: str | None = None, wrapped: bool = False) -> DataFrame:
     """All issues of drafts, one row each; style issues whose code the item check has raised already are left out. One pass, no join.
 
-    With `attached`, a column with the ids of a draft's references, evidence must cite these.
+    With `attached`, a column with the ids of a draft's references, evidence must cite these. Texts that are `wrapped`
+    may have frames that go over line ends.
     """
     cited = F.array().cast(NONE) if attached is None else reference_issues(F.col(attached))
-    two = drafts.select(key, evidence_issues().alias("first"), style_issues(allowed).alias("then"), cited.alias("cited"))
+    two = drafts.select(key, evidence_issues().alias("first"), style_issues(allowed, wrapped).alias("then"), cited.alias("cited"))
     codes = F.transform("first", lambda x: x.code)
     found = F.concat("first", F.filter("then", lambda x: ~F.array_contains(codes, x.code)), "cited")
     return two.select(key, F.explode(found).alias("x")).select(key, "x.*")

@@ -44,3 +44,8 @@ def test_passages_over_line_ends(spark, folder):
     assert frames() == [None, "INTRO_FIGURE_SINGLE", None, None]
     assert frames(wrapped=True) == ["INTRO_FIGURE_SINGLE", "INTRO_FIGURE_SINGLE", None, None]
     assert any("INTRO_FIGURE_SINGLE" in r for r in like_sql(spark, folder, "intro_frames"))
+
+
+@pytest.mark.parametrize("name", ["draft_check"])
+def test_drafts_over_line_ends(spark, folder, name):
+    assert like_sql(spark, folder, name)
