@@ -2,13 +2,19 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from lectern.functions.text import blank, circled, num_text
+from lectern.scratch import bucketed, forget, written
 
 # Ordered enumerations of the item bank.
 STATUS_RANK = {"초안": 0, "검토중": 1, "완성": 2}
@@ -203,15 +209,90 @@ def answer_position_counts(choices: DataFrame, items: DataFrame) -> DataFrame:
     return items.select("set_id", "question_id").join(one, "question_id").groupBy("set_id", "ord").agg(F.count("*").alias("n"))
 
 
-def duplicate_usage(items: DataFrame, uses: DataFrame) -> DataFrame:
+#: Propositions in a row that travels, items of a set that one task takes at a time, and rows of the join that a slice has for each item.
+CHUNK, TOGETHER, EACH = 256, 1000, 4
+#: Rows of the join that are always one slice.
+LEAST = 20_000_000
+
+
+def several(kinds: list[T.StructField]):
+    """For `mapInArrow`, over rows (set_id, part, question_id, propositions) in the order of set and part: what more than one question of a set has.
+
+    What is held is a batch and the rows of one set's part.
+    """
+    names = ["set_id", "proposition_id", "n", "questions"]
+
+    def found(rows: pa.Table) -> pa.RecordBatch:
+        sizes = pc.list_value_length(rows["propositions"]).to_numpy().astype(np.int64)
+        values = pa.chunked_array([c.flatten() for c in rows["propositions"].chunks]).combine_chunks()
+        coded = values.dictionary_encode()
+        row = np.repeat(np.arange(len(sizes)), sizes)
+        key = starts(rows).cumsum()[row] * (len(coded.dictionary) + 1) + coded.indices.to_numpy()
+        order = np.argsort(key)
+        cuts = np.flatnonzero(np.append(True, np.diff(key[order]) != 0)[: len(order)])
+        n = np.diff(np.append(cuts, len(order)))
+        first, n = cuts[n > 1], n[n > 1]
+        taken = order[np.repeat(first - np.cumsum(n) + n, n) + np.arange(n.sum())]
+        offsets = pa.array(np.append(0, np.cumsum(n)).astype(np.int32))
+        questions = pa.ListArray.from_arrays(offsets, rows["question_id"].combine_chunks().take(pa.array(row[taken])))
+        return pa.RecordBatch.from_arrays([rows["set_id"].combine_chunks().take(pa.array(row[order[first]])), values.take(pa.array(order[first])), pa.array(n.astype(np.int64)), questions], names=names)
+
+    def starts(rows: pa.Table) -> np.ndarray:
+        """Where another set or part begins."""
+        sets = rows["set_id"].combine_chunks().dictionary_encode("encode").indices.to_numpy().astype(np.int64)
+        parts = rows["part"].to_numpy()
+        return np.append(True, (np.diff(sets) != 0) | (np.diff(parts) != 0))[: len(sets)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            # The last row that is held tells whether the batch begins with another set.
+            tail = [held[-1].slice(held[-1].num_rows - 1)] if held else []
+            begins = np.flatnonzero(starts(pa.Table.from_batches([*tail, batch])))
+            begins = begins[begins > 0] - 1 if tail else begins[1:]
+            if len(begins):
+                yield found(pa.Table.from_batches([*held, batch.slice(0, begins[-1])]))
+                held, batch = [], batch.slice(begins[-1])
+            held.append(batch)
+        if held:
+            yield found(pa.Table.from_batches(held))
+
+    s, q, p = (k.dataType for k in kinds)
+    return run, T.StructType([T.StructField("set_id", s), T.StructField("proposition_id", p), T.StructField("n", T.LongType()), T.StructField("questions", T.ArrayType(q))])
+
+
+def duplicate_usage(items: DataFrame, uses: DataFrame, then: Callable[[DataFrame], DataFrame] = lambda df: df) -> DataFrame:
     """Propositions (uses: question_id, proposition_id) that more than one question of a set has, each question counted once.
 
-    Questions are listed only where counts have shown that there are several.
+    A question's propositions travel to its sets as arrays, for one slice of the sets after the other: as many slices as
+    make each about as large as the items, and what a slice has shuffled is deleted with its end. Sets of over TOGETHER
+    items are split by proposition. `then` is applied to the result of each slice, which has its sets whole.
     """
-    pairs = items.select("set_id", "question_id").distinct().join(uses.where("proposition_id is not null").select("question_id", "proposition_id").distinct(), "question_id")
-    several = pairs.groupBy("set_id", "proposition_id").agg(F.count("*").alias("n")).where("n > 1")
-    listed = pairs.join(several, ["set_id", "proposition_id"]).groupBy("set_id", "proposition_id")
-    return listed.agg(F.count("*").alias("n"), F.array_join(F.array_sort(F.collect_list("question_id")), ",").alias("questions"))
+    own = uses.where("proposition_id is not null").select("question_id", "proposition_id").repartition("question_id").distinct()
+    lists = own.groupBy("question_id").agg(F.collect_list("proposition_id").alias("all"))
+    chunks = F.transform(F.sequence(F.lit(0), F.floor((F.size("all") - 1) / CHUNK).cast("int")), lambda i: F.slice("all", i * CHUNK + 1, CHUNK))
+    lists = bucketed(lists.select("question_id", F.explode(chunks).alias("propositions")), "propositions", "question_id")
+    wanted = items.select("set_id", "question_id")
+    sizes = lists.groupBy("question_id").agg(F.sum(F.size("propositions")).alias("size"))
+    rows, all_rows = wanted.groupBy("question_id").agg(F.count("*").alias("n")).join(sizes, "question_id", "left").agg(F.sum("n"), F.sum(F.col("n") * F.coalesce("size", F.lit(0)))).first()
+    slices = max(1, -(-(all_rows or 0) // max(EACH * (rows or 0), LEAST)))
+    large = written(wanted.groupBy("set_id").agg(F.ceil(F.count("*") / TOGETHER).alias("parts")).where("parts > 1"), "large-sets")
+    part = lambda x: F.pmod(F.xxhash64(x), F.col("parts"))
+    run, schema = several([items.schema["set_id"], items.schema["question_id"], uses.schema["proposition_id"]])
+
+    def of(i: int) -> DataFrame:
+        some = wanted.where(F.pmod(F.xxhash64("set_id"), F.lit(slices)) == i).repartition("question_id").distinct()
+        met = some.join(lists, "question_id").join(large, "set_id", "left")
+        parts = F.when(F.col("parts").isNull(), F.array(F.lit(0).cast("long"))).otherwise(F.array_distinct(F.transform("propositions", part)))
+        split = met.withColumn("part", F.explode(parts)).withColumn("propositions", F.when(F.col("parts").isNull(), F.col("propositions")).otherwise(F.filter("propositions", lambda x: part(x) == F.col("part"))))
+        ordered = split.select("set_id", "part", "question_id", "propositions").repartition("set_id", "part").sortWithinPartitions("set_id", "part")
+        return ordered.mapInArrow(run, schema).withColumn("questions", F.array_join(F.array_sort("questions"), ","))
+
+    made = [written(then(of(i)), "duplicates") for i in range(slices)]
+    forget(lists, large)
+    return reduce(DataFrame.unionByName, made)
 
 
 def standards_tree(units: DataFrame, standards: DataFrame) -> DataFrame:
