@@ -280,4 +280,4 @@ def block_contract(blocks: DataFrame, required: list[str], box: bool = False, cl
 def set_duplicates(items: DataFrame, uses: DataFrame, first: int = 4) -> DataFrame:
     """The first groups of questions of a set that share a proposition."""
     w = Window.partitionBy("set_id").orderBy("proposition_id")
-    return duplicate_usage(items, uses).withColumn("k", F.row_number().over(w)).where(F.col("k") <= first).drop("k")
+    return duplicate_usage(items, uses, lambda df: df.withColumn("k", F.row_number().over(w)).where(F.col("k") <= first).drop("k"))
