@@ -152,21 +152,14 @@ def segment_items(v: Views) -> DataFrame:
     return layout.segment_items(marks(v), pages)
 
 
-def document_lines(documents: DataFrame) -> DataFrame:
-    """The lines of the documents with their characters, six units wide: line_id has doc_id and the line's number."""
-    lines = documents.select(F.col("doc_id"), F.posexplode(F.split("text", "\n")).alias("line", "body"))
-    box = lambda ch, pos: F.struct(pos.alias("pos"), ch.alias("ch"), (pos * 6.0).alias("x0"), (pos * 6.0 + 6).alias("x1"))
-    cs = F.filter(F.transform(F.split("body", ""), box), lambda c: F.trim(c.ch) != "")
-    return lines.select(F.struct("doc_id", "line").alias("line_id"), cs.alias("cs"))
-
-
 @query("""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS body, unnest(range(0, len(string_split(text, chr(10))))) AS line FROM documents),
 s AS (SELECT doc_id, line, list_filter(range(0, length(body)), lambda i: substr(body, i + 1, 1) <> ' ') AS p, lower(replace(body, ' ', '')) AS t FROM l),
 h AS (SELECT doc_id, line, p, term, unnest(list_filter(range(1, length(t) - length(term) + 2), lambda i: substr(t, i, length(term)) = term)) AS spot FROM s, (VALUES ('the'), ('ation')) v(term) WHERE contains(t, term))
 SELECT doc_id, CAST(line AS INTEGER) AS line, term, CAST(spot AS INTEGER) AS "at", p[spot] * 6.0::DOUBLE AS x0, p[spot + length(term) - 1] * 6.0::DOUBLE + 6 AS x1 FROM h""")
 def highlight_boxes(v: Views) -> DataFrame:
-    hits = layout.highlight_lines(document_lines(v("documents")), ["the", "ation"])
-    return hits.select("line_id.doc_id", "line_id.line", "term", "at", "x0", "x1")
+    """Characters of documents are six units wide."""
+    lines = v("documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("line", "body"))
+    return layout.highlight_texts(lines, ["doc_id", "line"], ["the", "ation"], 6.0)
 
 
 @query("""SELECT e.k, o.k IS NOT NULL AS "exists", e.h = o.h AS hash_ok, e.n = o.n AS items_ok, coalesce(o.k IS NOT NULL AND e.h = o.h AND coalesce(e.n = o.n, true), false) AS ok FROM (SELECT p_partkey AS k, sha256(p_name) AS h, CASE WHEN p_partkey % 2 = 0 THEN p_partkey % 40 END AS n FROM part WHERE p_partkey % 7 = 0) e
