@@ -3,7 +3,8 @@
 A box lies on the level of the power of two that its longer side has at most, and in the few
 cells of that size that it touches. Two boxes that meet share a cell of the larger one's level,
 so each is looked for on its own level and on all higher ones that the other side has: cells are
-join keys, and a page with many boxes spreads over as many keys as it has cells.
+join keys, and a page with many boxes spreads over as many keys as it has cells. Pages with few
+boxes on one side need no cells.
 """
 
 from __future__ import annotations
@@ -16,6 +17,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lectern.scratch import bucketed, forget, fresh, written
+
 SIDES = ("x0", "y0", "x1", "y1")
 #: The least level there is; cells of that size hold points.
 LOWEST = -20
@@ -30,16 +33,53 @@ def cell(x: Column, at: Column) -> Column:
     return F.floor(x.cast("double") / F.pow(F.lit(2.0), at.cast("double")))
 
 
+#: Boxes of `b` on a page up to which its boxes are compared with all of `a`; cells are for pages with more.
+FEW = 64
+
+
 def meeting(a: DataFrame, b: DataFrame, page: list[str], points: bool = False) -> DataFrame:
     """Pairs of rows of `a` (`page` and columns a_...) and `b` (b_...), boxes a_x0 to a_y1 and b_x0 to b_y1, that touch or overlap on a page; each once.
 
     Boxes with a null side, or with sides the wrong way round, meet nothing. If the boxes of `a` are `points`, without
-    width and height, none of them is larger than one of `b`, and one of the two joins is enough.
+    width and height, none of them is larger than one of `b`, and one of the two joins over cells is enough. Pages with FEW
+    boxes of `b` or less, which bounds the pairs, are joined as they are. Both sides are stored, `b` by page, so that
+    what was shuffled to make them is deleted before they are joined.
     """
+    n = fresh("n", a, b)
+    b = bucketed(standing(b, "b_").repartition(int(b.sparkSession.conf.get("spark.sql.shuffle.partitions")), *page), "boxes", *page)
+    a = standing(a, "a_")
+    a = both_sides(written(a.drop("a_x1", "a_y1"), "standing")) if points else written(a, "standing")
+    crowded = written(b.groupBy(*page).agg(F.count("*").alias(n)).where(F.col(n) > FEW).drop(n), "crowded-pages")
+    if crowded.isEmpty():
+        forget(crowded)
+        return beside(a, b, page, points)
+    alone, full = (lambda df: df.join(crowded, page, "left_anti")), (lambda df: df.join(crowded, page, "left_semi"))
+    return beside(a, alone(b), page, points).unionByName(meeting_in_cells(full(a), full(b), page, points))
+
+
+def standing(df: DataFrame, p: str) -> DataFrame:
+    """Boxes whose sides aren't null or the wrong way round."""
+    return df.where((F.col(f"{p}x0") <= F.col(f"{p}x1")) & (F.col(f"{p}y0") <= F.col(f"{p}y1")))
+
+
+def touching() -> Column:
+    return (F.col("a_x0") <= F.col("b_x1")) & (F.col("b_x0") <= F.col("a_x1")) & (F.col("a_y0") <= F.col("b_y1")) & (F.col("b_y0") <= F.col("a_y1"))
+
+
+def beside(a: DataFrame, b: DataFrame, page: list[str], points: bool = False) -> DataFrame:
+    """What meets among all pairs of a page; both sides of points are the same, so only one of them is stored and shuffled."""
+    return (both_sides(a.drop("a_x1", "a_y1").join(b, page)) if points else a.join(b, page)).where(touching())
+
+
+def both_sides(points: DataFrame) -> DataFrame:
+    return points.withColumns({"a_x1": F.col("a_x0"), "a_y1": F.col("a_y0")})
+
+
+def meeting_in_cells(a: DataFrame, b: DataFrame, page: list[str], points: bool = False) -> DataFrame:
+    """The same over cells, for boxes that stand and pages with any number of them."""
 
     def placed(df: DataFrame, p: str) -> DataFrame:
-        x0, y0, x1, y1 = (F.col(p + s) for s in SIDES)
-        return df.where((x0 <= x1) & (y0 <= y1)).withColumn(f"{p}level", level(x0, y0, x1, y1))
+        return df.withColumn(f"{p}level", level(*(F.col(p + s) for s in SIDES)))
 
     def in_cells(df: DataFrame, p: str) -> DataFrame:
         """Each row once for each cell of level `grid level` that it touches."""
@@ -51,14 +91,13 @@ def meeting(a: DataFrame, b: DataFrame, page: list[str], points: bool = False) -
     a, b = placed(a, "a_"), placed(b, "b_")
     levels = {p: df.select(*page, F.col(f"{p}level").alias("grid level")).distinct() for p, df in (("a_", a), ("b_", b))}
     keys = [*page, "grid level", "grid x", "grid y"]
-    meets = (F.col("a_x0") <= F.col("b_x1")) & (F.col("b_x0") <= F.col("a_x1")) & (F.col("a_y0") <= F.col("b_y1")) & (F.col("b_y0") <= F.col("a_y1"))
     # Of the cells that two boxes share, the one with the corner where their common part begins counts.
     once = (cell(F.greatest("a_x0", "b_x0"), F.col("grid level")) == F.col("grid x")) & (cell(F.greatest("a_y0", "b_y0"), F.col("grid level")) == F.col("grid y"))
 
     def joined(large: DataFrame, p: str, small: DataFrame, q: str, least: Column) -> DataFrame:
         own = in_cells(large.withColumn("grid level", F.col(f"{p}level")), p)
         looked = in_cells(small.join(levels[p], page).where(least), q)
-        return own.join(looked, keys).where(meets & once).drop("grid level", "grid x", "grid y")
+        return own.join(looked, keys).where(touching() & once).drop("grid level", "grid x", "grid y")
 
     up = joined(b, "b_", a, "a_", F.col("grid level") >= F.col("a_level"))
     if points:

@@ -74,15 +74,15 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
-def bucketed(df: DataFrame, name: str, key: str) -> DataFrame:
-    """Like `written`, in as many buckets by `key` as Spark shuffles into: a join on `key` shuffles the other table only.
+def bucketed(df: DataFrame, name: str, *keys: str) -> DataFrame:
+    """Like `written`, in as many buckets by `keys` as Spark shuffles into: a join on them shuffles the other table only.
 
     Spark reads buckets of tables in its catalog only, so there is one while the result is being looked up.
     """
     spark, path = df.sparkSession, new_path(df.sparkSession, name)
     table = f"spark_catalog.default.lectern_{uuid.uuid4().hex}"
     with _cleaned(spark):
-        df.write.bucketBy(int(spark.conf.get("spark.sql.shuffle.partitions")), key).format("parquet").option("path", path).saveAsTable(table)
+        df.write.bucketBy(int(spark.conf.get("spark.sql.shuffle.partitions")), *keys).format("parquet").option("path", path).saveAsTable(table)
     out = spark.table(table)
     spark.sql(f"DROP TABLE {table}")
     out._lectern_path = path
